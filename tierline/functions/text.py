@@ -109,8 +109,7 @@ def replace_first(col: Column, pattern: str) -> Column:
 
 
 def lookup(col: Column, mapping: dict[str, object], default: Column | None = None) -> Column:
-    """Constant-table lookup as a CASE chain (stays inside codegen)."""
-    out: Column | None = None
-    for key, value in mapping.items():
-        out = F.when(col == key, F.lit(value)) if out is None else out.when(col == key, F.lit(value))
-    return out if default is None else out.otherwise(default)
+    """Constant-table lookup; the literal map folds to one constant of the plan."""
+    pairs = [F.lit(x) for pair in mapping.items() for x in pair]
+    found = F.try_element_at(F.create_map(*pairs), col)
+    return found if default is None else F.coalesce(found, default)

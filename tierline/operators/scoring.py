@@ -95,6 +95,7 @@ GRADE_CEILING = {
 OPEN_CEILING = 80
 PIPELINE_TYPES = ["itp", "fe_college", "sixth_form_college", "university", "employer"]
 UNINSPECTED_TYPES = ["itp", "fe_college", "sixth_form_college", "university"]
+PIPELINE_BASE = 35
 DAYS_PER_MONTH, DAYS_PER_YEAR = 30.44, 365.25
 COMMISSIONER_SCORES = {_ES: 95, _CR: 80, _FL: 70, _OS: 60}
 EMPLOYER_SCORES = {_ES: 78, _CR: 55, _FL: 45, _OS: 40}
@@ -158,22 +159,39 @@ def _display(field: str) -> Column:
     return F.when(present(F.col(field)), pretty_grade(F.col(field)))
 
 
+def with_judged(df: DataFrame) -> DataFrame:
+    """``judged``: the weighted fields of the framework that applies, in order.
+
+    Built once per row and read by the sums and by the explanations.
+    """
+    frame = weight_framework(F.col("inspection_body"), F.col("type"))
+    per_frame: Column | None = None
+    for fw, fields in JUDGEMENT_WEIGHTS.items():
+        entries = F.array(
+            *[
+                F.struct(
+                    _urgency(field).alias("urgency"),
+                    F.concat(F.lit(label + ": "), _display(field)).alias("note"),
+                    F.array(*[F.lit(w) for w in weights]).alias("weights"),
+                )
+                for field, label, weights in fields
+            ]
+        )
+        per_frame = F.when(frame == fw, entries) if per_frame is None else per_frame.when(frame == fw, entries)
+    return df.withColumn("judged", per_frame)
+
+
 def judgement_part(df: DataFrame) -> DataFrame:
     """``<curriculum>_judgement``: weighted weak grades, capped."""
-    frame = weight_framework(F.col("inspection_body"), F.col("type"))
 
     def total(i: int) -> Column:
-        per_frame: Column | None = None
-        for fw, fields in JUDGEMENT_WEIGHTS.items():
-            points: Column = F.lit(0.0)
-            for field, _, weights in fields:
-                if weights[i] > 0:
-                    u = _urgency(field)
-                    points = points + F.when(u > 0, u * F.lit(weights[i]) * JUDGEMENT_POINTS).otherwise(0.0)
-            per_frame = F.when(frame == fw, points) if per_frame is None else per_frame.when(frame == fw, points)
-        return F.least(F.lit(float(JUDGEMENT_CAP)), per_frame)
+        weak = F.filter("judged", lambda m: m["urgency"] > 0)
+        points = F.aggregate(
+            weak, F.lit(0.0), lambda acc, m: acc + m["urgency"] * F.get(m["weights"], F.lit(i)) * JUDGEMENT_POINTS
+        )
+        return F.least(F.lit(float(JUDGEMENT_CAP)), points)
 
-    return df.withColumns({f"{c}_judgement": total(i) for i, c in enumerate(CURRICULA)})
+    return with_judged(df).withColumns({f"{c}_judgement": total(i) for i, c in enumerate(CURRICULA)})
 
 
 def finding_part(df: DataFrame) -> DataFrame:
@@ -197,20 +215,32 @@ def sub_scores(df: DataFrame) -> DataFrame:
 
 def hard_floors(df: DataFrame) -> DataFrame:
     """Floors of non-negotiable evidence; starts ``signals`` and ``critical_count``."""
+    rules = F.array(
+        *[
+            F.struct(
+                F.coalesce(F.col(field) == F.lit(value), F.lit(False)).alias("fires"),
+                F.array(*[F.lit(floors.get(c, 0)) for c in CURRICULA]).alias("floors"),
+                F.lit(text).alias("text"),
+                F.lit(critical).alias("critical"),
+            )
+            for field, value, floors, text, critical in HARD_FLOORS
+        ]
+    )
 
-    def fires(field: str, value) -> Column:
-        return F.coalesce(F.col(field) == F.lit(value), F.lit(False))
+    def floored(i: int, c: str) -> Column:
+        return F.aggregate("__fired", F.col(SUB[c]), lambda acc, r: F.greatest(acc, F.get(r["floors"], F.lit(i))))
 
-    floored = {}
-    for c in CURRICULA:
-        steps = [F.when(fires(f, v), floors[c]).otherwise(0) for f, v, floors, _, _ in HARD_FLOORS if c in floors]
-        floored[SUB[c]] = F.greatest(F.col(SUB[c]), *steps)
-    signals = F.array_compact(F.array(*[F.when(fires(f, v), F.lit(text)) for f, v, _, text, _ in HARD_FLOORS]))
-    critical: Column = F.lit(0)
-    for f, v, _, _, is_critical in HARD_FLOORS:
-        if is_critical:
-            critical = critical + fires(f, v).cast("int")
-    return df.withColumns({**floored, "signals": signals, "critical_count": critical})
+    return (
+        df.withColumn("__fired", F.filter(rules, lambda r: r["fires"]))
+        .withColumns(
+            {
+                **{SUB[c]: floored(i, c) for i, c in enumerate(CURRICULA)},
+                "signals": F.transform("__fired", lambda r: r["text"]),
+                "critical_count": F.size(F.filter("__fired", lambda r: r["critical"])),
+            }
+        )
+        .drop("__fired")
+    )
 
 
 def explain_signals(df: DataFrame) -> DataFrame:
@@ -219,25 +249,15 @@ def explain_signals(df: DataFrame) -> DataFrame:
     Strong ones always; mild ones only while fewer than eight signals exist,
     so the array is built up step by step.
     """
-    frame = weight_framework(F.col("inspection_body"), F.col("type"))
-    per_frame: Column | None = None
-    for fw, fields in JUDGEMENT_WEIGHTS.items():
-        notes = F.array(
-            *[
-                F.struct(
-                    _urgency(field).alias("u"), F.concat(F.lit(label + ": "), _display(field)).alias("note")
-                )
-                for field, label, _ in fields
-            ]
-        )
-        per_frame = F.when(frame == fw, notes) if per_frame is None else per_frame.when(frame == fw, notes)
 
     def add(acc: Column, m: Column) -> Column:
-        wanted = (m["u"] >= STRONG_URGENCY) | ((m["u"] >= MILD_URGENCY) & (F.size(acc) < MILD_SIGNAL_LIMIT))
+        wanted = (m["urgency"] >= STRONG_URGENCY) | (
+            (m["urgency"] >= MILD_URGENCY) & (F.size(acc) < MILD_SIGNAL_LIMIT)
+        )
         new = wanted & m["note"].isNotNull() & ~F.array_contains(acc, F.coalesce(m["note"], F.lit("")))
         return F.when(new, F.array_append(acc, m["note"])).otherwise(acc)
 
-    return df.withColumn("__notes", per_frame).withColumn("signals", F.aggregate("__notes", F.col("signals"), add)).drop("__notes")
+    return df.withColumn("signals", F.aggregate("judged", F.col("signals"), add)).drop("judged")
 
 
 def notice_floor(df: DataFrame) -> DataFrame:
@@ -254,17 +274,26 @@ def notice_floor(df: DataFrame) -> DataFrame:
     )
 
 
-def _news_lifts(top: Column) -> dict[str, Column]:
-    """What the top article asks of each curriculum (0 when nothing)."""
-    trigger = F.coalesce(top["severity"] >= NEWS_TRIGGER, F.lit(False))
+def with_top_news(df: DataFrame) -> DataFrame:
+    """Facts of the top article, null or empty where nothing triggers."""
+    top = F.get("top_news", F.lit(0))
+    triggered = top["severity"] >= NEWS_TRIGGER
     tagged = _int(half_up(top["severity"] * F.lit(NEWS_TAGGED_FACTOR)))
     plain = _int(half_up(top["severity"] * F.lit(NEWS_PLAIN_FACTOR)))
-    return {
-        c: F.when(trigger & (F.size(top["curricula"]) == 0), plain)
-        .when(trigger & F.array_contains(top["curricula"], c), tagged)
-        .otherwise(0)
-        for c in CURRICULA
-    }
+    untagged = F.size(top["curricula"]) == 0
+    return df.withColumns(
+        {
+            "news_lead": F.when(triggered, top),
+            "news_urgency": F.coalesce(F.when(triggered, tagged), F.lit(0)),
+            "news_lift": F.coalesce(F.when(triggered, F.when(untagged, plain).otherwise(tagged)), F.lit(0)),
+            "news_lifts": F.when(triggered, F.when(untagged, F.array(*[F.lit(c) for c in CURRICULA])).otherwise(top["curricula"])),
+        }
+    )
+
+
+def _news_lift(c: str) -> Column:
+    """What the top article asks of a curriculum (0 when nothing)."""
+    return F.when(F.array_contains("news_lifts", c), F.col("news_lift")).otherwise(0)
 
 
 def _headline_text(item: Column, width: int) -> Column:
@@ -273,25 +302,30 @@ def _headline_text(item: Column, width: int) -> Column:
 
 def news_boost(df: DataFrame) -> DataFrame:
     """The top article lifts its curricula; up to two more become signals."""
-    top = F.get("top_news", F.lit(0))
-    lifts = _news_lifts(top)
 
     def dated(item: Column, width: int) -> Column:
         when = F.coalesce(item["published_at"], F.lit("recent"))
         return F.concat(_headline_text(item, width), F.lit(" ("), when, F.lit(")"))
 
-    triggered = F.coalesce(top["severity"] >= NEWS_TRIGGER, F.lit(False))
+    lead = F.col("news_lead")
     extras = F.transform(
         F.filter(F.slice("top_news", 2, 2), lambda n: n["severity"] >= NEWS_EXTRA), lambda n: dated(n, 90)
     )
-    lead = F.when(triggered, F.array(dated(top, 100))).otherwise(_no_strings())
-    return df.withColumns(
-        {
-            **{SUB[c]: F.greatest(F.col(SUB[c]), lifts[c]) for c in CURRICULA},
-            "signals": F.concat("signals", lead, F.coalesce(extras, _no_strings())),
-            "critical_count": F.col("critical_count")
-            + F.coalesce(top["severity"] >= NEWS_CRITICAL, F.lit(False)).cast("int"),
-        }
+    return (
+        with_top_news(df)
+        .withColumns(
+            {
+                **{SUB[c]: F.greatest(F.col(SUB[c]), _news_lift(c)) for c in CURRICULA},
+                "signals": F.concat(
+                    "signals",
+                    F.when(lead.isNotNull(), F.array(dated(lead, 100))).otherwise(_no_strings()),
+                    F.coalesce(extras, _no_strings()),
+                ),
+                "critical_count": F.col("critical_count")
+                + F.coalesce(lead["severity"] >= NEWS_CRITICAL, F.lit(False)).cast("int"),
+            }
+        )
+        .drop("news_lead", "news_urgency", "news_lift", "news_lifts")
     )
 
 
@@ -333,15 +367,14 @@ def pipeline_value(df: DataFrame, as_of: str) -> DataFrame:
     def number(col: Column, text: str) -> Column:
         return F.concat(col.cast("string"), F.lit(text))
 
-    def rule(*cases: tuple[Column, int, Column | str | None]) -> tuple[Column, Column]:
-        """First case that holds: (points, signal)."""
-        points: Column | None = None
-        signal: Column | None = None
+    def rule(*cases: tuple[Column, int, Column | str | None]) -> Column:
+        """struct(points, signal) of the first case that holds."""
+        out: Column | None = None
         for cond, value, text in cases:
             shown = F.lit(text).cast("string") if text is None or isinstance(text, str) else text
-            points = F.when(cond, value) if points is None else points.when(cond, value)
-            signal = F.when(cond, shown) if signal is None else signal.when(cond, shown)
-        return F.coalesce(points.otherwise(0), F.lit(0)), signal
+            hit = F.struct(F.lit(value).alias("points"), shown.alias("signal"))
+            out = F.when(cond, hit) if out is None else out.when(cond, hit)
+        return out
 
     on_register = number(F.floor(years), "+ years on Ofsted register")
     delivered = " apprenticeship standards delivered"
@@ -370,18 +403,15 @@ def pipeline_value(df: DataFrame, as_of: str) -> DataFrame:
             (standards >= 3, 5, number(standards, delivered)),
         ),
     ]
-    total: Column = F.lit(35)
-    for points, _ in rules:
-        total = total + points
-    eligible = F.col("type").isin(*PIPELINE_TYPES)
-    return df.withColumns(
+    scored = df.withColumn("__rules", F.when(F.col("type").isin(*PIPELINE_TYPES), F.array_compact(F.array(*rules))))
+    total = F.aggregate("__rules", F.lit(PIPELINE_BASE), lambda acc, r: acc + r["points"])
+    signals = F.filter(F.transform("__rules", lambda r: r["signal"]), lambda s: s.isNotNull())
+    return scored.withColumns(
         {
-            "pipeline_value_score": F.when(eligible, F.least(F.lit(100), total)).otherwise(0),
-            "pipeline_signals": F.when(eligible, F.array_compact(F.array(*[s for _, s in rules]))).otherwise(
-                _no_strings()
-            ),
+            "pipeline_value_score": F.when(F.col("__rules").isNotNull(), F.least(F.lit(100), total)).otherwise(0),
+            "pipeline_signals": F.coalesce(signals, _no_strings()),
         }
-    )
+    ).drop("__rules")
 
 
 def grade_ceiling(grade: Column) -> Column:
@@ -455,27 +485,35 @@ def score_inspected(base: DataFrame, as_of: str) -> DataFrame:
             "last_inspection_id": F.col("latest.id"),
         }
     )
-    return df.where((F.col("score") >= 1) | (F.size("critical_signals") > 0)).select(*SCORE_COLUMNS)
+    # A plain filter would be pushed through every projection above, copying
+    # all their expressions into the condition; a generator is not crossed.
+    keep = (F.col("score") >= 1) | (F.size("critical_signals") > 0)
+    return df.select(F.inline(F.when(keep, F.array(F.struct(*SCORE_COLUMNS)))))
 
 
 def score_uninspected(base: DataFrame, as_of: str) -> DataFrame:
     """Providers without any inspection: pipeline value, notices and news."""
     df = base.where(F.col("in_scope") & F.col("latest").isNull() & F.col("type").isin(*UNINSPECTED_TYPES))
-    df = pipeline_value(df, as_of).where(F.col("pipeline_value_score") >= 1)
-    top = F.get("top_news", F.lit(0))
-    lifts = _news_lifts(top)
+    # These types always have a pipeline value (the base alone is 35), so the
+    # rule "at least 1" never drops a row.
+    df = with_top_news(pipeline_value(df, as_of))
     floor = F.coalesce(
         _int(F.greatest(F.lit(0), half_up(F.col("worst_severity") * F.lit(NOTICE_FACTOR)))), F.lit(0)
     )
-    triggered = F.coalesce(top["severity"] >= NEWS_TRIGGER, F.lit(False))
-    news_urgency = F.when(triggered, _int(half_up(top["severity"] * F.lit(NEWS_TAGGED_FACTOR)))).otherwise(0)
+    lead = F.col("news_lead")
     notice_texts = F.transform("top_notices", lambda n: F.concat(F.lit("Compliance: "), n["subject"]))
     aux = F.concat(
         F.coalesce(notice_texts, _no_strings()),
-        F.when(triggered, F.array(_headline_text(top, 100))).otherwise(_no_strings()),
+        F.when(lead.isNotNull(), F.array(_headline_text(lead, 100))).otherwise(_no_strings()),
+    )
+    df = df.withColumns({"__floor": floor, "__aux": aux})
+    df = df.withColumns(
+        {
+            **{SUB[c]: F.greatest("__floor", _news_lift(c)) for c in CURRICULA},
+            "urgency_score": F.greatest("__floor", "news_urgency"),
+        }
     )
-    df = df.withColumns({SUB[c]: F.greatest(floor, lifts[c]) for c in CURRICULA})
-    df = lead_curriculum(df.withColumns({"urgency_score": F.greatest(floor, news_urgency), "__aux": aux}))
+    df = lead_curriculum(df)
     value, urgency = F.col("pipeline_value_score"), F.col("urgency_score")
     named = F.transform("pipeline_signals", lambda s: F.concat(F.lit("Pipeline: "), s))
     return df.withColumns(
