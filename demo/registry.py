@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tierline.session import tune
+
 from .views import Views, with_ctes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -19,7 +21,7 @@ _views: dict[tuple[str, str], Views] = {}
 def views(spark: SparkSession, sf_dir: str) -> Views:
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _views:
-        _views[key] = Views(spark, sf_dir)
+        _views[key] = Views(tune(spark), sf_dir)
     return _views[key]
 
 

@@ -291,6 +291,32 @@ FROM {{orders}}
 """
 
 
+VIEWS["standards_texts"] = """
+SELECT doc_id AS inspection_id, CASE WHEN lang = 'en' THEN 'isi' ELSE 'ofsted' END AS inspection_body,
+  replace(replace(replace(replace(replace(replace(text,
+    '. The ', '. Standards relating to the Welfare,  health and safety of pupils are met. The '),
+    '. On ', '. Standard relating to leadership' || chr(10) || 'and management are  not met. On '),
+    '. Of ', '. Standards relating to the quality of education provided are not met. Of '),
+    '. An ', '. The personal development of pupils is good. An '),
+    '. To ', '. All the relevant standards are met. To '),
+    '. Er ', '. Standards relating to the spiritual, moral development are met. Achievement is excellent. Er ') AS report_text
+FROM {documents}
+"""
+VIEWS["company_hits"] = """
+SELECT o.o_custkey AS institution_id, i.name, i.postcode, o.o_orderkey AS position, 'C' || CAST(o.o_orderkey AS STRING) AS company_number,
+  CASE o.o_orderpriority WHEN '1-URGENT' THEN CASE WHEN o.o_totalprice > 300000 THEN i.name || ' LIMITED' ELSE 'Other ' || i.name END
+    WHEN '2-HIGH' THEN 'Short' ELSE 'Some much longer company name ' || CAST(o.o_orderkey % 100 AS STRING) END AS title,
+  CASE o.o_orderstatus WHEN 'F' THEN 'dissolved' ELSE 'active' END AS company_status,
+  CASE WHEN o.o_totalprice > 400000 THEN upper(replace(i.postcode, ' ', '')) WHEN o.o_totalprice > 200000 THEN 'ZZ1 1ZZ' END AS company_postcode
+FROM {orders} o JOIN {institutions} i ON i.id = o.o_custkey
+"""
+VIEWS["external_names"] = """
+SELECT o.o_orderkey AS id, CASE o.o_orderkey % 5 WHEN 0 THEN i.name WHEN 1 THEN i.name || ' Training Centre'
+  WHEN 2 THEN substring(i.name, 1, length(i.name) - 4) WHEN 3 THEN 'Nobody knows ' || CAST(o.o_orderkey AS STRING) ELSE substring(i.name, 5, 40) END AS external_name
+FROM {orders} o JOIN {institutions} i ON i.id = o.o_custkey
+"""
+
+
 def _needs(sql: str) -> list[str]:
     return list(dict.fromkeys(re.findall(r"(?<!\{)\{([a-z_]+)\}(?!\})", sql)))
 

@@ -108,8 +108,22 @@ def replace_first(col: Column, pattern: str) -> Column:
     return F.array_join(F.split(col, pattern, 2), "")
 
 
+def sql_literal(value: object) -> str:
+    """A Python constant as SQL text."""
+    if value is None or isinstance(value, bool):
+        return str(value).upper() if value is not None else "NULL"
+    if isinstance(value, float):
+        return f"{value!r}D"
+    if isinstance(value, int):
+        return str(value)
+    return "'" + str(value).replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def sql_map(mapping: dict[str, object]) -> str:
+    return "map(" + ", ".join(sql_literal(x) for pair in mapping.items() for x in pair) + ")"
+
+
 def lookup(col: Column, mapping: dict[str, object], default: Column | None = None) -> Column:
     """Constant-table lookup; the literal map folds to one constant of the plan."""
-    pairs = [F.lit(x) for pair in mapping.items() for x in pair]
-    found = F.try_element_at(F.create_map(*pairs), col)
+    found = F.try_element_at(F.expr(sql_map(mapping)), col)
     return found if default is None else F.coalesce(found, default)

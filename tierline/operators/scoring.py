@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.framework import FE_TYPES
-from ..functions.grades import grade_urgency, pretty_grade
-from ..functions.text import half_up, lookup, present
+from ..functions.grades import SHORT_LABELS, URGENCY, grade_urgency
+from ..functions.text import half_up, lookup, present, sql_literal, sql_map
 from ..schemas import CURRICULA, TEXT_JUDGEMENTS
 from .bags import finding_bag, inspection_meta, news_bag, notice_bag
 from .upsert import upsert
@@ -153,32 +153,28 @@ def _urgency(field: str) -> Column:
     return F.when(present(F.col(field)), grade_urgency(F.col(field))).otherwise(0.0)
 
 
-def _display(field: str) -> Column:
-    if field == "safeguarding_effective":
-        return F.when(~F.col(field), "Not met").when(F.col(field), "Met")
-    return F.when(present(F.col(field)), pretty_grade(F.col(field)))
-
-
 def with_judged(df: DataFrame) -> DataFrame:
     """``judged``: the weighted fields of the framework that applies, in order.
 
     Built once per row and read by the sums and by the explanations.
     """
-    frame = weight_framework(F.col("inspection_body"), F.col("type"))
-    per_frame: Column | None = None
-    for fw, fields in JUDGEMENT_WEIGHTS.items():
-        entries = F.array(
-            *[
-                F.struct(
-                    _urgency(field).alias("urgency"),
-                    F.concat(F.lit(label + ": "), _display(field)).alias("note"),
-                    F.array(*[F.lit(w) for w in weights]).alias("weights"),
-                )
-                for field, label, weights in fields
-            ]
-        )
-        per_frame = F.when(frame == fw, entries) if per_frame is None else per_frame.when(frame == fw, entries)
-    return df.withColumn("judged", per_frame)
+
+    def entry(field: str, label: str, weights: tuple[float, ...]) -> str:
+        if field == "safeguarding_effective":
+            urgency = f"CASE WHEN {field} THEN -0.05D WHEN NOT {field} THEN 1.0D ELSE 0.0D END"
+            shown = f"CASE WHEN {field} THEN 'Met' WHEN NOT {field} THEN 'Not met' END"
+        else:
+            urgency = f"coalesce(try_element_at({sql_map(URGENCY)}, {field}), 0.0D)"
+            shown = f"nullif(coalesce(try_element_at({sql_map(SHORT_LABELS)}, {field}), {field}), '')"
+        values = ", ".join(sql_literal(w) for w in weights)
+        note = f"concat({sql_literal(label + ': ')}, {shown})"
+        return f"named_struct('urgency', {urgency}, 'note', {note}, 'weights', array({values}))"
+
+    arms = " ".join(
+        f"WHEN '{fw}' THEN array({', '.join(entry(*f) for f in fields)})" for fw, fields in JUDGEMENT_WEIGHTS.items()
+    )
+    framed = df.withColumn("__frame", weight_framework(F.col("inspection_body"), F.col("type")))
+    return framed.withColumn("judged", F.expr(f"CASE __frame {arms} END")).drop("__frame")
 
 
 def judgement_part(df: DataFrame) -> DataFrame:
@@ -215,16 +211,15 @@ def sub_scores(df: DataFrame) -> DataFrame:
 
 def hard_floors(df: DataFrame) -> DataFrame:
     """Floors of non-negotiable evidence; starts ``signals`` and ``critical_count``."""
-    rules = F.array(
-        *[
-            F.struct(
-                F.coalesce(F.col(field) == F.lit(value), F.lit(False)).alias("fires"),
-                F.array(*[F.lit(floors.get(c, 0)) for c in CURRICULA]).alias("floors"),
-                F.lit(text).alias("text"),
-                F.lit(critical).alias("critical"),
-            )
+    rules = F.expr(
+        "array("
+        + ", ".join(
+            f"named_struct('fires', coalesce({field} = {sql_literal(value)}, FALSE), "
+            f"'floors', array({', '.join(str(floors.get(c, 0)) for c in CURRICULA)}), "
+            f"'text', {sql_literal(text)}, 'critical', {sql_literal(critical)})"
             for field, value, floors, text, critical in HARD_FLOORS
-        ]
+        )
+        + ")"
     )
 
     def floored(i: int, c: str) -> Column:

@@ -16,13 +16,17 @@ RECOMMENDED = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.session.timeZone": "UTC",
+    # Building a wide plan makes thousands of column calls; do not look up the
+    # Python call site of each.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
 def tune(spark: SparkSession) -> SparkSession:
     """Apply ``RECOMMENDED`` to a live session and return it."""
     for key, value in RECOMMENDED.items():
-        spark.conf.set(key, value)
+        if spark.conf.isModifiable(key):
+            spark.conf.set(key, value)
     return spark
 
 
