@@ -39,7 +39,7 @@ def _q(pattern: str) -> str:
 
 _T = "report_text"
 _MARKS = ",\n".join(
-    f"CASE WHEN regexp_matches({_T}, {_q(p)}) THEN struct_pack(at := length(string_split_regex({_T}, {_q(p)})[1]), i := {i}, key := '{k}', "
+    f"CASE WHEN regexp_matches({_T}, {_q(p)}) THEN struct_pack(pos := length(string_split_regex({_T}, {_q(p)})[1]), i := {i}, key := '{k}', "
     f"mult := CAST({m} AS DOUBLE), title := regexp_replace(regexp_extract({_T}, {_q(p)}, 0), '^\\s+|\\s+$', '', 'g')) END"
     for i, (k, m, p) in enumerate(sec.SECTION_MARKERS)
 )
@@ -53,22 +53,22 @@ def _positions(text: str, pattern: str) -> str:
     )
 
 
-SHARED["t1_marks"] = f"""SELECT inspection_id, m.at AS at, m.key AS key, m.mult AS mult, m.title AS title FROM
+SHARED["t1_marks"] = f"""SELECT inspection_id, m.pos AS pos, m.key AS key, m.mult AS mult, m.title AS title FROM
   (SELECT inspection_id, unnest(list_filter([{_MARKS}], lambda x: x IS NOT NULL)) AS m FROM {{report_texts}} WHERE length({_T}) >= 100) x
-  QUALIFY row_number() OVER (PARTITION BY inspection_id, m.key ORDER BY m.at, m.i) = 1"""
+  QUALIFY row_number() OVER (PARTITION BY inspection_id, m.key ORDER BY m.pos, m.i) = 1"""
 _ENDS = " UNION ALL ".join(
-    f"SELECT inspection_id, unnest({_positions(_T, p)}) AS at FROM {{report_texts}} WHERE regexp_matches({_T}, {_q(p)})" for p in sec.END_MARKERS
+    f"SELECT inspection_id, unnest({_positions(_T, p)}) AS pos FROM {{report_texts}} WHERE regexp_matches({_T}, {_q(p)})" for p in sec.END_MARKERS
 )
 SHARED["t1_ends"] = _ENDS
-SHARED["t1_cut"] = """SELECT m.*, coalesce(lead(m.at) OVER (PARTITION BY m.inspection_id ORDER BY m.at), length(t.report_text)) AS nxt,
-  row_number() OVER (PARTITION BY m.inspection_id ORDER BY m.at) AS rn, t.report_text FROM {t1_marks} m JOIN {report_texts} t ON t.inspection_id = m.inspection_id"""
-SHARED["t1_body"] = """SELECT c.inspection_id, c.key, c.title, c.mult, c.rn, regexp_replace(substr(c.report_text, CAST(c.at + 1 AS BIGINT), CAST(coalesce(e.stop, c.nxt) - c.at AS BIGINT)), '^\\s+|\\s+$', '', 'g') AS body
-  FROM {t1_cut} c LEFT JOIN (SELECT c.inspection_id, c.rn, min(e.at) AS stop FROM {t1_cut} c JOIN {t1_ends} e ON e.inspection_id = c.inspection_id AND e.at > c.at AND e.at < c.nxt GROUP BY 1, 2) e
+SHARED["t1_cut"] = """SELECT m.*, coalesce(lead(m.pos) OVER (PARTITION BY m.inspection_id ORDER BY m.pos), length(t.report_text)) AS nxt,
+  row_number() OVER (PARTITION BY m.inspection_id ORDER BY m.pos) AS rn, t.report_text FROM {t1_marks} m JOIN {report_texts} t ON t.inspection_id = m.inspection_id"""
+SHARED["t1_body"] = """SELECT c.inspection_id, c.key, c.title, c.mult, c.rn, regexp_replace(substr(c.report_text, CAST(c.pos + 1 AS BIGINT), CAST(coalesce(e.stop, c.nxt) - c.pos AS BIGINT)), '^\\s+|\\s+$', '', 'g') AS body
+  FROM {t1_cut} c LEFT JOIN (SELECT c.inspection_id, c.rn, min(e.pos) AS stop FROM {t1_cut} c JOIN {t1_ends} e ON e.inspection_id = c.inspection_id AND e.pos > c.pos AND e.pos < c.nxt GROUP BY 1, 2) e
     ON e.inspection_id = c.inspection_id AND e.rn = c.rn"""
 _PROV = ", ".join(f"'{k}'" for k in sec.PROVISION_KEYS)
 SHARED["t1"] = f"""SELECT inspection_id, section_key, section_title, section_text, multiplier, CAST(row_number() OVER (PARTITION BY inspection_id ORDER BY rn) - 1 AS INT) AS order_index FROM (
   SELECT inspection_id, key AS section_key, title AS section_title, body AS section_text, mult AS multiplier, rn FROM {{t1_body}} WHERE length(body) >= CASE WHEN key IN ({_PROV}) THEN 250 ELSE 60 END
-  UNION ALL SELECT inspection_id, 'summary', 'Summary', regexp_replace(substr(report_text, 1, CAST(at AS BIGINT)), '^\\s+|\\s+$', '', 'g'), 0.5, 0 FROM {{t1_cut}} WHERE rn = 1 AND at > 200
+  UNION ALL SELECT inspection_id, 'summary', 'Summary', regexp_replace(substr(report_text, 1, CAST(pos AS BIGINT)), '^\\s+|\\s+$', '', 'g'), 0.5, 0 FROM {{t1_cut}} WHERE rn = 1 AND pos > 200
   UNION ALL SELECT inspection_id, 'body', 'Body', report_text, 1.0, 0 FROM {{report_texts}} t WHERE NOT EXISTS (SELECT 1 FROM {{t1_marks}} m WHERE m.inspection_id = t.inspection_id)) x"""
 
 
@@ -205,9 +205,9 @@ def _decode(x: str) -> str:
 
 @query(
     "extract_links",
-    f"""SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id) - 1 AS INT) AS position, {_decode('h')} AS href,
-        regexp_replace(regexp_replace({_decode("regexp_replace(t, '<[^>]+>', '', 'g')")}, '[\\s\\x{{A0}}]+', ' ', 'g'), '^\\s+|\\s+$', '', 'g') AS text
-        FROM (SELECT page_id, unnest(regexp_extract_all(html, '{_A}', 1)) AS h, unnest(regexp_extract_all(html, '{_A}', 2)) AS t FROM pages) x""",
+    f"""SELECT page_id, CAST(k - 1 AS INT) AS position, {_decode('hs[k]')} AS href,
+        regexp_replace(regexp_replace({_decode("regexp_replace(ts[k], '<[^>]+>', '', 'g')")}, '[\\s\\x{{A0}}]+', ' ', 'g'), '^\\s+|\\s+$', '', 'g') AS text
+        FROM (SELECT page_id, regexp_extract_all(html, '{_A}', 1) AS hs, regexp_extract_all(html, '{_A}', 2) AS ts FROM pages) x, unnest(range(1, len(hs) + 1)) u(k)""",
 )
 def _(v: Views) -> DataFrame:
     return pg.extract_links(v.pages)

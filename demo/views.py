@@ -318,7 +318,7 @@ FROM {orders} o JOIN {institutions} i ON i.id = o.o_custkey
 
 
 def _needs(sql: str) -> list[str]:
-    return list(dict.fromkeys(re.findall(r"(?<!\{)\{([a-z_]+)\}(?!\})", sql)))
+    return list(dict.fromkeys(re.findall(r"(?<!\{)\{([a-z][a-z0-9_]*)\}(?!\})", sql)))
 
 
 class Views:
@@ -357,6 +357,11 @@ def with_ctes(sql: str, extra: dict[str, str] | None = None) -> str:
                 order.append(name)
 
     visit(sql)
-    plain = lambda text: re.sub(r"(?<!\{)\{([a-z_]+)\}(?!\})", r"\1", text)
+    plain = lambda text: re.sub(r"(?<!\{)\{([a-z][a-z0-9_]*)\}(?!\})", r"\1", text)
     ctes = ",\n".join(f"{name} AS ({plain(known[name])})" for name in order)
-    return (f"WITH {ctes}\n" if ctes else "") + plain(sql)
+    body = plain(sql)
+    if not ctes:
+        return body
+    if body.lstrip().startswith("WITH "):
+        return f"WITH {ctes},\n" + body.lstrip()[5:]
+    return f"WITH {ctes}\n" + body

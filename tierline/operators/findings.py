@@ -98,12 +98,17 @@ def extract_findings(sections: DataFrame, phrases: Sequence[Phrase], guard: bool
     kept = ["inspection_id", "institution_id", "section_key", "order_index", "multiplier"]
     pairs = (
         sections.where(F.col("multiplier") != 0.0)
-        .select(*kept, "section_text", F.explode(_hit_phrases(F.col("section_text"), phrases)).alias("i"))
+        # Outer: a plain explode would test every pattern twice (once more in
+        # an inferred size filter).
+        .select(*kept, "section_text", F.explode_outer(_hit_phrases(F.col("section_text"), phrases)).alias("i"))
+        .where(F.col("i").isNotNull())
         .withColumn("p", F.get(facts, F.col("i")))
         .select(*kept, "section_text", "p.*")
     )
     quoted = pairs.withColumn("q", quote_spans("section_text", "source")).drop("section_text", "source")
-    rows = quoted.select(*[c for c in quoted.columns if c != "q"], F.inline("q"))
+    rows = quoted.select(*[c for c in quoted.columns if c != "q"], F.inline_outer("q")).where(
+        F.col("quote_start").isNotNull()
+    )
     out = (
         rows.withColumn("source_quote", squeeze(F.col("raw")))
         .withColumn("final_severity", F.col("base_severity") * F.col("multiplier"))

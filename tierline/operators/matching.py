@@ -64,13 +64,14 @@ def match_by_name(left: DataFrame, dimension: DataFrame, name: str, out: str = "
     open_keys = exact.where(F.col("first_id").isNull() & (F.length("__key") >= MIN_CONTAINED)).select("__key")
 
     inside = (
-        open_keys.select("__key", F.explode(_proper_parts(F.col("__key"))).alias("k"))
+        open_keys.select("__key", F.explode_outer(_proper_parts(F.col("__key"))).alias("k"))
         .join(index, "k")
         .select("__key", "first_id", "n")
     )
     around = (
         index.where(F.length("k") > MIN_CONTAINED)
-        .select(F.explode(_proper_parts(F.col("k"))).alias("__key"), "first_id", "n")
+        .select(F.explode_outer(_proper_parts(F.col("k"))).alias("__key"), "first_id", "n")
+        .where(F.col("__key").isNotNull())
         .groupBy("__key")
         .agg(F.min("first_id").alias("first_id"), F.sum("n").alias("n"))
         .join(open_keys, "__key", "left_semi")
@@ -130,8 +131,8 @@ def match_mentions(articles: DataFrame, dimension: DataFrame, article_id: str, t
         return F.when(F.size("t") >= n, runs).otherwise(F.array().cast("array<string>"))
 
     runs = tokens.select(
-        article_id, F.explode(F.array_distinct(F.flatten(F.transform("lengths", runs_of)))).alias("k")
-    )
+        article_id, F.explode_outer(F.array_distinct(F.flatten(F.transform("lengths", runs_of)))).alias("k")
+    ).where(F.col("k").isNotNull())
     hits = runs.join(keys, "k").select(article_id, "k", F.explode("ids").alias("institution_id"))
     relevance = F.lit(50) + F.least(F.lit(40), F.floor(F.length("k") / 2).cast("int"))
     scored = hits.select(article_id, "institution_id", relevance.alias("relevance"))

@@ -483,7 +483,8 @@ def score_inspected(base: DataFrame, as_of: str) -> DataFrame:
     # A plain filter would be pushed through every projection above, copying
     # all their expressions into the condition; a generator is not crossed.
     keep = (F.col("score") >= 1) | (F.size("critical_signals") > 0)
-    return df.select(F.inline(F.when(keep, F.array(F.struct(*SCORE_COLUMNS)))))
+    kept = df.select(F.inline_outer(F.when(keep, F.array(F.struct(*SCORE_COLUMNS)))))
+    return kept.where(F.col("institution_id").isNotNull())
 
 
 def score_uninspected(base: DataFrame, as_of: str) -> DataFrame:

@@ -150,7 +150,10 @@ def sectionise(df: DataFrame, text_col: str, keep: tuple[str, ...] = ("inspectio
             "__ends", F.when(F.size("__markers") > 0, F.flatten(F.array(*[all_indexes(text, portable(p)) for p in END_MARKERS])))
         )
         .withColumn("__sections", F.when(F.size("__markers") > 0, split).otherwise(body_only))
-        .select(*keep, F.posexplode("__sections").alias("order_index", "s"))
+        # The outer form: a plain explode infers a size filter, which would be
+        # pushed down with a copy of every expression above.
+        .select(*keep, F.posexplode_outer("__sections").alias("order_index", "s"))
+        .where(F.col("order_index").isNotNull())
         .select(*keep, "s.*", "order_index")
     )
 

@@ -54,9 +54,8 @@ def standards_lines(text: Column) -> Column:
 
 
 def extract_standards(df: DataFrame, text: str, keep: tuple[str, ...] = ("inspection_id",)) -> DataFrame:
-    return df.select(*keep, F.posexplode(standards_lines(F.col(text))).alias("position", "l")).select(
-        *keep, "position", "l.*"
-    )
+    lines = df.select(*keep, F.posexplode_outer(standards_lines(F.col(text))).alias("position", "l"))
+    return lines.where(F.col("position").isNotNull()).select(*keep, "position", "l.*")
 
 
 def grade_columns(text: Column, lines: Column) -> dict[str, Column]:

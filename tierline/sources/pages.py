@@ -14,7 +14,8 @@ MIN_MAIN_TEXT = 500
 
 def extract_links(pages: DataFrame, html: str = "html", keep: tuple[str, ...] = ("page_id",)) -> DataFrame:
     """One row per anchor: position, href, text (in page order)."""
-    return pages.select(*keep, F.posexplode(anchors(F.col(html))).alias("position", "a")).select(
+    found = pages.select(*keep, F.posexplode_outer(anchors(F.col(html))).alias("position", "a"))
+    return found.where(F.col("position").isNotNull()).select(
         *keep, "position", F.col("a.href").alias("href"), F.col("a.text").alias("text")
     )
 
