@@ -1,4 +1,4 @@
 """The operators run on the driver's synthetic tables, with their SQL oracles."""
 
-from . import q_columns, q_scoring, q_reports, q_texts  # noqa: F401
+from . import q_columns, q_reports, q_scoring, q_tables, q_texts  # noqa: F401
 from .registry import QUERIES, oracle_texts  # noqa: F401

@@ -510,7 +510,7 @@ def _(v: Views) -> DataFrame:
     "opportunity_export",
     f"""WITH p AS (SELECT i.id, i.name, i.type, i.region, i.local_authority, i.postcode, i.ukprn, i.urn, i.head_name, i.head_email, i.general_email, i.phone, i.website, s.* EXCLUDE (institution_id)
           FROM {{institutions}} i JOIN {{scores}} s ON s.institution_id = i.id ORDER BY s.score DESC, s.raw_score DESC, i.id LIMIT 5000),
-        c AS (SELECT institution_id, count(*) AS n, max(severity) AS sev, arg_max(subject, severity * 1000000000 + id) AS subj, arg_max(source_url, severity * 1000000000 + id) AS url FROM {{notices}} WHERE withdrawn_at IS NULL GROUP BY 1),
+        c AS (SELECT institution_id, count(*) AS n, max(severity) AS sev, arg_max(subject, CAST(severity AS BIGINT) * 1000000000 + id) AS subj, arg_max(source_url, CAST(severity AS BIGINT) * 1000000000 + id) AS url FROM {{notices}} WHERE withdrawn_at IS NULL GROUP BY 1),
         w AS (SELECT institution_id, count(*) AS n, max(trigger_severity) AS sev, max(CASE WHEN rn = 1 THEN title END) AS title, max(CASE WHEN rn = 1 THEN curricula_tagged END) AS cur, max(CASE WHEN rn = 1 THEN angle END) AS angle, max(CASE WHEN rn = 1 THEN url END) AS url
           FROM (SELECT *, row_number() OVER (PARTITION BY institution_id ORDER BY trigger_severity DESC, id DESC) AS rn FROM {{news}} WHERE relevance >= 50 AND trigger_severity > 0) x GROUP BY 1)
         SELECT p.name, p.type, p.region, p.local_authority, p.postcode, p.ukprn, p.urn, p.head_name, p.head_email, p.general_email, p.phone, p.website, p.tier, p.score, p.urgency_score, p.pipeline_value_score, p.raw_score,
