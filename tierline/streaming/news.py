@@ -49,9 +49,10 @@ def stream_merge_news(found: DataFrame, table: str, checkpoint: str, watermark:
 
     ``found`` carries url, institution_id, source, title, excerpt,
     published_at, relevance, content_hash and the event time ``seen_at``.
-    Repeats of a link inside the watermark are dropped with bounded state.
+    Unchanged repeats inside the watermark are dropped with bounded state; a
+    changed item has another content hash and is merged.
     """
-    unique = found.withWatermark("seen_at", watermark).dropDuplicatesWithinWatermark(KEYS)
+    unique = found.withWatermark("seen_at", watermark).dropDuplicatesWithinWatermark([*KEYS, "content_hash"])
     return (
         unique.drop("seen_at")
         .writeStream.foreachBatch(merge_batch(table))
