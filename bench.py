@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import sys
 import time
 
 from demo import q_reports, q_scoring, q_tables, q_texts
@@ -43,6 +44,7 @@ def main() -> None:
         start = time.perf_counter()
         build().write.format("noop").mode("overwrite").save()
         seconds[name] = round(time.perf_counter() - start, 3)
+        print(name, seconds[name], file=sys.stderr, flush=True)
     print(
         json.dumps(
             {

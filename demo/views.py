@@ -182,7 +182,7 @@ SELECT event_id AS id,
 FROM (SELECT *, CAST(trim(split_part(split_part(props, ':', 2), chr(125), 1)) AS INT) AS k FROM {{events}}) e
 """,
     "findings": """
-SELECT l.id, l.inspection_id, i.institution_id,
+SELECT l.id, l.inspection_id, o.o_custkey - o.o_custkey % 4 + o.o_orderkey % 3 AS institution_id,
   CASE l.line WHEN 1 THEN 'fin_lit.budgeting' WHEN 2 THEN 'fin_lit.money_skills' WHEN 3 THEN 'emp.work_experience'
     WHEN 4 THEN 'cr.resilience' WHEN 5 THEN 'cr.self_esteem' WHEN 6 THEN 'os.online_risks' ELSE 'shared.local_area' END AS phrase_id,
   CASE l.flag WHEN 'R' THEN 'areas_for_improvement' WHEN 'N' THEN 'safeguarding' ELSE 'leadership_management' END AS section_key,
@@ -196,7 +196,7 @@ FROM (SELECT l_orderkey * 10 + l_linenumber AS id, l_orderkey AS inspection_id,
         max(l_returnflag) AS flag, max(CASE WHEN l_linestatus = 'O' THEN CAST(1.5 AS DOUBLE) ELSE CAST(1.0 AS DOUBLE) END) AS multiplier,
         min(l_discount) AS discount
       FROM {lineitem} GROUP BY l_orderkey, l_linenumber) l
-JOIN {inspections} i ON i.id = l.inspection_id
+JOIN {orders} o ON o.o_orderkey = l.inspection_id
 """,
     "matches": """
 SELECT f.id AS finding_id, f.institution_id, c.curriculum, CAST(1.0 AS DOUBLE) AS weight

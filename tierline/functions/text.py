@@ -42,6 +42,25 @@ def portable(source: str) -> str:
     return "".join(out)
 
 
+def required_text(source: str) -> str | None:
+    """The longest literal that every match of a pattern must contain, lower case.
+
+    Only text outside groups counts, and a pattern with a top-level
+    alternation has none.
+    """
+    bare = re.sub(r"^\(\?[a-z]+\)", "", source)
+    bare = re.sub(r"\\[^a-zA-Z0-9]", "\0", bare)  # escaped punctuation ends a run
+    while "(" in bare and (cut := re.sub(r"\([^()]*\)(?:[?*+]|\{[^}]*\})?", "\0", bare)) != bare:
+        bare = cut
+    if "|" in bare:
+        return None
+    bare = re.sub(r"\[[^\]]*\](?:[?*+]|\{[^}]*\})?|\\[a-zA-Z](?:[?*+]|\{[^}]*\})?", "\0", bare)
+    bare = re.sub(r".(?:[?*]|\{[^}]*\})", "\0", bare)
+    runs = re.findall(r"[A-Za-z0-9' :/]+", bare)
+    best = max(runs, key=len, default="")
+    return best.lower() if len(best) >= 4 else None
+
+
 def strip(col: Column) -> Column:
     """Trim every kind of blank, not only U+0020."""
     return F.regexp_replace(col, rf"^{WS}+|{WS}+\z", "")

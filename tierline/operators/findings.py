@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from ..functions.text import squeeze
+from ..functions.text import required_text, squeeze
 from ..sources.phrases import Phrase
 from .upsert import surrogate_id
 
@@ -63,15 +63,20 @@ def quote_spans(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.S
         yield pd.Series(out)
 
 
-def _hit_phrases(text: Column, phrases: Sequence[Phrase]) -> Column:
+def _hit_phrases(text: Column, low: Column, phrases: Sequence[Phrase]) -> Column:
     """Positions (in the library) of the phrases that occur in a text.
 
     The patterns are literals, so each is compiled once per task and the test
     stays in the JVM; only texts with a hit ever reach Python.
     """
-    return F.array_compact(
-        F.array(*[F.when(text.rlike(f"(?i){p.source}"), F.lit(i)) for i, p in enumerate(phrases)])
-    )
+
+
+    def hit(p: Phrase) -> Column:
+        need = p.pattern.lower() if not p.regex and p.pattern.isascii() else required_text(p.pattern)
+        pattern = text.rlike(f"(?i){p.source}")
+        return pattern if need is None else low.contains(need) & pattern
+
+    return F.array_compact(F.array(*[F.when(hit(p), F.lit(i)) for i, p in enumerate(phrases)]))
 
 
 def extract_findings(sections: DataFrame, phrases: Sequence[Phrase], guard: bool = True) -> DataFrame:
@@ -98,9 +103,10 @@ def extract_findings(sections: DataFrame, phrases: Sequence[Phrase], guard: bool
     kept = ["inspection_id", "institution_id", "section_key", "order_index", "multiplier"]
     pairs = (
         sections.where(F.col("multiplier") != 0.0)
+        .withColumn("__low", F.lower("section_text"))
         # Outer: a plain explode would test every pattern twice (once more in
         # an inferred size filter).
-        .select(*kept, "section_text", F.explode_outer(_hit_phrases(F.col("section_text"), phrases)).alias("i"))
+        .select(*kept, "section_text", F.explode_outer(_hit_phrases(F.col("section_text"), F.col("__low"), phrases)).alias("i"))
         .where(F.col("i").isNotNull())
         .withColumn("p", F.get(facts, F.col("i")))
         .select(*kept, "section_text", "p.*")

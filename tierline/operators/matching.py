@@ -125,9 +125,13 @@ def match_mentions(articles: DataFrame, dimension: DataFrame, article_id: str, t
         "lengths", lengths
     )
 
+    def run_at(start: Column, n: Column) -> Column:
+        # Element access is constant-time; slice() would copy the whole array.
+        return F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda j: F.get("t", start + j)), " ")
+
     def runs_of(n: Column) -> Column:
-        starts = F.sequence(F.lit(1), F.size("t") - n + 1)
-        runs = F.transform(starts, lambda at: F.array_join(F.slice("t", at, n), " "))
+        starts = F.sequence(F.lit(0), F.size("t") - n)
+        runs = F.transform(starts, lambda at: run_at(at, n))
         return F.when(F.size("t") >= n, runs).otherwise(F.array().cast("array<string>"))
 
     runs = tokens.select(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import all_indexes, first_index, portable, strip
+from ..functions.text import all_indexes, first_index, portable, required_text, strip
 from .upsert import replace_children
 
 # ---- fixed values: (key, multiplier, pattern) in search order --------------
@@ -76,7 +76,13 @@ PROVISION_KEYS = [
 # ---------------------------------------------------------------------------
 
 
-def _found(text: Column) -> Column:
+def _may_hit(low: Column, source: str) -> Column:
+    """Cheap test before a regex: the literal part of the pattern occurs."""
+    need = required_text(source)
+    return F.lit(True) if need is None else low.contains(need)
+
+
+def _found(text: Column, low: Column) -> Column:
     """Markers hit, by position; one struct per pattern at its first match."""
     hits = []
     for i, (key, multiplier, source) in enumerate(SECTION_MARKERS):
@@ -89,10 +95,18 @@ def _found(text: Column) -> Column:
             F.lit(multiplier).alias("multiplier"),
             strip(F.regexp_extract(text, pattern, 0)).alias("title"),
         )
-        hits.append(F.when(text.rlike(pattern), hit))
+        hits.append(F.when(_may_hit(low, source) & text.rlike(pattern), hit))
     return F.array_sort(F.array_compact(F.array(*hits)))
 
 
+def _ends(text: Column, low: Column) -> Column:
+    """Offsets of all end markers."""
+    none = F.array().cast("array<int>")
+    return F.flatten(
+        F.array(*[F.when(_may_hit(low, p), all_indexes(text, portable(p))).otherwise(none) for p in END_MARKERS])
+    )
+
+
 def _first_per_key(found: Column) -> Column:
     def fresh(m: Column, i: Column) -> Column:
         return ~F.exists(F.slice(found, 1, i), lambda e: e["key"] == m["key"])
@@ -144,11 +158,10 @@ def sectionise(df: DataFrame, text_col: str, keep: tuple[str, ...] = ("inspectio
     split = F.concat(F.array_compact(F.array(prefix)), F.filter(F.transform(markers, cut), long_enough))
     return (
         df.select(*keep, F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
-        .withColumn("__found", F.when(F.length(text) >= MIN_TEXT, _found(text)))
+        .withColumn("__low", F.lower(text))
+        .withColumn("__found", F.when(F.length(text) >= MIN_TEXT, _found(text, F.col("__low"))))
         .withColumn("__markers", _first_per_key(F.col("__found")))
-        .withColumn(
-            "__ends", F.when(F.size("__markers") > 0, F.flatten(F.array(*[all_indexes(text, portable(p)) for p in END_MARKERS])))
-        )
+        .withColumn("__ends", F.when(F.size("__markers") > 0, _ends(text, F.col("__low"))))
         .withColumn("__sections", F.when(F.size("__markers") > 0, split).otherwise(body_only))
         # The outer form: a plain explode infers a size filter, which would be
         # pushed down with a copy of every expression above.
