@@ -11,6 +11,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tierline.session import cut_lineage
+
 BASE = [
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
     "embeddings", "pages", "benchmark", "labels", "conversations",
@@ -321,6 +323,11 @@ def _needs(sql: str) -> list[str]:
     return list(dict.fromkeys(re.findall(r"(?<!\{)\{([a-z][a-z0-9_]*)\}(?!\})", sql)))
 
 
+#: Views written once per session as tables: the operators are meant to read
+#: stored tables, not to re-derive them inside every filter.
+STORED = {"institutions", "inspections", "report_texts", "findings"}
+
+
 class Views:
     """The views of one data folder as DataFrames, built on demand."""
 
@@ -334,7 +341,8 @@ class Views:
         if name not in self._made:
             if name in VIEWS:
                 sql = VIEWS[name]
-                self._made[name] = self.spark.sql(sql, **{n: getattr(self, n) for n in _needs(sql)})
+                made = self.spark.sql(sql, **{n: getattr(self, n) for n in _needs(sql)})
+                self._made[name] = cut_lineage(made, name) if name in STORED else made
             elif name in BASE:
                 self._made[name] = self.spark.read.parquet(f"{self.dir}/{name}.parquet")
             else:

@@ -121,21 +121,12 @@ def match_mentions(articles: DataFrame, dimension: DataFrame, article_id: str, t
     """
     keys = mention_keys(dimension)
     lengths = keys.agg(F.collect_set("n_tokens")).scalar()
-    tokens = articles.select(article_id, F.split(norm_name(F.col(text), "news"), " ").alias("t")).withColumn(
-        "lengths", lengths
-    )
-
-    def run_at(start: Column, n: Column) -> Column:
-        # Element access is constant-time; slice() would copy the whole array.
-        return F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda j: F.get("t", start + j)), " ")
-
-    def runs_of(n: Column) -> Column:
-        starts = F.sequence(F.lit(0), F.size("t") - n)
-        runs = F.transform(starts, lambda at: run_at(at, n))
-        return F.when(F.size("t") >= n, runs).otherwise(F.array().cast("array<string>"))
-
-    runs = tokens.select(
-        article_id, F.explode_outer(F.array_distinct(F.flatten(F.transform("lengths", runs_of)))).alias("k")
+    # One row per (article, run length): the normalised text is computed once,
+    # below the generator. The pattern is a look-ahead at every token start.
+    texts = articles.select(article_id, norm_name(F.col(text), "news").alias("t"), F.explode(lengths).alias("n"))
+    pattern = F.format_string(r"(?<![^ ])(?=([^ ]++(?: [^ ]++){%d}+))", F.col("n") - 1)
+    runs = texts.select(
+        article_id, F.explode_outer(F.array_distinct(F.regexp_extract_all("t", pattern, F.lit(1)))).alias("k")
     ).where(F.col("k").isNotNull())
     hits = runs.join(keys, "k").select(article_id, "k", F.explode("ids").alias("institution_id"))
     relevance = F.lit(50) + F.least(F.lit(40), F.floor(F.length("k") / 2).cast("int"))
