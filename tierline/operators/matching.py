@@ -122,9 +122,10 @@ def match_mentions(articles: DataFrame, dimension: DataFrame, article_id: str, t
     keys = mention_keys(dimension)
     lengths = keys.agg(F.collect_set("n_tokens")).scalar()
     # One row per (article, run length): the normalised text is computed once,
-    # below the generator. The pattern is a look-ahead at every token start.
+    # below the generator. Each match consumes one token and captures the run
+    # that starts there, so the regex is tried once per token.
     texts = articles.select(article_id, norm_name(F.col(text), "news").alias("t"), F.explode(lengths).alias("n"))
-    pattern = F.format_string(r"(?<![^ ])(?=([^ ]++(?: [^ ]++){%d}+))", F.col("n") - 1)
+    pattern = F.format_string(r"(?=([^ ]++(?: [^ ]++){%d}+))[^ ]++ ?", F.col("n") - 1)
     runs = texts.select(
         article_id, F.explode_outer(F.array_distinct(F.regexp_extract_all("t", pattern, F.lit(1)))).alias("k")
     ).where(F.col("k").isNotNull())
