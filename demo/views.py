@@ -344,7 +344,13 @@ class Views:
                 made = self.spark.sql(sql, **{n: getattr(self, n) for n in _needs(sql)})
                 self._made[name] = cut_lineage(made, name) if name in STORED else made
             elif name in BASE:
-                self._made[name] = self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+                df = self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+                slots = self.spark.sparkContext.defaultParallelism
+                if name == "documents" and len(df.inputFiles()) < slots:
+                    # One file of one row group is one task; texts are costly
+                    # enough to spread. A table of many files is left alone.
+                    df = df.repartition(slots, "doc_id")
+                self._made[name] = df
             else:
                 raise AttributeError(name)
         return self._made[name]
