@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ppm, suffix_match, topk, url_digests
-from .common import table
+from . import bpe_chunks, hamming_join, patience, ppm, resharding, secret_ledger, suffix_match, topk, url_digests, warc
+from .common import scratch_dir, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -24,11 +24,45 @@ def query(oracle: str | None = None):
     return add
 
 
+#: Shards that the documents lie in before, dealt by source (one source may fill a shard), and after.
+OLD_SHARDS, NEW_SHARDS = 32, 40
+
+
+@query()
+def op1_flow_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    old = scratch_dir(spark, "shards")
+    by_source = F.coalesce(F.pmod(F.crc32(F.col("source").cast("binary")), F.lit(OLD_SHARDS)), F.lit(0))
+    resharding.write_layout(docs, by_source, old)
+    layout = resharding.reshard(spark, old, docs.schema, NEW_SHARDS)
+    return resharding.manifest(spark, layout).select(
+        "doc_id",
+        "size",
+        "text_crc32",
+        F.lit("rows").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
 @query()
 def op2_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm.identify(table(spark, sf_dir, "documents"))
 
 
+@query("""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, strlen(html)::BIGINT AS payload_bytes, sha256(html) AS payload_digest FROM p),
+f AS (SELECT payload_digest, min(page_id) AS first FROM d WHERE payload_bytes >= 100 GROUP BY payload_digest)
+SELECT page_id, payload_bytes, d.payload_digest,
+       CASE WHEN page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id > first THEN first END AS refers_to
+FROM d LEFT JOIN f ON d.payload_digest = f.payload_digest AND d.payload_bytes >= 100""")
+def op3_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages")).drop("url")
+
+
 @query("""
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::DOUBLE) AS e FROM embeddings
@@ -44,6 +78,14 @@ def op4_norm_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, vectors.where("vec_id % 50 = 0"))
 
 
+@query()
+def op5_chunk_reuse_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = public_tokenizers.path(bpe_chunks.VOCABULARY)
+    return bpe_chunks.encode(table(spark, sf_dir, "documents"), path, with_ids=False)
+
+
 @query(r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
              'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
@@ -67,6 +109,22 @@ def op6_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("longest", "longest_at")
 
 
+@query()
+def op7_patience_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = patience.scan(table(spark, sf_dir, "documents"))
+    places = F.transform(
+        "licenses", lambda x: F.concat_ws(":", x["license"], F.round(x["coverage"], 6), x["first"], x["end"])
+    )
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size("licenses").cast("long").alias("n_licenses"),
+        F.get(F.col("licenses.license"), F.lit(0)).alias("license"),
+        F.get(F.col("licenses.coverage"), F.lit(0)).alias("coverage"),
+        F.array_join(places, ",").alias("licenses"),
+    )
+
+
 #: (host, path, verdict) of the URL rules that the query is given; fixed values.
 URL_RULES = [
     ("org", "/", "allow"),
@@ -91,3 +149,61 @@ SELECT page_id, p.host, p.path, rule, coalesce(v, 'allow') AS verdict FROM p LEF
 def op8_digest_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return url_digests.judge(table(spark, sf_dir, "pages"), rules)
+
+
+@query(r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+             'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 2 THEN [w[1]] ELSE
+        list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END) AS s FROM d),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+c AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS common FROM g a JOIN g b USING (s) WHERE a.doc_id != b.doc_id GROUP BY 1, 2),
+l AS (SELECT x, y FROM c JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * common >= 80 * (p.n + q.n - common)),
+r AS (SELECT DISTINCT x AS doc_id, x AS reach FROM l UNION SELECT r.doc_id, l.y FROM r JOIN l ON r.reach = l.x),
+h AS (SELECT doc_id, min(reach) AS head FROM r GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(head, d.doc_id) AS component_id,
+       coalesce(head, d.doc_id) = d.doc_id AS kept
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN h USING (doc_id)""")
+def op9_hamming_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # the contract's shingles have two words
+    return hamming_join.classify(table(spark, sf_dir, "documents"), k=2)
+
+
+def _secret_spans(kind: str, number: int, pattern: str, group: int, least: int) -> str:
+    """DuckDB: places of one kind from the lengths of gaps and matches."""
+    return f"""
+{kind}_m AS (SELECT DISTINCT text, string_split_regex(text, '{pattern}') AS g, regexp_extract_all(text, '{pattern}', 0) AS h,
+       regexp_extract_all(text, '{pattern}', {group}) AS v FROM d WHERE regexp_matches(text, '{pattern}')),
+{kind}_r AS (SELECT text, unnest(range(1, len(h) + 1)) AS i, unnest(g[:len(h)]) AS g, unnest(h) AS h, unnest(v) AS v FROM {kind}_m),
+{kind} AS (SELECT text, length(h) AS n, length(v) AS k, '{kind}' AS kind, {number} AS no,
+       sum(length(g) + length(h)) OVER (PARTITION BY text ORDER BY i)::BIGINT AS e, {least} AS least FROM {kind}_r)"""
+
+
+@query(
+    r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),"""
+    + _secret_spans(
+        "assign",
+        0,
+        "([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])"
+        r"""["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)""",
+        2,
+        8,
+    )
+    + ","
+    + _secret_spans("access", 1, "AKIA[A-Z0-9]+", 0, 16)
+    + ","
+    + _secret_spans("hex", 2, "[0-9a-f]{32,}", 0, 32)
+    + r""",
+s AS (SELECT * FROM assign UNION ALL SELECT * FROM access UNION ALL SELECT * FROM hex),
+f AS (SELECT text, count(*) FILTER (kind = 'assign') AS a, count(*) FILTER (kind = 'access') AS b, count(*) FILTER (kind = 'hex') AS c,
+      string_agg(kind || ':' || (e - n) || ':' || e, ',' ORDER BY e - n, no) AS spans FROM s WHERE k >= least GROUP BY text)
+SELECT doc_id, coalesce(a, 0)::BIGINT AS n_assign, coalesce(b, 0)::BIGINT AS n_access, coalesce(c, 0)::BIGINT AS n_hex,
+       sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN f USING (text)"""
+)
+def op10_blob_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_ledger.scan_paths(table(spark, sf_dir, "documents"))
+    return found.withColumn("base_sha256", F.sha2(F.col("spans").cast("binary"), 256)).select(
+        "doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"
+    )
