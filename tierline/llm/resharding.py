@@ -206,9 +206,10 @@ def reshard(spark: SparkSession, path: str, schema: T.StructType, capacities: li
     new = scratch_dir(spark, "reshard")
     changed = keyed.where(F.col(OLD).isin(losing) | (F.col("__to") != F.col(OLD))).withColumn(OLD, F.col("__to"))
     changed.drop("__key", "__of", "__cuts", "__to").hint("rebalance", OLD).write.partitionBy(OLD).option("compression", "zstd").parquet(new)
-    moved_bytes = sum(
-        round(blocks[i].bytes * f / blocks[i].rows) for i, to, f in transfers if to != blocks[i].shard
-    )
+    gone = defaultdict(int)
+    for i, to, f in transfers:
+        gone[i] += f * (to != blocks[i].shard)
+    moved_bytes = sum(round(blocks[i].bytes * f / blocks[i].rows) for i, f in gone.items())
     return Layout(path, new, kept, moved, moved_bytes, schema)
 
 

@@ -13,7 +13,8 @@ size, and only each pair's k best rows per query move on.
 
 Defined results: vectors that are null, hold null or non-finite components, or whose scaled components leave the 52-bit range
 take no part; empty vectors score 0; only vectors of equal dimension meet. Rows with the query's own id are never its
-candidates; a repeated query row repeats its result rows once. Ties go to the smaller id.
+candidates; equal query rows are asked once, and of different vectors with one id each is a query of its own. Ties go
+to the smaller id.
 """
 
 from __future__ import annotations
@@ -148,6 +149,7 @@ def top_k(
     many = asked.count()
     split = max(1, math.ceil(many / block_queries))
     asked = floors.withColumn("qblock", F.pmod(F.xxhash64("id", "v"), F.lit(split)).cast("int"))
+    asked = asked.withColumn("query", F.monotonically_increasing_id())  # drawn once, as the table is written
     asked = cut_lineage(asked, "asked")
     # which (query block, vector block) pairs can meet: a block whose longest vector stays below every threshold is left out
     need = asked.groupBy("dim", "qblock").agg(F.min(F.when(F.col("norm") > 0, F.col("floor") / F.col("norm")).otherwise(F.lit(-math.inf))).alias("need"))
@@ -163,19 +165,22 @@ def top_k(
     )
     key = ["dim", "qblock", "bucket", "block"]
     left = dealt.join(pairs, ["dim", "bucket", "block"]).select(*key, "id", "v")
-    right = asked.join(pairs, ["dim", "qblock"]).select(*key, "id", "v", "floor")
+    right = asked.join(pairs, ["dim", "qblock"]).select(*key, "query", "id", "v", "floor")
+
+    columns = ["query", "query_id", "vec_id", "score"]
 
     def search(vs: pd.DataFrame, qs: pd.DataFrame) -> pd.DataFrame:
         if not len(vs) or not len(qs):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
+            return pd.DataFrame({c: [] for c in columns}).astype("int64")
         qid = qs["id"].to_numpy(np.int64)
         found = search_block(qid, _matrix(qs["v"]), qs["floor"].to_numpy(float), vs["id"].to_numpy(np.int64), _matrix(vs["v"]), k)
-        return pd.DataFrame([(qid[i], a, b) for i, a, b in found], columns=["query_id", "vec_id", "score"]).astype("int64")
+        query = qs["query"].to_numpy(np.int64)
+        return pd.DataFrame([(query[i], qid[i], a, b) for i, a, b in found], columns=columns).astype("int64")
 
     local = (
-        left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(search, "query_id long, vec_id long, score long")
+        left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(search, ", ".join(f"{c} long" for c in columns))
     )
-    place = F.expr("row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)")
+    place = F.expr("row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id)")
     return (
         local.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
     )
