@@ -26,7 +26,7 @@ def main() -> None:
         "opportunity_scores": lambda: q_scoring.mart(v),  # computed and stored; the reports below read it
         "sectionise": lambda: q_texts.sections(v),
         "extract_findings": lambda: q_texts.found(v),
-        "match_mentions": lambda: matching.match_mentions(v.documents, v.institutions, "doc_id", "text"),
+        "match_mentions": lambda: matching.match_mentions(v.documents, v.institutions, "doc_id", "text", per_article=3),
         "match_by_name": lambda: matching.match_by_name(v.external_names, v.institutions, "external_name"),
         "survivorship": lambda: dedup.survivorship(v.parties, dedup.id_map(v.parties)),
         "apply_snapshot": lambda: notice_flow.apply_snapshot(

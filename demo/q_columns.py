@@ -298,7 +298,7 @@ def _(v: Views) -> DataFrame:
     "SELECT id, left(regexp_replace(regexp_replace(lower(name), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 60) AS slug FROM {institutions}",
 )
 def _(v: Views) -> DataFrame:
-    return v.institutions.select("id", fn.slugify(F.col("name")).alias("slug"))
+    return v.institutions.select("id", fn.slugify(F.col("name"), width=60).alias("slug"))
 
 
 @query(
@@ -576,7 +576,7 @@ def _(v: Views) -> DataFrame:
     """SELECT page_id, left(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '[\\s\\x{A0}\\x{FEFF}\\p{Z}]+', ' ', 'g'), 800) AS excerpt FROM {pages}""",
 )
 def _(v: Views) -> DataFrame:
-    return v.pages.select("page_id", fn.clean_excerpt(F.col("html")).alias("excerpt"))
+    return v.pages.select("page_id", fn.clean_excerpt(F.col("html"), width=800).alias("excerpt"))
 
 
 _ANSWERS = """SELECT event_id AS id, CASE event_type

@@ -362,7 +362,7 @@ def _(v: Views) -> DataFrame:
 @query("register_status_samples", "SELECT trim(register_status) AS status, id FROM {messy} QUALIFY row_number() OVER (PARTITION BY trim(register_status) ORDER BY id) <= 3")
 def _(v: Views) -> DataFrame:
     df = v.messy.select("id", F.col("id").alias("row_no"), F.col("register_status").alias("status"))
-    return profiles.status_samples(df).select("status", "id")
+    return profiles.status_samples(df, n=3).select("status", "id")
 
 
 @query("notice_profile", f"SELECT notice_body, notice_type, {N} AS notices, round(avg(severity), 0) AS avg_severity, {cnt('withdrawn_at IS NULL')} AS active FROM {{notices}} GROUP BY 1, 2")
@@ -436,7 +436,7 @@ def _(v: Views) -> DataFrame:
         WHERE i.type = 'university' AND i.in_scope GROUP BY 1, 2 ORDER BY signal_count DESC, news_count DESC, i.id LIMIT 15""",
 )
 def _(v: Views) -> DataFrame:
-    return profiles.news_counts(tables(v, False), "university")
+    return profiles.news_counts(tables(v, False), "university", n=15)
 
 
 @query(
@@ -506,10 +506,8 @@ def _(v: Views) -> DataFrame:
     return lists.opportunity_total(tables(v), tier="critical")
 
 
-@query(
-    "opportunity_export",
-    f"""WITH p AS (SELECT i.id, i.name, i.type, i.region, i.local_authority, i.postcode, i.ukprn, i.urn, i.head_name, i.head_email, i.general_email, i.phone, i.website, s.* EXCLUDE (institution_id)
-          FROM {{institutions}} i JOIN {{scores}} s ON s.institution_id = i.id ORDER BY s.score DESC, s.raw_score DESC, i.id LIMIT 5000),
+EXPORT = f"""WITH p AS (SELECT i.id, i.name, i.type, i.region, i.local_authority, i.postcode, i.ukprn, i.urn, i.head_name, i.head_email, i.general_email, i.phone, i.website, s.* EXCLUDE (institution_id)
+          FROM {{institutions}} i JOIN {{scores}} s ON s.institution_id = i.id ),
         c AS (SELECT institution_id, count(*) AS n, max(severity) AS sev, arg_max(subject, CAST(severity AS BIGINT) * 1000000000 + id) AS subj, arg_max(source_url, CAST(severity AS BIGINT) * 1000000000 + id) AS url FROM {{notices}} WHERE withdrawn_at IS NULL GROUP BY 1),
         w AS (SELECT institution_id, count(*) AS n, max(trigger_severity) AS sev, max(CASE WHEN rn = 1 THEN title END) AS title, max(CASE WHEN rn = 1 THEN curricula_tagged END) AS cur, max(CASE WHEN rn = 1 THEN angle END) AS angle, max(CASE WHEN rn = 1 THEN url END) AS url
           FROM (SELECT *, row_number() OVER (PARTITION BY institution_id ORDER BY trigger_severity DESC, id DESC) AS rn FROM {{news}} WHERE relevance >= 50 AND trigger_severity > 0) x GROUP BY 1)
@@ -519,8 +517,10 @@ def _(v: Views) -> DataFrame:
           coalesce(f.source_quote, '') AS top_weakness_quote, CAST(coalesce(c.n, 0) AS BIGINT) AS active_compliance_count, coalesce(c.subj, '') AS compliance_top_subject, coalesce(CAST(c.sev AS VARCHAR), '') AS compliance_top_severity,
           coalesce(c.url, '') AS compliance_top_url, CAST(coalesce(w.n, 0) AS BIGINT) AS active_news_count, coalesce(w.title, '') AS news_top_title, coalesce(CAST(w.sev AS VARCHAR), '') AS news_top_severity,
           coalesce(w.cur, '') AS news_top_curricula, coalesce(w.angle, '') AS news_top_angle, coalesce(w.url, '') AS news_top_url, coalesce(array_to_string(p.critical_signals, ' · '), '') AS critical_signals
-        FROM p LEFT JOIN {{inspections}} n ON n.id = p.last_inspection_id LEFT JOIN {{findings}} f ON f.id = p.top_finding_id LEFT JOIN c ON c.institution_id = p.id LEFT JOIN w ON w.institution_id = p.id""",
-)
+        FROM p LEFT JOIN {{inspections}} n ON n.id = p.last_inspection_id LEFT JOIN {{findings}} f ON f.id = p.top_finding_id LEFT JOIN c ON c.institution_id = p.id LEFT JOIN w ON w.institution_id = p.id"""
+
+
+@query("opportunity_export", EXPORT)
 def _(v: Views) -> DataFrame:
     return lists.opportunity_export(tables(v))
 
@@ -532,7 +532,7 @@ def _(v: Views) -> DataFrame:
        ORDER BY s.score DESC, s.urgency_score DESC, s.inspection_count DESC, i.id LIMIT 6""",
 )
 def _(v: Views) -> DataFrame:
-    return lists.top_opportunities(tables(v))
+    return lists.top_opportunities(tables(v), n=6)
 
 
 @query("distinct_regions", "SELECT DISTINCT region FROM {institutions} i JOIN {scores} s ON s.institution_id = i.id WHERE in_scope AND region <> ''")
@@ -550,6 +550,7 @@ def _cohort_sql(source: str, kind: str, where: str, order: str, limit: str = "")
 
 _URGENT = "s.urgency_score DESC, s.score DESC, i.id"
 _SIZE = "i.apprenticeship_standards DESC NULLS LAST, i.id"
+_SHOWN = {"high": 30, "outstanding": 20, "major": 25, "by_score": 10, "by_size": 30}
 for _kind, _sql in {
     "critical": _cohort_sql("act", "", "i.type = 'itp' AND s.tier = 'critical'", _URGENT),
     "high": _cohort_sql("act", "", "i.type = 'itp' AND s.tier = 'high'", _URGENT, "LIMIT 30"),
@@ -558,7 +559,7 @@ for _kind, _sql in {
     "by_score": _cohort_sql("institutions", "", "i.type = 'itp'", "s.score DESC, s.urgency_score DESC, i.id", "LIMIT 10"),
     "by_size": _cohort_sql("institutions", "LEFT", "i.type = 'itp'", _SIZE, "LIMIT 30"),
 }.items():
-    query(f"cohort_{_kind}", _sql)(lambda v, k=_kind: joined(lists.cohort_ranking(tables(v), k)))
+    query(f"cohort_{_kind}", _sql)(lambda v, k=_kind: joined(lists.cohort_ranking(tables(v), k, _SHOWN.get(k))))
 
 
 @query(
@@ -572,7 +573,7 @@ def _(v: Views) -> DataFrame:
 
 @query("cohort_outreach_ids", f"SELECT i.id, i.name FROM {{institutions}} i JOIN {{scores}} s ON s.institution_id = i.id WHERE i.in_scope AND s.tier = 'critical' AND i.type IN ('itp', 'fe_college') ORDER BY {_URGENT} LIMIT 5")
 def _(v: Views) -> DataFrame:
-    return lists.cohort_ranking(tables(v), "outreach_ids").select("id", "name")
+    return lists.cohort_ranking(tables(v), "outreach_ids", n=5).select("id", "name")
 
 
 @query("rank_by_tier", _cohort_sql("act", "LEFT", "i.type = 'itp'", "i.id"))
@@ -586,7 +587,7 @@ def _(v: Views) -> DataFrame:
        WHERE i.type = 'itp' AND c.withdrawn_at IS NULL ORDER BY c.severity DESC, c.issued_at DESC NULLS LAST, c.id LIMIT 20""",
 )
 def _(v: Views) -> DataFrame:
-    return lists.signal_feed(tables(v, False), "itp", "notices").select("id", "institution_id", "name", "notice_type", "severity", "subject", "issued_at")
+    return lists.signal_feed(tables(v, False), "itp", "notices", n=20).select("id", "institution_id", "name", "notice_type", "severity", "subject", "issued_at")
 
 
 @query(
@@ -595,7 +596,7 @@ def _(v: Views) -> DataFrame:
        WHERE i.type = 'itp' AND c.trigger_severity >= 50 AND c.relevance >= 50 ORDER BY c.trigger_severity DESC, c.published_at DESC NULLS LAST, c.id LIMIT 20""",
 )
 def _(v: Views) -> DataFrame:
-    return lists.signal_feed(tables(v, False), "itp", "news").select("id", "institution_id", "name", "title", "trigger_severity", "published_at")
+    return lists.signal_feed(tables(v, False), "itp", "news", n=20).select("id", "institution_id", "name", "title", "trigger_severity", "published_at")
 
 
 @query(
@@ -604,7 +605,7 @@ def _(v: Views) -> DataFrame:
        WHERE n.angle IS NULL ORDER BY coalesce(s.score, 0) DESC, n.published_at DESC NULLS LAST, n.id LIMIT 100""",
 )
 def _(v: Views) -> DataFrame:
-    return lists.pending_queue(tables(v)).select("id", "institution_id", "institution_name")
+    return lists.pending_queue(tables(v), budget=100).select("id", "institution_id", "institution_name")
 
 
 @query(
@@ -672,7 +673,7 @@ def _(v: Views) -> DataFrame:
        AND n.report_text IS NULL AND n.report_url IS NOT NULL ORDER BY n.inspection_start_date DESC, n.id LIMIT 20""",
 )
 def _(v: Views) -> DataFrame:
-    return triggered.weak_without_text(Tables(v.institutions, v.inspections_text)).select("id", "name", "overall_grade", "inspection_start_date")
+    return triggered.weak_without_text(Tables(v.institutions, v.inspections_text), n=20).select("id", "name", "overall_grade", "inspection_start_date")
 
 
 @query(
@@ -689,7 +690,7 @@ def _(v: Views) -> DataFrame:
        WHERE n.trigger_severity >= 70 AND n.relevance >= 50""",
 )
 def _(v: Views) -> DataFrame:
-    return triggered.high_trigger_news(tables(v, False)).drop("source", "published_at")
+    return triggered.high_trigger_news(tables(v, False), title=50, angle=80).drop("source", "published_at")
 
 
 @query(
@@ -699,7 +700,7 @@ def _(v: Views) -> DataFrame:
         FROM {{institutions}} i JOIN {{scores}} s ON s.institution_id = i.id WHERE i.type = 'itp' AND i.in_scope ORDER BY s.urgency_score DESC, s.score DESC, i.id LIMIT 15""",
 )
 def _(v: Views) -> DataFrame:
-    return triggered.triggered(tables(v))
+    return triggered.triggered(tables(v), n=15)
 
 
 @query(
@@ -708,7 +709,7 @@ def _(v: Views) -> DataFrame:
        JOIN {notices} c ON c.institution_id = i.id AND c.withdrawn_at IS NULL WHERE i.type = 'itp' ORDER BY s.urgency_score DESC, i.id, c.id LIMIT 20""",
 )
 def _(v: Views) -> DataFrame:
-    return triggered.notice_impact(tables(v))
+    return triggered.notice_impact(tables(v), n=20)
 
 
 @query("finding_coverage", f"SELECT CAST(count(DISTINCT i.id) AS BIGINT) AS institutions_with_findings, {N} AS total_findings FROM {{findings}} f JOIN {{institutions}} i ON i.id = f.institution_id WHERE i.type = 'itp'")

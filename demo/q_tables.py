@@ -12,10 +12,10 @@ from tierline.operators import upsert as up
 from tierline.session import scratch_dir
 from tierline.sources import feeds, registers, sinks
 from tierline.sources.seeds import COMMISSIONERS, seed_commissioners
-from tierline.streaming.news import current_news, stream_merge_news
+from tierline.streaming.news import compact, current_news, stream_merge_news
 
 from .q_columns import sql_date, sql_grade, sql_name
-from .q_reports import tables
+from .q_reports import EXPORT, tables
 from .registry import SHARED, query
 from .views import AS_OF, Views
 
@@ -175,24 +175,79 @@ def _inspection_file(v: Views) -> DataFrame:
 SHARED["insp_file"] = f"""SELECT id AS row_no, nullif(urn, '') AS urn, ukprn, {sql_date('raw_date')} AS d, {sql_grade('raw_grade')} AS g FROM {{messy}}"""
 
 
+#: Inspection files whose keys cross: a row may share its URN with one row and its UKPRN with another.
+SHARED["fe_file"] = """SELECT id AS row_no, CASE WHEN id % 5 <> 0 THEN 'u' || CAST(id * 7 % 911 AS STRING) END AS urn, CASE WHEN id % 3 <> 0 OR id % 5 = 0 THEN 'k' || CAST(id * 13 % 1307 AS STRING) END AS ukprn FROM {messy}"""
+#: Read row by row: a row creates unless its URN or UKPRN is known by then.
+SHARED["fe_created"] = """SELECT row_no FROM (WITH RECURSIVE o AS (SELECT *, row_number() OVER (ORDER BY row_no) AS n FROM (SELECT min(row_no) AS row_no, urn, ukprn FROM {fe_file} GROUP BY urn, ukprn) d),
+  w AS (SELECT CAST(0 AS BIGINT) AS n, CAST([] AS VARCHAR[]) AS known, CAST(NULL AS BIGINT) AS row_no
+    UNION ALL SELECT o.n, CASE WHEN list_has_any(w.known, [coalesce(o.urn, '-'), coalesce(o.ukprn, '-')]) THEN w.known ELSE list_concat(w.known, list_filter([o.urn, o.ukprn], lambda x: x IS NOT NULL)) END,
+      CASE WHEN list_has_any(w.known, [coalesce(o.urn, '-'), coalesce(o.ukprn, '-')]) THEN NULL ELSE o.row_no END FROM w JOIN o ON o.n = w.n + 1)
+  SELECT row_no FROM w WHERE row_no IS NOT NULL) z"""
+
+
+def _fe_file(v: Views) -> DataFrame:
+    raw = v.sql(SHARED["fe_file"].replace("AS row_no", "AS row_no, raw_date, raw_grade, raw_previous, raw_bool, provider_type"))
+    return raw.select(
+        "row_no",
+        F.col("urn").alias("Provider URN"),
+        F.col("ukprn").alias("Provider UKPRN"),
+        F.col("provider_type").alias("Provider type"),
+        F.concat(F.lit("Provider "), F.col("row_no")).alias("Provider name"),
+        F.col("raw_date").alias("Inspection start date"),
+        F.col("raw_grade").alias("Overall effectiveness"),
+        F.col("raw_previous").alias("Previous overall effectiveness"),
+        F.col("raw_bool").alias("Safeguarding is effective"),
+    )
+
+
 @query(
-    "ingest_inspections",
-    """SELECT institution_id, d AS inspection_start_date, arg_max(coalesce(g, '?'), row_no) AS overall_grade FROM (SELECT f.*, coalesce((SELECT min(id) FROM {institutions} i WHERE i.urn = f.urn), (SELECT min(id) FROM {institutions} i WHERE i.ukprn = f.ukprn)) AS institution_id
-       FROM {insp_file} f) x WHERE institution_id IS NOT NULL AND d IS NOT NULL GROUP BY 1, 2""",
+    "missing_providers",
+    """SELECT f.urn, f.ukprn, 'Provider ' || CAST(c.row_no AS VARCHAR) AS name FROM {fe_created} c JOIN {fe_file} f ON f.row_no = c.row_no""",
 )
 def _(v: Views) -> DataFrame:
-    empty = v.inspections.where(F.lit(False))
-    _, merged = ing.ingest_inspections(_inspection_file(v), v.institutions, empty)
-    return merged.select("institution_id", "inspection_start_date", F.coalesce("overall_grade", F.lit("?")).alias("overall_grade"))
+    rows = ing.inspection_rows(_fe_file(v), True, "feskills_2022")
+    return ing.missing_providers(rows, v.institutions).select("urn", "ukprn", "name")
+
+
+_FE_EVENTS = f"""SELECT coalesce(a.row_no, b.row_no) AS lead, d, arg_max(coalesce(g, '?'), row_no_) AS overall_grade, arg_max(coalesce(pg, '?'), row_no_) AS previous_overall_grade, arg_max(coalesce(CAST(sg AS VARCHAR), '?'), row_no_) AS safeguarding
+  FROM (SELECT f.row_no AS row_no_, f.urn, f.ukprn, {sql_date('m.raw_date')} AS d, {sql_grade('m.raw_grade')} AS g, {sql_grade('m.raw_previous')} AS pg,
+    CASE WHEN lower(trim(m.raw_bool)) IN ('yes', 'y', 'true', '1') THEN TRUE WHEN lower(trim(m.raw_bool)) IN ('no', 'n', 'false', '0') THEN FALSE END AS sg FROM {{fe_file}} f JOIN {{messy}} m ON m.id = f.row_no) x
+  LEFT JOIN (SELECT f.urn AS k, min(f.row_no) AS row_no FROM {{fe_created}} c JOIN {{fe_file}} f ON f.row_no = c.row_no WHERE f.urn IS NOT NULL GROUP BY 1) a ON a.k = x.urn
+  LEFT JOIN (SELECT f.ukprn AS k, min(f.row_no) AS row_no FROM {{fe_created}} c JOIN {{fe_file}} f ON f.row_no = c.row_no WHERE f.ukprn IS NOT NULL GROUP BY 1) b ON b.k = x.ukprn
+  WHERE d IS NOT NULL AND coalesce(a.row_no, b.row_no) IS NOT NULL GROUP BY 1, 2"""
+
+
+@query("ingest_inspections_fe", f"SELECT 'Provider ' || CAST(lead AS VARCHAR) AS provider, d AS inspection_start_date, overall_grade, previous_overall_grade, safeguarding FROM ({_FE_EVENTS}) e")
+def _(v: Views) -> DataFrame:
+    """Further-education mode: providers are created, then every dated row lands on one of them."""
+    inst, merged = ing.ingest_inspections(_fe_file(v), v.institutions, v.inspections.where(F.lit(False)), further_education=True)
+    names = inst.where(F.col("source") == "ofsted_mi_fe").select(F.col("id").alias("institution_id"), F.col("name").alias("provider"))
+    mark = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("?"))
+    return merged.join(names, "institution_id").select(
+        "provider", "inspection_start_date", mark("overall_grade").alias("overall_grade"), mark("previous_overall_grade").alias("previous_overall_grade"),
+        mark("safeguarding_effective").alias("safeguarding"),
+    )
+
+
+SHARED["insp_known"] = f"""SELECT institution_id, d, arg_max(coalesce(g, '?'), row_no) AS g, arg_max(coalesce(pg, '?'), row_no) AS pg, arg_max(coalesce(u, '?'), row_no) AS u FROM (SELECT f.*, {sql_grade('m.raw_previous')} AS pg,
+    CASE WHEN m.url = '' THEN 'https://reports.ofsted.gov.uk/provider/23/' || coalesce(nullif(m.urn, ''), m.ukprn) ELSE regexp_replace(m.url, '^http://', 'https://') END AS u, coalesce((SELECT min(id) FROM {{institutions}} i WHERE i.urn = f.urn), (SELECT min(id) FROM {{institutions}} i WHERE i.ukprn = f.ukprn)) AS institution_id
+  FROM {{insp_file}} f JOIN {{messy}} m ON m.id = f.row_no) x WHERE institution_id IS NOT NULL AND d IS NOT NULL GROUP BY 1, 2"""
+SHARED["insp_target"] = """SELECT institution_id, inspection_start_date, min(id) AS id, arg_min(coalesce(overall_grade, '?'), id) AS g, arg_min(coalesce(previous_overall_grade, '?'), id) AS pg, arg_min(coalesce(report_url, '?'), id) AS u FROM {inspections} GROUP BY 1, 2"""
 
 
 @query(
-    "missing_providers",
-    """SELECT ukprn, CAST(count(DISTINCT urn) AS BIGINT) >= 0 AS created FROM (SELECT f.ukprn, f.urn, f.row_no FROM {insp_file} f WHERE NOT EXISTS (SELECT 1 FROM {institutions} i WHERE i.urn = f.urn) AND NOT EXISTS (SELECT 1 FROM {institutions} i WHERE i.ukprn = f.ukprn)) x GROUP BY 1""",
+    "ingest_inspections",
+    """SELECT coalesce(k.institution_id, t.institution_id) AS institution_id, coalesce(k.d, t.inspection_start_date) AS inspection_start_date, coalesce(k.g, t.g) AS overall_grade, coalesce(k.pg, t.pg) AS previous_overall_grade, coalesce(k.u, t.u) AS report_url
+       FROM {insp_target} t FULL JOIN {insp_known} k ON k.institution_id = t.institution_id AND k.d = t.inspection_start_date""",
 )
 def _(v: Views) -> DataFrame:
-    rows = ing.inspection_rows(_inspection_file(v), True, "feskills_2022")
-    return ing.missing_providers(rows, v.institutions).select("ukprn", F.lit(True).alias("created"))
+    """School mode over the stored inspections: known events are updated, new ones inserted, the rest kept."""
+    target = v.inspections.groupBy("institution_id", "inspection_start_date").agg(
+        *[F.min_by(c, "id").alias(c) for c in v.inspections.columns if c not in ("institution_id", "inspection_start_date", "inspection_body")]
+    ).withColumn("inspection_body", F.lit("ofsted")).select(*v.inspections.columns)
+    _, merged = ing.ingest_inspections(_inspection_file(v), v.institutions, target)
+    mark = lambda c: F.coalesce(F.col(c), F.lit("?")).alias(c)
+    return merged.select("institution_id", "inspection_start_date", mark("overall_grade"), mark("previous_overall_grade"), mark("report_url"))
 
 
 @query(
@@ -287,6 +342,19 @@ def _(v: Views) -> DataFrame:
     return dd.repoint(child, dd.id_map(v.parties), ["url"])
 
 
+#: Columns of the export in order; fixed values.
+EXPORT_COLUMNS = """name type region local_authority postcode ukprn urn head_name head_email general_email phone website tier score
+  urgency_score pipeline_value_score raw_score top_curriculum top_curriculum_score finding_count current_grade previous_grade grade_dropped
+  latest_inspection_date report_url top_weakness_phrase top_weakness_quote active_compliance_count compliance_top_subject
+  compliance_top_severity compliance_top_url active_news_count news_top_title news_top_severity news_top_curricula news_top_angle
+  news_top_url critical_signals""".split()
+
+
+def _export_text(column: str) -> str:
+    """CSV does not tell an empty cell from a null one."""
+    return f"nullif(CAST({column} AS VARCHAR), '') AS {column}"
+
+
 # ---- readers and sinks over landed files --------------------------------------
 
 
@@ -370,14 +438,13 @@ def _(v: Views) -> DataFrame:
     return ing.ingest_register(known.unionByName(new), v.institutions).select("urn", "name", "type", "website")
 
 
-@query("write_export", "SELECT CAST(least(5000, count(*)) AS BIGINT) AS n, CAST(38 AS INT) AS n_columns FROM {scores} s JOIN {institutions} i ON i.id = s.institution_id")
+@query("write_export", f"SELECT {', '.join(_export_text(c) for c in EXPORT_COLUMNS)} FROM ({EXPORT}) x")
 def _(v: Views) -> DataFrame:
     from tierline.plans.lists import opportunity_export
 
     path = _landed(v, "export")
     sinks.write_export(opportunity_export(tables(v)), path)
-    back = v.spark.read.csv(path, header=True, escape='"', multiLine=True)
-    return back.agg(F.count(F.lit(1)).alias("n"), F.lit(len(back.columns)).alias("n_columns"))
+    return v.spark.read.csv(path, header=True, escape='"', multiLine=True)
 
 
 @query("write_briefs")
@@ -392,19 +459,27 @@ def _(v: Views) -> DataFrame:
     return v.spark.read.text(path).groupBy("file_name").agg(F.count(F.lit(1)).alias("lines"))
 
 
-@query("stream_merge_news", "SELECT url, institution_id, arg_max(title, id) AS title FROM {news} GROUP BY 1, 2 HAVING count(*) = 1")
+SHARED["sights"] = """SELECT id, url, institution_id, source, title, excerpt || ' ' || CAST(id % 5 AS STRING) AS excerpt, published_at, relevance + CAST(id % 3 AS INT) AS relevance, 'h' || CAST(id % 4 AS STRING) AS content_hash,
+  CAST('2024-02-01' AS DATE) + CAST(id * 37 % 400 AS INT) AS seen_on FROM {news}
+  UNION ALL SELECT id, url, institution_id, source, 'Again ' || title, excerpt, published_at, relevance + 1, 'again', CAST('2024-06-01' AS DATE) + CAST(id * 11 % 300 AS INT) FROM {news} WHERE id % 3 = 0"""
+
+
+@query(
+    "stream_merge_news",
+    """SELECT url, institution_id, arg_max(title, CAST(seen_on AS VARCHAR) || lpad(CAST(id AS VARCHAR), 20, '0')) AS title, arg_max(excerpt, CAST(seen_on AS VARCHAR) || lpad(CAST(id AS VARCHAR), 20, '0')) AS excerpt,
+       CAST(arg_max(relevance, CAST(seen_on AS VARCHAR) || lpad(CAST(id AS VARCHAR), 20, '0')) AS INT) AS relevance FROM (SELECT * FROM {sights} QUALIFY row_number() OVER (PARTITION BY url, institution_id, seen_on ORDER BY id DESC, title DESC) = 1) x GROUP BY 1, 2""",
+)
 def _(v: Views) -> DataFrame:
-    """The news table streamed as files; pairs that occur once are compared
-    (which of several repeats arrives first is up to the file order)."""
+    """All sights of all pairs, streamed in four batches out of order, with a compaction between; sights of one pair and
+    time are told apart by adding the id as microseconds."""
     land, table, check = (_landed(v, x) for x in ("news-in", "news-table", "news-check"))
-    shaped = v.news.select(
-        "url", "institution_id", "source", "title", "excerpt", "published_at", "relevance",
-        F.lit("h").alias("content_hash"), F.lit("2024-02-01").cast("timestamp").alias("seen_at"),
-    )
-    shaped.repartition(4).write.parquet(land)
-    stream = v.spark.readStream.schema(shaped.schema).option("maxFilesPerTrigger", 2).parquet(land)
+    sights = v.sql(SHARED["sights"])
+    sights = sights.dropDuplicates(["url", "institution_id", "seen_on", "id", "title"])
+    last = F.expr("row_number() OVER (PARTITION BY url, institution_id, seen_on ORDER BY id, title)")
+    shaped = sights.withColumn("seen_at", F.timestamp_add("MICROSECOND", last, F.col("seen_on").cast("timestamp"))).drop("id", "seen_on")
+    shaped.repartition(4, F.xxhash64("seen_at", "content_hash")).write.parquet(land)
+    schema = v.spark.read.parquet(land).schema
+    stream = v.spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(land)
     stream_merge_news(stream, table, check).awaitTermination()
-    once = v.news.groupBy("url", "institution_id").agg(F.count(F.lit(1)).alias("n")).where("n = 1").drop("n")
-    return current_news(v.spark, table).join(once, ["url", "institution_id"]).select("url", "institution_id", "title")
-
-
+    compact(v.spark, table)
+    return current_news(v.spark, table).select("url", "institution_id", "title", "excerpt", "relevance")

@@ -281,7 +281,7 @@ def _(v: Views) -> DataFrame:
         QUALIFY row_number() OVER (PARTITION BY a.doc_id ORDER BY u.id) <= 3""",
 )
 def _(v: Views) -> DataFrame:
-    return mt.match_mentions(v.documents, v.institutions, "doc_id", "text")
+    return mt.match_mentions(v.documents, v.institutions, "doc_id", "text", per_article=3)
 
 
 _SCHOOLS = """SELECT CAST(6000 + id AS STRING) AS isi_id, CASE WHEN id % 3 = 0 THEN 'The ' || name || ' School' ELSE name || ' Hall' END AS name, region AS address FROM {institutions}"""
@@ -323,7 +323,7 @@ _HITS = """SELECT e.event_id AS id, i.id AS provider, i.name, e.event_id AS posi
         AND contains(lower(title || ' ' || coalesce(summary, '')), lower(array_to_string(string_split(name, ' ')[1:2], ' ')))""",
 )
 def _(v: Views) -> DataFrame:
-    return mt.filter_feed_hits(v.sql(_HITS), "provider", "name", "position").select("id", "provider")
+    return mt.filter_feed_hits(v.sql(_HITS), "provider", "name", "position", first=8).select("id", "provider")
 
 
 @query(
@@ -332,4 +332,4 @@ def _(v: Views) -> DataFrame:
         AND (length(split_part(name, ' ', 1)) < 4 OR contains(lower(title || ' ' || coalesce(summary, '')), lower(split_part(name, ' ', 1))))""",
 )
 def _(v: Views) -> DataFrame:
-    return mt.filter_feed_hits(v.sql(_HITS), "provider", "name", "position", words=1).select("id", "provider")
+    return mt.filter_feed_hits(v.sql(_HITS), "provider", "name", "position", words=1, first=8).select("id", "provider")

@@ -345,11 +345,10 @@ class Views:
                 self._made[name] = cut_lineage(made, name) if name in STORED else made
             elif name in BASE:
                 df = self.spark.read.parquet(f"{self.dir}/{name}.parquet")
-                slots = self.spark.sparkContext.defaultParallelism
-                if name == "documents" and len(df.inputFiles()) < slots:
-                    # One file of one row group is one task; texts are costly
-                    # enough to spread. A table of many files is left alone.
-                    df = df.repartition(slots, "doc_id")
+                if name == "documents":
+                    # Texts are costly to work on: they are dealt out evenly,
+                    # however the files are cut.
+                    df = df.repartition("doc_id")
                 self._made[name] = df
             else:
                 raise AttributeError(name)

@@ -1,6 +1,8 @@
 """Three worked scoring cases with known results."""
 
 
+from pyspark.sql import functions as F
+
 from tierline import schemas as S
 from tierline.operators.scoring import opportunity_scores
 
@@ -10,7 +12,10 @@ AS_OF = "2026-05-01"
 def _frame(spark, rows, schema):
     """Rows given as dicts; missing columns are null."""
     names = [f.split()[0] for f in schema.split(", ")]
-    return spark.createDataFrame([tuple(r.get(n) for n in names) for r in rows], schema)
+    plain = schema.replace("decimal(38,0)", "bigint")
+    df = spark.createDataFrame([tuple(r.get(n) for n in names) for r in rows], plain)
+    wide = [f.split()[0] for f in schema.split(", ") if "decimal" in f]
+    return df.withColumns({n: F.col(n).cast("decimal(38,0)") for n in wide})
 
 
 def _score(spark, institution, inspections=(), findings=(), matches=(), notices=(), news=()):

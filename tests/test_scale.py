@@ -5,7 +5,8 @@ import random
 from pyspark.sql import functions as F
 
 from tierline.operators import dedup, joins, matching, ranking, upsert
-from tierline.operators.findings import _spans
+from tierline.functions.text import all_indexes
+from tierline.operators.findings import quote_spans
 from tierline.operators.sections import sectionise
 
 
@@ -41,6 +42,37 @@ def test_upsert_is_idempotent_and_sequential(spark):
     assert sorted(map(tuple, twice.collect()), key=str) == want
 
 
+def test_surrogate_ids_tell_nulls_apart(spark):
+    df = spark.createDataFrame([("123", None), (None, "123"), (None, None), ("123", "123")], "a string, b string")
+    for make in (upsert.surrogate_id, upsert.wide_id):
+        assert df.select(make("k", "a", "b").alias("i")).distinct().count() == 4
+    wide = df.select(upsert.wide_id("k", "a", "b").alias("i"))
+    assert wide.dtypes == [("i", "decimal(38,0)")] and wide.where("i IS NULL").count() == 0
+
+
+def test_missing_providers_read_in_order(spark):
+    from tierline import schemas
+    from tierline.operators.ingest import missing_providers
+
+    def created(pairs):
+        rows = spark.createDataFrame(
+            [(i, u, k, f"n{i}", "itp", None, None) for i, (u, k) in enumerate(pairs)],
+            "row_no long, urn string, ukprn string, name string, type string, region string, local_authority string",
+        )
+        return {r.name for r in missing_providers(rows, spark.createDataFrame([], schemas.INSTITUTIONS)).collect()}
+
+    assert created([("A", "X"), ("A", "Y"), (None, "Y")]) == {"n0", "n2"}
+    rng = random.Random(4)
+    pairs = [(rng.choice([None, *"abcdefghij"]), rng.choice([None, *"0123456789"])) for _ in range(60)]
+    pairs = [p for p in pairs if p != (None, None)]
+    seen, want = set(), set()
+    for i, (u, k) in enumerate(pairs):
+        if ("u", u) not in seen and ("k", k) not in seen:
+            want.add(f"n{i}")
+            seen |= {x for x in (("u", u), ("k", k)) if x[1] is not None}
+    assert created(pairs) == want
+
+
 def _names(rng, n):
     words = ["north", "south", "skills", "college", "training", "of", "arts", "tech", "academy", "city"]
     return [" ".join(rng.choice(words) for _ in range(rng.randint(1, 4))) for _ in range(n)]
@@ -73,7 +105,7 @@ def test_match_mentions_equals_brute_force(spark):
     texts = [" ".join(_names(rng, rng.randint(1, 8))) for _ in range(80)]
     d = spark.createDataFrame([(i, n, True) for i, n in enumerate(dim)], "id int, name string, in_scope boolean")
     a = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "a int, x string")
-    got = sorted((r.a, r.institution_id) for r in matching.match_mentions(a, d, "a", "x").collect())
+    got = sorted((r.a, r.institution_id) for r in matching.match_mentions(a, d, "a", "x", per_article=3).collect())
     want = []
     for i, x in enumerate(texts):
         ids = [j for j, n in enumerate(dim) if len(n) >= 8 and sum(len(w) >= 3 for w in n.split()) >= 2 and f" {n} " in f" {x} "]
@@ -81,6 +113,22 @@ def test_match_mentions_equals_brute_force(spark):
     assert got == sorted(want)
 
 
+def test_match_mentions_keeps_all_by_default_and_long_keys(spark):
+    long = "north skills college training of arts tech academy city south training centre"
+    d = spark.createDataFrame([(i, "skills academy", True) for i in range(9)] + [(50, long, True)], "id int, name string, in_scope boolean")
+    a = spark.createDataFrame([(1, f"The skills academy and the {long}."), (2, long.replace("centre", "x"))], "a int, x string")
+    got = sorted((r.a, r.institution_id) for r in matching.match_mentions(a, d, "a", "x").collect())
+    assert got == [(1, i) for i in [*range(9), 50]]
+
+
+def test_match_by_name_with_a_very_long_name(spark):
+    words = " ".join(f"w{i}x" for i in range(5000))
+    d = spark.createDataFrame([(1, words, True), (2, "alpha skills trust", True)], "id int, name string, in_scope boolean")
+    t = spark.createDataFrame([(1, words[:-4]), (2, "alpha skills trust north"), (3, "alpha")], "i int, n string")
+    got = {r.i: r.institution_id for r in matching.match_by_name(t, d, "n").collect()}
+    assert got == {1: 1, 2: 2, 3: None}
+
+
 def test_no_nested_loop_or_cartesian_in_matching(spark):
     d = spark.createDataFrame([(1, "north college", True)], "id int, name string, in_scope boolean")
     t = spark.createDataFrame([(1, "north")], "i int, n string")
@@ -111,8 +159,40 @@ def test_sections_keep_whole_text(spark):
     assert rows[1, "safeguarding"].order_index == 2
 
 
-def test_quote_spans_grow_outward():
+def test_quote_spans_grow_outward(spark):
+    text = "One. " + "a" * 300 + " hit " + "b" * 300 + "! Tail."
+    assert _spans(spark, [text], "hit") == [[(4, text.index("!") + 1)]]
+
+
+def _spans(spark, texts, source):
+    df = spark.createDataFrame([(i, t, source) for i, t in enumerate(texts)], "i int, t string, s string")
+    quotes = quote_spans(F.col("t"), all_indexes(F.col("t"), "[.!?]"), F.col("s"))
+    rows = df.select("i", "t", quotes.alias("q")).orderBy("i").collect()
+    assert all(x.raw == r.t[x.quote_start : x.quote_end] for r in rows for x in r.q)
+    return [[(x.quote_start, x.quote_end) for x in r.q] for r in rows]
+
+
+def test_quote_spans_equal_a_plain_walk(spark):
     import re
+    from bisect import bisect_left
 
-    text = "One. " + "a" * 300 + " hit " + "b" * 300 + "! Tail."
-    assert _spans(text, re.compile("hit")) == [(4, text.index("!") + 1)]
+    rng = random.Random(8)
+    texts = ["".join(rng.choices(["hit", "Hit ", "é", "😀", "word " * 9, ". ", "!", "?", "\uffff"], k=rng.randint(0, 120))) for _ in range(60)]
+
+    def plain(text):
+        ends = [m.start() for m in re.finditer(r"[.!?]", text)]
+        spans = {}
+        for hit in re.finditer("(?ia)hit", text):
+            left = bisect_left(ends, max(0, hit.start() - 200))
+            right = bisect_left(ends, min(len(text), hit.end() + 200))
+            spans[ends[left - 1] + 1 if left else 0, ends[right] + 1 if right < len(ends) else len(text)] = None
+        return list(spans)
+
+    assert _spans(spark, texts, "hit") == [plain(t) for t in texts]
+
+
+def test_all_indexes_are_linear_and_exact(spark):
+    text = "ab😀" * 30_000
+    df = spark.createDataFrame([(text,), ("x",), ("",), (None,)], "t string")
+    got = [r[0] for r in df.select(all_indexes(F.col("t"), "b.")).collect()]
+    assert got == [[3 * i + 1 for i in range(30_000)], [], [], []]

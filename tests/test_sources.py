@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tierline import schemas as S
 from tierline.sources import feeds, phrases, registers, sinks
-from tierline.streaming.news import current_news, stream_merge_news
+from tierline.streaming.news import compact, current_news, stream_merge_news
 
 
 def test_register_latin1_ragged_and_bom(spark, tmp_path):
@@ -20,6 +20,18 @@ def test_register_latin1_ragged_and_bom(spark, tmp_path):
     assert df.columns == ["Ukprn", "Name"] and df.first()[0] == "20240301"
 
 
+@pytest.mark.parametrize("reader", ["read_register", "read_inspections_csv", "read_provider_register"])
+def test_readers_keep_quoted_line_breaks(spark, tmp_path, reader):
+    body = b'URN,Name,Town\n1,"two\nlines",a\n\n2,"say ""x"", y",b,extra,cells\n3\n4,lo"ose,c\n'
+    bom = b"" if reader == "read_register" else b"\xef\xbb\xbf"
+    (tmp_path / "f.csv").write_bytes(bom + body)
+    path = str(tmp_path if reader == "read_provider_register" else tmp_path / "f.csv")
+    df = getattr(registers, reader)(spark, path)
+    assert df.columns == ["URN", "Name", "Town"]
+    want = [("1", "two\nlines", "a"), ("2", 'say "x", y', "b"), ("3", None, None), ("4", 'lo"ose', "c")]
+    assert sorted(map(tuple, df.collect())) == want
+
+
 def test_feeds(spark, tmp_path):
     rss = tmp_path / "f.xml"
     rss.write_text(
@@ -88,3 +100,18 @@ def test_stream_merge(spark, tmp_path):
     rows = {r.url: r for r in current_news(spark, table).collect()}
     assert set(rows) == {"u", "v"} and rows["u"].title == "two" and rows["u"].relevance == 70
     assert rows["u"].trigger_severity == 0 and S.NEWS_ITEMS
+    # late rows of new keys are kept, late sights of known ones do not win, refreshed excerpts do
+    batch([("w", 1, "s", "late", None, None, 60, "h", day - dt.timedelta(days=90)), ("u", 1, "s", "old", "x", None, 10, "h", day), ("v", 1, "s", "other", "new excerpt", None, 70, "h", day + dt.timedelta(days=1))])
+    stream_merge_news(stream(), table, check).awaitTermination()
+    want = {"u": ("two", None, 70), "v": ("other", "new excerpt", 70), "w": ("late", None, 60)}
+    read = lambda: {r.url: (r.title, r.excerpt, r.relevance) for r in current_news(spark, table).collect()}
+    assert read() == want
+    compact(spark, table)
+    assert read() == want
+    # text A, then B, then A again
+    batch([("v", 1, "s", "B", None, None, 70, "b", day + dt.timedelta(days=2)), ("v", 1, "s", "other", None, None, 71, "h", day + dt.timedelta(days=3))])
+    stream_merge_news(stream(), table, check).awaitTermination()
+    assert read() == want | {"v": ("other", None, 71)}
+    compact(spark, table)
+    compact(spark, table)
+    assert read() == want | {"v": ("other", None, 71)}

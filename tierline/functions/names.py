@@ -69,9 +69,11 @@ def norm_school_name(col: Column) -> Column:
     return _plain(out)
 
 
-def slugify(col: Column) -> Column:
+def slugify(col: Column, width: int | None = None) -> Column:
+    """Lower-case words joined by dashes; whole unless ``width`` is given."""
     dashed = F.regexp_replace(F.lower(col), r"[^a-z0-9]+", "-")
-    return F.substring(F.regexp_replace(dashed, r"^-+|-+\z", ""), 1, 60)
+    slug = F.regexp_replace(dashed, r"^-+|-+\z", "")
+    return slug if width is None else F.substring(slug, 1, width)
 
 
 def split_name(col: Column) -> Column:

@@ -42,7 +42,6 @@ TRIGGER_KEYWORDS = [
 ]
 FILTERED_ANGLE = "filtered: no signal keywords matched"
 NO_ANGLE = "no angle"
-EXCERPT_LENGTH = 800
 # ---------------------------------------------------------------------------
 TRIGGER_PATTERN = "(?i)" + "|".join(TRIGGER_KEYWORDS)
 
@@ -68,9 +67,11 @@ def keyword_gate(news: DataFrame) -> DataFrame:
     )
 
 
-def clean_excerpt(col: Column) -> Column:
+def clean_excerpt(col: Column, width: int | None = None) -> Column:
+    """Tags and runs of blanks become one space; whole unless ``width`` is given."""
     no_tags = F.regexp_replace(col, "<[^>]+>", " ")
-    return F.substring(F.regexp_replace(no_tags, f"{WS}+", " "), 1, EXCERPT_LENGTH)
+    whole = F.regexp_replace(no_tags, f"{WS}+", " ")
+    return whole if width is None else F.substring(whole, 1, width)
 
 
 def content_hash(link: Column, title: Column) -> Column:

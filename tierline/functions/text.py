@@ -99,22 +99,23 @@ def first_index(text: Column, pattern: str) -> Column:
     return F.when(text.rlike(pattern), F.length(F.get(F.split(text, pattern, 2), F.lit(0))))
 
 
-def all_indexes(text: Column, pattern: str) -> Column:
-    """Offsets of all non-overlapping matches as array<int>."""
-    pieces = F.transform(F.split(text, pattern, -1), F.length)
-    hits = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.length)
-    steps = F.zip_with(F.slice(pieces, 1, F.size(hits)), hits, lambda p, h: F.struct(p.alias("p"), h.alias("h")))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
-    walked = F.aggregate(
-        steps,
-        zero,
-        lambda acc, s: F.struct(
-            (acc["at"] + s["p"] + s["h"]).alias("at"),
-            F.concat(acc["out"], F.array(acc["at"] + s["p"])).alias("out"),
-        ),
-        lambda acc: acc["out"],
+#: Code points that no text should hold: the mark, and what stands in for it if one does.
+_MARK, _STAND_IN = "\uffff", "\ufffe"
+
+
+def all_indexes(text: Column, pattern: str | Column) -> Column:
+    """Offsets of all non-overlapping matches as array<int>, in linear time.
+
+    Each match gets a mark before it; the k-th mark's place among the
+    characters, less the k marks before it, is its offset.
+    """
+    pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
+    clean = F.replace(text, F.lit(_MARK), F.lit(_STAND_IN))
+    chars = F.regexp_extract_all(F.regexp_replace(clean, pattern, F.lit(_MARK + "$0")), F.lit("(?s)."), F.lit(0))
+    marks = F.filter(F.transform(chars, lambda c, i: F.when(c == _MARK, i)), lambda i: i.isNotNull())
+    return F.when(F.regexp_like(text, pattern), F.transform(marks, lambda at, k: at - k)).otherwise(
+        F.array().cast("array<int>")
     )
-    return F.when(text.rlike(pattern), walked).otherwise(F.array().cast("array<int>"))
 
 
 def capitalise(col: Column) -> Column:

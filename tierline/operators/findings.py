@@ -2,75 +2,53 @@
 
 from __future__ import annotations
 
-import re
-import sys
-from bisect import bisect_left
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
+from functools import reduce
 
-import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from ..functions.text import required_text, squeeze
+from ..functions.text import all_indexes, required_text, squeeze
 from ..sources.phrases import Phrase
-from .upsert import surrogate_id
+from .upsert import wide_id
 
 QUOTE_RADIUS = 200
 MATCH_WEIGHT = 1.0
-SPANS = ArrayType(
-    StructType(
-        [
-            StructField("quote_start", IntegerType()),
-            StructField("quote_end", IntegerType()),
-            StructField("raw", StringType()),
-        ]
-    )
-)
-# Executors need not have this package installed to run the Arrow function.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
-
-def _spans(text: str, pattern: re.Pattern[str]) -> list[tuple[int, int]]:
-    """Distinct (from, to) quote spans: hit +- 200 characters grown to . ! ?"""
-    ends = [m.start() for m in re.finditer(r"[.!?]", text)]
-    spans: dict[tuple[int, int], None] = {}
-    for hit in pattern.finditer(text):
-        left = bisect_left(ends, max(0, hit.start() - QUOTE_RADIUS))
-        right = bisect_left(ends, min(len(text), hit.end() + QUOTE_RADIUS))
-        start = ends[left - 1] + 1 if left else 0
-        stop = ends[right] + 1 if right < len(ends) else len(text)
-        spans[start, stop] = None
-    return list(spans)
-
-
-@F.pandas_udf(SPANS)
-def quote_spans(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    """All quotes of one pattern in one text (offsets in code points).
-
-    Match offsets are the one thing the built-in regex functions do not
-    return, and the walk is linear in the text.
+#: Phrases tested in one pass over the sections; a larger library takes several.
+PHRASES_PER_PASS = 256
+
+
+def quote_spans(text: Column, ends: Column, source: Column) -> Column:
+    """array<struct<quote_start, quote_end, raw>>: all quotes of one pattern in one text.
+
+    A quote is a hit with 200 characters on both sides, grown outward to the
+    next of . ! ? or the text's end; offsets are code points. ``ends`` holds
+    the places of . ! ?; hits that grow to one span count once.
     """
-    compiled: dict[str, re.Pattern[str]] = {}
-    for texts, sources in batches:
-        out = []
-        for text, source in zip(texts, sources):
-            if source not in compiled:
-                compiled[source] = re.compile(source, re.IGNORECASE | re.ASCII)
-            spans = _spans(text, compiled[source])
-            out.append([{"quote_start": s, "quote_end": e, "raw": text[s:e]} for s, e in spans])
-        yield pd.Series(out)
+    pattern = F.concat(F.lit("(?i)"), source)
+    lengths = F.transform(F.regexp_extract_all(text, pattern, F.lit(0)), F.length)
+
+    def span(at: Column, length: Column) -> Column:
+        before = F.filter(ends, lambda e: e < F.greatest(F.lit(0), at - QUOTE_RADIUS))
+        after = F.filter(ends, lambda e: e >= F.least(F.length(text), at + length + QUOTE_RADIUS))
+        start = F.coalesce(F.try_element_at(before, F.lit(-1)) + 1, F.lit(0))
+        stop = F.coalesce(F.get(after, F.lit(0)) + 1, F.length(text))
+        return F.struct(start.alias("quote_start"), stop.alias("quote_end"))
+
+    spans = F.array_distinct(F.zip_with(all_indexes(text, pattern), lengths, span))
+    return F.transform(
+        spans,
+        lambda s: s.withField("raw", text.substr(s["quote_start"] + 1, s["quote_end"] - s["quote_start"])),
+    )
 
 
 def _hit_phrases(text: Column, low: Column, phrases: Sequence[Phrase]) -> Column:
     """Positions (in the library) of the phrases that occur in a text.
 
-    The patterns are literals, so each is compiled once per task and the test
-    stays in the JVM; only texts with a hit ever reach Python.
+    The patterns are literals, so each is compiled once per task; quotes are
+    cut only for the pairs that hit.
     """
 
-
     def hit(p: Phrase) -> Column:
         need = p.pattern.lower() if not p.regex and p.pattern.isascii() else required_text(p.pattern)
         pattern = text.rlike(f"(?i){p.source}")
@@ -83,10 +61,13 @@ def extract_findings(sections: DataFrame, phrases: Sequence[Phrase], guard: bool
     """Sections x phrases -> one row per distinct quote span.
 
     ``sections`` has inspection_id, institution_id, section_key, section_text,
-    multiplier, order_index. Sections of weight 0 are skipped. The phrase list
-    is a hand-kept library held as constants, so there is no join; Arrow work
-    is only done for (section, phrase) pairs that do occur.
+    multiplier, order_index. Sections of weight 0 are skipped. The phrases are
+    constants of the plan, ``PHRASES_PER_PASS`` of them in one pass over the
+    sections, so there is no join.
     """
+    if len(phrases) > PHRASES_PER_PASS:
+        parts = [phrases[i : i + PHRASES_PER_PASS] for i in range(0, len(phrases), PHRASES_PER_PASS)]
+        return reduce(DataFrame.unionByName, [extract_findings(sections, p, guard) for p in parts])
     facts = F.array(
         *[
             F.struct(
@@ -109,9 +90,11 @@ def extract_findings(sections: DataFrame, phrases: Sequence[Phrase], guard: bool
         .select(*kept, "section_text", F.explode_outer(_hit_phrases(F.col("section_text"), F.col("__low"), phrases)).alias("i"))
         .where(F.col("i").isNotNull())
         .withColumn("p", F.get(facts, F.col("i")))
-        .select(*kept, "section_text", "p.*")
+        .select(*kept, "section_text", "p.*", all_indexes(F.col("section_text"), "[.!?]").alias("ends"))
+    )
+    quoted = pairs.withColumn("q", quote_spans(F.col("section_text"), F.col("ends"), F.col("source"))).drop(
+        "section_text", "source", "ends"
     )
-    quoted = pairs.withColumn("q", quote_spans("section_text", "source")).drop("section_text", "source")
     rows = quoted.select(*[c for c in quoted.columns if c != "q"], F.inline_outer("q")).where(
         F.col("quote_start").isNotNull()
     )
@@ -119,7 +102,7 @@ def extract_findings(sections: DataFrame, phrases: Sequence[Phrase], guard: bool
         rows.withColumn("source_quote", squeeze(F.col("raw")))
         .withColumn("final_severity", F.col("base_severity") * F.col("multiplier"))
         .withColumn(
-            "id", surrogate_id("finding", "inspection_id", "order_index", "phrase_id", "quote_start", "quote_end")
+            "id", wide_id("finding", "inspection_id", "order_index", "phrase_id", "quote_start", "quote_end")
         )
         .drop("raw")
     )

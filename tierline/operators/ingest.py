@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,8 +27,9 @@ from ..functions.register import (
     repair_report_url,
 )
 from ..functions.text import present, strip
+from ..session import cut_lineage
 from ..sources.pages import extract_links
-from .joins import resolve_by_keys
+from .joins import resolve_by_keys, spread_null
 from .upsert import surrogate_id, upsert
 
 # ---- fixed values: header aliases of the inspection files ------------------
@@ -210,16 +213,17 @@ def merge_register(register: DataFrame, institutions: DataFrame) -> DataFrame:
     return updated.unionByName(shaped)
 
 
-def merge_news(news: DataFrame, found: DataFrame, trade_feed: bool = True) -> DataFrame:
+def merge_news(news: DataFrame, found: DataFrame, trade_feed: bool = True, title_width: int | None = None) -> DataFrame:
     """News rows (url, institution_id, ..., row_no) inserted or refreshed.
 
     On a re-sight the text fields are refreshed; relevance only by the trade
-    feeds, whose estimate is computed anew each time.
+    feeds, whose estimate is computed anew each time. Titles are stored whole
+    unless ``title_width`` is given.
     """
     fields = ["title", "excerpt", "published_at"] + (["relevance", "content_hash"] if trade_feed else [])
     rows = found.withColumns(
         {
-            "title": F.substring("title", 1, 500),
+            "title": F.col("title") if title_width is None else F.substring("title", 1, title_width),
             "trigger_severity": F.lit(0),
             "id": surrogate_id("news", "url", "institution_id"),
         }
@@ -259,26 +263,46 @@ def inspection_rows(raw: DataFrame, further_education: bool, framework: str) ->
     ).where(F.col("urn").isNotNull() | F.col("ukprn").isNotNull())
 
 
+def _creating_rows(open_rows: DataFrame) -> DataFrame:
+    """Rows (row_no, urn, ukprn) that create something when read in order.
+
+    A row creates unless an earlier row that itself creates has its URN or its
+    UKPRN. Each round settles every row that comes first under both its keys
+    and drops the rows that share a key with it; rounds go on until no row is
+    open. Rounds are stored, so none is computed twice.
+    """
+    pairs = open_rows.groupBy("urn", "ukprn").agg(F.min("row_no").alias("row_no"))
+    left, settled = cut_lineage(pairs, "providers-open"), []
+    while left.limit(1).count():
+        marked = left
+        for key in ("urn", "ukprn"):
+            first = left.where(F.col(key).isNotNull()).groupBy(key).agg(F.min("row_no").alias(f"first_{key}"))
+            marked = marked.join(first.withColumnRenamed(key, "__k"), spread_null(F.col(key), F.col("row_no")) == F.col("__k"), "left").drop("__k")
+        first_in_both = (F.coalesce("first_urn", "row_no") == F.col("row_no")) & (
+            F.coalesce("first_ukprn", "row_no") == F.col("row_no")
+        )
+        new = cut_lineage(marked.where(first_in_both).select("row_no", "urn", "ukprn"), "providers-new")
+        settled.append(new)
+        for key in ("urn", "ukprn"):
+            taken = new.where(F.col(key).isNotNull()).select(F.col(key).alias("__k"))
+            left = left.join(taken, spread_null(F.col(key), F.col("row_no")) == F.col("__k"), "left_anti")
+        # a row without keys cannot be; one with both keys null would stay open
+        left = cut_lineage(left.where(F.col("urn").isNotNull() | F.col("ukprn").isNotNull()), "providers-open")
+    return reduce(DataFrame.unionByName, settled, pairs.where(F.lit(False)).select("row_no", "urn", "ukprn"))
+
+
 def missing_providers(rows: DataFrame, institutions: DataFrame) -> DataFrame:
     """Institutions to create for further-education rows nobody knows.
 
-    Rows arrive in file order and a row creates an institution only when no
-    earlier row brought its URN or its UKPRN.
+    Rows arrive in file order; a row creates an institution when neither its
+    URN nor its UKPRN is known by then, be it from before or from a row that
+    created one.
     """
     open_rows = resolve_by_keys(rows, institutions, ["urn", "ukprn"], "row_no").where(
         F.col("institution_id").isNull()
     )
-    first = open_rows.select("row_no", "urn", "ukprn", "name", "type", "region", "local_authority")
-    for key in ("urn", "ukprn"):
-        earliest = (
-            first.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("__k")).agg(F.min("row_no").alias(f"__{key}"))
-        )
-        first = first.join(
-            earliest, F.coalesce(key, F.concat(F.lit("\x00"), F.col("row_no"))) == F.col("__k"), "left"
-        ).drop("__k")
-    leads = first.where(
-        (F.coalesce("__urn", "row_no") == F.col("row_no")) & (F.coalesce("__ukprn", "row_no") == F.col("row_no"))
-    )
+    first = cut_lineage(open_rows.select("row_no", "urn", "ukprn", "name", "type", "region", "local_authority"), "providers")
+    leads = first.join(_creating_rows(first).select("row_no"), "row_no", "left_semi")
     created = leads.withColumns(
         {
             "id": surrogate_id("fe", "urn", "ukprn"),

@@ -12,7 +12,7 @@ from .ranking import latest_per, top_n_per
 MIN_NEWS_SIGNAL = 50
 
 
-def _spread_null(key: Column, row_id: Column) -> Column:
+def spread_null(key: Column, row_id: Column) -> Column:
     """A null join key replaced by a per-row value that matches nothing.
 
     A left join would send all null keys to one task.
@@ -29,7 +29,7 @@ def resolve_by_keys(df: DataFrame, dimension: DataFrame, keys: Sequence[str], ro
             .groupBy(F.col(key).alias(f"__k{i}"))
             .agg(F.min("id").alias(f"__id{i}"))
         )
-        df = df.join(side, _spread_null(F.col(key), F.col(row_id)) == F.col(f"__k{i}"), "left").drop(f"__k{i}")
+        df = df.join(side, spread_null(F.col(key), F.col(row_id)) == F.col(f"__k{i}"), "left").drop(f"__k{i}")
         found.append(F.col(f"__id{i}"))
     return df.withColumn(out, F.coalesce(*found)).drop(*[f"__id{i}" for i in range(len(keys))])
 

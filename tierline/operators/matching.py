@@ -20,34 +20,50 @@ MIN_RATIO = 0.5
 MIN_MENTION = 8
 MIN_MENTION_TOKENS = 2
 MIN_TOKEN = 3
-MENTIONS_PER_ARTICLE = 3
 MIN_SCHOOL_KEY = 4
-HITS_PER_PROVIDER = 8
 # ---------------------------------------------------------------------------
 
 
-def _proper_parts(key: Column) -> Column:
-    """Distinct proper substrings that could pass the ratio test."""
-    size = F.length(key)
-    shortest = F.greatest(F.lit(MIN_CONTAINED), F.ceil(size * MIN_RATIO).cast("int"))
+GRAM = 5  # no shorter than MIN_CONTAINED, so the shorter name always has one
 
-    def of_length(n: Column) -> Column:
-        return F.transform(F.sequence(F.lit(1), size - n + 1), lambda at: key.substr(at, n))
 
-    parts = F.flatten(F.transform(F.sequence(shortest, size - 1), of_length))
-    return F.when(size > shortest, F.array_distinct(parts))
+def _grams(key: Column) -> Column:
+    """Distinct runs of ``GRAM`` characters: L - 4 of them."""
+    return F.array_distinct(
+        F.transform(F.sequence(F.lit(1), F.length(key) - GRAM + 1), lambda at: key.substr(at, F.lit(GRAM)))
+    )
+
+
+def _contained(short: DataFrame, long: DataFrame) -> DataFrame:
+    """(short, long) pairs of distinct keys where the one lies inside the other.
+
+    Both sides are one column ``k`` of distinct keys of ``GRAM`` characters or
+    more. A short key is asked for under its rarest run only, which every
+    longer key that holds it must have; a short key with a run that no long
+    key has is dropped at once.
+    """
+    held = long.select(F.col("k").alias("long"), F.explode(_grams(F.col("k"))).alias("g"))
+    often = held.groupBy("g").agg(F.count(F.lit(1)).alias("holders"))
+    asked = short.select("k", F.explode(_grams(F.col("k"))).alias("g")).join(often, "g", "left")
+    rarest = (
+        asked.groupBy("k")
+        .agg(F.min(F.struct(F.coalesce("holders", F.lit(0)).alias("holders"), "g")).alias("r"))
+        .where("r.holders > 0")
+        .select(F.col("k").alias("short"), F.col("r.g").alias("g"))
+    )
+    ratio = F.length("short") >= F.length("long") * MIN_RATIO
+    longer = F.length("long") > F.length("short")
+    return rarest.join(held, "g").where(longer & ratio & F.col("long").contains(F.col("short"))).select("short", "long")
 
 
 def match_by_name(left: DataFrame, dimension: DataFrame, name: str, out: str = "institution_id") -> DataFrame:
     """Institution id by exact key, else by the only containment partner.
 
-    Containment with a length ratio of at least one half means that the
-    shorter key equals a substring of the longer one whose length is between
-    half and all of it. So substrings (about L*L/8 per name of length L) are
-    joined by equality in both directions. The dimension is counted per key,
-    and per substring, before either join: a substring shared by millions of
-    names arrives as one row carrying their number, and "exactly one partner"
-    is a comparison of that number. Exact, no candidate cap.
+    Names are compared once per distinct key, and the dimension is counted per
+    key first: a key that millions of names share is one row with their number,
+    and "exactly one partner" is a comparison of that number. Containment with
+    a length ratio of at least one half is asked for by the rarest run of five
+    characters of the shorter key and then tested. Exact, no candidate cap.
     """
     key = norm_name(F.col(name), "notice")
     named = left.withColumn("__key", F.when(F.length(key) >= MIN_TARGET, key))
@@ -63,22 +79,13 @@ def match_by_name(left: DataFrame, dimension: DataFrame, name: str, out: str = "
     # Containment is only asked where there is no exact key.
     open_keys = exact.where(F.col("first_id").isNull() & (F.length("__key") >= MIN_CONTAINED)).select("__key")
 
-    inside = (
-        open_keys.select("__key", F.explode_outer(_proper_parts(F.col("__key"))).alias("k"))
-        .join(index, "k")
-        .select("__key", "first_id", "n")
-    )
-    around = (
-        index.where(F.length("k") > MIN_CONTAINED)
-        .select(F.explode_outer(_proper_parts(F.col("k"))).alias("__key"), "first_id", "n")
-        .where(F.col("__key").isNotNull())
-        .groupBy("__key")
-        .agg(F.min("first_id").alias("first_id"), F.sum("n").alias("n"))
-        .join(open_keys, "__key", "left_semi")
-        .select("__key", "first_id", "n")
-    )
+    names = index.where(F.length("k") >= MIN_CONTAINED)
+    asked = open_keys.select(F.col("__key").alias("k"))
+    inside = _contained(names.select("k"), asked).select(F.col("long").alias("__key"), F.col("short").alias("k"))
+    around = _contained(asked, names.select("k")).select(F.col("short").alias("__key"), F.col("long").alias("k"))
     only = (
         inside.unionByName(around)
+        .join(index, "k")
         .groupBy("__key")
         .agg(F.sum("n").alias("n"), F.min("first_id").alias("contained_id"))
         .where(F.col("n") == 1)
@@ -92,47 +99,61 @@ def match_by_name(left: DataFrame, dimension: DataFrame, name: str, out: str = "
     return named.join(resolved, F.col("__key") == F.col("__rkey"), "left").drop("__key", "__rkey")
 
 
-def mention_keys(dimension: DataFrame) -> DataFrame:
-    """Distinct searchable keys with the lowest ids that carry them.
+RUN_TOKENS = 8  # tokens of a run taken from a text; longer keys are tested on the text
 
-    An article keeps at most three institutions by id, so the three lowest ids
-    of a key are all that can ever be needed from it.
-    """
-    keyed = (
+
+def mention_keys(dimension: DataFrame) -> DataFrame:
+    """Searchable keys of the institutions in scope: id, k, n_tokens."""
+    tokens = F.split("k", " ")
+    return (
         dimension.where(F.col("in_scope"))
         .select("id", norm_name(F.col("name"), "news").alias("k"))
-        .withColumn("n_tokens", F.size(F.split("k", " ")))
+        .withColumn("n_tokens", F.size(tokens))
         .where(
             (F.length("k") >= MIN_MENTION)
-            & (F.size(F.filter(F.split("k", " "), lambda t: F.length(t) >= MIN_TOKEN)) >= MIN_MENTION_TOKENS)
+            & (F.size(F.filter(tokens, lambda t: F.length(t) >= MIN_TOKEN)) >= MIN_MENTION_TOKENS)
         )
     )
-    few = top_n_per(keyed, ["k"], [F.col("id").asc()], MENTIONS_PER_ARTICLE)
-    return few.groupBy("k", "n_tokens").agg(F.sort_array(F.collect_list("id")).alias("ids"))
 
 
-def match_mentions(articles: DataFrame, dimension: DataFrame, article_id: str, text: str) -> DataFrame:
+def match_mentions(
+    articles: DataFrame, dimension: DataFrame, article_id: str, text: str, per_article: int | None = None
+) -> DataFrame:
     """(article, institution_id, relevance) of institutions named in a text.
 
     Key and text are both blank-padded token strings, so "contains" is the
-    same as "some run of tokens equals the key": the runs of the lengths that
-    occur in the dimension are exploded once per distinct run and hash-joined.
-    The lengths arrive as a scalar subquery.
+    same as "some run of tokens equals the key". One pass takes the run of up
+    to eight tokens that begins at each token; a run is kept if its first two
+    tokens begin some key, and then compared with the keys of the lengths that
+    this beginning has. Keys of more than eight tokens are found by their
+    first eight and tested on the text. With ``per_article`` only the lowest
+    ids of each article stay.
     """
     keys = mention_keys(dimension)
-    lengths = keys.agg(F.collect_set("n_tokens")).scalar()
-    # One row per (article, run length): the normalised text is computed once,
-    # below the generator. Each match consumes one token and captures the run
-    # that starts there, so the regex is tried once per token.
-    texts = articles.select(article_id, norm_name(F.col(text), "news").alias("t"), F.explode(lengths).alias("n"))
-    pattern = F.format_string(r"(?=([^ ]++(?: [^ ]++){%d}+))[^ ]++ ?", F.col("n") - 1)
+    head = F.when(F.col("n_tokens") > RUN_TOKENS, F.substring_index("k", " ", RUN_TOKENS)).otherwise(F.col("k"))
+    keys = keys.withColumn("head", head).withColumn("lead", F.substring_index("k", " ", 2))
+    lengths = F.collect_set(F.least("n_tokens", F.lit(RUN_TOKENS)))
+    leads = keys.groupBy("lead").agg(lengths.alias("lengths"))
+    texts = articles.select(article_id, norm_name(F.col(text), "news").alias("t"))
+    # Each match consumes one token and captures the run that starts there, so
+    # the regex is tried once per token.
+    pattern = r"(?=([^ ]++(?: [^ ]++){1,%d}+))[^ ]++ ?" % (RUN_TOKENS - 1)
     runs = texts.select(
-        article_id, F.explode_outer(F.array_distinct(F.regexp_extract_all("t", pattern, F.lit(1)))).alias("k")
-    ).where(F.col("k").isNotNull())
-    hits = runs.join(keys, "k").select(article_id, "k", F.explode("ids").alias("institution_id"))
+        article_id, F.explode_outer(F.array_distinct(F.regexp_extract_all("t", F.lit(pattern), F.lit(1)))).alias("run")
+    ).where(F.col("run").isNotNull())
+    led = runs.withColumn("lead", F.substring_index("run", " ", 2)).join(leads, "lead")
+    tried = led.select(article_id, "run", F.explode("lengths").alias("n")).where(F.size(F.split("run", " ")) >= F.col("n"))
+    heads = tried.select(article_id, F.expr("substring_index(run, ' ', n)").alias("head")).distinct()
+    hits = heads.join(keys.select("head", "k", "n_tokens", F.col("id").alias("institution_id")), "head")
+    short = hits.where(F.col("n_tokens") <= RUN_TOKENS)
+    tested = hits.where(F.col("n_tokens") > RUN_TOKENS).join(texts.withColumnRenamed(article_id, "__a"), F.col(article_id) == F.col("__a"))
+    padded = lambda c: F.concat(F.lit(" "), F.col(c), F.lit(" "))
+    long = tested.where(padded("t").contains(padded("k")))
     relevance = F.lit(50) + F.least(F.lit(40), F.floor(F.length("k") / 2).cast("int"))
-    scored = hits.select(article_id, "institution_id", relevance.alias("relevance"))
-    return top_n_per(scored, [article_id], [F.col("institution_id").asc()], MENTIONS_PER_ARTICLE)
+    columns = [article_id, "institution_id", "k"]
+    scored = short.select(*columns).unionByName(long.select(*columns))
+    scored = scored.select(article_id, "institution_id", relevance.alias("relevance"))
+    return top_n_per(scored, [article_id], [F.col("institution_id").asc()], per_article)
 
 
 def link_or_create(schools: DataFrame, dimension: DataFrame) -> DataFrame:
@@ -191,16 +212,18 @@ def rank_company(candidates: DataFrame, institution: str = "institution_id") ->
     )
 
 
-def filter_feed_hits(items: DataFrame, provider: str, name: str, position: str, words: int = 2) -> DataFrame:
-    """Search results that really mention the provider, of its first eight.
+def filter_feed_hits(
+    items: DataFrame, provider: str, name: str, position: str, words: int = 2, first: int | None = None
+) -> DataFrame:
+    """Search results that really mention the provider, of its ``first`` ones (None: of all).
 
     ``words=2`` asks for the first two words of the name; ``words=1`` is the
     bulk rule: the first word, unchecked when shorter than four characters.
     """
-    first = top_n_per(items, [provider], [F.col(position).asc()], HITS_PER_PROVIDER)
+    asked = top_n_per(items, [provider], [F.col(position).asc()], first)
     text = F.lower(F.concat_ws(" ", F.col("title"), F.coalesce("summary", F.lit(""))))
     lead = F.array_join(F.slice(F.split(F.lower(F.col(name)), " "), 1, words), " ")
     keep = text.contains(lead)
     if words == 1:
         keep = keep | (F.length(lead) < 4)
-    return first.where(keep)
+    return asked.where(keep)

@@ -21,7 +21,6 @@ from .upsert import surrogate_id, upsert
 # ---- fixed values ---------------------------------------------------------
 REGISTER_URL = "https://download.apprenticeships.education.gov.uk/apar"
 NOTICE_KEY = ["institution_id", "source_url", "notice_type"]
-SUBJECT_LENGTH, DETAIL_LENGTH = 240, 4000
 # ---------------------------------------------------------------------------
 
 
@@ -86,8 +85,8 @@ def feed_notices(entries: DataFrame, institutions: DataFrame, body: str = "govuk
             F.substring("updated", 1, 10).alias("issued_at"),
             F.lit(None).cast("string").alias("withdrawn_at"),
             severity_for(F.col("c.notice_type")).alias("severity"),
-            F.substring("title", 1, SUBJECT_LENGTH).alias("subject"),
-            F.substring("summary", 1, DETAIL_LENGTH).alias("details"),
+            F.col("title").alias("subject"),
+            F.col("summary").alias("details"),
             F.col("link").alias("source_url"),
             "row_no",
         )
@@ -113,7 +112,7 @@ def list_notices(entries: DataFrame, institutions: DataFrame, as_of: str) -> Dat
             F.lit(None).cast("string").alias("issued_at"),
             F.col("c.withdrawn_at").alias("withdrawn_at"),
             F.col("c.severity").alias("severity"),
-            F.substring("title", 1, SUBJECT_LENGTH).alias("subject"),
+            F.col("title").alias("subject"),
             F.concat(F.lit("Section on collection: "), F.col("section")).alias("details"),
             F.col("href").alias("source_url"),
             "row_no",

@@ -16,10 +16,15 @@ from pyspark.sql import functions as F
 _RN = "__rn"
 
 
-def top_n_per(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, rank_as: str | None = None) -> DataFrame:
-    """The first ``n`` rows of every key; ``rank_as`` keeps the position."""
+def top_n_per(
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int | None, rank_as: str | None = None
+) -> DataFrame:
+    """The first ``n`` rows of every key (None: all of them); ``rank_as`` keeps the position."""
+    if n is None and rank_as is None:
+        return df
     w = Window.partitionBy(*keys).orderBy(*order)
-    kept = df.withColumn(_RN, F.row_number().over(w)).where(F.col(_RN) <= n)
+    kept = df.withColumn(_RN, F.row_number().over(w))
+    kept = kept if n is None else kept.where(F.col(_RN) <= n)
     return kept.drop(_RN) if rank_as is None else kept.withColumnRenamed(_RN, rank_as)
 
 

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from ..operators.joins import with_evidence
 from .lists import cohort_ranking, rank_by_tier, signal_feed
-from .profiles import _has_email, distinct_flagged, one_row, tier_counts
+from .profiles import _has_email, distinct_flagged, tier_counts
 from .tables import Tables
 
-SIGNALS_SHOWN = 3
+#: Rows and signals that the dashboards show.
+SIGNALS_SHOWN, HIGH_SHOWN, OUTSTANDING_SHOWN, MAJOR_SHOWN = 3, 30, 20, 25
 
 
 def actionable_scored(t: Tables, type_: str, min_standards: int | None = None) -> DataFrame:
@@ -22,20 +23,20 @@ def actionable_scored(t: Tables, type_: str, min_standards: int | None = None) -
     return df.where(keep)
 
 
-def shorten_signals(df: DataFrame) -> DataFrame:
-    return df.withColumn("critical_signals", F.slice("critical_signals", 1, SIGNALS_SHOWN))
+def shorten_signals(df: DataFrame, n: int = SIGNALS_SHOWN) -> DataFrame:
+    """The first ``n`` signals, for display; the stored scores keep all of them."""
+    return df.withColumn("critical_signals", F.slice("critical_signals", 1, n))
 
 
 def universe_counts(t: Tables, type_: str) -> DataFrame:
     """Total, actionable, with a mailbox, and the sum of standards of a type."""
     scope = t.institutions.where((F.col("type") == type_) & F.col("in_scope"))
     flagged = with_evidence(scope, *t.evidence())
-    return one_row(
-        scope.sparkSession,
-        total=scope.agg(F.count(F.lit(1))),
-        actionable=flagged.agg(F.count_if(F.col("actionable"))),
-        with_email=scope.agg(F.count_if(_has_email())),
-        total_standards=scope.agg(F.coalesce(F.sum("apprenticeship_standards"), F.lit(0))),
+    return flagged.agg(
+        F.count(F.lit(1)).alias("total"),
+        F.count_if(F.col("actionable")).alias("actionable"),
+        F.count_if(_has_email()).alias("with_email"),
+        F.coalesce(F.sum("apprenticeship_standards"), F.lit(0)).alias("total_standards"),
     )
 
 
@@ -48,9 +49,9 @@ def provider_dashboard(t: Tables, as_of: str) -> dict[str, DataFrame]:
         "tiers": tier_counts(actionable_scored(t, "itp")),
         "flagged": distinct_flagged(t, "itp", since),
         "critical": shorten_signals(cohort_ranking(t, "critical")),
-        "high": shorten_signals(cohort_ranking(t, "high")),
-        "outstanding": shorten_signals(cohort_ranking(t, "outstanding")),
-        "major": shorten_signals(cohort_ranking(t, "major")),
+        "high": shorten_signals(cohort_ranking(t, "high", HIGH_SHOWN)),
+        "outstanding": shorten_signals(cohort_ranking(t, "outstanding", OUTSTANDING_SHOWN)),
+        "major": shorten_signals(cohort_ranking(t, "major", MAJOR_SHOWN)),
         "all": shorten_signals(rank_by_tier(t)),
         "notices": signal_feed(t, "itp", "notices", 20),
         "news": signal_feed(t, "itp", "news", 20),

@@ -11,7 +11,6 @@ from ..operators.ranking import list_position, page
 from ..schemas import TIERS
 from .tables import Tables
 
-EXPORT_LIMIT = 5000
 PAGE_SIZE = 30
 PROVIDER_TYPES = ["itp", "university", "fe_college", "sixth_form_college", "employer"]
 COHORT_COLUMNS = [
@@ -98,15 +97,15 @@ def opportunity_total(t: Tables, show_all: bool = False, **params) -> DataFrame:
     return opportunity_matches(t, show_all, **params).agg(F.count(F.lit(1)).alias("total"))
 
 
-def opportunity_export(t: Tables, limit: int = EXPORT_LIMIT, **params) -> DataFrame:
-    """The 38 columns of the CSV export, best first.
+def opportunity_export(t: Tables, limit: int | None = None, **params) -> DataFrame:
+    """The 38 columns of the CSV export, best first; all rows unless ``limit`` names a number.
 
-    Rows are cut to the export size before the wide lookups, and the child
-    tables are reduced to those institutions before they are aggregated.
+    A limit cuts the rows before the wide lookups, and the child tables are
+    reduced to those institutions before they are aggregated.
     """
     df = filter_opportunities(t.scored(), **params)
     order = [F.col("score").desc(), F.col("raw_score").desc(), F.col("id").asc()]
-    rows = df.orderBy(*order).limit(limit)
+    rows = df if limit is None else df.orderBy(*order).limit(limit)
     ids = rows.select(F.col("id").alias("institution_id"))
 
     def children(child: DataFrame, cond: Column) -> DataFrame:
@@ -163,7 +162,7 @@ def opportunity_export(t: Tables, limit: int = EXPORT_LIMIT, **params) -> DataFr
     )
 
 
-def top_opportunities(t: Tables, n: int = 6) -> DataFrame:
+def top_opportunities(t: Tables, n: int) -> DataFrame:
     """The best in-scope institutions with the grade of the scored inspection."""
     df = t.scored().where(F.col("in_scope"))
     order = [
@@ -203,10 +202,10 @@ _URGENT_FIRST = ["urgency_score", "score"]
 
 
 def cohort_ranking(t: Tables, kind: str, n: int | None = None) -> DataFrame:
-    """The named dashboard cohorts.
+    """The named dashboard cohorts, the first ``n`` of them (None: all).
 
-    critical, high (30), outstanding (20), major (25), by_score (10),
-    by_size (30), universities (all), outreach_ids (5).
+    critical, high, outstanding, major, by_score, by_size, universities,
+    outreach_ids.
     """
     tail = F.col("id").asc()
     urgent = [F.col(c).desc() for c in _URGENT_FIRST] + [tail]
@@ -214,17 +213,17 @@ def cohort_ranking(t: Tables, kind: str, n: int | None = None) -> DataFrame:
     if kind == "critical":
         df, order = cohort(t, "itp", "critical"), urgent
     elif kind == "high":
-        df, order, n = cohort(t, "itp", "high"), urgent, n or 30
+        df, order = cohort(t, "itp", "high"), urgent
     elif kind == "outstanding":
         df = cohort(t, "itp", actionable=False).where(F.col("latest_grade") == "outstanding")
-        order, n = [F.col("latest_inspection_date").desc(), tail], n or 20
+        order = [F.col("latest_inspection_date").desc(), tail]
     elif kind == "major":
-        df, order, n = cohort(t, "itp"), size, n or 25
+        df, order = cohort(t, "itp"), size
     elif kind == "by_score":
         df = cohort(t, "itp", actionable=False)
-        order, n = [F.col("score").desc(), F.col("urgency_score").desc(), tail], n or 10
+        order = [F.col("score").desc(), F.col("urgency_score").desc(), tail]
     elif kind == "by_size":
-        df, order, n = cohort(t, "itp", actionable=False, how="left"), size, n or 30
+        df, order = cohort(t, "itp", actionable=False, how="left"), size
     elif kind == "universities":
         enough = F.coalesce(F.col("apprenticeship_standards") >= 5, F.lit(False))
         scope = t.scored("left").where((F.col("type") == "university") & F.col("in_scope"))
@@ -232,7 +231,7 @@ def cohort_ranking(t: Tables, kind: str, n: int | None = None) -> DataFrame:
         order = [F.col("apprenticeship_standards").desc_nulls_last(), F.col("name").asc(), tail]
     elif kind == "outreach_ids":
         keep = F.col("in_scope") & (F.col("tier") == "critical") & F.col("type").isin("itp", "fe_college")
-        df, order, n = t.scored().where(keep).select(*COHORT_COLUMNS), urgent, n or 5
+        df, order = t.scored().where(keep).select(*COHORT_COLUMNS), urgent
     else:
         raise ValueError(f"unknown cohort {kind!r}")
     df = df.orderBy(*order)
@@ -253,7 +252,7 @@ def rank_by_tier(t: Tables, type_: str = "itp") -> DataFrame:
     )
 
 
-def signal_feed(t: Tables, type_: str, kind: str, n: int = 20) -> DataFrame:
+def signal_feed(t: Tables, type_: str, kind: str, n: int) -> DataFrame:
     """Newest, strongest notices or news of a type.
 
     The feed is cut after the join to the type, as a top-n without a sort of
@@ -280,7 +279,7 @@ def signal_feed(t: Tables, type_: str, kind: str, n: int = 20) -> DataFrame:
 # ---- work queues -----------------------------------------------------------
 
 
-def pending_queue(t: Tables, budget: int = 100) -> DataFrame:
+def pending_queue(t: Tables, budget: int) -> DataFrame:
     """Unrated news, best institutions first, newest first."""
     scores = t.scores.select("institution_id", "score")
     inst = t.institutions.select(
@@ -355,15 +354,16 @@ def directory_cohort(institutions: DataFrame, budget: int) -> DataFrame:
     return df.orderBy("id").limit(budget).select("id", "ukprn", "type")
 
 
-def qa_sample(t: Tables, n: int = 10, seed: int | None = None) -> DataFrame:
-    """Random institutions that have findings.
+def qa_sample(t: Tables, n: int, seed: int | None = None) -> DataFrame:
+    """``n`` random institutions that have findings.
 
-    With a seed the order is a hash of the id, so a run can be repeated.
+    With a seed the order is the MD5 of seed and id, so a run can be repeated
+    by any engine.
     """
     ids = t.findings.where(~F.col("suppressed")).groupBy("institution_id").agg(
         F.min_by("inspection_id", "id").alias("inspection_id")
     )
-    order = F.rand() if seed is None else F.xxhash64(F.lit(seed), F.col("institution_id"))
+    order = F.rand() if seed is None else F.md5(F.concat_ws(":", F.lit(seed), F.col("institution_id")).cast("binary"))
     picked = ids.orderBy(order).limit(n)
     inst = t.institutions.select(F.col("id").alias("institution_id"), "name", "region", "type")
     insp = t.inspections.select(F.col("id").alias("inspection_id"), "inspection_start_date")

@@ -12,13 +12,12 @@ from ..operators.joins import with_top_finding
 from ..operators.ranking import latest_per, top_n_per
 from .tables import Tables
 
-MAX_VALUE = 1000
 DEFAULT_CURRICULUM = "confidence_resilience"
 MIN_TOP_NEWS = 60
 
 
-def outreach_rows(t: Tables) -> DataFrame:
-    """One contact row per institution with a mailbox: names and merge variables."""
+def outreach_rows(t: Tables, value_width: int | None = None) -> DataFrame:
+    """One contact row per institution with a mailbox: names and merge variables (cut to ``value_width``, if given)."""
     email = F.coalesce(non_blank(F.col("head_email")), non_blank(F.col("general_email")))
     inst = t.institutions.withColumn("email", email).where(F.col("email").isNotNull())
     inst = inst.select("id", "name", "region", "type", "head_name", "email")
@@ -42,7 +41,8 @@ def outreach_rows(t: Tables) -> DataFrame:
         "region": F.col("region"),
         "institution_type": F.col("type"),
     }
-    pairs = [p for name, col in variables.items() for p in (F.lit(name), F.substring(col, 1, MAX_VALUE))]
+    cut = (lambda c: c) if value_width is None else (lambda c: F.substring(c, 1, value_width))
+    pairs = [p for name, col in variables.items() for p in (F.lit(name), cut(col))]
     kept = F.map_filter(F.create_map(*pairs), lambda _, v: v.isNotNull() & (v != ""))
     person = split_name(F.col("head_name"))
     return df.select(

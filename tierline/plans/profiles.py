@@ -24,13 +24,14 @@ def _has_email() -> Column:
     return F.col("general_email").isNotNull() | F.col("head_email").isNotNull()
 
 
-def one_row(spark: SparkSession, **scalars: DataFrame) -> DataFrame:
-    """A single row of scalar subqueries (no joins between the sources)."""
-    return spark.range(1).select(*[df.scalar().alias(name) for name, df in scalars.items()])
+def one_row(spark: SparkSession, *aggregates: DataFrame) -> DataFrame:
+    """The one-row aggregates side by side (scalar subqueries, no joins): one scan for each."""
+    packed = [df.select(F.struct(*df.columns)).scalar().alias(f"__{i}") for i, df in enumerate(aggregates)]
+    return spark.range(1).select(*packed).select(*[f"__{i}.*" for i in range(len(aggregates))])
 
 
-def _count(df: DataFrame, cond: Column | None = None) -> DataFrame:
-    return df.agg(F.count(F.lit(1)) if cond is None else F.count_if(cond))
+def _count(name: str, cond: Column | None = None) -> Column:
+    return (F.count(F.lit(1)) if cond is None else F.count_if(cond)).alias(name)
 
 
 def segments(t: Tables) -> DataFrame:
@@ -53,31 +54,43 @@ def kpis(t: Tables) -> DataFrame:
     scope = F.col("in_scope")
     return one_row(
         inst.sparkSession,
-        in_scope=_count(inst, scope),
-        inspections=_count(t.inspections),
-        findings=_count(t.findings, ~F.col("suppressed")),
-        scored=_count(scores),
-        score_60=_count(scores, F.col("score") >= 60),
-        score_80=_count(scores, F.col("score") >= 80),
-        critical=_count(scores, F.col("tier") == "critical"),
-        with_email=_count(inst, scope & _has_email()),
-    )
+        inst.agg(_count("in_scope", scope), _count("with_email", scope & _has_email())),
+        t.inspections.agg(_count("inspections")),
+        t.findings.agg(_count("findings", ~F.col("suppressed"))),
+        scores.agg(
+            _count("scored"),
+            _count("score_60", F.col("score") >= 60),
+            _count("score_80", F.col("score") >= 80),
+            _count("critical", F.col("tier") == "critical"),
+        ),
+    ).select("in_scope", "inspections", "findings", "scored", "score_60", "score_80", "critical", "with_email")
 
 
 def coverage_summary(t: Tables) -> DataFrame:
     """News and notice coverage in one row."""
     inst, news, notices = t.institutions, t.news, t.notices
-    active = notices.where(F.col("withdrawn_at").isNull())
-    signal = news.where(F.col("trigger_severity") >= MIN_NEWS_SIGNAL)
+    # Facts are folded per institution first, so distinct ones are plain counts.
+    by_news = news.groupBy("institution_id").agg(
+        _count("n"),
+        _count("extracted", F.col("angle").isNotNull()),
+        _count("high", F.col("trigger_severity") >= 70),
+        _count("signals", F.col("trigger_severity") >= MIN_NEWS_SIGNAL),
+    )
+    by_notice = notices.groupBy("institution_id").agg(_count("n", F.col("withdrawn_at").isNull()))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    known = F.col("institution_id").isNotNull()
     return one_row(
         inst.sparkSession,
-        total_itps=_count(inst, (F.col("type") == "itp") & F.col("in_scope")),
-        news_items_total=_count(news),
-        news_items_extracted=_count(news, F.col("angle").isNotNull()),
-        news_items_high_signal=_count(news, F.col("trigger_severity") >= 70),
-        compliance_active=_count(active),
-        institutions_with_compliance=active.agg(F.count_distinct("institution_id")),
-        institutions_with_news_signal=signal.agg(F.count_distinct("institution_id")),
+        inst.agg(_count("total_itps", (F.col("type") == "itp") & F.col("in_scope"))),
+        by_news.agg(
+            total("n").alias("news_items_total"),
+            total("extracted").alias("news_items_extracted"),
+            total("high").alias("news_items_high_signal"),
+            _count("institutions_with_news_signal", known & (F.col("signals") > 0)),
+        ),
+        by_notice.agg(
+            total("n").alias("compliance_active"), _count("institutions_with_compliance", known & (F.col("n") > 0))
+        ),
     )
 
 
@@ -104,17 +117,17 @@ def distinct_flagged(t: Tables, type_: str, since: str) -> DataFrame:
     """Distinct institutions of a type with a notice, a weak recent grade, news."""
     of_type = t.institutions.where(F.col("type") == type_).select(F.col("id").alias("institution_id"))
 
-    def distinct(df: DataFrame) -> DataFrame:
+    def distinct(name: str, df: DataFrame) -> DataFrame:
         ids = df.select("institution_id").distinct()
-        return ids.join(of_type, "institution_id").agg(F.count(F.lit(1)))
+        return ids.join(of_type, "institution_id").agg(_count(name))
 
     recent = (F.col("publication_date") >= since) & F.col("overall_grade").isin(*WEAK_GRADES)
     trigger = (F.col("trigger_severity") >= 70) & (F.col("relevance") >= 60)
     return one_row(
         t.institutions.sparkSession,
-        active_compliance=distinct(t.notices.where(F.col("withdrawn_at").isNull())),
-        recent_weak=distinct(t.inspections.where(recent)),
-        active_news_trigger=distinct(t.news.where(trigger)),
+        distinct("active_compliance", t.notices.where(F.col("withdrawn_at").isNull())),
+        distinct("recent_weak", t.inspections.where(recent)),
+        distinct("active_news_trigger", t.news.where(trigger)),
     )
 
 
@@ -206,11 +219,13 @@ def duplicates(df: DataFrame, keys: list[str]) -> DataFrame:
 
 def duplicate_summary(news: DataFrame) -> DataFrame:
     """Total rows against distinct (url, institution) and (title, institution)."""
+    # Counted per distinct pair, so an institution with very much news is no hot group.
+    by_url = news.groupBy("url", "institution_id").agg(_count("n"))
+    by_title = news.groupBy("title", "institution_id").agg(_count("n"))
     return one_row(
         news.sparkSession,
-        total_rows=_count(news),
-        distinct_url_inst=news.select("url", "institution_id").distinct().agg(F.count(F.lit(1))),
-        distinct_title_inst=news.select("title", "institution_id").distinct().agg(F.count(F.lit(1))),
+        by_url.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total_rows"), _count("distinct_url_inst")),
+        by_title.agg(_count("distinct_title_inst")),
     )
 
 
@@ -236,7 +251,7 @@ def status_counts(register: DataFrame) -> DataFrame:
     return cells.join(totals, "status")
 
 
-def status_samples(register: DataFrame, n: int = 3) -> DataFrame:
+def status_samples(register: DataFrame, n: int) -> DataFrame:
     """The first rows of every status, in file order."""
     keyed = register.withColumn("status", F.coalesce(F.trim("status"), F.lit("")))
     return top_n_per(keyed, ["status"], [F.col("row_no").asc()], n)
@@ -335,14 +350,15 @@ def gate_losses(news: DataFrame) -> DataFrame:
     return news.where(lost).select("id", "title", "trigger_severity", "angle")
 
 
-def news_counts(t: Tables, type_: str, n: int = 15) -> DataFrame:
+def news_counts(t: Tables, type_: str, n: int | None = None) -> DataFrame:
     """News and signal items per institution of a type, most signals first."""
     per = t.news.groupBy(F.col("institution_id").alias("id")).agg(
         F.count(F.lit(1)).alias("news_count"), F.count_if(F.col("trigger_severity") >= 50).alias("signal_count")
     )
     scope = t.institutions.where((F.col("type") == type_) & F.col("in_scope")).select("id", "name")
     df = scope.join(per, "id", "left").fillna(0, ["news_count", "signal_count"])
-    return df.orderBy(F.col("signal_count").desc(), F.col("news_count").desc(), "id").limit(n)
+    df = df.orderBy(F.col("signal_count").desc(), F.col("news_count").desc(), "id")
+    return df if n is None else df.limit(n)
 
 
 def cohort_counts(t: Tables) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.joins import with_latest
@@ -12,14 +12,19 @@ from .profiles import WEAK_GRADES
 from .tables import Tables
 
 
-def weak_without_text(t: Tables, type_: str = "itp", n: int = 20) -> DataFrame:
+def shown(column: str, width: int | None) -> Column:
+    return F.col(column) if width is None else F.substring(column, 1, width).alias(column)
+
+
+def weak_without_text(t: Tables, n: int | None = None, type_: str = "itp") -> DataFrame:
     """Weak inspections of a type whose report text is still missing, newest first."""
     weak = t.inspections.where(
         F.col("overall_grade").isin(*WEAK_GRADES) & F.col("report_text").isNull() & F.col("report_url").isNotNull()
     ).select("id", "institution_id", "overall_grade", "inspection_start_date", "report_url")
     inst = t.institutions.where(F.col("type") == type_).select(F.col("id").alias("institution_id"), "name")
     order = [F.col("inspection_start_date").desc(), F.col("id").asc()]
-    return weak.join(inst, "institution_id").orderBy(*order).limit(n)
+    df = weak.join(inst, "institution_id").orderBy(*order)
+    return df if n is None else df.limit(n)
 
 
 def recent_weak_count(t: Tables, since: str, type_: str = "itp") -> DataFrame:
@@ -31,21 +36,26 @@ def recent_weak_count(t: Tables, since: str, type_: str = "itp") -> DataFrame:
     return latest.join(published, "latest_inspection_id").where(hit).agg(F.count(F.lit(1)).alias("recent_weak"))
 
 
-def high_trigger_news(t: Tables, min_severity: int = 70, min_relevance: int = 50) -> DataFrame:
-    """All strong, relevant news with the institution, strongest first."""
+def high_trigger_news(
+    t: Tables, min_severity: int = 70, min_relevance: int = 50, title: int | None = None, angle: int | None = None
+) -> DataFrame:
+    """All strong, relevant news with the institution, strongest first.
+
+    ``title`` and ``angle`` are widths to show them in (None: whole).
+    """
     strong = t.news.where((F.col("trigger_severity") >= min_severity) & (F.col("relevance") >= min_relevance))
     inst = t.institutions.select(F.col("id").alias("institution_id"), "name", "type")
     return (
         strong.select(
             "id", "institution_id", "trigger_severity", "relevance", "source", "published_at",
-            F.substring("title", 1, 50).alias("title"), F.substring("angle", 1, 80).alias("angle"),
+            shown("title", title), shown("angle", angle),
         )
         .join(inst, "institution_id")
         .orderBy(F.col("trigger_severity").desc(), F.col("id").asc())
     )
 
 
-def triggered(t: Tables, type_: str = "itp", n: int = 15) -> DataFrame:
+def triggered(t: Tables, n: int, type_: str = "itp") -> DataFrame:
     """The most urgent institutions with their notice and news counts.
 
     Children are counted for the ranked rows only.
@@ -67,7 +77,7 @@ def triggered(t: Tables, type_: str = "itp", n: int = 15) -> DataFrame:
     return joined.fillna(0, ["compliance_count", "news_count"]).orderBy(*order)
 
 
-def notice_impact(t: Tables, type_: str = "itp", n: int = 20) -> DataFrame:
+def notice_impact(t: Tables, n: int | None = None, type_: str = "itp") -> DataFrame:
     """(institution, active notice) rows of a type, most urgent first."""
     active = t.notices.where(F.col("withdrawn_at").isNull()).select(
         F.col("id").alias("notice_id"), F.col("institution_id").alias("id")
@@ -76,7 +86,8 @@ def notice_impact(t: Tables, type_: str = "itp", n: int = 20) -> DataFrame:
         "id", "name", "tier", "score", "urgency_score", "pipeline_value_score"
     )
     order = [F.col("urgency_score").desc(), F.col("id").asc(), F.col("notice_id").asc()]
-    return df.join(active, "id").orderBy(*order).limit(n)
+    df = df.join(active, "id").orderBy(*order)
+    return df if n is None else df.limit(n)
 
 
 def finding_coverage(t: Tables, type_: str = "itp") -> DataFrame:

@@ -51,11 +51,11 @@ REPORT_SECTIONS = _ddl(
     multiplier double, order_index int"""
 )
 FINDINGS = _ddl(
-    """id bigint, inspection_id bigint, institution_id bigint, phrase_id string, phrase_pattern string,
+    """id decimal(38,0), inspection_id bigint, institution_id bigint, phrase_id string, phrase_pattern string,
     section_key string, source_quote string, quote_start int, quote_end int, base_severity int,
     multiplier double, final_severity double, suppressed boolean, suppression_reason string"""
 )
-CURRICULUM_MATCHES = _ddl("finding_id bigint, institution_id bigint, curriculum string, weight double")
+CURRICULUM_MATCHES = _ddl("finding_id decimal(38,0), institution_id bigint, curriculum string, weight double")
 COMPLIANCE_NOTICES = _ddl(
     """id bigint, institution_id bigint, notice_body string, notice_type string, issued_at string,
     withdrawn_at string, severity int, subject string, details string, source_url string"""
@@ -68,7 +68,7 @@ NEWS_ITEMS = _ddl(
 OPPORTUNITY_SCORES = _ddl(
     """institution_id bigint, score int, urgency_score int, pipeline_value_score int, raw_score int,
     financial_literacy_score int, employability_skills_score int, confidence_resilience_score int,
-    online_safety_score int, top_curriculum string, top_curriculum_score int, top_finding_id bigint,
+    online_safety_score int, top_curriculum string, top_curriculum_score int, top_finding_id decimal(38,0),
     critical_signals array<string>, tier string, finding_count bigint, inspection_count bigint,
     first_inspection_date string, latest_inspection_date string, last_inspection_id bigint"""
 )

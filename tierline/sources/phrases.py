@@ -13,10 +13,6 @@ from pyspark.sql import DataFrame, SparkSession
 from ..functions.text import portable
 from ..schemas import PHRASES
 
-#: A library beyond this size is refused: it is matched as constants of the
-#: plan, which is only sound for a hand-kept list.
-MAX_PHRASES = 5000
-
 
 @dataclass(frozen=True)
 class Phrase:
@@ -93,8 +89,6 @@ def load_library(folder: str) -> Library:
                 raise ValueError(f"duplicate phrase id {phrase.id!r} in {path.name}")
             re.compile(phrase.source)
             phrases[phrase.id] = phrase
-    if len(phrases) > MAX_PHRASES:
-        raise ValueError(f"{len(phrases)} phrases; the limit is {MAX_PHRASES}")
     joined = "\n---\n".join(p.read_text(encoding="utf-8") for p in files)
     return Library(list(phrases.values()), hashlib.sha256(joined.encode()).hexdigest(), [p.name for p in files])
 

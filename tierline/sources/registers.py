@@ -8,7 +8,12 @@ from pyspark.sql import functions as F
 BOM = "\ufeff"
 
 
-def _read_csv(spark: SparkSession, path, encoding: str, multiline: bool) -> DataFrame:
+def _read_csv(spark: SparkSession, path, encoding: str, splittable: bool) -> DataFrame:
+    """Quoted values may hold line breaks, so a file is one task's work.
+
+    ``splittable`` cuts large files over many tasks and is only for files
+    known to have no line break inside quotes.
+    """
     df = spark.read.csv(
         path,
         header=True,
@@ -16,20 +21,20 @@ def _read_csv(spark: SparkSession, path, encoding: str, multiline: bool) -> Data
         mode="PERMISSIVE",  # short rows are padded with nulls, long ones cut
         quote='"',
         escape='"',
-        multiLine=multiline,
-        enforceSchema=False if multiline else None,
+        multiLine=not splittable,
+        enforceSchema=None if splittable else False,
     )
     return df.toDF(*[c.replace(BOM, "").strip() if c.startswith(BOM) else c for c in df.columns])
 
 
-def read_register(spark: SparkSession, path, multiline: bool = False) -> DataFrame:
-    """School register, Latin-1. Leave ``multiline`` off to keep files splittable."""
-    return _read_csv(spark, path, "ISO-8859-1", multiline)
+def read_register(spark: SparkSession, path, splittable: bool = False) -> DataFrame:
+    """School register, Latin-1."""
+    return _read_csv(spark, path, "ISO-8859-1", splittable)
 
 
-def read_inspections_csv(spark: SparkSession, path, multiline: bool = False) -> DataFrame:
+def read_inspections_csv(spark: SparkSession, path, splittable: bool = False) -> DataFrame:
     """Inspection file, UTF-8 with or without a byte-order mark."""
-    return _read_csv(spark, path, "UTF-8", multiline)
+    return _read_csv(spark, path, "UTF-8", splittable)
 
 
 def latest_snapshot(spark: SparkSession, folder: str) -> str:
@@ -44,6 +49,6 @@ def latest_snapshot(spark: SparkSession, folder: str) -> str:
     return newest["path"]
 
 
-def read_provider_register(spark: SparkSession, folder: str) -> DataFrame:
+def read_provider_register(spark: SparkSession, folder: str, splittable: bool = False) -> DataFrame:
     """The newest approved-provider file of a landing folder."""
-    return _read_csv(spark, latest_snapshot(spark, folder), "UTF-8", False)
+    return _read_csv(spark, latest_snapshot(spark, folder), "UTF-8", splittable)

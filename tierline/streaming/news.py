@@ -2,7 +2,15 @@
 
 Each micro-batch appends the new state of the rows it touched; the table is
 the newest state per key. Nothing is rewritten in place, and a batch that is
-retried replaces its own folder, so the result is exactly-once.
+retried replaces its own folder, so the result is exactly-once. Of several
+sights of a row the one seen last wins, whatever batch it came in; no sight is
+dropped for being late.
+
+Layout under the table's folder: ``log/batch=<n>/bucket=<b>`` holds states by
+batch and key bucket; ``base/upto=<n>/bucket=<b>`` holds the folded states of
+all batches up to n, written by ``compact`` and valid once ``bases`` names it.
+A batch reads only the buckets it touches, of the newest base and of the
+batches after it.
 """
 
 from __future__ import annotations
@@ -17,16 +25,42 @@ from ..operators.ranking import top_n_per
 from ..schemas import NEWS_ITEMS
 
 KEYS = ["url", "institution_id"]
+BUCKETS = 64
+STATE = f"{NEWS_ITEMS}, seen_at timestamp"
+
+
+def _bucket():
+    return F.pmod(F.xxhash64(*KEYS), F.lit(BUCKETS)).cast("int")
+
+
+def _read(spark: SparkSession, folder: str, schema: str) -> DataFrame:
+    try:
+        return spark.read.schema(schema).option("basePath", folder).parquet(folder)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def _states(spark: SparkSession, table: str, before: int | None = None) -> DataFrame:
+    """All stored states that count, with their batch and bucket."""
+    upto = _read(spark, f"{table}/bases", "upto bigint").agg(F.max("upto")).first()[0]
+    log = _read(spark, f"{table}/log", f"{STATE}, batch bigint, bucket int")
+    if before is not None:
+        log = log.where(F.col("batch") < before)
+    if upto is None:
+        return log
+    base = _read(spark, f"{table}/base", f"{STATE}, upto bigint, bucket int").where(F.col("upto") == upto)
+    return log.where(F.col("batch") > upto).unionByName(base.withColumnRenamed("upto", "batch"))
+
+
+def _newest(states: DataFrame) -> DataFrame:
+    return top_n_per(states, KEYS, [F.col("batch").desc()], 1)
 
 
 def current_news(spark: SparkSession, table: str) -> DataFrame:
     """Newest state of every news row (empty before the first batch)."""
-    schema = f"{NEWS_ITEMS}, batch bigint"
-    try:
-        log = spark.read.schema(schema).option("basePath", table).parquet(table)
-    except AnalysisException:
-        log = spark.createDataFrame([], schema)
-    return top_n_per(log, KEYS, [F.col("batch").desc()], 1)
+    return _newest(_states(spark, table)).drop("bucket", "seen_at")
 
 
 def merge_batch(table: str, trade_feed: bool = True):
@@ -34,28 +68,49 @@ def merge_batch(table: str, trade_feed: bool = True):
 
     def run(found: DataFrame, batch_id: int) -> None:
         spark = found.sparkSession
-        earlier = current_news(spark, table).where(F.col("batch") < batch_id).drop("batch")
         touched = found.select(*KEYS).distinct()
-        known = earlier.join(touched, KEYS, "left_semi")
-        ordered = found.withColumn("row_no", F.monotonically_increasing_id())
-        merged = merge_news(known, ordered, trade_feed)
-        merged.write.mode("overwrite").parquet(f"{table}/batch={batch_id}")
+        buckets = [r[0] for r in touched.select(_bucket()).distinct().collect()]  # at most BUCKETS numbers
+        # pruned to the batch's buckets and keys before states are compared
+        mine = _states(spark, table, before=batch_id).where(F.col("bucket").isin(buckets)).join(touched, KEYS, "left_semi")
+        known = _newest(mine).drop("batch", "bucket")
+        held = known.select(*KEYS, F.col("seen_at").alias("__held"))
+        newer = found.join(held, KEYS, "left").where(F.col("__held").isNull() | (F.col("seen_at") >= F.col("__held")))
+        # the order of sights is a fact of the rows, not of tasks: a retry folds them alike
+        place = F.struct("seen_at", F.xxhash64(*[c for c in found.columns if c != "seen_at"]))
+        ordered = newer.drop("__held").withColumn("row_no", place)
+        merged = merge_news(known.drop("seen_at"), ordered.drop("seen_at"), trade_feed)
+        last = newer.groupBy(*KEYS).agg(F.max("seen_at").alias("seen_at"))
+        # keys whose sights are all older than the stored state keep that state
+        out = merged.join(last, KEYS).withColumn("bucket", _bucket())
+        out.write.mode("overwrite").partitionBy("bucket").parquet(f"{table}/log/batch={batch_id}")
 
     return run
 
 
-def stream_merge_news(found: DataFrame, table: str, checkpoint: str, watermark: str = "7 days") -> StreamingQuery:
+def compact(spark: SparkSession, table: str) -> None:
+    """Fold all stored batches into one base. Run it between streams, not beside one.
+
+    The log is left as it is and no longer read; its folders up to the base
+    may be removed.
+    """
+    states = _states(spark, table)
+    upto = states.agg(F.max("batch")).first()[0]
+    if upto is None:
+        return
+    folded = _newest(states).drop("batch")
+    folded.write.mode("overwrite").partitionBy("bucket").parquet(f"{table}/base/upto={upto}")
+    spark.range(upto, upto + 1).toDF("upto").write.mode("append").parquet(f"{table}/bases")
+
+
+def stream_merge_news(found: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
     """Start the merge on a streaming frame of matched news rows.
 
     ``found`` carries url, institution_id, source, title, excerpt,
-    published_at, relevance, content_hash and the event time ``seen_at``.
-    Unchanged repeats inside the watermark are dropped with bounded state; a
-    changed item has another content hash and is merged.
+    published_at, relevance, content_hash and the event time ``seen_at``. The
+    merge is idempotent, so no state is kept to drop repeats.
     """
-    unique = found.withWatermark("seen_at", watermark).dropDuplicatesWithinWatermark([*KEYS, "content_hash"])
     return (
-        unique.drop("seen_at")
-        .writeStream.foreachBatch(merge_batch(table))
+        found.writeStream.foreachBatch(merge_batch(table))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
