@@ -650,7 +650,11 @@ def _(v: Views) -> DataFrame:
     return lists.directory_cohort(v.institutions, 500)
 
 
-@query("qa_sample")
+@query(
+    "qa_sample",
+    """SELECT i.id AS institution_id, i.name, i.region, i.type, n.inspection_start_date FROM (SELECT institution_id, arg_min(inspection_id, id) AS inspection_id FROM {findings} WHERE NOT suppressed GROUP BY 1
+         ORDER BY md5('7:' || CAST(institution_id AS VARCHAR)) LIMIT 10) p JOIN {institutions} i ON i.id = p.institution_id JOIN {inspections} n ON n.id = p.inspection_id""",
+)
 def _(v: Views) -> DataFrame:
     return lists.qa_sample(tables(v, False), 10, seed=7)
 
@@ -789,9 +793,115 @@ def _full_tables(v: Views) -> Tables:
     return Tables(t.institutions, t.inspections, sections(v), t.findings, t.matches, t.notices, t.news, t.scores, t.runs)
 
 
-@query("briefs")
-def _(v: Views) -> DataFrame:
-    return briefs.briefs(_full_tables(v), ["critical", "high"], ["itp", "fe_college", "university"], "2003-03-31")
+def _json(*fields: str) -> str:
+    """DuckDB: one JSON object of the fields that are not null."""
+    parts = ", ".join(f"""CASE WHEN {f} IS NOT NULL THEN '"{f.split('.')[-1]}":' || CAST(to_json({f}) AS VARCHAR) END""" for f in fields)
+    return f"'{{' || array_to_string(list_filter([{parts}], lambda x: x IS NOT NULL), ',') || '}}'"
+
+
+#: The quoted sections and their widths; fixed values.
+_QUOTED = """what_provider_needs_to_improve what_school_needs_to_improve areas_for_action areas_for_improvement recommendations apprenticeships
+  adult_learning young_peoples_provision high_needs_provision quality_of_education behaviour_attitudes personal_development
+  leadership_management safeguarding main_findings""".split()
+
+
+def _quotes(main: int) -> str:
+    cap = f"CASE WHEN section_key = 'main_findings' THEN {main} ELSE 1800 END"
+    return f"""SELECT inspection_id, section_key, order_index, CASE WHEN length(x) > {cap} THEN substr(x, 1, {cap}) || '…' ELSE x END AS quote
+      FROM (SELECT *, regexp_replace(section_text, '^[\\s\u00a0]+|[\\s\u00a0]+$', '', 'g') AS x FROM {{t1}}
+        WHERE section_key IN ({', '.join(f"'{k}'" for k in _QUOTED)}) QUALIFY row_number() OVER (PARTITION BY inspection_id, section_key ORDER BY order_index) = 1) y WHERE length(x) >= 30"""
+
+
+_GRADE_BADGE = """CASE WHEN coalesce({g}, '') = '' THEN '—' WHEN {g} = 'outstanding' THEN '🟢 outstanding' WHEN {g} = 'good' THEN '🔵 good' WHEN {g} = 'requires_improvement' THEN '🟠 requires improvement'
+  WHEN {g} = 'inadequate' THEN '🔴 inadequate' ELSE {g} END"""
+_SECTION_LABEL = """CASE section_key WHEN 'what_provider_needs_to_improve' THEN 'What this provider needs to improve' WHEN 'what_school_needs_to_improve' THEN 'What this school needs to improve'
+  WHEN 'areas_for_action' THEN 'Areas for action' WHEN 'areas_for_improvement' THEN 'Areas for improvement' WHEN 'recommendations' THEN 'Recommendations' WHEN 'apprenticeships' THEN 'Apprenticeships'
+  WHEN 'adult_learning' THEN 'Adult learning programmes' WHEN 'young_peoples_provision' THEN 'Education programmes for young people' WHEN 'high_needs_provision' THEN 'Provision for learners with high needs'
+  WHEN 'quality_of_education' THEN 'Quality of education' WHEN 'behaviour_attitudes' THEN 'Behaviour and attitudes' WHEN 'personal_development' THEN 'Personal development'
+  WHEN 'leadership_management' THEN 'Leadership and management' WHEN 'safeguarding' THEN 'Safeguarding' ELSE 'What is it like to be a learner here / What does the provider do well' END"""
+_HISTORY_FIELDS = [
+    ("Apprenticeships", "apprenticeships"), ("Adult learning programmes", "adult_learning_programmes"), ("Education programmes for young people", "young_peoples_provision"),
+    ("Provision for learners with high needs", "high_needs_provision"), ("Contribution to meeting skills needs", "contribution_to_skills"), ("Quality of education", "quality_of_education"),
+    ("Behaviour and attitudes", "behaviour_attitudes"), ("Personal development", "personal_development"), ("Leadership and management", "leadership_management"),
+]
+_NL = "chr(10)"
+
+
+def _opt(label: str, column: str, tail: str = "") -> str:
+    return f"CASE WHEN coalesce(CAST({column} AS VARCHAR), '') <> '' THEN '{label}' || {column} || '{tail}' END"
+
+
+def _brief_sql(tiers: list[str], types: list[str], as_of: str) -> str:
+    """(institution_id, file_name, block, place, item_id, text) of all lines of all briefs."""
+    known = "FROM bc c LEFT JOIN"
+    listed = lambda xs: ", ".join(f"'{x}'" for x in xs)
+    subs = ", ".join(
+        f"'- {label}: ' || CAST({c}_score AS VARCHAR)"
+        for c, label in (("financial_literacy", "Financial Literacy"), ("employability_skills", "Employability Skills"), ("confidence_resilience", "Confidence & Resilience"), ("online_safety", "Online Safety"))
+    )
+    head = f"""concat_ws({_NL}, '# ' || name, '', '**' || CASE tier WHEN 'critical' THEN '🔴 CRITICAL' WHEN 'high' THEN '🟠 HIGH' WHEN 'worth_a_look' THEN '🟡 worth a look' ELSE tier END || '** · score **' || score
+        || '** · urgency ' || urgency_score || ' · pipeline ' || pipeline_value_score, {_NL} || '## Identity' || {_NL},
+      '- **Type**: ' || type || CASE WHEN coalesce(apprenticeship_standards, 0) > 0 THEN ' · ' || apprenticeship_standards || ' apprenticeship standards' ELSE '' END,
+      {_opt('- **UKPRN**: ', 'ukprn')}, {_opt('- **URN**: ', 'urn')},
+      '- **Location**: ' || nullif(concat_ws(', ', nullif(postcode, ''), nullif(local_authority, ''), nullif(region, '')), ''),
+      {_opt('- **Website**: ', 'website')}, {_opt('- **Email**: ', 'general_email')}, {_opt('- **Lead contact**: ', 'head_name')}, {_NL} || '## Lead-with curriculum' || {_NL},
+      CASE WHEN top_curriculum IS NOT NULL THEN concat_ws({_NL}, '**' || CASE top_curriculum WHEN 'financial_literacy' THEN 'Financial Literacy' WHEN 'employability_skills' THEN 'Employability Skills'
+          WHEN 'confidence_resilience' THEN 'Confidence & Resilience' WHEN 'online_safety' THEN 'Online Safety' END || '** (sub-score ' || top_curriculum_score || ')', '', {subs})
+        ELSE '_No curriculum recommendation yet (no inspection signal)._' END,
+      {_NL} || '## Why this is on the list' || {_NL},
+      CASE WHEN len(list_filter(critical_signals, lambda s: trim(s) <> '')) > 0 THEN array_to_string(list_transform(list_filter(critical_signals, lambda s: trim(s) <> ''), lambda s: '- ' || s), {_NL}) ELSE '_No signals recorded._' END,
+      {_NL} || '## Ofsted history' || {_NL})"""
+    history = f"""concat_ws({_NL}, '### ' || {_GRADE_BADGE.format(g='overall_grade')} || ' · ' || inspection_start_date || CASE WHEN coalesce(previous_overall_grade, '') <> '' THEN ' (was: ' || previous_overall_grade
+        || CASE WHEN grade_dropped THEN ' — dropped' ELSE '' END || ')' ELSE '' END, '', {', '.join(_opt(f'- {label}: **', c, '**') for label, c in _HISTORY_FIELDS)},
+      CASE WHEN safeguarding_effective THEN '- Safeguarding: Met' WHEN NOT safeguarding_effective THEN '- Safeguarding: **NOT MET**' END, {_opt('- [Report](', 'report_url', ')')}, '')"""
+    order = "CASE section_key " + " ".join(f"WHEN '{k}' THEN {i}" for i, k in enumerate(_QUOTED)) + " END"
+    return f"""WITH bc AS (SELECT i.*, s.* EXCLUDE (institution_id), i.id AS institution_id FROM {{institutions}} i JOIN {{scores}} s ON s.institution_id = i.id WHERE i.in_scope AND s.tier IN ({listed(tiers)}) AND i.type IN ({listed(types)})),
+      bi AS (SELECT n.*, row_number() OVER (PARTITION BY n.institution_id ORDER BY n.inspection_start_date DESC, n.id) AS rn, count(*) OVER (PARTITION BY n.institution_id) AS n FROM {{inspections}} n JOIN bc ON bc.id = n.institution_id),
+      bl AS (SELECT n.* FROM bi n WHERE EXISTS (SELECT 1 FROM {{t1}} s WHERE s.inspection_id = n.id) QUALIFY row_number() OVER (PARTITION BY n.institution_id ORDER BY n.inspection_start_date DESC, n.id) = 1),
+      bn AS (SELECT n.*, row_number() OVER (PARTITION BY n.institution_id, n.withdrawn_at IS NULL ORDER BY n.severity DESC, n.id) AS rn FROM {{notices}} n JOIN bc ON bc.id = n.institution_id),
+      bk AS (SELECT institution_id, count(*) FILTER (withdrawn_at IS NULL) AS n_open, count(*) FILTER (withdrawn_at IS NOT NULL) AS n_closed FROM bn GROUP BY 1),
+      bw AS (SELECT n.*, row_number() OVER (PARTITION BY n.institution_id ORDER BY n.trigger_severity DESC, n.published_at DESC NULLS LAST, n.id) AS rn FROM {{news}} n JOIN bc ON bc.id = n.institution_id
+        WHERE n.relevance >= 50 AND (n.trigger_severity > 0 OR n.angle IS NULL) QUALIFY rn <= 8),
+      bm AS (SELECT institution_id, count(*) AS n, count(*) FILTER (trigger_severity >= 40) AS strong FROM bw GROUP BY 1),
+      bf AS (SELECT n.*, row_number() OVER (PARTITION BY n.institution_id ORDER BY n.final_severity DESC, n.id) AS rn FROM {{findings}} n JOIN bc ON bc.id = n.institution_id WHERE NOT n.suppressed),
+      bq AS ({_quotes(2400)}),
+      lines AS (
+        SELECT institution_id, 0 AS block, 0.0 AS place, 0 AS item_id, {head} AS text FROM bc
+        UNION ALL SELECT institution_id, 1, rn, id, {history} FROM bi WHERE rn <= 3
+        UNION ALL SELECT c.institution_id, 2, 0, 0, CASE WHEN x.n IS NULL THEN '_No inspection records on file._' ELSE '_+ ' || (x.n - 3) || CASE WHEN x.n = 4 THEN ' earlier inspection' ELSE ' earlier inspections' END || ' in the database._' || {_NL} END
+          {known} (SELECT institution_id, any_value(n) AS n FROM bi GROUP BY 1) x ON x.institution_id = c.institution_id WHERE x.n IS NULL OR x.n > 3
+        UNION ALL SELECT l.institution_id, 3, 0, 0, concat_ws({_NL}, {_NL} || '## Verbatim from the latest inspection report' || {_NL}, 'Inspection of ' || c.name || ' · ' || l.inspection_start_date || ' · grade: **' || {_GRADE_BADGE.format(g='l.overall_grade')} || '**.',
+            {_opt('[Full report](', 'l.report_url', ')')}, '', 'Direct quotes from the report. Use these in outreach without paraphrasing — they''re exactly what the inspector wrote.' || {_NL})
+          FROM bl l JOIN bc c ON c.institution_id = l.institution_id WHERE EXISTS (SELECT 1 FROM {{t1}} s WHERE s.inspection_id = l.id AND s.section_key IN ({listed(_QUOTED)}))
+        UNION ALL SELECT l.institution_id, 4, {order}, q.inspection_id, concat_ws({_NL}, '### ' || {_SECTION_LABEL}, '',
+            array_to_string(list_transform(string_split_regex(q.quote, '\r?\n'), lambda x: CASE WHEN regexp_replace(x, '^[\\s ]+|[\\s ]+$', '', 'g') = '' THEN '>' ELSE '> ' || regexp_replace(x, '^[\\s ]+|[\\s ]+$', '', 'g') END), {_NL}), '')
+          FROM bq q JOIN bl l ON l.id = q.inspection_id
+        UNION ALL SELECT c.institution_id, 5, 0, 0, {_NL} || '## Compliance signals' || {_NL} || CASE WHEN k.n_open IS NULL THEN {_NL} || '_No public regulatory or financial-health notices on file._' || {_NL} WHEN k.n_open > 0 THEN {_NL} || '### Active' || {_NL} ELSE '' END
+          {known} bk k ON k.institution_id = c.institution_id
+        UNION ALL SELECT institution_id, 6, -severity, id, concat_ws({_NL}, '- **' || subject || '** · severity ' || severity, '  ' || notice_body || ' · ' || notice_type || coalesce(' · issued ' || nullif(issued_at, ''), ''),
+            CASE WHEN coalesce(details, '') <> '' THEN '  > ' || substr(details, 1, 240) END, {_opt('  [Source](', 'source_url', ')')}, '') FROM bn WHERE withdrawn_at IS NULL
+        UNION ALL SELECT institution_id, 7, 0, 0, '### Historical (withdrawn / closed)' || {_NL} FROM bk WHERE n_closed > 0
+        UNION ALL SELECT institution_id, 8, rn, id, '- ' || subject || ' (closed ' || withdrawn_at || ')' FROM bn WHERE withdrawn_at IS NOT NULL AND rn <= 4
+        UNION ALL SELECT institution_id, 9, 0, 0, '- _+ ' || (n_closed - 4) || ' more_' FROM bk WHERE n_closed > 4
+        UNION ALL SELECT c.institution_id, 10, 0, 0, {_NL} || '## News signals' || {_NL} || CASE WHEN coalesce(m.strong, 0) = 0 THEN concat_ws({_NL}, {_NL} || '_No high-trigger news matched in the last extraction pass._',
+            CASE WHEN coalesce(m.n, 0) > 0 THEN '_(' || m.n || ' low-signal items in DB.)_' END, '') ELSE '' END {known} bm m ON m.institution_id = c.institution_id
+        UNION ALL SELECT institution_id, 11, rn, id, concat_ws({_NL}, '- **' || title || '** · severity ' || trigger_severity || ' · relevance ' || relevance,
+            '  ' || source || coalesce(' · ' || nullif(published_at, ''), '') || coalesce(' · curricula: ' || nullif(curricula_tagged, ''), ''), CASE WHEN coalesce(angle, '') NOT IN ('', 'no angle') THEN '  > ' || angle END,
+            {_opt('  [Read](', 'url', ')')}, '') FROM bw WHERE trigger_severity >= 40
+        UNION ALL SELECT DISTINCT institution_id, 12, 0, 0, {_NL} || '## Verbatim inspection findings' || {_NL} || {_NL} || 'Quotes you can drop directly into outreach. Severity drives the score.' || {_NL} FROM bf
+        UNION ALL SELECT institution_id, 13, rn, id, concat_ws({_NL}, '- **' || phrase_id || '** (severity ' || CAST(CAST(CAST(final_severity AS DECIMAL(18, 6)) AS DECIMAL(18, 1)) AS VARCHAR) || ', ' || section_key || ')',
+            '  > ' || substr(replace(source_quote, {_NL}, ' '), 1, 360), '') FROM bf WHERE rn <= 6
+        UNION ALL SELECT institution_id, 14, 0, 0, '---' || {_NL} || {_NL} || '_Generated · {as_of}_' FROM bc)
+      SELECT l.institution_id, coalesce(nullif(c.ukprn, ''), 'id' || c.id) || '-' || left(regexp_replace(regexp_replace(lower(c.name), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 60) || '.md' AS file_name,
+        CAST(l.block AS INT) AS block, CAST(l.place AS DOUBLE) AS place, CAST(l.item_id AS BIGINT) AS item_id, l.text FROM lines l JOIN bc c ON c.institution_id = l.institution_id"""
+
+
+_BRIEF_TYPES = ["itp", "fe_college", "university"]
+
+
+@query("briefs", _brief_sql(["critical", "high"], _BRIEF_TYPES, "2003-03-31"))
+def _(v: Views) -> DataFrame:
+    return briefs.briefs(_full_tables(v), ["critical", "high"], _BRIEF_TYPES, "2003-03-31")
 
 
 @query(
@@ -806,6 +916,23 @@ def _(v: Views) -> DataFrame:
     return lines.where(F.col("block").isin(0, 1, 5, 6, 10, 14)).groupBy("block").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("detail_records")
+@query("section_quotes", _quotes(2400))
+def _(v: Views) -> DataFrame:
+    from .q_texts import sections
+
+    return detail.section_quotes(sections(v), main_findings_cap=2400, cap=1800)
+
+
+@query(
+    "detail_records",
+    f"""SELECT institution_id, 'inspection' AS kind, CAST(NULL AS DOUBLE) AS rank_number, inspection_start_date AS rank_text, id AS item_id,
+          {_json('inspection_body', 'overall_grade', 'previous_overall_grade', 'grade_dropped', 'report_url')} AS payload FROM {{inspections}}
+        UNION ALL SELECT institution_id, 'finding', CAST(final_severity AS DOUBLE), NULL, id, {_json('phrase_id', 'section_key', 'source_quote', 'suppressed')} FROM {{findings}}
+        UNION ALL SELECT institution_id, 'notice', CAST(severity AS DOUBLE), issued_at, id, {_json('notice_body', 'notice_type', 'subject', 'withdrawn_at', 'source_url')} FROM {{notices}}
+        UNION ALL SELECT institution_id, 'news', CAST(trigger_severity AS DOUBLE), published_at, id, {_json('title', 'url', 'relevance', 'angle')} FROM {{news}}
+        UNION ALL SELECT l.institution_id, 'section', CAST(-q.order_index AS DOUBLE), NULL, q.inspection_id, {_json('q.section_key', 'q.quote')} FROM ({_quotes(1800)}) q
+          JOIN (SELECT n.id, n.institution_id FROM {{inspections}} n WHERE EXISTS (SELECT 1 FROM {{t1}} s WHERE s.inspection_id = n.id)
+            QUALIFY row_number() OVER (PARTITION BY n.institution_id ORDER BY n.inspection_start_date DESC, n.id) = 1) l ON l.id = q.inspection_id""",
+)
 def _(v: Views) -> DataFrame:
-    return detail.detail_records(_full_tables(v))
+    return detail.detail_records(_full_tables(v), quote_cap=1800)

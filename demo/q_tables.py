@@ -16,6 +16,7 @@ from tierline.streaming.news import compact, current_news, stream_merge_news
 
 from .q_columns import sql_date, sql_grade, sql_name
 from .q_reports import EXPORT, tables
+from .q_reports import _brief_sql as BRIEF_SQL
 from .registry import SHARED, query
 from .views import AS_OF, Views
 
@@ -97,24 +98,65 @@ _FEED = """SELECT e.event_id AS row_no, CASE e.event_type WHEN 'click' THEN i.na
   FROM {events} e JOIN {institutions} i ON i.id = e.user_id"""
 
 
-@query("feed_notices")
+SHARED["feed"] = _FEED
+
+
+def _matched(keys: str) -> str:
+    """(k, institution_id) of distinct name keys: the lowest id with that key, else the only containment partner."""
+    return f"""SELECT t.k, coalesce((SELECT min(d.id) FROM {{name_index}} d WHERE d.k = t.k AND length(t.k) >= 4),
+      (SELECT CASE WHEN count(*) = 1 THEN min(d.id) END FROM {{name_index}} d WHERE length(t.k) >= 5 AND length(d.k) >= 5 AND (contains(d.k, t.k) OR contains(t.k, d.k))
+         AND least(length(d.k), length(t.k)) / CAST(greatest(length(d.k), length(t.k)) AS DOUBLE) >= 0.5)) AS institution_id
+      FROM (SELECT DISTINCT k FROM ({keys}) x) t"""
+
+
+SHARED["feed_classed"] = r"""SELECT *, CASE WHEN regexp_matches(t, '(?i)notice to improve|financial notice|quality notice|governance notice') THEN 'govuk.notice_issued'
+    WHEN regexp_matches(t, '(?i)intervention|commissioner') THEN 'govuk.intervention_announced' ELSE 'govuk.compliance_action' END AS nt
+  FROM (SELECT *, title || chr(10) || summary AS t FROM {feed}) f
+  WHERE regexp_matches(t, '(?i)\b(notice to improve|financial notice|quality notice|governance notice|intervention|removed from\s+(the\s+)?(register|apar|roatp)|suspended from\s+(apar|roatp)|subcontracting standard|minimum standards|(fe\s+)?commissioner|safeguarding (concern|failure|investigation)|fraud (investigation|charges?))\b')""".replace("\\\\", "\\")
+SHARED["feed_candidates"] = f"""SELECT row_no, {sql_name('candidate')} AS k FROM (
+    SELECT row_no, trim(p) AS candidate FROM (SELECT row_no, unnest(string_split(title, ':')) AS p FROM {{feed_classed}}) a WHERE length(trim(p)) >= 6 AND regexp_matches(trim(p), '[A-Z]')
+    UNION SELECT row_no, trim(regexp_extract(title, '(?i)(report on|notice (issued )?to)\\s+(.+?)(\\.|$)', 3)) FROM {{feed_classed}} WHERE regexp_matches(title, '(?i)(report on|notice (issued )?to)\\s+(.+?)(\\.|$)')) b"""
+SHARED["feed_matched"] = _matched("SELECT k FROM {feed_candidates}")
+_KEPT = "SELECT institution_id, notice_body, notice_type, source_url, {more} FROM {{notices}}"
+
+
+@query(
+    "feed_notices",
+    f"""{_KEPT.format(more='subject').replace('{{', '{').replace('}}', '}')}
+        UNION ALL SELECT DISTINCT m.institution_id, 'govuk', c.nt, c.link, c.title FROM {{feed_classed}} c JOIN {{feed_candidates}} n ON n.row_no = c.row_no JOIN {{feed_matched}} m ON m.k = n.k
+        WHERE m.institution_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM {{notices}} x WHERE x.source_url = c.link)""",
+)
 def _(v: Views) -> DataFrame:
     found = nf.feed_notices(v.sql(_FEED), v.institutions)
     return nf.merge_feed_notices(v.notices, found).select("institution_id", "notice_body", "notice_type", "source_url", "subject")
 
 
-@query("list_notices")
+SHARED["list_classed"] = f"""SELECT *, {sql_name('college')} AS k, CASE WHEN regexp_matches(title, '(?i)financial') THEN 'esfa.notice_to_improve_financial' WHEN regexp_matches(title, '(?i)quality') THEN 'esfa.notice_to_improve_quality'
+    WHEN regexp_matches(title, '(?i)governance') THEN 'esfa.notice_to_improve_governance' ELSE 'esfa.notice_to_improve_other' END AS nt,
+    regexp_matches(title, '(?i)^(closed|revoked)\\b') OR regexp_matches(section, '(?i)closed') AS closed
+  FROM (SELECT *, CASE WHEN contains(title, ':') AND coalesce(side, '') <> '' THEN side ELSE title END AS college FROM (
+    SELECT *, list_filter(list_transform(string_split(title, ':'), lambda p: trim(p)), lambda p: NOT regexp_matches(p, '(?i)notice to improve|financial|quality|governance'))[1] AS side FROM {{feed}}) a) b"""
+SHARED["list_matched"] = _matched("SELECT k FROM {list_classed}")
+
+
+@query(
+    "list_notices",
+    f"""{_KEPT.format(more='withdrawn_at, CAST(severity AS INT) AS severity').replace('{{', '{').replace('}}', '}')}
+        UNION ALL SELECT m.institution_id, 'esfa', c.nt, c.link, CASE WHEN c.closed THEN '{AS_OF}' END,
+          CAST(CASE WHEN c.closed THEN 30 ELSE CASE c.nt WHEN 'esfa.notice_to_improve_quality' THEN 95 WHEN 'esfa.notice_to_improve_other' THEN 80 ELSE 88 END END AS INT)
+        FROM {{list_classed}} c JOIN {{list_matched}} m ON m.k = c.k
+        WHERE m.institution_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM {{notices}} x WHERE x.source_url = c.link)""",
+)
 def _(v: Views) -> DataFrame:
     entries = v.sql(_FEED).withColumnRenamed("link", "href")
     found = nf.list_notices(entries, v.institutions, AS_OF)
     return nf.merge_list_notices(v.notices, found).select("institution_id", "notice_body", "notice_type", "source_url", "withdrawn_at", "severity")
 
 
-@query("split_active", "SELECT withdrawn_at IS NULL AS is_active, notice_body, CAST(count(*) AS BIGINT) AS n FROM {notices} GROUP BY 1, 2")
+@query("split_active", "SELECT id, withdrawn_at IS NULL AS is_active FROM {notices}")
 def _(v: Views) -> DataFrame:
     active, closed = nf.split_active(v.notices)
-    both = active.withColumn("is_active", F.lit(True)).unionByName(closed.withColumn("is_active", F.lit(False)))
-    return both.groupBy("is_active", "notice_body").agg(F.count(F.lit(1)).alias("n"))
+    return active.withColumn("is_active", F.lit(True)).unionByName(closed.withColumn("is_active", F.lit(False))).select("id", "is_active")
 
 
 # ---- register, news, inspections ---------------------------------------------
@@ -277,10 +319,11 @@ def _(v: Views) -> DataFrame:
 
 @query(
     "seed_commissioners",
-    f"""SELECT type, source, CAST(count(*) AS BIGINT) AS n FROM (SELECT type, source FROM {{institutions}} UNION ALL SELECT 'employer', 'skills_bootcamps' FROM range({len(COMMISSIONERS)})) x GROUP BY 1, 2""",
+    f"""SELECT name, type, region, source, in_scope, general_email, website FROM {{institutions}}
+        UNION ALL SELECT n, 'employer', r, 'skills_bootcamps', TRUE, e, w FROM (VALUES {', '.join('(' + ', '.join('NULL' if x is None else "'" + x.replace("'", "''") + "'" for x in row) + ')' for row in COMMISSIONERS)}) c(r, n, e, w)""",
 )
 def _(v: Views) -> DataFrame:
-    return seed_commissioners(v.institutions).groupBy("type", "source").agg(F.count(F.lit(1)).alias("n"))
+    return seed_commissioners(v.institutions).select("name", "type", "region", "source", "in_scope", "general_email", "website")
 
 
 # ---- entity resolution --------------------------------------------------------
@@ -447,16 +490,27 @@ def _(v: Views) -> DataFrame:
     return v.spark.read.csv(path, header=True, escape='"', multiLine=True)
 
 
-@query("write_briefs")
+SHARED["brief_lines"] = BRIEF_SQL(["critical", "high"], ["itp"], AS_OF)
+
+
+@query(
+    "write_briefs",
+    """SELECT file_name, CAST(unnest(range(1, len(w) + 1)) AS BIGINT) AS line, unnest(w) AS text FROM (
+         SELECT file_name, string_split(string_agg(text, chr(10) ORDER BY block, place, item_id), chr(10)) AS w FROM {brief_lines} GROUP BY 1) x""",
+)
 def _(v: Views) -> DataFrame:
+    """Every line of every written document, read back in the order of its parts."""
     from tierline.plans.briefs import briefs
 
     from .q_reports import _full_tables
 
     path = _landed(v, "briefs")
-    lines = briefs(_full_tables(v), ["high"], ["itp"], AS_OF)
+    lines = briefs(_full_tables(v), ["critical", "high"], ["itp"], AS_OF)
     sinks.write_briefs(lines, path)
-    return v.spark.read.text(path).groupBy("file_name").agg(F.count(F.lit(1)).alias("lines"))
+    back = v.spark.read.text(path).select("file_name", "value", "_metadata.file_name", "_metadata.file_block_start", F.monotonically_increasing_id().alias("at"))
+    back = back.toDF("file_name", "text", "part", "start", "at")
+    place = F.expr("row_number() OVER (PARTITION BY file_name ORDER BY part, start, at)").cast("long")
+    return back.select("file_name", place.alias("line"), "text")
 
 
 SHARED["sights"] = """SELECT id, url, institution_id, source, title, excerpt || ' ' || CAST(id % 5 AS STRING) AS excerpt, published_at, relevance + CAST(id % 3 AS INT) AS relevance, 'h' || CAST(id % 4 AS STRING) AS content_hash,

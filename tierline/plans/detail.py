@@ -35,12 +35,15 @@ QUOTED_SECTIONS = {
     "safeguarding": "Safeguarding",
     "main_findings": "What is it like to be a learner here / What does the provider do well",
 }
-MIN_QUOTE, QUOTE_CAP, MAIN_FINDINGS_CAP = 30, 1800, 2400
+MIN_QUOTE = 30
 # ---------------------------------------------------------------------------
 
 
-def section_quotes(sections: DataFrame, main_findings_cap: int = MAIN_FINDINGS_CAP) -> DataFrame:
-    """First section per key of an inspection, blanks trimmed, cut with an ellipsis."""
+def section_quotes(sections: DataFrame, main_findings_cap: int | None = None, cap: int | None = None) -> DataFrame:
+    """First section per key of an inspection, blanks trimmed.
+
+    A ``cap`` cuts longer quotes with an ellipsis; main findings have their own.
+    """
     first = top_n_per(
         sections.where(F.col("section_key").isin(*QUOTED_SECTIONS)),
         ["inspection_id", "section_key"],
@@ -48,8 +51,8 @@ def section_quotes(sections: DataFrame, main_findings_cap: int = MAIN_FINDINGS_C
         1,
     )
     text = strip(F.col("section_text"))
-    cap = F.when(F.col("section_key") == "main_findings", main_findings_cap).otherwise(QUOTE_CAP)
-    cut = F.when(F.length(text) > cap, F.concat(text.substr(F.lit(1), cap), F.lit("…"))).otherwise(text)
+    most = F.when(F.col("section_key") == "main_findings", F.lit(main_findings_cap)).otherwise(F.lit(cap))
+    cut = F.when(F.length(text) > most, F.concat(text.substr(F.lit(1), most), F.lit("…"))).otherwise(text)
     return first.where(F.length(text) >= MIN_QUOTE).select(
         "inspection_id", "section_key", "order_index", cut.alias("quote")
     )
@@ -79,7 +82,7 @@ def group_findings(findings: DataFrame) -> DataFrame:
     )
 
 
-def detail_records(t: Tables, ids: DataFrame | None = None) -> DataFrame:
+def detail_records(t: Tables, ids: DataFrame | None = None, quote_cap: int | None = None) -> DataFrame:
     """institution_id, kind, rank columns and a struct-as-JSON payload.
 
     One row per inspection, finding, notice, news item and quoted section. The
@@ -104,7 +107,7 @@ def detail_records(t: Tables, ids: DataFrame | None = None) -> DataFrame:
         t.inspections.select("id", "institution_id", "inspection_start_date"),
         t.sections, "institution_id", "inspection_start_date", "inspection_id",
     ).select(F.col("id").alias("inspection_id"), "institution_id")
-    quotes = section_quotes(t.sections, QUOTE_CAP).join(latest, "inspection_id").withColumn("id", F.col("inspection_id"))
+    quotes = section_quotes(t.sections, quote_cap, quote_cap).join(latest, "inspection_id").withColumn("id", F.col("inspection_id"))
     return (
         block(
             t.inspections, "inspection", F.lit(None), F.col("inspection_start_date"),
