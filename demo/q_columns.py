@@ -649,16 +649,10 @@ def _(v: Views) -> DataFrame:
 def _(v: Views) -> DataFrame:
     from tierline.operators.joins import with_latest
 
-    templates = v.institutions.sparkSession.createDataFrame(
-        [
-            (
-                "online_safety",
-                "Subject: Hello {{institution_name}} in {{ region }}\n\nDear {{head_name}},\nnow {{current_grade}}, see "
-                "{{report_url}} and {{other_key}}.\n",
-            )
-        ],
-        "curriculum string, template string",
-    )
+    templates = {
+        "online_safety": "Subject: Hello {{institution_name}} in {{ region }}\n\nDear {{head_name}},\nnow {{current_grade}}, see "
+        "{{report_url}} and {{other_key}}.\n"
+    }
     df = with_latest(v.institutions, v.inspections).select(
         "id",
         F.col("name").alias("institution_name"),

@@ -774,13 +774,58 @@ def _(v: Views) -> DataFrame:
     return _dash("university")(v)["universe"]
 
 
-@query(
-    "provider_dashboard_top",
-    f"""SELECT i.id, array_to_string(s.critical_signals[1:3], ' · ') AS critical_signals FROM {{act}} i JOIN {{scores}} s ON s.institution_id = i.id
-        WHERE i.in_scope AND i.type = 'itp' AND s.tier = 'high' ORDER BY {_URGENT} LIMIT 30""",
-)
-def _(v: Views) -> DataFrame:
-    return joined(_dash("provider")(v)["high"]).select("id", "critical_signals")
+_SHORT = "array_to_string(s.critical_signals[1:3], ' · ') AS critical_signals"
+_TOP_COLUMNS = ["id", "name", "tier", "score", "critical_signals"]
+
+
+def _top_sql(source: str, kind: str, where: str, order: str) -> str:
+    return f"""SELECT i.id, i.name, s.tier, s.score, {_SHORT} FROM {{{source}}} i {kind} JOIN {{scores}} s ON s.institution_id = i.id LEFT JOIN {{lst}} l ON l.iid = i.id WHERE i.in_scope AND {where} {order}"""
+
+
+def _feed_sql(type_: str, kind: str, n: int) -> str:
+    if kind == "notices":
+        return f"""SELECT c.id, c.institution_id, i.name, i.ukprn, c.notice_body, c.notice_type, c.severity, c.subject, c.issued_at, c.source_url FROM {{notices}} c JOIN {{institutions}} i ON i.id = c.institution_id
+          WHERE i.type = '{type_}' AND c.withdrawn_at IS NULL ORDER BY c.severity DESC, c.issued_at DESC NULLS LAST, c.id LIMIT {n}"""
+    return f"""SELECT c.id, c.institution_id, i.name, i.ukprn, c.title, c.angle, c.trigger_severity, c.relevance, c.curricula_tagged, c.published_at, c.url, c.source FROM {{news}} c JOIN {{institutions}} i ON i.id = c.institution_id
+      WHERE i.type = '{type_}' AND c.trigger_severity >= 50 AND c.relevance >= 50 ORDER BY c.trigger_severity DESC, c.published_at DESC NULLS LAST, c.id LIMIT {n}"""
+
+
+def _flagged_sql(type_: str, since: str) -> str:
+    of = f"IN (SELECT id FROM {{institutions}} WHERE type = '{type_}')"
+    return f"""SELECT (SELECT count(DISTINCT institution_id) FROM {{notices}} WHERE withdrawn_at IS NULL AND institution_id {of}) AS active_compliance,
+      (SELECT count(DISTINCT institution_id) FROM {{inspections}} WHERE publication_date >= '{since}' AND overall_grade IN ('requires_improvement', 'inadequate') AND institution_id {of}) AS recent_weak,
+      (SELECT count(DISTINCT institution_id) FROM {{news}} WHERE trigger_severity >= 70 AND relevance >= 60 AND institution_id {of}) AS active_news_trigger"""
+
+
+def _tiers_sql(type_: str, more: str = "") -> str:
+    return f"""SELECT t.tier, CAST(count(x.tier) AS BIGINT) AS n FROM (VALUES ('critical'), ('high'), ('worth_a_look'), ('skip')) t(tier) LEFT JOIN
+      (SELECT s.tier FROM {{evid}} i JOIN {{scores}} s ON s.institution_id = i.id WHERE i.type = '{type_}' AND i.in_scope AND (with_report_url OR with_active_compliance OR with_news_signal{more})) x ON x.tier = t.tier GROUP BY 1"""
+
+
+_ENOUGH = " OR coalesce(i.apprenticeship_standards >= 5, FALSE)"
+_UNI_ALL = f"""SELECT i.id, i.name, s.tier, s.score, {_SHORT} FROM {{evid}} i LEFT JOIN {{scores}} s ON s.institution_id = i.id WHERE i.type = 'university' AND i.in_scope AND (with_report_url OR with_active_compliance OR with_news_signal{_ENOUGH})"""
+for _board, _frame, _sql in [
+    ("provider", "tiers", _tiers_sql("itp")),
+    ("provider", "flagged", _flagged_sql("itp", "2001-01-01")),
+    ("provider", "critical", _top_sql("act", "", "i.type = 'itp' AND s.tier = 'critical'", "")),
+    ("provider", "high", _top_sql("act", "", "i.type = 'itp' AND s.tier = 'high'", f"ORDER BY {_URGENT} LIMIT 30")),
+    ("provider", "outstanding", _top_sql("institutions", "", "i.type = 'itp' AND l.latest_grade = 'outstanding'", "ORDER BY l.latest_inspection_date_ DESC, i.id LIMIT 20")),
+    ("provider", "major", _top_sql("act", "", "i.type = 'itp'", f"ORDER BY {_SIZE} LIMIT 25")),
+    ("provider", "all", _top_sql("act", "LEFT", "i.type = 'itp'", "")),
+    ("provider", "notices", _feed_sql("itp", "notices", 20)),
+    ("provider", "news", _feed_sql("itp", "news", 20)),
+    ("university", "tiers", _tiers_sql("university", _ENOUGH)),
+    ("university", "flagged", _flagged_sql("university", SINCE)),
+    ("university", "all", _UNI_ALL),
+    ("university", "notices", _feed_sql("university", "notices", 10)),
+    ("university", "news", _feed_sql("university", "news", 15)),
+]:
+
+    def _board_frame(v: Views, board: str = _board, frame: str = _frame) -> DataFrame:
+        df = _dash(board)(v)[frame]
+        return joined(df).select(*_TOP_COLUMNS) if "critical_signals" in df.columns else df
+
+    query(f"{_board}_dashboard_{_frame}", _sql)(_board_frame)
 
 
 # The whole briefs and detail records need the report sections.

@@ -10,6 +10,7 @@ from tierline.operators import scoring as sc
 from tierline.schemas import CURRICULA
 from tierline.session import cut_lineage
 
+from . import expected
 from .registry import SHARED, query
 from .views import AS_OF, Views
 
@@ -81,7 +82,7 @@ _FRAME = "CASE WHEN inspection_body = 'isi' THEN 'isi' WHEN type IN ('itp', 'fe_
 
 def _judgement(i: int) -> str:
     arms = []
-    for fw, fields in sc.JUDGEMENT_WEIGHTS.items():
+    for fw, fields in expected.JUDGEMENT_WEIGHTS.items():
         terms = " + ".join(
             f"greatest(CAST({_u(f)} AS DOUBLE), CAST(0 AS DOUBLE)) * CAST({w[i]} AS DOUBLE) * 35" for f, _, w in fields
         )
@@ -100,18 +101,18 @@ def _fires(field: str, value) -> str:
 
 
 def _floors(c: str) -> str:
-    arms = [f"CASE WHEN {_fires(f, v)} THEN {fl[c]} ELSE 0 END" for f, v, fl, _, _ in sc.HARD_FLOORS if c in fl]
+    arms = [f"CASE WHEN {_fires(f, v)} THEN {fl[c]} ELSE 0 END" for f, v, fl, _, _ in expected.HARD_FLOORS if c in fl]
     return f"greatest({_SHORT[c]}0, {', '.join(arms)})"
 
 
 SHARED["sc_floor"] = f"""SELECT *, {', '.join(f'{_floors(c)} AS {s}1' for c, s in _SHORT.items())},
-  list_filter([{', '.join(f"CASE WHEN {_fires(f, v)} THEN '{t}' END" for f, v, _, t, _ in sc.HARD_FLOORS)}], lambda x: x IS NOT NULL) AS sig1,
-  {' + '.join(f'CAST({_fires(f, v)} AS INT)' for f, v, _, _, k in sc.HARD_FLOORS if k)} AS crit1 FROM {{sc_sub}}"""
+  list_filter([{', '.join(f"CASE WHEN {_fires(f, v)} THEN '{t}' END" for f, v, _, t, _ in expected.HARD_FLOORS)}], lambda x: x IS NOT NULL) AS sig1,
+  {' + '.join(f'CAST({_fires(f, v)} AS INT)' for f, v, _, _, k in expected.HARD_FLOORS if k)} AS crit1 FROM {{sc_sub}}"""
 
 
 def _notes() -> str:
     arms = []
-    for fw, fields in sc.JUDGEMENT_WEIGHTS.items():
+    for fw, fields in expected.JUDGEMENT_WEIGHTS.items():
         notes = ", ".join(f"CASE WHEN {_u(f)} >= 0.7 THEN '{label}: ' || {_d(f)} END" for f, label, _ in fields)
         arms.append(f"WHEN '{fw}' THEN [{notes}]")
     return f"CASE {_FRAME} {' '.join(arms)} END"
@@ -306,7 +307,7 @@ def _(v: Views) -> DataFrame:
     + " UNION ALL ".join(
         f"SELECT '{fw}' AS framework, '{c}' AS curriculum, CAST({_u(f)} AS DOUBLE) * {w[i]} * 35 AS points FROM (SELECT n.*, t.type FROM {{inspections}} n JOIN {{institutions}} t ON t.id = n.institution_id) x "
         f"WHERE {_FRAME} = '{fw}' AND {_u(f)} > 0"
-        for fw, fields in sc.JUDGEMENT_WEIGHTS.items()
+        for fw, fields in expected.JUDGEMENT_WEIGHTS.items()
         for f, _, w in fields
         for i, c in enumerate(CURRICULA)
     )

@@ -11,6 +11,7 @@ from tierline.operators import notice_flow as nf
 from tierline.operators import upsert as up
 from tierline.session import scratch_dir
 from tierline.sources import feeds, registers, sinks
+from tierline.sources.phrases import load_phrases
 from tierline.sources.seeds import COMMISSIONERS, seed_commissioners
 from tierline.streaming.news import compact, current_news, stream_merge_news
 
@@ -434,6 +435,15 @@ def _(v: Views) -> DataFrame:
     return registers.read_provider_register(v.spark, path)
 
 
+def _land_feeds(v: Views, label: str, item, head: str, tail: str) -> str:
+    """The events as feed files of up to 500 items each."""
+    path = _landed(v, label)
+    items = v.events.select(F.floor(F.col("event_id") / 500).alias("file"), item.alias("item"))
+    feed = F.concat(F.lit(head), F.array_join(F.collect_list("item"), ""), F.lit(tail))
+    items.groupBy("file").agg(feed.alias("value")).select("value").write.option("maxRecordsPerFile", 1).text(path)
+    return path
+
+
 @query(
     "read_rss",
     """SELECT 'T ' || event_type AS title, ' Bold & fine ' || CAST(event_id AS VARCHAR) AS summary, 'https://x.example.org/' || CAST(event_id AS VARCHAR) AS link, '2024-03-06' AS published_at,
@@ -446,8 +456,7 @@ def _(v: Views) -> DataFrame:
         F.lit("<item><title> "), title, F.lit("</title><description>&lt;b&gt;Bold&lt;/b&gt;  &amp; fine\t"), eid,
         F.lit("</description><link>https://x.example.org/"), eid, F.lit("</link><pubDate>Tue, 05 Mar 2024 23:30:00 -0200</pubDate></item>"),
     )
-    items = v.events.select(F.from_xml(row, feeds.RSS_SCHEMA).alias("i")).select("i.*")
-    return feeds.shape_rss(items)
+    return feeds.read_rss(v.spark, _land_feeds(v, "rss", row, "<rss><channel>", "</channel></rss>"))
 
 
 @query(
@@ -461,8 +470,26 @@ def _(v: Views) -> DataFrame:
         F.lit("<entry><title>A "), F.col("event_type"), F.lit("</title><summary>S"), eid, F.lit('</summary><link rel="alternate" href="https://y.example.org/'), eid,
         F.lit('"/><updated>'), F.col("ts").cast("date").cast("string"), F.lit("T10:00:00Z</updated></entry>"),
     )
-    entries = v.events.select(F.from_xml(row, feeds.ATOM_SCHEMA).alias("i")).select("i.*")
-    return feeds.shape_atom(entries)
+    return feeds.read_atom(v.spark, _land_feeds(v, "atom", row, "<feed>", "</feed>"))
+
+
+@query(
+    "load_phrases",
+    """SELECT DISTINCT 'p.' || p_brand || '.' || CAST(p_size AS VARCHAR) AS id, p_brand || ' (' || CAST(p_size AS VARCHAR) || ')' AS pattern, FALSE AS regex, CAST(1 + p_size % 3 AS INT) AS severity,
+       'online_safety' AS curriculum, 'not ' || p_brand AS guard FROM part""",
+)
+def _(v: Views) -> DataFrame:
+    """Phrase files written from the kinds of parts, loaded as a library (as many phrases as there are kinds)."""
+    path = _landed(v, "phrases")
+    kinds = v.part.select("p_brand", "p_size").distinct()
+    line = F.format_string(
+        '{"id": "p.%s.%s", "pattern": "%s (%s)", "severity": %s, "curricula": ["online_safety"], "guards": ["not %s"]}',
+        "p_brand", "p_size", "p_brand", "p_size", (1 + F.col("p_size") % 3), "p_brand",
+    )
+    files = kinds.groupBy("p_brand").agg(F.concat(F.lit('{"phrases": ['), F.array_join(F.collect_list(line), ","), F.lit("]}")).alias("value"))
+    files.write.option("maxRecordsPerFile", 1).partitionBy("p_brand").text(path)
+    library = load_phrases(v.spark, path, "*.txt")  # Spark names its part files .txt; they hold JSON
+    return library.select("id", "pattern", "regex", "severity", F.get("curricula", F.lit(0)).alias("curriculum"), F.get("guards", F.lit(0)).alias("guard"))
 
 
 @query(

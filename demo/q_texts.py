@@ -13,6 +13,7 @@ from tierline.session import cut_lineage
 from tierline.sources import pages as pg
 from tierline.sources.phrases import Phrase
 
+from . import expected
 from .q_columns import sql_name
 from .registry import SHARED, query
 from .views import Views
@@ -41,7 +42,7 @@ _T = "report_text"
 _MARKS = ",\n".join(
     f"CASE WHEN regexp_matches({_T}, {_q(p)}) THEN struct_pack(pos := length(string_split_regex({_T}, {_q(p)})[1]), i := {i}, key := '{k}', "
     f"mult := CAST({m} AS DOUBLE), title := regexp_replace(regexp_extract({_T}, {_q(p)}, 0), '^\\s+|\\s+$', '', 'g')) END"
-    for i, (k, m, p) in enumerate(sec.SECTION_MARKERS)
+    for i, (k, m, p) in enumerate(expected.SECTION_MARKERS)
 )
 
 
@@ -57,7 +58,7 @@ SHARED["t1_marks"] = f"""SELECT inspection_id, m.pos AS pos, m.key AS key, m.mul
   (SELECT inspection_id, unnest(list_filter([{_MARKS}], lambda x: x IS NOT NULL)) AS m FROM {{report_texts}} WHERE length({_T}) >= 100) x
   QUALIFY row_number() OVER (PARTITION BY inspection_id, m.key ORDER BY m.pos, m.i) = 1"""
 _ENDS = " UNION ALL ".join(
-    f"SELECT inspection_id, unnest({_positions(_T, p)}) AS pos FROM {{report_texts}} WHERE regexp_matches({_T}, {_q(p)})" for p in sec.END_MARKERS
+    f"SELECT inspection_id, unnest({_positions(_T, p)}) AS pos FROM {{report_texts}} WHERE regexp_matches({_T}, {_q(p)})" for p in expected.END_MARKERS
 )
 SHARED["t1_ends"] = _ENDS
 SHARED["t1_cut"] = """SELECT m.*, coalesce(lead(m.pos) OVER (PARTITION BY m.inspection_id ORDER BY m.pos), length(t.report_text)) AS nxt,
@@ -65,7 +66,7 @@ SHARED["t1_cut"] = """SELECT m.*, coalesce(lead(m.pos) OVER (PARTITION BY m.insp
 SHARED["t1_body"] = """SELECT c.inspection_id, c.key, c.title, c.mult, c.rn, regexp_replace(substr(c.report_text, CAST(c.pos + 1 AS BIGINT), CAST(coalesce(e.stop, c.nxt) - c.pos AS BIGINT)), '^\\s+|\\s+$', '', 'g') AS body
   FROM {t1_cut} c LEFT JOIN (SELECT c.inspection_id, c.rn, min(e.pos) AS stop FROM {t1_cut} c JOIN {t1_ends} e ON e.inspection_id = c.inspection_id AND e.pos > c.pos AND e.pos < c.nxt GROUP BY 1, 2) e
     ON e.inspection_id = c.inspection_id AND e.rn = c.rn"""
-_PROV = ", ".join(f"'{k}'" for k in sec.PROVISION_KEYS)
+_PROV = ", ".join(f"'{k}'" for k in expected.PROVISION_KEYS)
 SHARED["t1"] = f"""SELECT inspection_id, section_key, section_title, section_text, multiplier, CAST(row_number() OVER (PARTITION BY inspection_id ORDER BY rn) - 1 AS INT) AS order_index FROM (
   SELECT inspection_id, key AS section_key, title AS section_title, body AS section_text, mult AS multiplier, rn FROM {{t1_body}} WHERE length(body) >= CASE WHEN key IN ({_PROV}) THEN 250 ELSE 60 END
   UNION ALL SELECT inspection_id, 'summary', 'Summary', regexp_replace(substr(report_text, 1, CAST(pos AS BIGINT)), '^\\s+|\\s+$', '', 'g'), 0.5, 0 FROM {{t1_cut}} WHERE rn = 1 AND pos > 200

@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tierline import schemas as S
-from tierline.sources import feeds, phrases, registers, sinks
+from tierline.functions import render_email
+from tierline.sources import feeds, phrases, registers, sinks, templates
 from tierline.streaming.news import compact, current_news, stream_merge_news
 
 
@@ -55,19 +56,30 @@ def test_phrase_library(spark, tmp_path):
     pytest.importorskip("yaml")
     (tmp_path / "a.yaml").write_text('phrases:\n  - {id: a.x, pattern: "c++ (x)", severity: 2, curricula: [online_safety]}\n')
     (tmp_path / "b.yaml").write_text('phrases:\n  - id: a.y\n    pattern: "m\\\\s+n"\n    regex: true\n    severity: 1\n    curricula: [online_safety]\n    guards: ["no"]\n')
-    lib = phrases.load_library(str(tmp_path))
+    lib = phrases.load_library(spark, str(tmp_path))
     assert [p.id for p in lib.phrases] == ["a.x", "a.y"] and len(lib.sha256) == 64
     assert phrases.load_phrases(spark, str(tmp_path)).count() == 2
     (tmp_path / "c.yaml").write_text('phrases:\n  - {id: a.x, pattern: z, severity: 2, curricula: [online_safety]}\n')
     with pytest.raises(ValueError, match="duplicate"):
-        phrases.load_library(str(tmp_path))
+        phrases.load_library(spark, str(tmp_path))
+
+
+def test_templates(spark, tmp_path):
+    (tmp_path / "online-safety.md").write_text("Subject: Hi {{institution_name}}\n\nDear {{head_name}}, {{region}}\n")
+    (tmp_path / "notes.txt").write_text("no template")
+    got = templates.read_templates(spark, str(tmp_path))
+    assert list(got) == ["online_safety"]
+    df = spark.createDataFrame([("A", "online_safety"), ("B", "other")], "institution_name string, top_curriculum string")
+    rows = sorted(tuple(r)[2:] for r in render_email(df, got).collect())
+    assert rows == [("(no template for other)", ""), ("Hi A", "Dear there, [region]")]
 
 
 def test_export_quoting(spark, tmp_path):
     df = spark.createDataFrame([('a "q", b', None, " pad")], "x string, y string, z string")
     sinks.write_export(df, str(tmp_path / "e"))
-    part = next((tmp_path / "e").glob("part-*.csv")).read_text()
-    assert part.splitlines() == ["x,y,z", '"a ""q"", b",, pad']
+    parts = [p.read_text().splitlines() for p in sorted((tmp_path / "e").glob("part-*.csv"))]
+    assert {p[0] for p in parts} == {"x,y,z"}
+    assert [line for p in parts for line in p[1:]] == ['"a ""q"", b",, pad']
 
 
 def test_briefs_sink_keeps_reading_order(spark, tmp_path):

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .grades import grade_label
-from .text import non_blank, replace_first, strip
+from .text import lookup, non_blank, replace_first, strip
 
 # ---- fixed values ---------------------------------------------------------
 MERGE_FIELDS = [
@@ -29,10 +29,13 @@ def _value(df: DataFrame, field: str) -> Column:
     return F.coalesce(non_blank(col.cast("string")), F.lit(default))
 
 
-def render_email(df: DataFrame, templates: DataFrame, curriculum: str = "top_curriculum") -> DataFrame:
-    """Add ``subject`` and ``body``; ``templates`` is (curriculum, template)."""
-    t = templates.select(F.col("curriculum").alias("__cur"), F.col("template").alias("__tpl"))
-    joined = df.join(t, F.col(curriculum) == F.col("__cur"), "left")
+def render_email(df: DataFrame, templates: dict[str, str], curriculum: str = "top_curriculum") -> DataFrame:
+    """Add ``subject`` and ``body``; ``templates`` maps curricula to texts.
+
+    The few templates are constants of the plan: rows stay where they are,
+    though four curricula share them all.
+    """
+    joined = df.withColumn("__tpl", lookup(F.col(curriculum), templates) if templates else F.lit(None).cast("string"))
     merged = F.regexp_replace(F.col("__tpl"), r"\{\{\s*([a-z_]+)\s*\}\}", f"{_OPEN}$1{_CLOSE}")
     for field in MERGE_FIELDS:
         merged = F.replace(merged, F.lit(f"{_OPEN}{field}{_CLOSE}"), _value(df, field))

@@ -6,12 +6,12 @@ import hashlib
 import json
 import re
 from dataclasses import dataclass, field
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.text import portable
 from ..schemas import PHRASES
+from .whole import read_whole
 
 
 @dataclass(frozen=True)
@@ -44,9 +44,8 @@ class Library:
         return spark.createDataFrame(rows, PHRASES)
 
 
-def _parse(path: Path) -> dict:
-    text = path.read_text(encoding="utf-8")
-    if path.suffix == ".json":
+def _parse(name: str, text: str) -> dict:
+    if not name.endswith(".yaml"):
         return json.loads(text)
     try:
         import yaml
@@ -78,20 +77,20 @@ def _phrase(raw: dict, file: str) -> Phrase:
     )
 
 
-def load_library(folder: str) -> Library:
-    """Read all phrase files of a folder in name order; ids must be unique."""
-    files = sorted(p for p in Path(folder).iterdir() if p.suffix in (".yaml", ".json"))
+def load_library(spark: SparkSession, folder: str, pattern: str = "*.{yaml,json}") -> Library:
+    """Read all phrase files of a folder, on any store Spark reads, in name order; ids must be unique."""
+    files = read_whole(spark, folder, pattern)
     phrases: dict[str, Phrase] = {}
-    for path in files:
-        for raw in _parse(path)["phrases"]:
-            phrase = _phrase(raw, path.name)
+    for name, text in files:
+        for raw in _parse(name, text)["phrases"]:
+            phrase = _phrase(raw, name)
             if phrase.id in phrases:
-                raise ValueError(f"duplicate phrase id {phrase.id!r} in {path.name}")
+                raise ValueError(f"duplicate phrase id {phrase.id!r} in {name}")
             re.compile(phrase.source)
             phrases[phrase.id] = phrase
-    joined = "\n---\n".join(p.read_text(encoding="utf-8") for p in files)
-    return Library(list(phrases.values()), hashlib.sha256(joined.encode()).hexdigest(), [p.name for p in files])
+    joined = "\n---\n".join(text for _, text in files)
+    return Library(list(phrases.values()), hashlib.sha256(joined.encode()).hexdigest(), [name for name, _ in files])
 
 
-def load_phrases(spark: SparkSession, folder: str) -> DataFrame:
-    return load_library(folder).table(spark)
+def load_phrases(spark: SparkSession, folder: str, pattern: str = "*.{yaml,json}") -> DataFrame:
+    return load_library(spark, folder, pattern).table(spark)
