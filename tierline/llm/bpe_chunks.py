@@ -8,7 +8,8 @@ it are put together and re-encoded, growing over further chunks until both ends
 
 A blank is where both encodings agree exactly: the tokenizer's rules (NFC, white space to one blank, lower case, split
 into words that hold no white space) never look across ASCII white space, so a text's ids are the ids of its
-blank-separated words in a row. ``agrees`` tests this against the library for a whole text.
+blank-separated words in a row. Nor do they look from an ASCII letter to a full stop or comma after it, and they lower
+A to Z first, so words are remembered without case and such marks. ``agrees`` tests this against the library.
 
 Defined results: a null text is empty, with no ids; special tokens' strings in a text are encoded as the library does
 by default. Equal texts and repeated rows get equal results. Very long words go to the library as one piece.
@@ -17,6 +18,7 @@ by default. Equal texts and repeated rows get equal results. Very long words go
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,8 +32,8 @@ VOCABULARY = "word_bpe_49k.json"
 CUT_BITS = 8
 #: Chunks encoded once for the whole corpus: those in most documents. Further ones are shared within each task.
 COMMON_CHUNKS = 8192
-#: Chunks and words that a task remembers.
-CHUNK_MEMO, WORD_MEMO = 1 << 16, 1 << 18
+#: Chunks that a task remembers, words that a worker remembers, chunk digests that a task counts before it passes them on.
+CHUNK_MEMO, WORD_MEMO, COUNTED = 1 << 15, 1 << 18, 1 << 17
 BLANKS = b" \t\n\r\x0b\x0c"
 _GEAR = np.array([xxhash.xxh3_64_intdigest(bytes([b])) for b in range(256)], np.uint64)
 
@@ -56,12 +58,14 @@ def inside(chunk: bytes) -> tuple[int, int]:
 
 _EACH = [bytes([b]) for b in BLANKS]
 
-#: What is kept of an encoded piece: number of ids, the ids in decimal, the decoded text; each joined by single blanks.
-Piece = tuple[int, bytes, bytes]
+#: What is kept of an encoded piece: the ids in decimal and the decoded text, a blank after each id and word.
+Piece = tuple[bytes, bytes]
+#: Between an ASCII letter and a full stop or comma.
+_MARK = re.compile(rb"(?<=[a-z])(?=[.,])")
 
 
 class Words(dict):
-    """The piece of each blank-separated word, encoded by the library at first sight; a bounded number is remembered."""
+    """The piece of each word, encoded by the library at first sight; the first ``WORD_MEMO`` words are remembered."""
 
     def __init__(self, path: str):
         super().__init__()
@@ -73,29 +77,41 @@ class Words(dict):
 
     def __missing__(self, word: bytes) -> Piece:
         ids = self.tokenizer.encode(word.decode("utf-8", "surrogatepass"), add_special_tokens=False).ids
-        text = self.tokenizer.decode(ids, skip_special_tokens=False) if ids else ""
-        piece = (len(ids), " ".join(map(str, ids)).encode(), text.encode())
-        if len(word) <= 64:
-            if len(self) >= WORD_MEMO:
-                self.clear()
+        piece = (b"", b"")
+        if ids:
+            text = self.tokenizer.decode(ids, skip_special_tokens=False).encode()
+            piece = ((" ".join(map(str, ids)) + " ").encode(), text + b" ")
+        if len(word) <= 64 and len(self) < WORD_MEMO:
             self[word] = piece
         return piece
 
 
+#: The words of this worker, by vocabulary: tasks that follow each other share them.
+_WORDS: dict[str, Words] = {}
+
+
+def words_of(path: str) -> Words:
+    if path not in _WORDS:
+        _WORDS[path] = Words(path)
+    return _WORDS[path]
+
+
 def join_pieces(pieces: list[Piece]) -> Piece:
-    pieces = [p for p in pieces if p[0]]
-    return sum(p[0] for p in pieces), b" ".join([p[1] for p in pieces]), b" ".join([p[2] for p in pieces])
+    return b"".join([p[0] for p in pieces]), b"".join([p[1] for p in pieces])
 
 
 class Encoder:
     def __init__(self, path: str, common: dict[bytes, Piece] | None = None, bits: int = CUT_BITS):
-        self.words, self.common, self.bits = Words(path), common or {}, bits
+        self.words, self.common, self.bits = words_of(path), common or {}, bits
         self.memo: dict[bytes, tuple[int, int, Piece]] = {}
         self.encoded = self.reused = 0
 
     def piece(self, data: bytes) -> Piece:
         """Encode blank-separated text afresh."""
-        return join_pieces([self.words[w] for w in data.split()])
+        if b"<|" not in data:  # no special token's string
+            data = _MARK.sub(b" ", data.lower())
+        words = self.words
+        return join_pieces([words[w] for w in data.split()])
 
     def chunk(self, chunk: bytes) -> tuple[int, int, Piece]:
         """(first, last, piece of what is between): from the store, or encoded now."""
@@ -115,9 +131,10 @@ class Encoder:
         return first, last, piece
 
     def encode(self, text: str | None) -> Piece:
+        """The ids in decimal and the decoded text, joined by single blanks."""
         data = text.encode("utf-8", "surrogatepass") if text else b""
         if not data:
-            return 0, b"", b""
+            return b"", b""
         pieces, at, join = [], 0, b""
         for end in cuts(data, self.bits):
             chunk = data[at:end]
@@ -128,7 +145,12 @@ class Encoder:
                 continue
             pieces += [self.piece(join + chunk[:first]), piece]
             join = chunk[last:]
-        return join_pieces([*pieces, self.piece(join)])
+        ids, text = join_pieces([*pieces, self.piece(join)])
+        return ids[:-1], text[:-1]
+
+
+def count_ids(ids: bytes) -> int:
+    return ids.count(b" ") + 1 if ids else 0
 
 
 def agrees(path: str, text: str, bits: int = CUT_BITS) -> bool:
@@ -136,7 +158,7 @@ def agrees(path: str, text: str, bits: int = CUT_BITS) -> bool:
     encoder = Encoder(path, bits=bits)
     ids = encoder.words.tokenizer.encode(text, add_special_tokens=False).ids
     decoded = encoder.words.tokenizer.decode(ids, skip_special_tokens=False)
-    return encoder.encode(text) == (len(ids), " ".join(map(str, ids)).encode(), decoded.encode())
+    return encoder.encode(text) == (" ".join(map(str, ids)).encode(), decoded.encode())
 
 
 def common_chunks(docs: DataFrame, path: str, most: int = COMMON_CHUNKS, bits: int = CUT_BITS) -> dict[bytes, Piece]:
@@ -151,7 +173,7 @@ def common_chunks(docs: DataFrame, path: str, most: int = COMMON_CHUNKS, bits: i
             for text in batch.column(0).to_pylist():
                 for d in set(_digests(text, bits)):
                     held[d] = held.get(d, 0) + 1
-            if len(held) > 1 << 19:
+            if len(held) > COUNTED:
                 yield _counted(held)
                 held = {}
         if held:
@@ -180,15 +202,14 @@ def common_chunks(docs: DataFrame, path: str, most: int = COMMON_CHUNKS, bits: i
             yield pa.RecordBatch.from_pydict(
                 {
                     "digest": batch.column(0),
-                    "n": pa.array([p[0] for p in pieces], pa.int64()),
-                    "ids": pa.array([p[1] for p in pieces], pa.binary()),
-                    "text": pa.array([p[2] for p in pieces], pa.binary()),
+                    "ids": pa.array([p[0] for p in pieces], pa.binary()),
+                    "text": pa.array([p[1] for p in pieces], pa.binary()),
                 }
             )
 
     chunks = docs.select("text").mapInArrow(pick, "digest binary, chunk binary").groupBy("digest").agg(F.first("chunk").alias("chunk"))
-    rows = chunks.mapInArrow(encode, "digest binary, n long, ids binary, text binary").collect()
-    return {bytes(r.digest): (r.n, bytes(r.ids), bytes(r.text)) for r in rows}
+    rows = chunks.mapInArrow(encode, "digest binary, ids binary, text binary").collect()
+    return {bytes(r.digest): (bytes(r.ids), bytes(r.text)) for r in rows}
 
 
 def _digests(text: str | None, bits: int) -> dict[bytes, bytes]:
@@ -217,12 +238,12 @@ def encode(docs: DataFrame, path: str, most: int = COMMON_CHUNKS, with_ids: bool
                 pieces = [encoder.encode(t) for t in batch.column(1).to_pylist()]
                 columns = {
                     "doc_id": batch.column(0),
-                    "n_tokens": pa.array([p[0] for p in pieces], pa.int64()),
-                    "ids_sha256": pa.array([hashlib.sha256(p[1]).hexdigest() for p in pieces], pa.string()),
-                    "decoded_sha256": pa.array([hashlib.sha256(p[2]).hexdigest() for p in pieces], pa.string()),
+                    "n_tokens": pa.array([count_ids(p[0]) for p in pieces], pa.int64()),
+                    "ids_sha256": pa.array([hashlib.sha256(p[0]).hexdigest() for p in pieces], pa.string()),
+                    "decoded_sha256": pa.array([hashlib.sha256(p[1]).hexdigest() for p in pieces], pa.string()),
                 }
                 if with_ids:
-                    columns["ids"] = pa.array([list(map(int, p[1].split())) for p in pieces], pa.list_(pa.int32()))
+                    columns["ids"] = pa.array([list(map(int, p[0].split())) for p in pieces], pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_pydict(columns)
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
