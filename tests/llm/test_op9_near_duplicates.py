@@ -109,17 +109,57 @@ def test_signature_estimates_similarity():
     assert abs(np.mean(agree) - 2 / 3) < 0.02
 
 
-def test_a_crowd_makes_no_quadratic_pairs(spark, documents):
+@pytest.mark.parametrize("small,block", [(2, 8), (1, 3), (10**9, 8)])
+def test_families_and_pairs_agree_with_brute_force(spark, documents, monkeypatch, small, block):
+    monkeypatch.setattr(h, "SMALL", small)
+    monkeypatch.setattr(h.family_links, "__defaults__", (block,))
+    rows = corpus(11)
+    got = h.classify(documents(rows), k=2).collect()
+    assert sorted(map(tuple, got), key=repr) == brute(rows, 2)
+
+
+def test_links_between_sets():
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 60, rng.integers(1, 50))).astype(np.uint64) for _ in range(40)]
+    own = np.arange(40)
+    for left in (None, 15):
+        pairs = [(i, j) for i in range(40) for j in range(40) if i < j and (left is None or i < left <= j)]
+        true = {(i, j) for i, j in pairs if 100 * len(set(sets[i]) & set(sets[j])) >= 40 * len(set(sets[i]) | set(sets[j]))}
+        found = {tuple(sorted(x)) for x in h.links_between(sets, own, left, 40)}
+        assert found <= true
+
+        def groups(links):
+            head = list(range(40))
+            for _ in range(40):
+                for i, j in links:
+                    head[i] = head[j] = min(head[i], head[j])
+            return head
+
+        assert groups(found) == groups(true)
+    assert h.links_between(sets, np.zeros(40, np.int64), None, 40) == []
+
+
+def test_slots_apart(spark):
+    rng = np.random.default_rng(4)
+    rows = []
+    for _ in range(50):
+        a = rng.integers(0, 1 << 16, 40)
+        b = np.where(rng.random(40) < 0.4, rng.integers(0, 1 << 16, 40), a)
+        rows.append((h.packed(a).tolist(), h.packed(b).tolist(), int((a != b).sum())))
+    df = spark.createDataFrame(rows, "a array<long>, b array<long>, n int")
+    assert df.where(h.slots_apart("a", "b") != df["n"]).count() == 0
+
+
+def test_a_crowd_makes_no_quadratic_pairs(spark, documents, monkeypatch):
     rng = random.Random(7)
     crowd = [f"w{i}" for i in range(200)]
-    rows = [(i, " ".join([*crowd[: (p := rng.randrange(200))], f"n{i}", *crowd[p + 1 :]]), "en") for i in range(400)]
+    # half the crowd hangs together; the other half is near it, but linked with nothing
+    change = lambda n, i: [f"n{i}x{p}" if p in at else w for at in [set(rng.sample(range(200), n))] for p, w in enumerate(crowd)]
+    rows = [(i, " ".join(change(1 if i % 2 else 30, i)), "en") for i in range(400)]
     docs = documents(rows)
     pairs = []
     real = h.confirm
-    h.confirm = lambda p, t, k: (pairs.append(p.count()), real(p, t, k))[1]
-    try:
-        got = h.classify(docs).select("component_id").distinct().collect()
-    finally:
-        h.confirm = real
-    assert [r[0] for r in got] == [0]
+    monkeypatch.setattr(h, "confirm", lambda p, t, k: (pairs.append(p.count()), real(p, t, k))[1])
+    got = h.classify(docs, k=2).collect()
+    assert sorted(map(tuple, got), key=repr) == brute(rows, 2)
     assert sum(pairs) < 400 * h.CHUNKS * h.SLOTS

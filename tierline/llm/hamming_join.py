@@ -8,10 +8,14 @@ differs in a fifth of the slots; it meets in no bucket with a probability below
 are confirmed on their full shingle sets.
 
 Equal texts are one class before anything is paired. Buckets are not expanded into pairs: each member is confirmed
-against the bucket's centre (its smallest id), links are joined into components, and only where a bucket still holds
-members of different components are those confirmed against each other, if their distances to the centre allow it
-(Jaccard distance is a metric: |d(c, x) - d(c, y)| <= d(x, y)). So no link between different texts is lost, and a
-group of n near copies costs n confirmations for each bucket, not n squared.
+against the bucket's centre (its smallest id) and links are joined into components. Only where a bucket still holds
+members of different components are those confirmed against each other. A bucket of at most ``SMALL`` members gives
+pairs, without those whose sizes, distances to the centre (Jaccard distance is a metric: |d(c, x) - d(c, y)| <=
+d(x, y)) or signatures (more than ``FAR`` slots apart, which similar pairs are with a probability below 1e-8) rule a
+link out. Larger buckets that share members are one family; a family is dealt into blocks of ``BLOCK`` texts, and two
+blocks meet in one task that counts common shingles by matrix products and gives back only links that join components.
+Blocks within one component do not meet. So no link between different texts is lost, and a family of near copies that
+hang together costs a few confirmations for each member.
 
 Defined results: documents without words, or with a null text, have an empty set and are linked with nothing; with one
 word (fewer than a shingle) the whole sequence is the one shingle. Rows with a null id take part; a component without
@@ -21,17 +25,20 @@ any id has a null component_id, and ``kept`` is false. Repeated rows are classed
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut_lineage
+from .common import components, cut_lineage, ranked
 
 CHUNKS, SLOTS, ERRORS = 10, 4, 1
 WORDS = 5
 #: A link: 100 * |intersection| >= PERCENT * |union|.
 PERCENT = 80
+#: Members of a bucket that are paired one by one, slots in which paired members may differ, texts of a block.
+SMALL, FAR, BLOCK = 64, 24, 512
 #: Words whose hashes a task remembers.
 MEMO = 1 << 18
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -83,6 +90,25 @@ def signature(shingles: np.ndarray, seeds: np.ndarray) -> np.ndarray:
     return (_mix(best) & np.uint64(0xFFFF)).astype(np.int64)
 
 
+def packed(signature_: np.ndarray, chunks: int = CHUNKS) -> np.ndarray:
+    """The 16-bit slots of each chunk side by side in one number."""
+    out = np.zeros(chunks, np.uint64)
+    for column in signature_.reshape(chunks, -1).T.astype(np.uint64):
+        out = (out << np.uint64(16)) | column
+    return out.view(np.int64)
+
+
+def slots_apart(a: str, b: str, slots: int = SLOTS):
+    """In how many slots two packed signatures differ."""
+
+    def lanes(total, z):
+        for i in range(slots):
+            total = total + F.shiftrightunsigned(z, 16 * i).bitwiseAND(F.lit(0xFFFF)).cast("boolean").cast("int")
+        return total
+
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x.bitwiseXOR(y)), F.lit(0), lanes)
+
+
 def bucket_keys(signature_: np.ndarray, chunks: int = CHUNKS, slots: int = SLOTS) -> np.ndarray:
     """One number for each chunk and slot left out, holding the other slots in full (16 bits each)."""
     sig = signature_.reshape(chunks, slots)
@@ -98,13 +124,16 @@ def bucket_keys(signature_: np.ndarray, chunks: int = CHUNKS, slots: int = SLOTS
 
 
 def signatures(docs: DataFrame, k: int = WORDS, chunks: int = CHUNKS, slots: int = SLOTS) -> DataFrame:
-    """(tkey, n, keys): each distinct text of each task once; texts without words are left out."""
+    """(tkey, n, sig, keys): each distinct text of each task once; texts without words are left out.
+
+    ``sig`` holds the slots of each chunk as one number.
+    """
     seeds = _seeds(chunks * slots)
 
     def sign(batches):
         memo, seen = WordHashes(), set()
         for batch in batches:
-            tkeys, ns, keys = [], [], []
+            tkeys, ns, sigs, keys = [], [], [], []
             for tkey, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if text is None or tkey in seen:
                     continue
@@ -113,16 +142,19 @@ def signatures(docs: DataFrame, k: int = WORDS, chunks: int = CHUNKS, slots: int
                 if len(s):
                     tkeys.append(tkey)
                     ns.append(len(s))
-                    keys.append(bucket_keys(signature(s, seeds), chunks, slots))
+                    sig = signature(s, seeds)
+                    sigs.append(packed(sig, chunks))
+                    keys.append(bucket_keys(sig, chunks, slots))
             yield pa.RecordBatch.from_pydict(
                 {
                     "tkey": pa.array(tkeys, pa.binary()),
                     "n": pa.array(ns, pa.int64()),
+                    "sig": pa.array(sigs, pa.list_(pa.int64())),
                     "keys": pa.array(keys, pa.list_(pa.int64())),
                 }
             )
 
-    return docs.select(text_key(), "text").mapInArrow(sign, "tkey binary, n long, keys array<long>")
+    return docs.select(text_key(), "text").mapInArrow(sign, "tkey binary, n long, sig array<long>, keys array<long>")
 
 
 def text_key():
@@ -177,6 +209,78 @@ def confirm(pairs: DataFrame, texts: DataFrame, k: int = WORDS) -> DataFrame:
     return both.mapInArrow(compare, "a long, b long, common long, together long")
 
 
+def links_between(sets: list[np.ndarray], components_: np.ndarray, left: int | None, percent: int) -> list[tuple[int, int]]:
+    """Links (i, j) that join different components, as few as join all that are linked.
+
+    With ``left`` only pairs of one of the first ``left`` sets and one of the rest are looked at. Common shingles are
+    counted by matrix products over the shingles that two sets or more have, some thousand at a time.
+    """
+    size = np.array([len(x) for x in sets], np.int64)
+    owner = np.repeat(np.arange(len(sets)), size)
+    names, at, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = often[at] > 1
+    owner, at = owner[shared], at[shared]
+    _, at = np.unique(at, return_inverse=True)
+    order = np.argsort(at, kind="stable")
+    owner, at = owner[order], at[order]
+    cut = len(sets) if left is None else left
+    first = 0 if left is None else left
+    common = np.zeros((cut, len(sets) - first), np.float32)
+    step = 4096
+    for begin in range(0, int(at[-1]) + 1 if len(at) else 0, step):
+        lo, hi = np.searchsorted(at, [begin, begin + step])
+        has = np.zeros((len(sets), step), np.float32)
+        has[owner[lo:hi], at[lo:hi] - begin] = 1
+        common += has[:cut] @ has[first:].T
+    common = common.astype(np.int64)
+    together = size[:cut, None] + size[None, first:] - common
+    link = (100 * common >= percent * together) & (components_[:cut, None] != components_[None, first:])
+    head = {c: c for c in components_.tolist()}
+
+    def top(c):
+        while head[c] != c:
+            head[c] = head[head[c]]
+            c = head[c]
+        return c
+
+    out = []
+    for i, j in zip(*np.nonzero(link), strict=True):
+        a, b = top(int(components_[i])), top(int(components_[first + j]))
+        if a != b:
+            head[max(a, b)] = min(a, b)
+            out.append((int(i), int(first + j)))
+    return out
+
+
+def family_links(members: DataFrame, texts: DataFrame, k: int, percent: int, block: int = BLOCK) -> DataFrame:
+    """(a, b) links between components within each family; ``members``: distinct (family, component, id)."""
+    # members of one component lie side by side, so blocks within one component are many
+    placed = ranked(members.select("family", "component", "id"), "family", ["component", "id"])
+    placed = cut_lineage(placed.withColumn("block", F.floor(F.col("rank") / block).cast("int")), "blocks")
+    blocks = placed.groupBy("family", "block").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
+    blocks = cut_lineage(blocks, "block-list")
+    other = blocks.select("family", F.col("block").alias("block_b"), F.col("lo").alias("lo_b"), F.col("hi").alias("hi_b"))
+    meet = cut_lineage(
+        blocks.join(other, "family")
+        .where("block <= block_b AND NOT (lo = hi AND lo_b = hi_b AND lo = lo_b)")
+        .select("family", F.col("block").alias("p"), F.col("block_b").alias("q")),
+        "block-pairs",
+    )
+    sides = meet.select("family", "p", "q", F.explode(F.array_distinct(F.array("p", "q"))).alias("block"))
+    rows = placed.join(sides, ["family", "block"]).join(texts, "id")
+
+    def meet_blocks(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["block", "id"])
+        memo = WordHashes()
+        sets = [shingle_set(t, k, memo) for t in pdf["text"]]
+        left = None if pdf["p"].iloc[0] == pdf["q"].iloc[0] else int((pdf["block"] == pdf["p"]).sum())
+        ids = pdf["id"].to_numpy(np.int64)
+        found = links_between(sets, pdf["component"].to_numpy(np.int64), left, percent)
+        return pd.DataFrame([(ids[i], ids[j]) for i, j in found], columns=["a", "b"]).astype("int64")
+
+    return rows.groupBy("family", "p", "q").applyInPandas(meet_blocks, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, chunks: int = CHUNKS, slots: int = SLOTS) -> DataFrame:
     """(tkey, n_shingles, component, component_id) for each distinct text with words of ``docs`` (doc_id, text).
 
@@ -186,41 +290,26 @@ def near_duplicates(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, chu
     classes = cut_lineage(signed, "classes")  # ids are drawn once, as the table is written
     keys = classes.select("id", "n", F.explode("keys").alias("key"))
     centres = keys.groupBy("key").agg(F.min("id").alias("centre"), F.count("*").alias("members")).where("members > 1")
-    buckets = cut_lineage(keys.join(centres, "key").select("key", "id", "n", "centre"), "buckets")
+    buckets = cut_lineage(keys.join(centres, "key").select("key", "id", "n", "centre", "members"), "buckets")
     can_link = f"100 * least(n, m) >= {percent} * greatest(n, m)"  # sizes too far apart for any link
-    sizes = classes.select(F.col("id").alias("centre"), F.col("n").alias("m"))
+    sizes = classes.select(F.col("id").alias("b"), F.col("n").alias("m"))
     star = buckets.where("id != centre").select(F.col("id").alias("a"), F.col("centre").alias("b"), "n").distinct()
-    star = star.join(sizes.withColumnRenamed("centre", "b"), "b").where(can_link).select("a", "b")
-    ids = classes.select("tkey", "id")
+    star = star.join(sizes, "b").where(can_link).select("a", "b")
     met = buckets.select("id").distinct()
-    texts = cut_lineage(distinct_texts(docs, ids.join(met, "id")), "texts")
+    texts = cut_lineage(distinct_texts(docs, classes.select("tkey", "id").join(met, "id")), "texts")
     confirmed = cut_lineage(confirm(star, texts, k), "star")
     is_link = f"100 * common >= {percent} * together"
     links = confirmed.where(is_link).select("a", "b")
-    first = components(links)
     # buckets that still hold several components
-    labelled = buckets.join(first, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    open_ = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-    distance = confirmed.select(F.col("a").alias("id"), F.col("b").alias("centre"), (1 - F.col("common") / F.col("together")).alias("d"))
-    rest = (
-        labelled.join(open_, "key")
-        .join(distance, ["id", "centre"], "left")
-        # the centre's own distance is 0; one that sizes rule out was not measured and lies beyond the bound
-        .withColumn("d", F.when(F.col("id") == F.col("centre"), 0.0).otherwise(F.col("d")))
-    )
-    rest = cut_lineage(rest.select("key", "id", "n", "centre", "component", "d"), "open")
-    right = rest.select("key", F.col("id").alias("b"), F.col("n").alias("m"), F.col("component").alias("other"), F.col("d").alias("e"))
-    bound = 1 - percent / 100 + 1e-9
-    more = (
-        rest.withColumnRenamed("id", "a")
-        .join(right, "key")
-        .where(f"a > b AND component != other AND a != centre AND b != centre AND {can_link}")
-        .where(f"d IS NULL OR e IS NULL OR abs(d - e) <= {bound}")
-        .select("a", "b")
-        .distinct()
-    )
-    second = confirm(more, texts, k).where(is_link).select("a", "b")
-    linked = components(cut_lineage(links.unionByName(second), "links"))
+    labelled = buckets.join(components(links), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    open_ = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
+    rest = cut_lineage(labelled.join(open_.select("key"), "key"), "open")
+    found = small_links(rest.where(f"members <= {SMALL}"), confirmed, classes, texts, k, percent)
+    large = rest.where(f"members > {SMALL}")
+    families = components(large.where("id != centre").select(F.col("id").alias("a"), F.col("centre").alias("b")))
+    members = large.select("id", "component").distinct().join(families.withColumnRenamed("component", "family"), "id")
+    found = found.unionByName(family_links(members, texts, k, percent))
+    linked = components(cut_lineage(links.unionByName(found), "links"))
     smallest = docs.select("doc_id", text_key()).groupBy("tkey").agg(F.min("doc_id").alias("first"))
     labelled = classes.select("tkey", "id", "n").join(smallest, "tkey").join(linked, "id", "left").withColumn("component", F.coalesce("component", "id"))
     labelled = cut_lineage(labelled, "labelled")
@@ -228,6 +317,28 @@ def near_duplicates(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, chu
     return labelled.join(heads, "component").select("tkey", F.col("n").alias("n_shingles"), "component", "component_id")
 
 
+def small_links(rest: DataFrame, confirmed: DataFrame, classes: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """(a, b) links between components within small buckets, each pair of members confirmed once."""
+    distance = confirmed.select(F.col("a").alias("id"), F.col("b").alias("centre"), (1 - F.col("common") / F.col("together")).alias("d"))
+    # the centre's own distance is 0; one that sizes rule out was not measured
+    left = rest.join(distance, ["id", "centre"], "left").withColumn("d", F.when(F.col("id") == F.col("centre"), 0.0).otherwise(F.col("d")))
+    left = left.join(classes.select("id", "sig"), "id").select("key", F.col("id").alias("a"), "n", "centre", "component", "d", "sig")
+    left = cut_lineage(left, "small")
+    right = left.select(
+        "key", F.col("a").alias("b"), F.col("n").alias("m"), F.col("component").alias("other"), F.col("d").alias("e"), F.col("sig").alias("sig_b")
+    )
+    pairs = (
+        left.join(right, "key")
+        .where("a > b AND component != other AND a != centre AND b != centre")
+        .where(f"100 * least(n, m) >= {percent} * greatest(n, m)")
+        .where(f"d IS NULL OR e IS NULL OR abs(d - e) <= {1 - percent / 100 + 1e-9}")
+        .where(slots_apart("sig", "sig_b") <= FAR)
+        .select("a", "b")
+        .distinct()
+    )
+    return confirm(pairs, texts, k).where(f"100 * common >= {percent} * together").select("a", "b")
+
+
 def classify(docs: DataFrame, **options) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of ``docs`` (doc_id, text)."""
     classes = near_duplicates(docs.select("doc_id", "text"), **options)
