@@ -1,13 +1,13 @@
 """Legacy archive converter: ARC files, version 1 or 2, to equivalent WARC files.
 
 An ARC file opens with a ``filedesc://`` record whose body names the version; version 1 has five fields on a record's
-header line and version 2 ten, the last of them the declared length of what follows. Files may be plain or have one
-gzip member for each record. Each record becomes a WARC record with an identifier, a timestamp, a type, and digests of
+header line and version 2 ten, the last of them the declared length of what follows. Files may be plain, or gzip with
+any number of records in a member; WARC files are written with one member for each record. Each record becomes a WARC record with an identifier, a timestamp, a type, and digests of
 payload and block; the file's own record becomes ``warcinfo``. Of records with equal payloads of at least
 ``LEAST_BYTES`` one is a response, that with the smallest page id (then by its place); the others revisit it.
 
 Payloads are not shuffled: digests meet in an aggregate with map-side combine, and each archive gets back only the
-places of its revisits. Archives hold about ``ARCHIVE_BYTES`` (one record at least), are written and read by Spark, so
+places of its revisits. Archives hold about ``ARCHIVE_BYTES`` unpacked (one record at least), are written and read by Spark, so
 any store will do, and are rebuilt by their own task if lost.
 
 Defined results: a null html is an empty payload; a null url is written as ``-``, blanks and control characters in a url
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import cut_lineage, scratch_dir
 
-ARCHIVE_BYTES = 4 << 20
+ARCHIVE_BYTES = 8 << 20
 LEAST_BYTES = 100
 #: Fixed field lists of both versions.
 FIELDS = {
@@ -44,8 +44,8 @@ DATE = b"20010101000000"
 _LAST_MEMBER = zlib.compressobj(1, zlib.DEFLATED, 31).flush()[:-1]
 
 
-def gzip_member(data: bytes) -> bytes:
-    c = zlib.compressobj(1, zlib.DEFLATED, 31)
+def gzip_member(data: bytes, level: int = 6) -> bytes:
+    c = zlib.compressobj(level, zlib.DEFLATED, 31)
     return c.compress(data) + c.flush()
 
 
@@ -60,20 +60,22 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 
 
 def buffers(data: bytes) -> Iterator[tuple[int, bytes]]:
-    """(offset, bytes) of each gzip member, or the whole of a plain file."""
+    """(offset in the unpacked file, bytes) of each gzip member, or the whole of a plain file."""
     if data[:2] != b"\x1f\x8b":
         yield 0, data
         return
-    view, at = memoryview(data), 0
+    view, at, begin = memoryview(data), 0, 0
     while at < len(view):
-        member, out, begin = zlib.decompressobj(31), [], at
+        member, out = zlib.decompressobj(31), []
         while not member.eof:
             piece = view[at : at + (1 << 16)]
             if not len(piece):
                 raise ValueError("a gzip member ends early")
             out.append(member.decompress(piece))
             at += len(piece) - len(member.unused_data)
-        yield begin, b"".join(out)
+        unpacked = b"".join(out)
+        yield begin, unpacked
+        begin += len(unpacked)
 
 
 class ArcRecord(NamedTuple):
@@ -99,7 +101,7 @@ def arc_records(data: bytes) -> Iterator[ArcRecord]:
             if buffer[at : at + 1] in b"\r\n":  # records are set apart by line ends
                 at += 1
                 continue
-            end = buffer.index(b"\n", at)
+            begin, end = at, buffer.index(b"\n", at)
             fields = buffer[at:end].rstrip(b"\r").split(b" ")
             length, at = int(fields[-1]), end + 1
             if at + length > len(buffer):
@@ -111,7 +113,7 @@ def arc_records(data: bytes) -> Iterator[ArcRecord]:
                     raise ValueError(f"unknown version {version!r}")
             elif version is None or len(fields) != len(FIELDS[version].split()):
                 raise ValueError("a header line does not fit its version")
-            yield ArcRecord(offset, version, *fields[:4], body)
+            yield ArcRecord(offset + begin, version, *fields[:4], body)
             at += length
 
 
@@ -174,20 +176,20 @@ def write_arc(pages: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYTES) -
                 if not parts:
                     text = version + b" 0 pages\n" + FIELDS[version] + b"\n\n"
                     line = [b"filedesc://pages.arc", b"0.0.0.0", DATE, b"text/plain", *_more(version), b"%d" % len(text)]
-                    parts, size = [gzip_member(b" ".join(line) + b"\n" + text)], 0
+                    parts, size = [b" ".join(line) + b"\n" + text], 0
                 payload = (html or "").encode("utf-8", "surrogatepass")
                 name = b"" if page is None else b"X-Page-Id: %d\r\n" % page
                 head = b"HTTP/1.0 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n" + name
                 body = head + b"Content-Length: %d\r\n\r\n" % len(payload) + payload
                 target = re.sub(rb"[\x00-\x20\x7f]", lambda m: b"%%%02X" % m[0][0], (url or "-").encode("utf-8", "surrogatepass"))
                 line = [target or b"-", b"0.0.0.0", DATE, b"text/html", *_more(version), b"%d" % len(body)]
-                parts.append(gzip_member(b" ".join(line) + b"\n" + body + b"\n"))
+                parts.append(b" ".join(line) + b"\n" + body + b"\n")
                 size += len(parts[-1])
                 if size >= archive_bytes:
-                    yield pa.RecordBatch.from_pydict({"blob": [b"".join(parts)]})
+                    yield pa.RecordBatch.from_pydict({"blob": [gzip_member(b"".join(parts), 4)]})
                     number, parts = number + 1, []
         if parts:
-            yield pa.RecordBatch.from_pydict({"blob": [b"".join(parts)]})
+            yield pa.RecordBatch.from_pydict({"blob": [gzip_member(b"".join(parts), 4)]})
 
     write_archives(pages.select(F.col("page_id").cast("long"), "url", "html").mapInArrow(pack, "blob binary"), path)
 
