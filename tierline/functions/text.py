@@ -94,11 +94,6 @@ def half_up(col: Column) -> Column:
     return F.floor(col + F.lit(0.5))
 
 
-def first_index(text: Column, pattern: str) -> Column:
-    """0-based code-point offset of the first match, null when there is none."""
-    return F.when(text.rlike(pattern), F.length(F.get(F.split(text, pattern, 2), F.lit(0))))
-
-
 #: Code points that no text should hold: the mark, and what stands in for it if one does.
 _MARK, _STAND_IN = "\uffff", "\ufffe"
 

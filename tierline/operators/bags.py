@@ -33,7 +33,8 @@ SECTION_FOCUS = {
 }
 OTHER_FOCUS = 0.5
 UNKNOWN_GRADE_RANK = 99
-SIGNALS_KEPT = 3
+#: Signals of one kind that the scoring rules read.
+SIGNALS_SCORED = 3
 MIN_NEWS_SEVERITY = 70
 MIN_NEWS_RELEVANCE = 60
 # ---------------------------------------------------------------------------
@@ -76,28 +77,30 @@ def finding_bag(findings: DataFrame, matches: DataFrame) -> DataFrame:
     joined = (
         findings.where(~F.col("suppressed"))
         .select("id", "institution_id", (F.col("final_severity") * section_focus(F.col("section_key"))).alias("weight"))
+        .withColumn("exact", F.col("weight").cast("decimal(18, 4)"))
         .join(per_finding, "id")
     )
     strongest = F.when(F.col("weight") > 0, F.struct(F.col("weight"), -F.col("id")))
     return joined.groupBy("institution_id").agg(
-        *[F.sum(F.col("weight") * F.col(f"n_{c}")).alias(f"{c}_total") for c in CURRICULA],
+        # Weights have at most three decimals: sums of decimals do not depend on the order of the rows.
+        *[F.sum(F.col("exact") * F.col(f"n_{c}")).cast("double").alias(f"{c}_total") for c in CURRICULA],
         F.count(F.lit(1)).alias("finding_count"),
         F.max_by("id", strongest).alias("top_finding_id"),
     )
 
 
-def _strongest_first(df: DataFrame, severity: str, fields: Sequence[str], out: str) -> DataFrame:
-    """At most three rows per institution as an array, strongest first."""
-    top = top_n_per(df, ["institution_id"], [F.col(severity).desc(), F.col("id").asc()], SIGNALS_KEPT, rank_as="rn")
+def _strongest_first(df: DataFrame, severity: str, fields: Sequence[str], out: str, kept: int) -> DataFrame:
+    """The ``kept`` strongest rows per institution as an array: the score reads no more of them."""
+    top = top_n_per(df, ["institution_id"], [F.col(severity).desc(), F.col("id").asc()], kept, rank_as="rn")
     packed = F.struct("rn", F.col(severity).alias("severity"), *fields)
     return top.groupBy("institution_id").agg(F.sort_array(F.collect_list(packed)).alias(out))
 
 
-def notice_bag(notices: DataFrame) -> DataFrame:
-    """Active notices: the three most severe, the worst severity, the number."""
+def notice_bag(notices: DataFrame, kept: int = SIGNALS_SCORED) -> DataFrame:
+    """Active notices: the ``kept`` most severe, the worst severity, the number."""
     active = notices.where(F.col("withdrawn_at").isNull())
     top = _strongest_first(
-        active.select("institution_id", "id", "severity", "subject", "source_url"), "severity", ["subject", "source_url"], "top_notices"
+        active.select("institution_id", "id", "severity", "subject", "source_url"), "severity", ["subject", "source_url"], "top_notices", kept
     )
     counted = active.groupBy("institution_id").agg(
         F.count(F.lit(1)).alias("notice_count"), F.max("severity").alias("worst_severity")
@@ -105,8 +108,8 @@ def notice_bag(notices: DataFrame) -> DataFrame:
     return top.join(counted, "institution_id")
 
 
-def news_bag(news: DataFrame) -> DataFrame:
-    """News that counts (severity or relevance high enough): the top three."""
+def news_bag(news: DataFrame, kept: int = SIGNALS_SCORED) -> DataFrame:
+    """News that counts (severity or relevance high enough): the ``kept`` strongest."""
     counted = news.where(
         (F.col("trigger_severity") >= MIN_NEWS_SEVERITY) | (F.col("relevance") >= MIN_NEWS_RELEVANCE)
     )
@@ -116,4 +119,4 @@ def news_bag(news: DataFrame) -> DataFrame:
     rows = counted.select(
         "institution_id", "id", "trigger_severity", "title", "angle", "published_at", tags.alias("curricula")
     )
-    return _strongest_first(rows, "trigger_severity", ["title", "angle", "published_at", "curricula"], "top_news")
+    return _strongest_first(rows, "trigger_severity", ["title", "angle", "published_at", "curricula"], "top_news", kept)

@@ -14,6 +14,7 @@ from ..functions.framework import FE_TYPES
 from ..functions.grades import SHORT_LABELS, URGENCY, grade_urgency
 from ..functions.text import half_up, lookup, present, sql_literal, sql_map
 from ..schemas import CURRICULA, TEXT_JUDGEMENTS
+from ..session import cut_lineage
 from .bags import finding_bag, inspection_meta, news_bag, notice_bag
 from .upsert import upsert
 
@@ -588,7 +589,8 @@ def opportunity_scores(
     as_of: str,
 ) -> DataFrame:
     """The whole mart as of a day."""
-    base = score_base(institutions, inspections, findings, matches, notices, news)
+    # Written once: both passes read the bags, and neither plans the join tree.
+    base = cut_lineage(score_base(institutions, inspections, findings, matches, notices, news), "score-base")
     return combine_scores(
         score_inspected(base, as_of), score_uninspected(base, as_of), score_employers(institutions)
     )

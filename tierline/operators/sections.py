@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import all_indexes, first_index, portable, required_text, strip
+from ..functions.text import all_indexes, portable, required_text, strip
 from .upsert import replace_children
 
 # ---- fixed values: (key, multiplier, pattern) in search order --------------
@@ -87,7 +87,7 @@ def _found(text: Column, low: Column) -> Column:
     hits = []
     for i, (key, multiplier, source) in enumerate(SECTION_MARKERS):
         pattern = portable(source)
-        at = first_index(text, pattern)
+        at = F.length(F.get(F.split(text, pattern, 2), F.lit(0)))
         hit = F.struct(
             at.alias("at"),
             F.lit(i).alias("i"),
