@@ -8,8 +8,8 @@ it are put together and re-encoded, growing over further chunks until both ends
 
 A blank is where both encodings agree exactly: the tokenizer's rules (NFC, white space to one blank, lower case, split
 into words that hold no white space) never look across ASCII white space, so a text's ids are the ids of its
-blank-separated words in a row. Nor do they look from an ASCII letter to a full stop or comma after it, and they lower
-A to Z first, so words are remembered without case and such marks. ``agrees`` tests this against the library.
+blank-separated words in a row. Nor do they look from a Latin letter to an ASCII mark after it (but an apostrophe), and
+they lower A to Z first, so words are remembered without case and such marks. ``agrees`` tests this against the library.
 
 Defined results: a null text is empty, with no ids; special tokens' strings in a text are encoded as the library does
 by default. Equal texts and repeated rows get equal results. Very long words go to the library as one piece.
@@ -27,13 +27,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices
+
 VOCABULARY = "word_bpe_49k.json"
 #: A cut where these low bits of the rolling hash are 0: chunks of 256 bytes on average.
 CUT_BITS = 8
 #: Chunks encoded once for the whole corpus: those in most documents. Further ones are shared within each task.
 COMMON_CHUNKS = 8192
 #: Chunks that a task remembers, words that a worker remembers, chunk digests that a task counts before it passes them on.
-CHUNK_MEMO, WORD_MEMO, COUNTED = 1 << 15, 1 << 18, 1 << 17
+CHUNK_MEMO, WORD_MEMO, COUNTED = 1 << 15, 1 << 19, 1 << 17
 BLANKS = b" \t\n\r\x0b\x0c"
 _GEAR = np.array([xxhash.xxh3_64_intdigest(bytes([b])) for b in range(256)], np.uint64)
 
@@ -60,8 +62,8 @@ _EACH = [bytes([b]) for b in BLANKS]
 
 #: What is kept of an encoded piece: the ids in decimal and the decoded text, a blank after each id and word.
 Piece = tuple[bytes, bytes]
-#: Between an ASCII letter and a full stop or comma.
-_MARK = re.compile(rb"(?<=[a-z])(?=[.,])")
+#: An ASCII mark that is no apostrophe, after a letter (a to z, or of Latin-1 beyond ASCII).
+_MARK = re.compile(rb"([!-&(-/:-@\[-`{-~])(?:(?<=[a-z].)|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf].))")
 
 
 class Words(dict):
@@ -109,7 +111,7 @@ class Encoder:
     def piece(self, data: bytes) -> Piece:
         """Encode blank-separated text afresh."""
         if b"<|" not in data:  # no special token's string
-            data = _MARK.sub(b" ", data.lower())
+            data = _MARK.sub(rb" \1", data.lower())
         words = self.words
         return join_pieces([words[w] for w in data.split()])
 
@@ -153,6 +155,14 @@ def count_ids(ids: bytes) -> int:
     return ids.count(b" ") + 1 if ids else 0
 
 
+def id_lists(texts: list[bytes]) -> pa.ListArray:
+    """The ids of each text as a list, parsed all at once."""
+    joined = b" ".join([t for t in texts if t])
+    ids = np.fromstring(joined, np.int32, sep=" ") if joined else np.zeros(0, np.int32)
+    ends = np.cumsum([0, *map(count_ids, texts)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))
+
+
 def agrees(path: str, text: str, bits: int = CUT_BITS) -> bool:
     """Whether the chunked ids and decoded text equal the library's own for the whole text."""
     encoder = Encoder(path, bits=bits)
@@ -169,7 +179,7 @@ def common_chunks(docs: DataFrame, path: str, most: int = COMMON_CHUNKS, bits: i
 
     def digests(batches):
         held: dict[bytes, int] = {}
-        for batch in batches:
+        for batch in slices(batches):
             for text in batch.column(0).to_pylist():
                 for d in set(_digests(text, bits)):
                     held[d] = held.get(d, 0) + 1
@@ -185,7 +195,7 @@ def common_chunks(docs: DataFrame, path: str, most: int = COMMON_CHUNKS, bits: i
 
     def pick(batches):
         seen: set[bytes] = set()
-        for batch in batches:
+        for batch in slices(batches):
             new: dict[bytes, bytes] = {}
             for text in batch.column(0).to_pylist():
                 for d, chunk in _digests(text, bits).items():
@@ -232,19 +242,17 @@ def encode(docs: DataFrame, path: str, most: int = COMMON_CHUNKS, with_ids: bool
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(path, sent.value)
-        for whole in batches:
-            for at in range(0, whole.num_rows, 1024):
-                batch = whole.slice(at, 1024)
-                pieces = [encoder.encode(t) for t in batch.column(1).to_pylist()]
-                columns = {
-                    "doc_id": batch.column(0),
-                    "n_tokens": pa.array([count_ids(p[0]) for p in pieces], pa.int64()),
-                    "ids_sha256": pa.array([hashlib.sha256(p[0]).hexdigest() for p in pieces], pa.string()),
-                    "decoded_sha256": pa.array([hashlib.sha256(p[1]).hexdigest() for p in pieces], pa.string()),
-                }
-                if with_ids:
-                    columns["ids"] = pa.array([list(map(int, p[0].split())) for p in pieces], pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_pydict(columns)
+        for batch in slices(batches):
+            pieces = [encoder.encode(t) for t in batch.column(1).to_pylist()]
+            columns = {
+                "doc_id": batch.column(0),
+                "n_tokens": pa.array([count_ids(p[0]) for p in pieces], pa.int64()),
+                "ids_sha256": pa.array([hashlib.sha256(p[0]).hexdigest() for p in pieces], pa.string()),
+                "decoded_sha256": pa.array([hashlib.sha256(p[1]).hexdigest() for p in pieces], pa.string()),
+            }
+            if with_ids:
+                columns["ids"] = id_lists([p[0] for p in pieces])
+            yield pa.RecordBatch.from_pydict(columns)
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
 
