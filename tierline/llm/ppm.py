@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices
+
 ORDER = 3
 TRAIN_DOCS = 2000
 MAX_CONTEXTS = 16384
@@ -48,7 +50,7 @@ def count_grams(texts: DataFrame) -> DataFrame:
 
     def count(batches):
         held: dict[str, list] = {}
-        for batch in batches:
+        for batch in slices(batches):
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 gram, n = np.unique(_grams(text.encode("utf-8", "surrogatepass")), return_counts=True)
                 held.setdefault(lang, []).append((gram, n))
@@ -84,7 +86,10 @@ class ContextTrees:
         symbol = self.code[gram % BASE]
         before = [self.code[gram // BASE**k % BASE] for k in range(1, ORDER + 1)]  # the last byte before, and so on
         width = len(self.langs)
-        lengths = np.full((1, m, width), 8.0)  # below order 0
+        self.row, self.bits = np.zeros(m**ORDER, np.int32), np.zeros((m, width), np.float32)
+        if not width:
+            return
+        lengths = np.full((1, m, width), 8, np.float32)  # below order 0
         rows, keys = [lengths], [np.zeros(1, np.int64)]  # keys: the contexts of each order, sorted
         for order in range(ORDER + 1):
             key = np.zeros(len(gram), np.int64)
@@ -96,20 +101,24 @@ class ContextTrees:
                 stays = np.isin(key, names[often])
                 key, symbol, lang, n = key[stays], symbol[stays], lang[stays], n[stays]
             names, at = np.unique(key, return_inverse=True)
-            count = np.zeros((len(names), m, width))
-            np.add.at(count, (at, symbol, lang), n)
-            total, kinds = count.sum(1), (count > 0).sum(1)
-            shorter = rows[-1][np.searchsorted(keys[-1], names % m ** max(0, order - 1)) if order else np.zeros(len(names), int)]
+            # (context, language) totals and kinds first, then the one large table in place
+            place = at * width + lang
+            total = np.bincount(place, n, len(names) * width).reshape(-1, width)
+            kinds = np.bincount(np.unique(place * m + symbol) // m, minlength=len(names) * width).reshape(-1, width)
             with np.errstate(divide="ignore", invalid="ignore"):
-                leave = np.where(total > 0, np.log2(total + kinds) - np.log2(kinds), 0.0)
-                coded = np.log2(total + kinds)[:, None, :] - np.log2(count)
-            rows.append(np.where(count > 0, coded, shorter + leave[:, None, :]))
+                leave = np.where(total > 0, np.log2(total + kinds) - np.log2(kinds), 0.0).astype(np.float32)
+            shorter = np.searchsorted(keys[-1], names % m ** max(0, order - 1)) if order else np.zeros(len(names), int)
+            table = rows[-1][shorter] + leave[:, None, :]
+            cell, which = np.unique((at * m + symbol) * width + lang, return_inverse=True)
+            seen_n = np.bincount(which, n)
+            whole = (total + kinds)[cell // (m * width), cell % width]
+            table.reshape(-1)[cell] = np.log2(whole) - np.log2(seen_n)
+            rows.append(table)
             keys.append(names)
         starts = np.cumsum([0] + [len(k) for k in keys])
-        self.bits = np.concatenate(rows).astype(np.float32).reshape(-1, max(width, 1)) if width else np.zeros((0, 1), np.float32)
+        self.bits = np.concatenate(rows).reshape(-1, width)
         #: The row of the longest known context for each three codes.
         three = np.arange(m**ORDER)
-        self.row = np.zeros(m**ORDER, np.int32)
         for order in range(ORDER + 1):
             if len(keys[order + 1]) == 0:
                 continue
