@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tierline.session import cut_lineage, scratch_dir
 
-__all__ = ["components", "cut_lineage", "lower_ascii", "ranked", "scratch_dir", "table"]
+__all__ = ["components", "cut_lineage", "lower_ascii", "ranked", "scratch_dir", "slices", "table"]
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -18,6 +18,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def slices(batches, rows: int = 512):
+    """Arrow batches in slices, so that Python holds the texts of few rows at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def lower_ascii(column):
     """Lower-case A to Z and nothing else."""
     return F.translate(column, UPPER, LOWER)
@@ -60,10 +67,17 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
     Each round every id takes the smallest label among its own and its neighbours' labels (one aggregate with map-side
     combine, so an id with very many links is no hot group), then jumps to its label's label. Labels are stored after
     each round; the number of rounds grows with the logarithm of the longest path. Ids without links are not listed.
+
+    Before the rounds an id that is linked to several smaller ones keeps the link to the smallest, and the others are
+    linked to that one instead: what hangs together stays so, and the many links of members to a few centres shrink.
     """
-    both = cut_lineage(
-        edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), label
+    down = cut_lineage(
+        edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), label
     )
+    least = cut_lineage(down.groupBy("u").agg(F.min("v").alias("m")), label)
+    others = down.join(least.withColumnRenamed("u", "w"), F.col("u") == F.col("w")).where("v != m")
+    fewer = least.select(F.col("u").alias("a"), F.col("m").alias("b")).union(others.select("v", "m"))
+    both = cut_lineage(fewer.union(fewer.select("b", "a")).distinct(), label)
     labels = cut_lineage(
         both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("id"), F.least("a", "b").alias("component")),
         label,

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut_lineage, ranked
+from .common import components, cut_lineage, ranked, slices
 
 CHUNKS, SLOTS, ERRORS = 10, 4, 1
 WORDS = 5
@@ -40,7 +40,7 @@ PERCENT = 80
 #: Members of a bucket that are paired one by one, slots in which paired members may differ, texts of a block.
 SMALL, FAR, BLOCK = 64, 24, 512
 #: Words whose hashes a task remembers.
-MEMO = 1 << 18
+MEMO = 1 << 17
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -132,7 +132,7 @@ def signatures(docs: DataFrame, k: int = WORDS, chunks: int = CHUNKS, slots: int
 
     def sign(batches):
         memo, seen = WordHashes(), set()
-        for batch in batches:
+        for batch in slices(batches):
             tkeys, ns, sigs, keys = [], [], [], []
             for tkey, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if text is None or tkey in seen:
@@ -167,7 +167,7 @@ def distinct_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     def first_of_task(batches):
         seen = set()
-        for batch in batches:
+        for batch in slices(batches):
             new = []
             for i, tkey in enumerate(batch.column(0).to_pylist()):
                 if tkey is not None and tkey not in seen:
