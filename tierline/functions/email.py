@@ -29,12 +29,14 @@ def _value(df: DataFrame, field: str) -> Column:
     return F.coalesce(non_blank(col.cast("string")), F.lit(default))
 
 
-def render_email(df: DataFrame, templates: dict[str, str], curriculum: str = "top_curriculum") -> DataFrame:
-    """Add ``subject`` and ``body``; ``templates`` maps curricula to texts.
+def render_email(df: DataFrame, templates: dict[str, str] | DataFrame, curriculum: str = "top_curriculum") -> DataFrame:
+    """Add ``subject`` and ``body``; ``templates`` maps curricula to texts, or is a (curriculum, template) table.
 
     The few templates are constants of the plan: rows stay where they are,
     though four curricula share them all.
     """
+    if isinstance(templates, DataFrame):
+        templates = {r["curriculum"]: r["template"] for r in templates.select("curriculum", "template").collect()}
     joined = df.withColumn("__tpl", lookup(F.col(curriculum), templates) if templates else F.lit(None).cast("string"))
     merged = F.regexp_replace(F.col("__tpl"), r"\{\{\s*([a-z_]+)\s*\}\}", f"{_OPEN}$1{_CLOSE}")
     for field in MERGE_FIELDS:
