@@ -84,6 +84,32 @@ def test_pruned_contexts_end_one_order_lower():
     assert np.isfinite(trees.bits).all() and len(trees.bits) < trees.m * len(gram)
 
 
+def test_rare_language_keeps_its_contexts_among_many():
+    rng = random.Random(7)
+    frames = []
+    for k in range(40):
+        alphabet = [chr(0x100 + 40 * k + j) for j in range(24)]
+        spoken = "".join(rng.choices(alphabet, k=4000 if k else 60))
+        gram, n = np.unique(ppm._grams(spoken.encode()), return_counts=True)
+        frames.append(pd.DataFrame({"lang": f"l{k:02}", "gram": gram, "n": n}))
+        if not k:
+            rare = spoken.encode()
+    every = pd.concat(frames, ignore_index=True)
+    assert every["gram"].floordiv(ppm.BASE).nunique() > 16384
+    own = ppm.ContextTrees(frames[0]).code_lengths(rare)[0]
+    got = ppm.ContextTrees(every).code_lengths(rare)
+    assert np.isclose(got[0], own, rtol=1e-5) and got.argmin() == 0
+    # all grams of a text are learned, so it needs far less than 8 bits a byte
+    assert own < 3 * len(rare)
+
+
+def test_language_without_a_repeated_gram_is_learned(spark):
+    rng = random.Random(8)
+    rows = [(i, text(rng, "aa"), "aa") for i in range(20)] + [(50, "żółw pchnąć", "rare")]
+    trees = ppm.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert trees.langs == ["aa", "rare"] and trees.code_lengths("pchnąć żółw".encode()).argmin() == 1
+
+
 def test_held_out_accuracy_and_edges(spark, documents):
     rows = table(random.Random(4), 120)
     odd = [(900, None, "aa"), (901, "", "aa"), (902, "12 34 !?", None), (903, text(random.Random(1), "bb", 30_000), None), (None, "the and of", None)]

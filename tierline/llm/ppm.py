@@ -3,12 +3,13 @@
 Each language has a byte context tree of orders 0 to 3. In a context seen n times with t different next bytes, a byte
 seen c times has probability c / (n + t), and the escape to the next shorter context t / (n + t); a context that a
 language never saw costs nothing to leave, and below order 0 every byte has 1/256. The trees are frozen after
-training, so the exact code length of a byte after a context is a constant: all languages' lengths stand in one table
-(context, byte) -> bits, and a text's code length is a sum of table rows. The language with the shortest code wins.
+training, so the exact code length of a byte after a context is a constant, and a text's code length is a sum of such
+constants over its distinct grams. The language with the shortest code wins.
 
 Training learns from a bounded sample: about ``TRAIN_DOCS`` documents of each language, chosen by a hash of the text,
-whole. ``MAX_CONTEXTS`` bounds the contexts of order 3 (the most frequent stay; the others end at order 2), and with
-them what is sent to the workers.
+whole. Every gram of the sample counts, also one seen once, in every language. Orders 0 and 1 are one dense table
+(byte before, byte) -> bits of each language; orders 2 and 3 hold only what each language saw, so what is sent to the
+workers grows with the distinct grams of the sample and not with contexts x bytes x languages.
 
 Defined results: ``und`` with score 0 for a null text, a text without a letter, or when nothing was learned; ties go
 to the smaller language name. Repeated documents get the same answer. Empty tables give empty results.
@@ -26,8 +27,6 @@ from .common import slices
 
 ORDER = 3
 TRAIN_DOCS = 2000
-MAX_CONTEXTS = 16384
-MIN_COUNT = 2
 PAD = 256  # stands before the first byte
 BASE = 257
 #: Bytes of a text scored at once.
@@ -69,11 +68,32 @@ def _add(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.nda
     return gram, np.bincount(at, np.concatenate([n for _, n in parts]).astype(float), len(gram)).astype(np.int64)
 
 
+class _Sparse:
+    """key -> (language, bits) entries, for the keys and languages that have one."""
+
+    def __init__(self, key: np.ndarray, lang: np.ndarray, bits: np.ndarray):
+        order = np.lexsort((lang, key))
+        self.keys, starts = np.unique(key[order], return_index=True)
+        self.starts = np.append(starts, len(key))
+        self.lang, self.bits = lang[order].astype(np.int32), bits[order].astype(np.float32)
+
+    def add(self, asked: np.ndarray, n: np.ndarray, total: np.ndarray) -> None:
+        """Adds to each language's ``total`` its bits of the ``asked`` keys, ``n`` times each."""
+        if not len(self.keys):
+            return
+        at = np.minimum(np.searchsorted(self.keys, asked), len(self.keys) - 1)
+        known = self.keys[at] == asked
+        at, n = at[known], n[known]
+        size = self.starts[at + 1] - self.starts[at]
+        place = np.repeat(self.starts[at] - np.cumsum(size) + size, size) + np.arange(size.sum())
+        total += np.bincount(self.lang[place], self.bits[place] * np.repeat(n, size).astype(float), len(total))
+
+
 class ContextTrees:
     """The frozen code lengths of all languages."""
 
-    def __init__(self, counts: pd.DataFrame, max_contexts: int = MAX_CONTEXTS):
-        """``counts``: (lang, gram, n)."""
+    def __init__(self, counts: pd.DataFrame, max_contexts: int | None = None):
+        """``counts``: (lang, gram, n). ``max_contexts``: only so many contexts of order 3, the most frequent; default all."""
         self.langs = sorted(counts["lang"].unique())
         gram, n = counts["gram"].to_numpy(np.int64), counts["n"].to_numpy(float)
         lang = np.searchsorted(np.array(self.langs, object), counts["lang"].to_numpy(object)) if len(counts) else np.zeros(0, int)
@@ -83,49 +103,62 @@ class ContextTrees:
         self.code = np.full(BASE, m - 1, np.int64)
         self.code[seen] = np.arange(len(seen))
         self.code[PAD] = m - 2
-        symbol = self.code[gram % BASE]
-        before = [self.code[gram // BASE**k % BASE] for k in range(1, ORDER + 1)]  # the last byte before, and so on
         width = len(self.langs)
-        self.row, self.bits = np.zeros(m**ORDER, np.int32), np.zeros((m, width), np.float32)
+        #: Bits of (byte before, byte) in each language by orders 0 and 1.
+        self.bits = np.full((m * m, width), 8, np.float32)
+        #: For orders 2 and 3: what leaving a context costs, and what a byte seen there costs less than leaving it.
+        self.leave: list[_Sparse] = []
+        self.gain: list[_Sparse] = []
         if not width:
             return
-        lengths = np.full((1, m, width), 8, np.float32)  # below order 0
-        rows, keys = [lengths], [np.zeros(1, np.int64)]  # keys: the contexts of each order, sorted
-        for order in range(ORDER + 1):
-            key = np.zeros(len(gram), np.int64)
-            for back in reversed(before[:order]):
-                key = key * m + back
-            if order == ORDER and len(np.unique(key)) > max_contexts:
-                names, at = np.unique(key, return_inverse=True)
-                often = np.sort(np.argsort(-np.bincount(at, n), kind="stable")[:max_contexts])
-                stays = np.isin(key, names[often])
-                key, symbol, lang, n = key[stays], symbol[stays], lang[stays], n[stays]
-            names, at = np.unique(key, return_inverse=True)
-            # (context, language) totals and kinds first, then the one large table in place
-            place = at * width + lang
-            total = np.bincount(place, n, len(names) * width).reshape(-1, width)
-            kinds = np.bincount(np.unique(place * m + symbol) // m, minlength=len(names) * width).reshape(-1, width)
-            with np.errstate(divide="ignore", invalid="ignore"):
-                leave = np.where(total > 0, np.log2(total + kinds) - np.log2(kinds), 0.0).astype(np.float32)
-            shorter = np.searchsorted(keys[-1], names % m ** max(0, order - 1)) if order else np.zeros(len(names), int)
-            table = rows[-1][shorter] + leave[:, None, :]
-            cell, which = np.unique((at * m + symbol) * width + lang, return_inverse=True)
-            seen_n = np.bincount(which, n)
-            whole = (total + kinds)[cell // (m * width), cell % width]
-            table.reshape(-1)[cell] = np.log2(whole) - np.log2(seen_n)
-            rows.append(table)
-            keys.append(names)
-        starts = np.cumsum([0] + [len(k) for k in keys])
-        self.bits = np.concatenate(rows).reshape(-1, width)
-        #: The row of the longest known context for each three codes.
-        three = np.arange(m**ORDER)
+        key = np.zeros(len(gram), np.int64)
+        for back in range(ORDER, -1, -1):
+            key = key * m + self.code[gram // BASE**back % BASE]
+        by_lang = np.argsort(lang, kind="stable")
+        ends = np.cumsum(np.bincount(lang, minlength=width))
+        parts = [self._tree(key[own], n[own]) for own in np.split(by_lang, ends[:-1])]
+        for x, orders in enumerate(parts):
+            (_, _, cell, own, leave), (context, out, cell1, own1, _) = orders[:2]
+            by_byte = np.full(m, 8 + leave[0])
+            by_byte[cell] = own
+            table = np.tile(by_byte, (m, 1))
+            table[context] += out[:, None]
+            table.reshape(-1)[cell1] = own1
+            self.bits[:, x] = table.reshape(-1)
+        stays = None
+        if max_contexts is not None:
+            names, at = np.unique(key // m, return_inverse=True)
+            stays = names[np.argsort(-np.bincount(at, n), kind="stable")[:max_contexts]]
+        for order in range(2, ORDER + 1):
+            rows = [([], [], []), ([], [], [])]
+            for x, orders in enumerate(parts):
+                context, out, cell, own, leave = orders[order]
+                _, _, short, own_short, _ = orders[order - 1]
+                gain = own - own_short[np.searchsorted(short, cell % m**order)] - leave
+                if stays is not None and order == ORDER:
+                    kept = np.isin(context, stays)
+                    context, out = context[kept], out[kept]
+                    kept = np.isin(cell // m, stays)
+                    cell, gain = cell[kept], gain[kept]
+                for to, (names, bits) in zip(rows, ((context, out), (cell, gain)), strict=True):
+                    to[0].append(names)
+                    to[1].append(np.full(len(names), x, np.int32))
+                    to[2].append(bits)
+            self.leave.append(_Sparse(*map(np.concatenate, rows[0])))
+            self.gain.append(_Sparse(*map(np.concatenate, rows[1])))
+
+    def _tree(self, key: np.ndarray, n: np.ndarray) -> list[tuple]:
+        """One language's orders: contexts, bits to leave each, (context, byte) cells, bits of each, bits to leave its context."""
+        out, m = [], self.m
         for order in range(ORDER + 1):
-            if len(keys[order + 1]) == 0:
-                continue
-            short = three % m**order
-            place = np.minimum(np.searchsorted(keys[order + 1], short), len(keys[order + 1]) - 1)
-            known = keys[order + 1][place] == short
-            self.row[known] = (starts[order + 1] + place[known]).astype(np.int32)
+            cell, at = np.unique(key % m ** (order + 1), return_inverse=True)
+            times = np.bincount(at, n, len(cell))
+            context, of = np.unique(cell // m, return_inverse=True)
+            kinds = np.bincount(of, minlength=len(context))
+            whole = np.bincount(of, times, len(context)) + kinds
+            leave = np.log2(whole) - np.log2(kinds)
+            out.append((context, leave, cell, np.log2(whole)[of] - np.log2(times), leave[of]))
+        return out
 
     def code_lengths(self, data: bytes) -> np.ndarray:
         """Bits of ``data`` in each language."""
@@ -134,9 +167,12 @@ class ContextTrees:
             head = data[max(0, at - ORDER) : at]
             c = self.code[np.frombuffer(head + data[at : at + PIECE], np.uint8)]
             c = np.concatenate([np.full(ORDER - len(head), m - 2), c])
-            context = (c[:-3] * m + c[1:-2]) * m + c[2:-1]
-            rows = self.row[context].astype(np.int64) * m + c[3:]
-            total += self.bits[rows].sum(0, dtype=np.float64)
+            cells, n = np.unique(((c[:-3] * m + c[1:-2]) * m + c[2:-1]) * m + c[3:], return_counts=True)
+            total += n.astype(float) @ self.bits[cells % m**2]
+            for order, leave, gain in zip(range(2, ORDER + 1), self.leave, self.gain, strict=True):
+                cell = cells % m ** (order + 1)
+                leave.add(cell // m, n, total)
+                gain.add(cell, n, total)
         return total
 
 
@@ -150,12 +186,10 @@ def sample(training: DataFrame, per_lang: int = TRAIN_DOCS) -> DataFrame:
     return training.where(spin < share[F.col("lang")])
 
 
-def learn(training: DataFrame, per_lang: int = TRAIN_DOCS, max_contexts: int = MAX_CONTEXTS, min_count: int = MIN_COUNT) -> ContextTrees:
+def learn(training: DataFrame, per_lang: int = TRAIN_DOCS, max_contexts: int | None = None) -> ContextTrees:
     """Trees over (doc_id, text, lang) rows; what comes to the driver is bounded by the sample."""
     rows = training.select("doc_id", "text", "lang").where("text IS NOT NULL AND lang IS NOT NULL")
-    counts = count_grams(sample(rows, per_lang))
-    often = counts.where(F.col("n") >= min_count).toPandas()
-    return ContextTrees(often if len(often) else counts.toPandas(), max_contexts)
+    return ContextTrees(count_grams(sample(rows, per_lang)).toPandas(), max_contexts)
 
 
 def predict(docs: DataFrame, trees: ContextTrees) -> DataFrame:
