@@ -74,3 +74,40 @@ def test_runs_lose_no_place():
         codes = [known.number.get(w, 0) for w in words]
         exact = [i for i in range(30) if len(p.align(codes[i : i + 12], template)) >= 7]
         assert bool(exact) <= bool(p.found_in(words, known)), words
+
+
+def test_neighbours_are_told_apart(spark, documents):
+    gpl = (p.__file__.rsplit("/", 1)[0]) + "/licenses/GPL-3.0.txt"
+    with open(gpl) as f:
+        full = f.read()
+    said = {
+        "This work is licensed under the GNU Lesser General Public License, version 3.": ["LGPL-3.0"],
+        "This work is licensed under the GNU Affero General Public License, version 3.": ["AGPL-3.0"],
+        "This work is licensed under the GNU General Public License, version 2.": ["GPL-2.0"],
+        "This work is licensed under the GNU General Public License, version 7.": [],
+        "Licensed under the GNU Library General Public License, version 2.": ["LGPL-2.0"],
+        "Licensed under CC BY-ND 4.0.": ["CC-BY-ND-4.0"],
+        "Licensed under CC BY 3.0.": ["CC-BY-3.0"],
+        "Licensed under CC BY-NC-SA 4.0.": ["CC-BY-NC-SA-4.0"],
+        "Released under the BSD 3-Clause License.": ["BSD-3-Clause"],
+        "Distributed under the Mozilla Public License, version 2.0.": ["MPL-2.0"],
+        "Released under the ISC License.": ["ISC"],
+        "Licensed under the CC0 1.0.": ["CC0-1.0"],
+        "Licensed under the CC0 1.0 Universal Public Domain Dedication": ["CC0-1.0"],
+        "Released under the MIT No Attribution License.": ["MIT-0"],
+        "Licensed under the Apache License, Version 2.0.": ["Apache-2.0"],
+    }
+    rows = [(i, f"Some words before. {t} Some words after it.", "en") for i, t in enumerate(said)]
+    affero = full.replace("GENERAL PUBLIC", "AFFERO GENERAL PUBLIC").replace("GNU General", "GNU Affero General").replace("29 June", "19 November")
+    rows += [(100, "word " * 300 + full + " word" * 300, "en"), (101, affero, "en")]
+    got = {r.doc_id: [x.license for x in r.licenses] for r in p.scan(documents(rows)).collect()}
+    assert {t: got[i] for i, t in enumerate(said)} == said
+    assert got[100] == ["GPL-3.0"] and "GPL-3.0" not in got[101] and "AGPL-3.0" in got[101]
+    texts = dict(reversed([(n, t) for n, t in p.forms() if len(t) > 600]))
+    rare = texts["ISC"].replace("appear in all copies", "appear in copies"), texts["BSD-3-Clause"].replace("contributors may", "helpers may")
+    assert [[known.names[t] for t, *_ in p.found_in(p.split_words(x), known)] for x in rare] == [["ISC"], ["BSD-3-Clause"]]
+    for name, text in p.forms():
+        assert name in [known.names[t] for t, *_ in p.found_in(p.split_words(text), known)], text[:80]
+
+
+known = p.Templates(p.TEMPLATES, p.forms())

@@ -9,6 +9,10 @@ at most ``SLACK`` times as long as the template, holds ``COVERAGE`` of its words
 such run. Runs are found with exact counts: only a run with enough of the template's words, each counted at most as
 often as the template has it, can reach the coverage.
 
+Templates of one license differ from its neighbours' by few words, so coverage alone does not tell them apart: a run that
+holds a word of ``license_forms.NAMES`` (Affero, Lesser, ND, ...) more often than the template is no place of it, and of a
+short form (up to ``SHORT`` words) the naming words and all numbers must be matched.
+
 Defined results: a null or empty text has no license; equal texts get equal results; templates without words match
 nothing. Ties between templates at one place go to the higher coverage, then the longer template, then the name.
 """
@@ -17,15 +21,17 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections import Counter
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .license_forms import IDENTITY, LONGER, NAMES, forms
+
 COVERAGE = 0.8
 SLACK = 1.5
+SHORT = 64
 #: Short forms in which works name their license; fixed values.
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
@@ -98,49 +104,111 @@ def align(a: list, b: list) -> list[tuple[int, int]]:
 
 
 class Templates:
-    """Templates as word numbers; 0 is any word that no template has."""
+    """Templates as word numbers; 0 is any word that no template has. ``more``: further (license, text) forms."""
 
-    def __init__(self, templates: dict[str, str]):
-        self.names = sorted(templates)
+    def __init__(self, templates: dict[str, str], more: list[tuple[str, str]] = ()):
+        pairs = sorted({(name, *split_words(text)) for name, text in [*templates.items(), *more]})
+        self.names = [name for name, *_ in pairs]
         self.number: dict[bytes, int] = {}
-        self.codes = [
-            [self.number.setdefault(w, len(self.number) + 1) for w in split_words(templates[name])] for name in self.names
-        ]
+        name_words = {self.number.setdefault(w.encode(), len(self.number) + 1) for w in sorted(NAMES)}
+        self.library, self.general, self.of_library = (
+            self.number.setdefault(w, len(self.number) + 1) for w in (b"library", b"general", b"library general")
+        )
+        naming = name_words | {self.of_library}
+        #: Of each template: the words that its runs hold no more often than it does.
+        self.naming = [naming | {self.number_of(w.encode()) for w in LONGER.get(name, ())} for name in self.names]
+        self.codes = [self.numbers(words, self.number_of).tolist() for _, *words in pairs]
         self.counts = [Counter(c) for c in self.codes]
+        self.distinct = [(np.array(list(c), np.int64), np.array(list(c.values()), np.int64)) for c in self.counts]
+        must = naming | {i for w, i in self.number.items() if w.decode("utf-8", "replace") in IDENTITY or w.lstrip(b"v").isdigit()}
+        self.required = [Counter({w: n for w, n in c.items() if w in must}) if len(t) <= SHORT else Counter() for c, t in zip(self.counts, self.codes, strict=True)]
+        #: Templates by one word that they require: the one that fewest templates have; 0: by none.
+        share = Counter(w for r in self.required for w in r)
+        self.by_gate: dict[int, list[int]] = {}
+        for t, r in enumerate(self.required):
+            self.by_gate.setdefault(min(r, key=lambda w: (share[w], w)) if r else 0, []).append(t)
+        self.gates = np.array([g for g in self.by_gate if g], np.int64)
+
+    def number_of(self, word: bytes) -> int:
+        return self.number.setdefault(word, len(self.number) + 1)
+
+    def numbers(self, words: list[bytes], number) -> np.ndarray:
+        codes = np.fromiter(map(number, words), np.int64, len(words))
+        codes[:-1][(codes[:-1] == self.library) & (codes[1:] == self.general)] = self.of_library
+        return codes
 
 
 def found_in(words: list[bytes], known: Templates, coverage: float = COVERAGE, slack: float = SLACK) -> list[tuple]:
     """(template's number, coverage, first word, end) for each place where a template is found, best first at each place."""
     if not words:
         return []
-    codes = np.fromiter(map(known.number.get, words, repeat(0)), np.int64, len(words))
-    hit = np.flatnonzero(codes)
+    codes = known.numbers(words, lambda w: known.number.get(w, 0))
+    counts = np.bincount(codes, minlength=len(known.number) + 1)
+    hits = len(codes) - int(counts[0])
+    tried = [*known.by_gate.get(0, ()), *(t for g in known.gates[counts[known.gates] > 0].tolist() for t in known.by_gate[g])]
+    tried.sort(key=lambda t: (-len(known.codes[t]), t))
+    out = _tried(codes, counts, hits, tried, known, coverage, slack, True)
+    kept = _best_apart(out, known)
+    if any(len(known.codes[x[0]]) > SHORT and x not in kept for x in out):
+        # what was left out for a place that is not kept itself may be a place
+        kept = _best_apart(_tried(codes, counts, hits, tried, known, coverage, slack, False), known)
+    return kept
+
+
+def _tried(codes, counts, hits, tried, known, coverage, slack, leave_out) -> list[tuple]:
+    """Places of all templates; with ``leave_out`` without those that a long template's better place would displace."""
     out = []
-    for t, template in enumerate(known.codes):
-        need = -(-len(template) * coverage // 1)
-        if not template or len(hit) < need:
+    for t in tried:
+        template = known.codes[t]
+        need = int(-(-len(template) * coverage // 1))
+        if not template or hits < need:
             continue
-        own = hit[np.isin(codes[hit], template)]
-        if len(own) < need:
+        own_words, times = known.distinct[t]
+        if np.minimum(counts[own_words], times).sum() < need or any(counts[w] < n for w, n in known.required[t].items()):
             continue
+        own = np.flatnonzero(np.isin(codes, own_words))
         width = max(len(template), int(len(template) * slack))
         # a run of ``width`` words can only reach the coverage if it holds ``need`` of the template's words
         ends = np.searchsorted(own, own + width)
-        out += _runs(codes, own, ends, template, known.counts[t], int(need), t)
-    return _best_apart(out, known)
+        better = [x for x in out if leave_out and SHORT < len(known.codes[x[0]]) > len(template)]
+        out += _runs(codes, own, ends, need, t, known, width, better)
+    return out
 
 
-def _runs(codes, own, ends, template, counts, need, t) -> list[tuple]:
-    out, free = [], 0
-    for i in np.flatnonzero(ends - np.arange(len(own)) >= need):
-        first, last = int(own[i]), int(own[ends[i] - 1]) + 1
-        if first < free:
+def _runs(codes, own, ends, need, t, known, width, better) -> list[tuple]:
+    template, counts, required = known.codes[t], known.counts[t], known.required[t]
+    out, free, held, common, filled = [], 0, Counter(), 0, 0
+    at, last = codes[own].tolist(), ends.tolist()
+    for i, first in enumerate(own.tolist()):
+        # ``common``: how many of the template's words the run holds, each counted at most as often as the template has it
+        for w in at[filled : last[i]]:
+            common += held[w] < counts[w]
+            held[w] += 1
+        filled = last[i]
+        enough = common >= need
+        if enough and any(x[2] <= first < x[3] and common <= x[1] * len(template) for x in better):
+            enough = False
+        held[at[i]] -= 1
+        common -= held[at[i]] < counts[at[i]]
+        if not enough or first < free:
             continue
-        if sum((Counter(codes[own[i : ends[i]]].tolist()) & counts).values()) < need:
+        pairs = align(codes[first : int(own[last[i] - 1]) + 1].tolist(), template)
+        if len(pairs) < need:
             continue
-        pairs = align(codes[first:last].tolist(), template)
-        if len(pairs) >= need:
-            begin, end = first + pairs[0][0], first + pairs[-1][0] + 1
+        if pairs[0][0]:
+            # the run began before the place and may end inside it
+            moved = first + pairs[0][0]
+            again = align(codes[moved : moved + width].tolist(), template)
+            if len(again) > len(pairs):
+                first, pairs = moved, again
+        begin, end = first + pairs[0][0], first + pairs[-1][0] + 1
+        run = codes[begin:end].tolist()
+        in_run = Counter(run)
+        foreign = [w for w in known.naming[t] if in_run[w] > counts[w]]
+        if foreign:
+            # a run from before the first such word to the same end or beyond holds it as often
+            free = begin + min(map(run.index, foreign)) + 1
+        elif not required - Counter(template[j] for _, j in pairs):
             out.append((t, len(pairs) / len(template), begin, end))
             free = end
     return out
@@ -160,7 +228,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, coverage: flo
 
     ``licenses``: array of (license, coverage, first, end) in order of place; places count words.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(Templates(templates or TEMPLATES))  # the templates' own size
+    sent = docs.sparkSession.sparkContext.broadcast(Templates(templates) if templates else Templates(TEMPLATES, forms()))  # the templates' own size
     kind = pa.list_(
         pa.struct([("license", pa.string()), ("coverage", pa.float64()), ("first", pa.int64()), ("end", pa.int64())])
     )
