@@ -163,3 +163,18 @@ def test_a_crowd_makes_no_quadratic_pairs(spark, documents, monkeypatch):
     got = h.classify(docs, k=2).collect()
     assert sorted(map(tuple, got), key=repr) == brute(rows, 2)
     assert sum(pairs) < 400 * h.CHUNKS * h.SLOTS
+
+
+def test_pairs_of_a_small_bucket_are_confirmed_whatever_their_signatures(spark):
+    """Links at similarity 0.3: such pairs differ in far more slots than pairs at 0.8."""
+    shared = [f"s{i}" for i in range(30)]
+    own = lambda i: shared + [f"t{i}x{j}" for j in range(30)]
+    texts = {i: " ".join(own(i)) for i in (1, 2)} | {0: "another text altogether"}
+    sets = {i: h.shingle_set(t, 1, h.WordHashes()) for i, t in texts.items()}
+    seeds = h._seeds(h.CHUNKS * h.SLOTS)
+    apart = sum((h.signature(sets[1], seeds) != h.signature(sets[2], seeds)).tolist())
+    assert apart > 24
+    rest = spark.createDataFrame([(7, i, len(sets[i]), 0, 3, i) for i in (1, 2)], "key long, id long, n long, centre long, members long, component long")
+    confirmed = spark.createDataFrame([(i, 0, 0, 63) for i in (1, 2)], "a long, b long, common long, together long")
+    found = h.small_links(rest, confirmed, spark.createDataFrame(list(texts.items()), "id long, text string"), 1, 30)
+    assert [tuple(r) for r in found.collect()] == [(2, 1)]

@@ -10,11 +10,10 @@ are confirmed on their full shingle sets.
 Equal texts are one class before anything is paired. Buckets are not expanded into pairs: each member is confirmed
 against the bucket's centre (its smallest id) and links are joined into components. Only where a bucket still holds
 members of different components are those confirmed against each other. A bucket of at most ``SMALL`` members gives
-pairs, without those whose sizes, distances to the centre (Jaccard distance is a metric: |d(c, x) - d(c, y)| <=
-d(x, y)) or signatures (more than ``FAR`` slots apart, which similar pairs are with a probability below 1e-8) rule a
-link out. Larger buckets that share members are one family; a family is dealt into blocks of ``BLOCK`` texts, and two
+pairs, without those whose sizes or distances to the centre (Jaccard distance is a metric: |d(c, x) - d(c, y)| <=
+d(x, y)) rule a link out. Larger buckets that share members are one family; a family is dealt into blocks of ``BLOCK`` texts, and two
 blocks meet in one task that counts common shingles by matrix products and gives back only links that join components.
-Blocks within one component do not meet. So no link between different texts is lost, and a family of near copies that
+Blocks within one component do not meet. So no link between texts that meet is lost, and a family of near copies that
 hang together costs a few confirmations for each member.
 
 Defined results: documents without words, or with a null text, have an empty set and are linked with nothing; with one
@@ -37,8 +36,8 @@ CHUNKS, SLOTS, ERRORS = 10, 4, 1
 WORDS = 5
 #: A link: 100 * |intersection| >= PERCENT * |union|.
 PERCENT = 80
-#: Members of a bucket that are paired one by one, slots in which paired members may differ, texts of a block.
-SMALL, FAR, BLOCK = 64, 24, 512
+#: Members of a bucket that are paired one by one, texts of a block.
+SMALL, BLOCK = 64, 512
 #: Words whose hashes a task remembers.
 MEMO = 1 << 17
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -286,7 +285,7 @@ def near_duplicates(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, chu
 
     ``component_id`` is the smallest doc_id of all rows whose texts are linked, over any number of links.
     """
-    signed = signatures(docs, k, chunks, slots).dropDuplicates(["tkey"]).withColumn("id", F.monotonically_increasing_id())
+    signed = signatures(docs, k, chunks, slots).drop("sig").dropDuplicates(["tkey"]).withColumn("id", F.monotonically_increasing_id())
     classes = cut_lineage(signed, "classes")  # ids are drawn once, as the table is written
     keys = classes.select("id", "n", F.explode("keys").alias("key"))
     centres = keys.groupBy("key").agg(F.min("id").alias("centre"), F.count("*").alias("members")).where("members > 1")
@@ -304,7 +303,7 @@ def near_duplicates(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, chu
     labelled = buckets.join(components(links), "id", "left").withColumn("component", F.coalesce("component", "id"))
     open_ = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
     rest = cut_lineage(labelled.join(open_.select("key"), "key"), "open")
-    found = small_links(rest.where(f"members <= {SMALL}"), confirmed, classes, texts, k, percent)
+    found = small_links(rest.where(f"members <= {SMALL}"), confirmed, texts, k, percent)
     large = rest.where(f"members > {SMALL}")
     families = components(large.where("id != centre").select(F.col("id").alias("a"), F.col("centre").alias("b")))
     members = large.select("id", "component").distinct().join(families.withColumnRenamed("component", "family"), "id")
@@ -317,22 +316,21 @@ def near_duplicates(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, chu
     return labelled.join(heads, "component").select("tkey", F.col("n").alias("n_shingles"), "component", "component_id")
 
 
-def small_links(rest: DataFrame, confirmed: DataFrame, classes: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+def small_links(rest: DataFrame, confirmed: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """(a, b) links between components within small buckets, each pair of members confirmed once."""
     distance = confirmed.select(F.col("a").alias("id"), F.col("b").alias("centre"), (1 - F.col("common") / F.col("together")).alias("d"))
     # the centre's own distance is 0; one that sizes rule out was not measured
     left = rest.join(distance, ["id", "centre"], "left").withColumn("d", F.when(F.col("id") == F.col("centre"), 0.0).otherwise(F.col("d")))
-    left = left.join(classes.select("id", "sig"), "id").select("key", F.col("id").alias("a"), "n", "centre", "component", "d", "sig")
+    left = left.select("key", F.col("id").alias("a"), "n", "centre", "component", "d")
     left = cut_lineage(left, "small")
     right = left.select(
-        "key", F.col("a").alias("b"), F.col("n").alias("m"), F.col("component").alias("other"), F.col("d").alias("e"), F.col("sig").alias("sig_b")
+        "key", F.col("a").alias("b"), F.col("n").alias("m"), F.col("component").alias("other"), F.col("d").alias("e")
     )
     pairs = (
         left.join(right, "key")
         .where("a > b AND component != other AND a != centre AND b != centre")
         .where(f"100 * least(n, m) >= {percent} * greatest(n, m)")
         .where(f"d IS NULL OR e IS NULL OR abs(d - e) <= {1 - percent / 100 + 1e-9}")
-        .where(slots_apart("sig", "sig_b") <= FAR)
         .select("a", "b")
         .distinct()
     )
