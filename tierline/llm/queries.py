@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_chunks, hamming_join, patience, ppm, resharding, secret_ledger, suffix_match, topk, url_digests, warc
+from . import bpe_chunks, hamming_join, merkle, patience, ppm, resharding, secret_ledger, suffix_match, topk, url_digests, warc
 from .common import scratch_dir, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -207,3 +207,48 @@ def op10_blob_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("base_sha256", F.sha2(F.col("spans").cast("binary"), 256)).select(
         "doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"
     )
+
+
+@query(r"""
+WITH RECURSIVE even AS (SELECT doc_id FROM (
+    SELECT doc_id, list_reduce([4294967295::UBIGINT] || list_transform(string_split(doc_id::VARCHAR, ''), lambda ch: ord(ch)::UBIGINT),
+      lambda c, b: list_reduce([xor(c, b)] || [0::UBIGINT, 0, 0, 0, 0, 0, 0, 0], lambda x, z:
+        CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384::UBIGINT) ELSE x // 2 END)) AS c FROM documents) WHERE c % 2 = 1),
+d AS (SELECT doc_id, source,
+    coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+    || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS head,
+    text, CASE WHEN crc32_even THEN replace(text, chr(10), '') ELSE text END AS shown
+  FROM (SELECT *, doc_id IN (SELECT doc_id FROM even) AS crc32_even FROM documents)),
+l AS (SELECT doc_id, source, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+    sha256(head || coalesce(strlen(shown) || ':' || shown, '-')) AS shown,
+    row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST) - 1 AS pos, count(*) OVER (PARTITION BY source) AS n FROM d),
+t AS (SELECT 0 AS lv, source, pos, n, leaf AS h FROM l
+  UNION ALL SELECT lv + 1, source, pos // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY pos)) FROM t WHERE n > 1
+  GROUP BY lv, source, pos // 3, n),
+s AS (SELECT source, lv AS top, h AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS pos, count(*) OVER () AS n
+  FROM t WHERE n = 1),
+f AS (SELECT 0 AS lv, pos, n, subroot AS h FROM s
+  UNION ALL SELECT lv + 1, pos // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY pos)) FROM f WHERE n > 1 GROUP BY lv, pos // 3, n),
+m AS (SELECT max(lv) AS top FROM f),
+st AS (SELECT a.source, a.pos, a.lv,
+    coalesce(string_agg(b.h, '' ORDER BY b.pos) FILTER (b.pos < a.pos), '') AS lo,
+    coalesce(string_agg(b.h, '' ORDER BY b.pos) FILTER (b.pos > a.pos), '') AS hi
+  FROM t a JOIN t b ON a.source IS NOT DISTINCT FROM b.source AND a.lv = b.lv AND a.pos // 3 = b.pos // 3 WHERE a.n > 1 GROUP BY a.source, a.pos, a.lv),
+sf AS (SELECT a.pos, a.lv,
+    coalesce(string_agg(b.h, '' ORDER BY b.pos) FILTER (b.pos < a.pos), '') AS lo,
+    coalesce(string_agg(b.h, '' ORDER BY b.pos) FILTER (b.pos > a.pos), '') AS hi
+  FROM f a JOIN f b ON a.lv = b.lv AND a.pos // 3 = b.pos // 3 WHERE a.n > 1 GROUP BY a.pos, a.lv),
+x AS (SELECT l.doc_id, l.source, l.pos AS i, s.pos AS sat, top, 0 AS lv, shown AS h, '' AS proof
+    FROM l JOIN s ON l.source IS NOT DISTINCT FROM s.source
+  UNION ALL SELECT x.doc_id, x.source, x.i // 3, sat, top, x.lv + 1, sha256(lo || h || hi), proof || lo || hi
+    FROM x JOIN st ON x.source IS NOT DISTINCT FROM st.source AND st.lv = x.lv AND st.pos = x.i WHERE x.lv < top),
+y AS (SELECT doc_id, sat, 0 AS lv, h, proof FROM x WHERE lv = top
+  UNION ALL SELECT doc_id, sat // 3, y.lv + 1, sha256(lo || h || hi), proof || lo || hi
+    FROM y JOIN sf ON sf.lv = y.lv AND sf.pos = sat WHERE y.lv < (SELECT top FROM m))
+SELECT l.doc_id, l.leaf, s.subroot, f.h AS root, sha256(y.proof) AS proof_sha256, y.h AS folded_root, y.h = f.h AS verified
+FROM l JOIN s ON l.source IS NOT DISTINCT FROM s.source JOIN y ON y.doc_id = l.doc_id AND y.lv = (SELECT top FROM m)
+  CROSS JOIN (SELECT h FROM f WHERE n = 1) f""")
+def op12_cogrouped_subtrees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    even = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0, F.lit(False))
+    tampered = F.when(even, F.replace(F.col("text"), F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    return merkle.manifest(table(spark, sf_dir, "documents"), tampered)
