@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_chunks, hamming_join, merkle, patience, ppm, resharding, secret_ledger, suffix_match, topk, url_digests, warc
+from . import bpe_chunks, hamming_join, merkle, patience, posting_rmq, ppm, resharding, secret_ledger, suffix_match, topk, url_digests, warc
 from .common import scratch_dir, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -209,6 +209,26 @@ def op10_blob_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+             'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM documents),
+b AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+             'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+c AS (SELECT count(*)::BIGINT AS big_n, sum(len(t))::BIGINT AS big_l FROM d WHERE len(t) > 0),
+e AS (SELECT doc_id, len(t)::BIGINT AS n, unnest(t) AS term FROM d),
+p AS (SELECT doc_id, n, term, count(*)::BIGINT AS tf FROM e GROUP BY ALL),
+f AS (SELECT term, count(*)::BIGINT AS df FROM p GROUP BY term),
+i AS (SELECT doc_id, term, floor(1000 * ln((2 * big_n + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT
+        * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * big_n) // big_l))) AS impact
+      FROM p JOIN f USING (term), c),
+s AS (SELECT item_id, doc_id, sum(impact)::BIGINT AS score FROM b JOIN i USING (term) GROUP BY item_id, doc_id),
+r AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score
+      FROM s WHERE score > 0)
+SELECT * FROM r WHERE rank <= 50""")
+def op11_posting_rmq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return posting_rmq.top_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query(r"""
 WITH RECURSIVE even AS (SELECT doc_id FROM (
     SELECT doc_id, list_reduce([4294967295::UBIGINT] || list_transform(string_split(doc_id::VARCHAR, ''), lambda ch: ord(ch)::UBIGINT),
