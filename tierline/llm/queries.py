@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_chunks, hamming_join, merkle, patience, posting_rmq, ppm, resharding, secret_ledger, suffix_match, topk, url_digests, warc
+from . import bpe_chunks, factor_machine, hamming_join, merkle, patience, posting_rmq, ppm, resharding, secret_ledger, suffix_match, topk, url_digests, warc
 from .common import scratch_dir, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -272,3 +272,8 @@ def op12_cogrouped_subtrees(spark: SparkSession, sf_dir: str) -> DataFrame:
     even = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0, F.lit(False))
     tampered = F.when(even, F.replace(F.col("text"), F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
     return merkle.manifest(table(spark, sf_dir, "documents"), tampered)
+
+
+@query()
+def op13_factor_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return factor_machine.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
