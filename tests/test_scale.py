@@ -5,8 +5,9 @@ import random
 from pyspark.sql import functions as F
 
 from tierline.operators import dedup, joins, matching, ranking, upsert
-from tierline.functions.text import all_indexes
-from tierline.operators.findings import quote_spans
+from tierline.functions.text import all_indexes, portable
+from tierline.functions.walk import Walk
+from tierline.operators.findings import extract_findings, quote_spans
 from tierline.operators.sections import sectionise
 
 
@@ -159,36 +160,69 @@ def test_sections_keep_whole_text(spark):
     assert rows[1, "safeguarding"].order_index == 2
 
 
-def test_quote_spans_grow_outward(spark):
-    text = "One. " + "a" * 300 + " hit " + "b" * 300 + "! Tail."
-    assert _spans(spark, [text], "hit") == [[(4, text.index("!") + 1)]]
+def _spans(text, *phrases):
+    return [(i, a, b) for i, a, b in quote_spans(text, Walk(list(phrases)))]
 
 
-def _spans(spark, texts, source):
-    df = spark.createDataFrame([(i, t, source) for i, t in enumerate(texts)], "i int, t string, s string")
-    quotes = quote_spans(F.col("t"), all_indexes(F.col("t"), "[.!?]"), F.col("s"))
-    rows = df.select("i", "t", quotes.alias("q")).orderBy("i").collect()
-    assert all(x.raw == r.t[x.quote_start : x.quote_end] for r in rows for x in r.q)
-    return [[(x.quote_start, x.quote_end) for x in r.q] for r in rows]
+def test_quote_spans_grow_outward():
+    text = "One. " + "a" * 300 + " hit " + "b" * 300 + "! Tail."
+    assert _spans(text, ("hit", False)) == [(0, 4, text.index("!") + 1)]
 
 
-def test_quote_spans_equal_a_plain_walk(spark):
+def test_quote_spans_equal_a_plain_walk():
+    """One walk of the automaton against one regex at a time: overlapping, nested, repeated and folded patterns."""
     import re
     from bisect import bisect_left
 
     rng = random.Random(8)
-    texts = ["".join(rng.choices(["hit", "Hit ", "é", "😀", "word " * 9, ". ", "!", "?", "\uffff"], k=rng.randint(0, 120))) for _ in range(60)]
+    parts = ["hit", "Hit ", "hihit", "aaa", "é", "😀", "É", "word " * 9, ". ", "!", "?", "\uffff", "K", "\n", "\u00a0"]
+    texts = ["".join(rng.choices(parts, k=rng.randint(0, 120))) for _ in range(150)]
+    phrases = [("hit", False), ("it h", False), ("aa", False), ("a.", False), ("é", False), ("k", False), (r"(?i)\bword\s+hit\b", True),
+               (r"(?i)(?:hit|aa)+", True), ("(?i)word", True), (r"(?i)[.!]\s", True), ("hit", False), ("😀", False)]
 
     def plain(text):
         ends = [m.start() for m in re.finditer(r"[.!?]", text)]
-        spans = {}
-        for hit in re.finditer("(?ia)hit", text):
-            left = bisect_left(ends, max(0, hit.start() - 200))
-            right = bisect_left(ends, min(len(text), hit.end() + 200))
-            spans[ends[left - 1] + 1 if left else 0, ends[right] + 1 if right < len(ends) else len(text)] = None
-        return list(spans)
-
-    assert _spans(spark, texts, "hit") == [plain(t) for t in texts]
+        out = set()
+        for i, (source, regex) in enumerate(phrases):
+            folded = portable(source) if regex else "(?i)" + re.escape(source)
+            for hit in re.finditer(folded.replace("(?i)", "(?ia)"), text):
+                left = bisect_left(ends, max(0, hit.start() - 200))
+                right = bisect_left(ends, min(len(text), hit.end() + 200))
+                out.add((i, ends[left - 1] + 1 if left else 0, ends[right] + 1 if right < len(ends) else len(text)))
+        return out
+
+    for t in texts:
+        got = _spans(t, *phrases)
+        assert len(got) == len(set(got)) and set(got) == plain(t)
+
+
+def test_ten_thousand_phrases_in_one_pass(spark):
+    """A section is walked once however large the library is: each lower-casing is one walk."""
+    from tierline.functions import walk
+    from tierline.sources.phrases import Phrase
+
+    phrases = [Phrase(f"p{i}", f"word {i} x", False, 1, ("c",), ("not",)) for i in range(10_000)]
+    rows = [(i, i, "body", 0, 1.0, f"So word {i} x. Not word {i} xy! Word {i} X" + " and on" * 200) for i in range(50)]
+    sections = spark.createDataFrame(rows, "inspection_id long, institution_id long, section_key string, order_index int, multiplier double, section_text string")
+    got = extract_findings(sections, phrases).collect()
+    assert sorted({(r.inspection_id, r.phrase_id) for r in got}) == sorted((i, f"p{i}") for i in range(50))
+    assert "MapInArrow" in plan(extract_findings(sections, phrases)) and "Exchange" not in plan(extract_findings(sections, phrases))
+    seen, before = [], walk.lower
+    walk.lower = lambda text: seen.append(1) or before(text)
+    try:
+        w = walk.Walk([(p.pattern, False) for p in phrases])
+        seen.clear()
+        assert len(list(w.all(rows[3][5]))) == 3
+    finally:
+        walk.lower = before
+    assert len(seen) == 1
+
+
+def test_portable_dots_and_line_edges():
+    from tierline.functions.walk import compiled
+
+    assert [m.start() for m in compiled(portable(r"(?im)^\s*annex\b")).finditer("Annex\u2028annex x annex\nannexe\rANNEX")] == [0, 6, 27]
+    assert compiled(portable("a.b")).search("a\rb") is None
 
 
 def test_all_indexes_are_linear_and_exact(spark):

@@ -23,6 +23,10 @@ def word(pattern: str) -> str:
 
 # Every blank of the web-script "\\s", usable inside a character class.
 _BLANKS = " \\t\\n\\x0b\\f\\r\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+#: The same blanks, and every separator, as characters to strip.
+BLANKS = "".join(
+    chr(c) for c in [*range(9, 14), 32, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF]
+)
 _EDGE = "(?:(?<=[0-9A-Za-z_])(?![0-9A-Za-z_])|(?<![0-9A-Za-z_])(?=[0-9A-Za-z_]))"
 
 
@@ -38,6 +42,8 @@ def portable(source: str) -> str:
             token = _BLANKS if in_class else f"[{_BLANKS}]"
         elif token == r"\b" and not in_class:
             token = _EDGE
+        elif token == "." and not in_class:
+            token = "[^\n\r\u2028\u2029]"
         out.append(token)
     return "".join(out)
 

@@ -2,104 +2,94 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from functools import reduce
+import re
+from bisect import bisect_left
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import all_indexes, required_text, squeeze
+from ..functions.text import squeeze
+from ..functions.walk import Walk
 from ..sources.phrases import Phrase
 from .upsert import wide_id
 
 QUOTE_RADIUS = 200
 MATCH_WEIGHT = 1.0
-#: Phrases tested in one pass over the sections; a larger library takes several.
-PHRASES_PER_PASS = 256
+#: Sections that a worker holds at a time.
+ROWS = 256
+_ENDS = re.compile("[.!?]")
+FACTS = {"phrase_id": "string", "phrase_pattern": "string", "base_severity": "int", "curricula": "array<string>", "guards": "array<string>"}
 
 
-def quote_spans(text: Column, ends: Column, source: Column) -> Column:
-    """array<struct<quote_start, quote_end, raw>>: all quotes of one pattern in one text.
+def quote_spans(text: str, walk: Walk) -> Iterator[tuple[int, int, int]]:
+    """(phrase, from, to): the quotes of all phrases in one text.
 
     A quote is a hit with 200 characters on both sides, grown outward to the
-    next of . ! ? or the text's end; offsets are code points. ``ends`` holds
-    the places of . ! ?; hits that grow to one span count once.
+    next of . ! ? or the text's end; offsets are code points. Hits of one
+    phrase that grow to one span count once.
     """
-    pattern = F.concat(F.lit("(?i)"), source)
-    lengths = F.transform(F.regexp_extract_all(text, pattern, F.lit(0)), F.length)
-
-    def span(at: Column, length: Column) -> Column:
-        before = F.filter(ends, lambda e: e < F.greatest(F.lit(0), at - QUOTE_RADIUS))
-        after = F.filter(ends, lambda e: e >= F.least(F.length(text), at + length + QUOTE_RADIUS))
-        start = F.coalesce(F.try_element_at(before, F.lit(-1)) + 1, F.lit(0))
-        stop = F.coalesce(F.get(after, F.lit(0)) + 1, F.length(text))
-        return F.struct(start.alias("quote_start"), stop.alias("quote_end"))
-
-    spans = F.array_distinct(F.zip_with(all_indexes(text, pattern), lengths, span))
-    return F.transform(
-        spans,
-        lambda s: s.withField("raw", text.substr(s["quote_start"] + 1, s["quote_end"] - s["quote_start"])),
+    ends, seen = None, set()
+    for i, at, end in walk.all(text):
+        if ends is None:
+            ends = [m.start() for m in _ENDS.finditer(text)]
+        before = bisect_left(ends, max(0, at - QUOTE_RADIUS))
+        after = bisect_left(ends, min(len(text), end + QUOTE_RADIUS))
+        start = ends[before - 1] + 1 if before else 0
+        stop = ends[after] + 1 if after < len(ends) else len(text)
+        if (i, start, stop) not in seen:
+            seen.add((i, start, stop))
+            yield i, start, stop
+
+
+def _facts(phrases: Sequence[Phrase]) -> pa.Table:
+    texts = pa.list_(pa.string())
+    return pa.table(
+        {
+            "phrase_id": pa.array([p.id for p in phrases], pa.string()),
+            "phrase_pattern": pa.array([p.pattern for p in phrases], pa.string()),
+            "base_severity": pa.array([p.severity for p in phrases], pa.int32()),
+            "curricula": pa.array([list(p.curricula) for p in phrases], texts),
+            "guards": pa.array([list(p.guards) for p in phrases], texts),
+        }
     )
 
 
-def _hit_phrases(text: Column, low: Column, phrases: Sequence[Phrase]) -> Column:
-    """Positions (in the library) of the phrases that occur in a text.
-
-    The patterns are literals, so each is compiled once per task; quotes are
-    cut only for the pairs that hit.
-    """
-
-    def hit(p: Phrase) -> Column:
-        need = p.pattern.lower() if not p.regex and p.pattern.isascii() else required_text(p.pattern)
-        pattern = text.rlike(f"(?i){p.source}")
-        return pattern if need is None else low.contains(need) & pattern
-
-    return F.array_compact(F.array(*[F.when(hit(p), F.lit(i)) for i, p in enumerate(phrases)]))
-
-
 def extract_findings(sections: DataFrame, phrases: Sequence[Phrase], guard: bool = True) -> DataFrame:
     """Sections x phrases -> one row per distinct quote span.
 
     ``sections`` has inspection_id, institution_id, section_key, section_text,
-    multiplier, order_index. Sections of weight 0 are skipped. The phrases are
-    constants of the plan, ``PHRASES_PER_PASS`` of them in one pass over the
-    sections, so there is no join.
+    multiplier, order_index. Sections of weight 0 are skipped. The library is
+    sent once as one automaton, and each section is walked once whatever the
+    number of phrases; nothing is joined or shuffled. A null text has no hits.
     """
-    if len(phrases) > PHRASES_PER_PASS:
-        parts = [phrases[i : i + PHRASES_PER_PASS] for i in range(0, len(phrases), PHRASES_PER_PASS)]
-        return reduce(DataFrame.unionByName, [extract_findings(sections, p, guard) for p in parts])
-    facts = F.array(
-        *[
-            F.struct(
-                F.lit(p.id).alias("phrase_id"),
-                F.lit(p.pattern).alias("phrase_pattern"),
-                F.lit(p.source).alias("source"),
-                F.lit(p.severity).alias("base_severity"),
-                F.array(*[F.lit(c) for c in p.curricula]).cast("array<string>").alias("curricula"),
-                F.array(*[F.lit(g) for g in p.guards]).cast("array<string>").alias("guards"),
-            )
-            for p in phrases
-        ]
-    )
     kept = ["inspection_id", "institution_id", "section_key", "order_index", "multiplier"]
-    pairs = (
-        sections.where(F.col("multiplier") != 0.0)
-        .withColumn("__low", F.lower("section_text"))
-        # Outer: a plain explode would test every pattern twice (once more in
-        # an inferred size filter).
-        .select(*kept, "section_text", F.explode_outer(_hit_phrases(F.col("section_text"), F.col("__low"), phrases)).alias("i"))
-        .where(F.col("i").isNotNull())
-        .withColumn("p", F.get(facts, F.col("i")))
-        .select(*kept, "section_text", "p.*", all_indexes(F.col("section_text"), "[.!?]").alias("ends"))
-    )
-    quoted = pairs.withColumn("q", quote_spans(F.col("section_text"), F.col("ends"), F.col("source"))).drop(
-        "section_text", "source", "ends"
-    )
-    rows = quoted.select(*[c for c in quoted.columns if c != "q"], F.inline_outer("q")).where(
-        F.col("quote_start").isNotNull()
-    )
+    weighty = sections.where(F.col("multiplier") != 0.0).select(*kept, "section_text")
+    regex = [("(?i)" + p.pattern if p.regex else p.pattern, p.regex) for p in phrases]
+    sent = sections.sparkSession.sparkContext.broadcast((Walk(regex), _facts(phrases)))
+    types = dict(weighty.dtypes)
+    schema = ", ".join(f"{c} {t}" for c, t in [*((c, types[c]) for c in kept), *FACTS.items(), ("quote_start", "int"), ("quote_end", "int"), ("raw", "string")])
+
+    def find(batches):
+        walk, facts = sent.value
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(at, ROWS)
+                texts = batch.column("section_text").to_pylist()
+                hits = [(row, *hit) for row, text in enumerate(texts) if text for hit in quote_spans(text, walk)]
+                if not hits:
+                    continue
+                rows, numbers, starts, stops = (pa.array(x, pa.int32()) for x in zip(*hits, strict=True))
+                raw = pa.array([texts[row][start:stop] for row, _, start, stop in hits], pa.string())
+                owned = [batch.column(c).take(rows) for c in kept]
+                own = facts.take(numbers).combine_chunks()
+                columns = [*owned, *(own.column(c).combine_chunks() for c in FACTS), starts, stops, raw]
+                yield pa.RecordBatch.from_arrays(columns, [*kept, *FACTS, "quote_start", "quote_end", "raw"])
+
     out = (
-        rows.withColumn("source_quote", squeeze(F.col("raw")))
+        weighty.mapInArrow(find, schema)
+        .withColumn("source_quote", squeeze(F.col("raw")))
         .withColumn("final_severity", F.col("base_severity") * F.col("multiplier"))
         .withColumn(
             "id", wide_id("finding", "inspection_id", "order_index", "phrase_id", "quote_start", "quote_end")

@@ -1,11 +1,16 @@
-"""Report text into named sections, as column expressions on whole texts."""
+"""Report text into named sections: one walk over each text finds all markers."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from bisect import bisect_right
+from collections.abc import Sequence
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import all_indexes, portable, required_text, strip
+from ..functions.text import BLANKS
+from ..functions.walk import Walk
 from .upsert import replace_children
 
 # ---- fixed values: (key, multiplier, pattern) in search order --------------
@@ -76,99 +81,64 @@ PROVISION_KEYS = [
 # ---------------------------------------------------------------------------
 
 
-def _may_hit(low: Column, source: str) -> Column:
-    """Cheap test before a regex: the literal part of the pattern occurs."""
-    need = required_text(source)
-    return F.lit(True) if need is None else low.contains(need)
-
-
-def _found(text: Column, low: Column) -> Column:
-    """Markers hit, by position; one struct per pattern at its first match."""
-    hits = []
-    for i, (key, multiplier, source) in enumerate(SECTION_MARKERS):
-        pattern = portable(source)
-        at = F.length(F.get(F.split(text, pattern, 2), F.lit(0)))
-        hit = F.struct(
-            at.alias("at"),
-            F.lit(i).alias("i"),
-            F.lit(key).alias("key"),
-            F.lit(multiplier).alias("multiplier"),
-            strip(F.regexp_extract(text, pattern, 0)).alias("title"),
-        )
-        hits.append(F.when(_may_hit(low, source) & text.rlike(pattern), hit))
-    return F.array_sort(F.array_compact(F.array(*hits)))
-
-
-def _ends(text: Column, low: Column) -> Column:
-    """Offsets of all end markers."""
-    none = F.array().cast("array<int>")
-    return F.flatten(
-        F.array(*[F.when(_may_hit(low, p), all_indexes(text, portable(p))).otherwise(none) for p in END_MARKERS])
-    )
-
+#: Texts that a worker holds at a time.
+ROWS = 256
 
-def _first_per_key(found: Column) -> Column:
-    def fresh(m: Column, i: Column) -> Column:
-        return ~F.exists(F.slice(found, 1, i), lambda e: e["key"] == m["key"])
 
-    return F.filter(found, fresh)
+def marker_walks() -> tuple[Walk, Walk]:
+    return Walk([(source, True) for _, _, source in SECTION_MARKERS]), Walk([(source, True) for source in END_MARKERS])
 
 
-def sectionise(df: DataFrame, text_col: str, keep: tuple[str, ...] = ("inspection_id",)) -> DataFrame:
-    """One row per section: key, title, text, multiplier, order_index.
+def split_sections(text: str, walks: tuple[Walk, Walk]) -> list[tuple[str, str, str, float]]:
+    """(key, title, text, multiplier) of a text's sections, in reading order.
 
-    A text is never cut or split: all positions refer to the whole string, so
-    the anchored patterns see their true context. No exchange is involved.
+    A text is never cut or split before: all positions refer to the whole
+    string, so the anchored patterns see their true context.
     """
-    text = F.col("__text")
-    body_only = F.array(
-        F.struct(
-            F.lit("body").alias("section_key"),
-            F.lit("Body").alias("section_title"),
-            text.alias("section_text"),
-            F.lit(1.0).alias("multiplier"),
-        )
-    )
-    markers = F.col("__markers")
-
-    def cut(m: Column, i: Column) -> Column:
-        start = m["at"]
-        following = F.coalesce(F.get(markers, i + 1)["at"], F.length(text))
-        stop = F.array_min(F.filter("__ends", lambda e: (e > start) & (e < following)))
-        body = strip(text.substr(start + 1, F.coalesce(stop, following) - start))
-        return F.struct(
-            m["key"].alias("section_key"), m["title"].alias("section_title"), body.alias("section_text"),
-            m["multiplier"].alias("multiplier"),
-        )
-
-    def long_enough(s: Column) -> Column:
-        least = F.when(s["section_key"].isin(*PROVISION_KEYS), MIN_PROVISION_BODY).otherwise(MIN_BODY)
-        return F.length(s["section_text"]) >= least
-
-    first_at = F.get(markers, F.lit(0))["at"]
-    prefix = F.when(
-        first_at > MIN_SUMMARY_PREFIX,
-        F.struct(
-            F.lit("summary").alias("section_key"),
-            F.lit("Summary").alias("section_title"),
-            strip(F.substring(text, F.lit(1), first_at)).alias("section_text"),
-            F.lit(0.5).alias("multiplier"),
-        ),
-    )
-    split = F.concat(F.array_compact(F.array(prefix)), F.filter(F.transform(markers, cut), long_enough))
-    return (
-        df.select(*keep, F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
-        .withColumn("__low", F.lower(text))
-        .withColumn("__found", F.when(F.length(text) >= MIN_TEXT, _found(text, F.col("__low"))))
-        .withColumn("__markers", _first_per_key(F.col("__found")))
-        .withColumn("__ends", F.when(F.size("__markers") > 0, _ends(text, F.col("__low"))))
-        .withColumn("__sections", F.when(F.size("__markers") > 0, split).otherwise(body_only))
-        # The outer form: a plain explode infers a size filter, which would be
-        # pushed down with a copy of every expression above.
-        .select(*keep, F.posexplode_outer("__sections").alias("order_index", "s"))
-        .where(F.col("order_index").isNotNull())
-        .select(*keep, "s.*", "order_index")
-    )
+    markers, ends_walk = walks
+    found = sorted((at, i, text[at:end].strip(BLANKS)) for i, at, end in markers.first(text)) if len(text) >= MIN_TEXT else []
+    first: dict[str, tuple[int, int, str]] = {}
+    for at, i, title in found:
+        first.setdefault(SECTION_MARKERS[i][0], (at, i, title))
+    if not first:
+        return [("body", "Body", text, 1.0)]
+    starts = list(first.values())
+    ends = sorted(at for _, at, _ in ends_walk.all(text))
+    out = []
+    if starts[0][0] > MIN_SUMMARY_PREFIX:
+        out.append(("summary", "Summary", text[: starts[0][0]].strip(BLANKS), 0.5))
+    for n, (at, i, title) in enumerate(starts):
+        stop = starts[n + 1][0] if n + 1 < len(starts) else len(text)
+        k = bisect_right(ends, at)
+        if k < len(ends):
+            stop = min(stop, ends[k])
+        key, multiplier, _ = SECTION_MARKERS[i]
+        body = text[at:stop].strip(BLANKS)
+        if len(body) >= (MIN_PROVISION_BODY if key in PROVISION_KEYS else MIN_BODY):
+            out.append((key, title, body, multiplier))
+    return out
+
+
+def sectionise(df: DataFrame, text_col: str, keep: Sequence[str] = ("inspection_id",)) -> DataFrame:
+    """One row per section: key, title, text, multiplier, order_index. No exchange is involved."""
+    rows = df.select(*keep, F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
+    kept = [f"`{c}` {t}" for c, t in rows.dtypes[:-1]]
+    made = {"section_key": pa.string(), "section_title": pa.string(), "section_text": pa.string(), "multiplier": pa.float64()}
+    sent = df.sparkSession.sparkContext.broadcast(marker_walks())
+
+    def cut(batches):
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(at, ROWS)
+                sections = [split_sections(t, sent.value) for t in batch.column("__text").to_pylist()]
+                row = pa.array([r for r, own in enumerate(sections) for _ in own], pa.int32())
+                fields = [pa.array([s[k] for own in sections for s in own], t) for k, t in enumerate(made.values())]
+                order = pa.array([n for own in sections for n in range(len(own))], pa.int32())
+                columns = [*(batch.column(c).take(row) for c in keep), *fields, order]
+                yield pa.RecordBatch.from_arrays(columns, [*keep, *made, "order_index"])
+
+    types = "section_key string, section_title string, section_text string, multiplier double, order_index int"
+    return rows.mapInArrow(cut, ", ".join([*kept, types]))
 
 
 def resectionise(inspections: DataFrame, sections: DataFrame) -> DataFrame:
