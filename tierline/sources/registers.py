@@ -5,15 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BOM = "\ufeff"
-
+from .csv_blocks import BOM, read_quoted_csv
 
 def _read_csv(spark: SparkSession, path, encoding: str, splittable: bool) -> DataFrame:
-    """Quoted values may hold line breaks, so a file is one task's work.
+    """Every column as text; quoted values may hold line breaks, and a large file is read by many tasks.
 
-    ``splittable`` cuts large files over many tasks and is only for files
-    known to have no line break inside quotes.
+    ``splittable`` is for files known to have no line break inside quotes:
+    Spark's own reader then cuts them at any line.
     """
+    if not splittable:
+        return read_quoted_csv(spark, path, encoding)
     df = spark.read.csv(
         path,
         header=True,
@@ -21,8 +22,6 @@ def _read_csv(spark: SparkSession, path, encoding: str, splittable: bool) -> Dat
         mode="PERMISSIVE",  # short rows are padded with nulls, long ones cut
         quote='"',
         escape='"',
-        multiLine=not splittable,
-        enforceSchema=None if splittable else False,
     )
     return df.toDF(*[c.replace(BOM, "").strip() if c.startswith(BOM) else c for c in df.columns])
 
