@@ -166,6 +166,8 @@ def _cut(lines: DataFrame, inside: set[tuple[int, int]], pieces: bool) -> DataFr
             if whole == pieces:
                 continue
             if isinstance(own, pa.Array):
+                if rows:
+                    yield flush()
                 n = len(own)
                 same = [pa.array([x] * n, t) for x, t in zip((file, block, first, opens), kinds, strict=False)]
                 yield pa.RecordBatch.from_arrays([*same, own], names)
