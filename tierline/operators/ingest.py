@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,7 +27,8 @@ from ..functions.register import (
 from ..functions.text import present, strip
 from ..session import cut_lineage
 from ..sources.pages import extract_links
-from .joins import resolve_by_keys, spread_null
+from .components import first_come
+from .joins import resolve_by_keys
 from .upsert import surrogate_id, upsert
 
 # ---- fixed values: header aliases of the inspection files ------------------
@@ -263,34 +262,6 @@ def inspection_rows(raw: DataFrame, further_education: bool, framework: str) ->
     ).where(F.col("urn").isNotNull() | F.col("ukprn").isNotNull())
 
 
-def _creating_rows(open_rows: DataFrame) -> DataFrame:
-    """Rows (row_no, urn, ukprn) that create something when read in order.
-
-    A row creates unless an earlier row that itself creates has its URN or its
-    UKPRN. Each round settles every row that comes first under both its keys
-    and drops the rows that share a key with it; rounds go on until no row is
-    open. Rounds are stored, so none is computed twice.
-    """
-    pairs = open_rows.groupBy("urn", "ukprn").agg(F.min("row_no").alias("row_no"))
-    left, settled = cut_lineage(pairs, "providers-open"), []
-    while left.limit(1).count():
-        marked = left
-        for key in ("urn", "ukprn"):
-            first = left.where(F.col(key).isNotNull()).groupBy(key).agg(F.min("row_no").alias(f"first_{key}"))
-            marked = marked.join(first.withColumnRenamed(key, "__k"), spread_null(F.col(key), F.col("row_no")) == F.col("__k"), "left").drop("__k")
-        first_in_both = (F.coalesce("first_urn", "row_no") == F.col("row_no")) & (
-            F.coalesce("first_ukprn", "row_no") == F.col("row_no")
-        )
-        new = cut_lineage(marked.where(first_in_both).select("row_no", "urn", "ukprn"), "providers-new")
-        settled.append(new)
-        for key in ("urn", "ukprn"):
-            taken = new.where(F.col(key).isNotNull()).select(F.col(key).alias("__k"))
-            left = left.join(taken, spread_null(F.col(key), F.col("row_no")) == F.col("__k"), "left_anti")
-        # a row without keys cannot be; one with both keys null would stay open
-        left = cut_lineage(left.where(F.col("urn").isNotNull() | F.col("ukprn").isNotNull()), "providers-open")
-    return reduce(DataFrame.unionByName, settled, pairs.where(F.lit(False)).select("row_no", "urn", "ukprn"))
-
-
 def missing_providers(rows: DataFrame, institutions: DataFrame) -> DataFrame:
     """Institutions to create for further-education rows nobody knows.
 
@@ -302,7 +273,7 @@ def missing_providers(rows: DataFrame, institutions: DataFrame) -> DataFrame:
         F.col("institution_id").isNull()
     )
     first = cut_lineage(open_rows.select("row_no", "urn", "ukprn", "name", "type", "region", "local_authority"), "providers")
-    leads = first.join(_creating_rows(first).select("row_no"), "row_no", "left_semi")
+    leads = first.join(first_come(first, ("urn", "ukprn"), "row_no"), "row_no", "left_semi")
     created = leads.withColumns(
         {
             "id": surrogate_id("fe", "urn", "ukprn"),
