@@ -9,6 +9,7 @@ from tierline.operators import dedup as dd
 from tierline.operators import ingest as ing
 from tierline.operators import notice_flow as nf
 from tierline.operators import upsert as up
+from tierline.operators.buckets import BucketedTable
 from tierline.session import scratch_dir
 from tierline.sources import feeds, registers, sinks
 from tierline.sources.phrases import load_phrases
@@ -18,7 +19,7 @@ from tierline.streaming.news import compact, current_news, stream_merge_news
 from .q_columns import sql_date, sql_grade, sql_name
 from .q_reports import EXPORT, tables
 from .q_reports import _brief_sql as BRIEF_SQL
-from .registry import SHARED, query
+from .registry import ORACLES, SHARED, query
 from .views import AS_OF, Views
 
 # ---- keyed upsert -----------------------------------------------------------
@@ -48,6 +49,28 @@ def _(v: Views) -> DataFrame:
     return up.replace_children(target, new, new, "institution_id")
 
 
+def _bucketed(v: Views, label: str, rows: DataFrame, *keys: str) -> BucketedTable:
+    """The rows as a stored table cut into buckets of the keys."""
+    table = BucketedTable(v.spark, _landed(v, label), ", ".join(f"{c} {t}" for c, t in rows.dtypes), keys, buckets=16)
+    table.write(rows)
+    return table
+
+
+@query("upsert_stored", ORACLES["upsert"])
+def _(v: Views) -> DataFrame:
+    table = _bucketed(v, "upsert-table", v.sql(SHARED["up_target"]), "id")
+    table.upsert(v.sql(SHARED["up_source"]), ["id"], overwrite=["type"], keep_if_null=["website"], order="row_no")
+    return table.read()
+
+
+@query("replace_children_stored", ORACLES["replace_children"])
+def _(v: Views) -> DataFrame:
+    table = _bucketed(v, "children-table", v.notices.select("id", "institution_id", "subject"), "institution_id")
+    new = v.events.select(F.col("event_id").alias("id"), F.col("user_id").alias("institution_id"), F.col("event_type").alias("subject"))
+    table.replace_children(new, new)
+    return table.read()
+
+
 @query(
     "content_manifest",
     """SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS bytes, sha256(html) AS sha256, page_id % 3 = 0 AS fresh FROM pages""",
@@ -94,6 +117,13 @@ def _(v: Views) -> DataFrame:
     return once.select("institution_id", "notice_body", "notice_type", "source_url", "withdrawn_at", "severity")
 
 
+@query("apply_snapshot_stored", ORACLES["apply_snapshot"])
+def _(v: Views) -> DataFrame:
+    table = _bucketed(v, "notices-table", v.notices, "institution_id")
+    nf.apply_snapshot_stored(table, nf.register_notices(_register(v), v.institutions, AS_OF), AS_OF)
+    return table.read().select("institution_id", "notice_body", "notice_type", "source_url", "withdrawn_at", "severity")
+
+
 _FEED = """SELECT e.event_id AS row_no, CASE e.event_type WHEN 'click' THEN i.name || ': Notice to Improve' WHEN 'view' THEN 'Statutory intervention: ' || i.name WHEN 'purchase' THEN i.name || ' open day' ELSE 'Ofsted report on ' || i.name || '. Fraud charges' END AS title,
   'Published by the department' AS summary, 'https://feeds.example.org/' || CAST(e.event_id AS STRING) AS link, CAST(CAST(e.ts AS DATE) AS STRING) || 'T00:00:00Z' AS updated, CASE WHEN e.value > 100 THEN 'Closed' ELSE 'Open' END AS section
   FROM {events} e JOIN {institutions} i ON i.id = e.user_id"""
@@ -177,13 +207,7 @@ def _(v: Views) -> DataFrame:
 SHARED["news_first"] = "SELECT * FROM (SELECT n.*, row_number() OVER (PARTITION BY url, institution_id ORDER BY id) AS rn FROM {news} n) x WHERE rn = 1"
 
 
-@query(
-    "merge_news",
-    """SELECT url, institution_id, coalesce(f.title, t.title) AS title, CAST(coalesce(f.relevance, t.relevance) AS INT) AS relevance, CAST(coalesce(t.trigger_severity, 0) AS INT) AS trigger_severity
-       FROM {news_first} t FULL JOIN (SELECT url, institution_id, arg_max('Again ' || title, id) AS title, arg_max(90 - relevance % 40, id) AS relevance FROM {news} WHERE source IN ('click', 'view') GROUP BY 1, 2
-         UNION ALL SELECT 'https://news.example.org/new/' || CAST(o_orderkey AS VARCHAR), o_custkey, 'New ' || o_orderpriority, 60 FROM {orders}) f USING (url, institution_id)""",
-)
-def _(v: Views) -> DataFrame:
+def _news_merge(v: Views) -> tuple[DataFrame, DataFrame]:
     target = v.sql(SHARED["news_first"]).withColumn("content_hash", F.lit("x"))
     again = v.news.where(F.col("source").isin("click", "view")).select(
         "url", "institution_id", "source", F.concat(F.lit("Again "), F.col("title")).alias("title"), (90 - F.col("relevance") % 40).alias("relevance"), F.col("id").alias("row_no")
@@ -196,10 +220,28 @@ def _(v: Views) -> DataFrame:
         F.lit(60).alias("relevance"),
         F.col("o_orderkey").alias("row_no"),
     )
-    found = again.unionByName(new)
+    return target, again.unionByName(new)
+
+
+@query(
+    "merge_news",
+    """SELECT url, institution_id, coalesce(f.title, t.title) AS title, CAST(coalesce(f.relevance, t.relevance) AS INT) AS relevance, CAST(coalesce(t.trigger_severity, 0) AS INT) AS trigger_severity
+       FROM {news_first} t FULL JOIN (SELECT url, institution_id, arg_max('Again ' || title, id) AS title, arg_max(90 - relevance % 40, id) AS relevance FROM {news} WHERE source IN ('click', 'view') GROUP BY 1, 2
+         UNION ALL SELECT 'https://news.example.org/new/' || CAST(o_orderkey AS VARCHAR), o_custkey, 'New ' || o_orderpriority, 60 FROM {orders}) f USING (url, institution_id)""",
+)
+def _(v: Views) -> DataFrame:
+    target, found = _news_merge(v)
     return ing.merge_news(target, found).select("url", "institution_id", "title", "relevance", "trigger_severity")
 
 
+@query("merge_news_stored", ORACLES["merge_news"])
+def _(v: Views) -> DataFrame:
+    target, found = _news_merge(v)
+    table = _bucketed(v, "news-merge-table", target, "url")
+    ing.merge_news_stored(table, found)
+    return table.read().select("url", "institution_id", "title", "relevance", "trigger_severity")
+
+
 def _inspection_file(v: Views) -> DataFrame:
     return v.messy.select(
         F.col("id").alias("row_no"),

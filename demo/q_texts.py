@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,13 +11,14 @@ from tierline.operators import findings as fd
 from tierline.operators import matching as mt
 from tierline.operators import sections as sec
 from tierline.operators import standards as st
-from tierline.session import cut_lineage
+from tierline.operators.ledger import extract_incrementally
+from tierline.session import cut_lineage, scratch_dir
 from tierline.sources import pages as pg
-from tierline.sources.phrases import Phrase
+from tierline.sources.phrases import Library, Phrase
 
 from . import expected
 from .q_columns import sql_name
-from .registry import SHARED, query
+from .registry import ORACLES, SHARED, query
 from .views import Views
 
 _stored: dict[tuple[str, str], DataFrame] = {}
@@ -142,6 +145,27 @@ def _(v: Views) -> DataFrame:
     return found(v).select(*_F.split(", "), "source_quote")
 
 
+def _incremental(v: Views):
+    """All texts as they were before (German ones another) read first, then all as they are."""
+    owner = v.inspections.select(F.col("id").alias("inspection_id"), "institution_id")
+    now = v.report_texts.join(owner, "inspection_id", "left").select("inspection_id", "institution_id", "report_text", "lang")
+    before = now.withColumn("report_text", F.when(F.col("lang") == "de", F.concat("report_text", F.lit(" Old."))).otherwise(F.col("report_text")))
+    folder = scratch_dir(v.spark, "extraction-ledger")
+    library = Library(PHRASES, hashlib.sha256(repr(PHRASES).encode()).hexdigest())
+    extract_incrementally(before, library, folder)
+    return extract_incrementally(now, library, folder)
+
+
+@query("extract_findings_incremental", f"SELECT {_F}, source_quote FROM {{t2}}")
+def _(v: Views) -> DataFrame:
+    return _incremental(v)[1].where("institution_id IS NOT NULL").select(*_F.split(", "), "source_quote")
+
+
+@query("sectionise_incremental", ORACLES["sectionise"])
+def _(v: Views) -> DataFrame:
+    return _incremental(v)[0].select("inspection_id", "section_key", "section_title", "section_text", "multiplier", "order_index")
+
+
 @query("apply_guards", "SELECT inspection_id, order_index, phrase_id, quote_start, quote_end, suppressed, suppression_reason FROM {t2}")
 def _(v: Views) -> DataFrame:
     return found(v).select("inspection_id", "order_index", "phrase_id", "quote_start", "quote_end", "suppressed", "suppression_reason")

@@ -27,6 +27,7 @@ from ..functions.register import (
 from ..functions.text import present, strip
 from ..session import cut_lineage
 from ..sources.pages import extract_links
+from .buckets import BucketedTable
 from .components import first_come
 from .joins import resolve_by_keys
 from .upsert import surrogate_id, upsert
@@ -212,6 +213,20 @@ def merge_register(register: DataFrame, institutions: DataFrame) -> DataFrame:
     return updated.unionByName(shaped)
 
 
+def _news_rows(found: DataFrame, title_width: int | None) -> DataFrame:
+    return found.withColumns(
+        {
+            "title": F.col("title") if title_width is None else F.substring("title", 1, title_width),
+            "trigger_severity": F.lit(0),
+            "id": surrogate_id("news", "url", "institution_id"),
+        }
+    )
+
+
+def _news_fields(trade_feed: bool) -> list[str]:
+    return ["title", "excerpt", "published_at"] + (["relevance", "content_hash"] if trade_feed else [])
+
+
 def merge_news(news: DataFrame, found: DataFrame, trade_feed: bool = True, title_width: int | None = None) -> DataFrame:
     """News rows (url, institution_id, ..., row_no) inserted or refreshed.
 
@@ -219,15 +234,14 @@ def merge_news(news: DataFrame, found: DataFrame, trade_feed: bool = True, title
     feeds, whose estimate is computed anew each time. Titles are stored whole
     unless ``title_width`` is given.
     """
-    fields = ["title", "excerpt", "published_at"] + (["relevance", "content_hash"] if trade_feed else [])
-    rows = found.withColumns(
-        {
-            "title": F.col("title") if title_width is None else F.substring("title", 1, title_width),
-            "trigger_severity": F.lit(0),
-            "id": surrogate_id("news", "url", "institution_id"),
-        }
-    )
-    return upsert(news, rows, ["url", "institution_id"], overwrite=fields, order="row_no")
+    rows = _news_rows(found, title_width)
+    return upsert(news, rows, ["url", "institution_id"], overwrite=_news_fields(trade_feed), order="row_no")
+
+
+def merge_news_stored(table: BucketedTable, found: DataFrame, trade_feed: bool = True, title_width: int | None = None) -> list[int]:
+    """:func:`merge_news` into a stored table; returns the buckets that were read and written."""
+    rows = _news_rows(found, title_width)
+    return table.upsert(rows, ["url", "institution_id"], overwrite=_news_fields(trade_feed), order="row_no")
 
 
 def inspection_rows(raw: DataFrame, further_education: bool, framework: str) -> DataFrame:

@@ -13,6 +13,7 @@ from ..functions.notices import (
     severity_for,
 )
 from ..functions.text import present, strip
+from .buckets import BucketedTable
 from .joins import lookup
 from .matching import match_by_name
 from .ranking import dedupe_last
@@ -70,6 +71,25 @@ def apply_snapshot(notices: DataFrame, snapshot: DataFrame, as_of: str) -> DataF
     )
 
 
+def apply_snapshot_stored(table: BucketedTable, snapshot: DataFrame, as_of: str) -> list[int]:
+    """:func:`apply_snapshot` on notices stored by institution: only touched buckets are read whole and written.
+
+    Touched are the buckets of the snapshot's institutions and of those that
+    have an open register notice and are not in it; the latter are found from
+    three columns of the table.
+    """
+    seen = snapshot.select("institution_id").distinct()
+    stale = (
+        table.read()
+        .where((F.col("notice_body") == "apar") & F.col("withdrawn_at").isNull())
+        .select("institution_id")
+        .distinct()
+        .join(seen, "institution_id", "left_anti")
+    )
+    touched = sorted({*table.touched(seen), *table.touched(stale)})
+    return table.change(touched, lambda notices: apply_snapshot(notices, snapshot, as_of))
+
+
 def feed_notices(entries: DataFrame, institutions: DataFrame, body: str = "govuk") -> DataFrame:
     """Feed entries (title, summary, link, updated, row_no) that concern an institution."""
     classed = entries.withColumn("c", classify_feed_entry(F.col("title"), F.col("summary"))).where(
