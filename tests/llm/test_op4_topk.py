@@ -71,3 +71,13 @@ def test_pruning_is_exact_and_prunes(monkeypatch):
 def test_large_integers_stay_exact():
     a = np.array([[2**40, 3]], np.int64)
     assert t.products(a, np.array([[2**20, 1]], np.int64))[0][0] == 2**60 + 3
+
+
+def test_scores_beyond_a_long_are_cut_and_tie(spark):
+    big, most = 2.0**26, 2**63 - 1
+    rows = [(0, [big, big]), (1, [big, 2.0**20]), (2, [big, big]), (3, [-big, -big]), (4, [1.0, 1.0]), (5, [2.0**32, 0.0]), (6, [-(2.0**32), 1.0])]
+    want = [(q, r, i, min(max(x, -most), most)) for q, r, i, x in brute(rows, 2, k=7)]
+    cut = sorted({(q, i): x for q, _, i, x in want}.items())
+    ranked = [(q, sorted(((-x, i) for (p, i), x in cut if p == q))) for q in (0, 2, 4, 6)]
+    want = [(q, n + 1, i, -x) for q, own in ranked for n, (x, i) in enumerate(own[:5])]
+    assert run(spark, rows, 2) == want

@@ -75,3 +75,33 @@ def test_nothing_is_shuffled(spark, documents):
     docs, items = cases()
     found = s.score(documents(docs), spark.createDataFrame(items, "item_id long, text string"))
     assert "Exchange" not in found.select(F.hash("*"))._jdf.queryExecution().executedPlan().toString()
+
+
+def test_longest_matches_against_all_pairs():
+    rng = random.Random(9)
+    for k in range(60):
+        words = "abc"[: 1 + k % 3]
+        items = [(str(i), " ".join(rng.choices(words, k=rng.randint(1, 30)))) for i in range(4)]
+        texts = [" ".join(rng.choices(words + "z", k=rng.randint(0, 50))) for _ in range(5)]
+        tests = s.TestItems(items, 4)
+        for text, own in zip(texts, zip(*s.match_shard(texts, tests), strict=True), strict=True):
+            w, best = text.split(), (0, 1)
+            for _, item in items:
+                x = item.split()
+                for p in range(len(w)):
+                    for o in range(len(x)):
+                        n = 0
+                        while p + n < len(w) and o + n < len(x) and w[p + n] == x[o + n]:
+                            n += 1
+                        if n >= min(4, len(x)) and (n >= 4 or o == 0 and n == len(x)):
+                            best = max(best, (n, -p))
+            assert own[3] == ((best[0], -best[1]) if best[0] else (0, -1))
+
+
+def test_one_word_repeated_costs_no_more_than_other_text():
+    tests = s.TestItems([("i", "ha " * 1600)])
+    codes = np.full(16_000, tests.vocabulary[b"ha"], np.int64)
+    found = s.Search(codes, s.suffix_array(codes, 1600), tests)
+    assert found.asked <= 1600 and len(found.windows) == 1
+    counts, spans, items, longest = s.match_shard(["ha " * 16_000, "ha " * 9], tests)
+    assert spans == [[(0, 16_000)], []] and items == [{"i"}, set()] and longest == [(1600, 0), (0, -1)]

@@ -3,7 +3,7 @@ import random
 from tierline.llm import patience as p
 
 
-def longest_common(a, b):
+def longest_common_plain(a, b):
     best = [0] * (len(b) + 1)
     for x in a:
         row = [0]
@@ -20,7 +20,7 @@ def test_align_keeps_the_anchors_and_stays_a_common_subsequence():
         got = p.align(a, b)
         assert all(a[i] == b[j] for i, j in got)
         assert all(x[0] < y[0] and x[1] < y[1] for x, y in zip(got, got[1:], strict=False))
-        assert len(got) <= longest_common(a, b)
+        assert len(got) <= longest_common_plain(a, b)
         if a and b and a[0] != b[0] and a[-1] != b[-1]:
             once = [b.index(w) for w in a if a.count(w) == 1 and b.count(w) == 1]
             assert len(got) >= len(p.increasing(once))
@@ -30,7 +30,7 @@ def test_align_keeps_the_anchors_and_stays_a_common_subsequence():
                 x, y = a[i + 1 : i2], b[j + 1 : j2]
                 assert not [w for w in x if x.count(w) == 1 and y.count(w) == 1]
         if len(set(a)) == len(a) and len(set(b)) == len(b):
-            assert len(got) == longest_common(a, b)
+            assert len(got) == longest_common_plain(a, b)
 
 
 def test_increasing_is_longest():
@@ -111,3 +111,46 @@ def test_neighbours_are_told_apart(spark, documents):
 
 
 known = p.Templates(p.TEMPLATES, p.forms())
+
+
+def test_longest_common_subsequence():
+    rng = random.Random(4)
+    for _ in range(300):
+        a, b = ([rng.randint(0, 5) for _ in range(rng.randint(0, 40))] for _ in range(2))
+        assert p.longest_common(a, p.word_masks(b), len(b)) == longest_common_plain(a, b)
+
+
+def every_place(words, known, coverage, slack):
+    """Places found by aligning at every start, none passed over."""
+    hopeless, p._hopeless = p._hopeless, lambda *args: 1
+    try:
+        return p.found_in(words, known, coverage, slack)
+    finally:
+        p._hopeless = hopeless
+
+
+def test_passing_over_loses_no_place():
+    rng = random.Random(6)
+    small = p.Templates({"t": "a b c d e f g h", "u": "a c e g b d f h i j k l m n o p"})
+    for _ in range(400):
+        words = [rng.choice("abcdefghijklmnopxyz").encode() for _ in range(rng.randint(0, 80))]
+        for template in ("abcdefgh", "acegbdfhijklmnop"):
+            at = rng.randint(0, len(words))
+            words[at:at] = [c.encode() for c in template if rng.random() < 0.93]
+        assert p.found_in(words, small, 0.8, 1.4) == every_place(words, small, 0.8, 1.4)
+
+
+def test_a_near_miss_is_not_aligned_at_every_word(monkeypatch):
+    """The words of a long license, its blocks out of order: the bags fit everywhere, the order nowhere."""
+    full = dict(reversed([(n, t) for n, t in p.forms() if len(t) > 20_000]))["GPL-3.0"]
+    words = p.split_words(full)
+    blocks = [words[i : i + 40] for i in range(0, len(words), 40)]
+    random.Random(1).shuffle(blocks)
+    shuffled = [w for b in blocks for w in b]
+    calls, align = [], p.align
+    monkeypatch.setattr(p, "align", lambda a, b: calls.append(len(a) + len(b)) or align(a, b))
+    found = p.found_in(shuffled * 2, known)
+    assert not [x for x in found if len(known.codes[x[0]]) > 2000]
+    assert sum(calls) < 60 * len(shuffled)
+    calls.clear()
+    assert "GPL-3.0" in [known.names[x[0]] for x in p.found_in(shuffled + words, known)]

@@ -31,6 +31,8 @@ from .license_forms import IDENTITY, LONGER, NAMES, forms
 
 COVERAGE = 0.8
 SLACK = 1.5
+#: Words by which the first stretch is longer than a run that failed, and widths of a run up to which stretches grow.
+FIRST_STEP, MOST_WIDTHS = 16, 4
 SHORT = 64
 #: Short forms in which works name their license; fixed values.
 TEMPLATES = {
@@ -103,6 +105,25 @@ def align(a: list, b: list) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def word_masks(template: list) -> dict:
+    """For each word the bits of its places in the template."""
+    masks: dict = {}
+    for j, w in enumerate(template):
+        masks[w] = masks.get(w, 0) | 1 << j
+    return masks
+
+
+def longest_common(words: list, masks: dict, size: int) -> int:
+    """Length of a longest common subsequence with a template of ``size`` words, all its places at once (Hyyrö, 2004)."""
+    full = (1 << size) - 1
+    open_ = full
+    for w in words:
+        if mask := masks.get(w, 0):
+            hit = open_ & mask
+            open_ = ((open_ + hit) | (open_ - hit)) & full
+    return size - open_.bit_count()
+
+
 class Templates:
     """Templates as word numbers; 0 is any word that no template has. ``more``: further (license, text) forms."""
 
@@ -128,6 +149,12 @@ class Templates:
         for t, r in enumerate(self.required):
             self.by_gate.setdefault(min(r, key=lambda w: (share[w], w)) if r else 0, []).append(t)
         self.gates = np.array([g for g in self.by_gate if g], np.int64)
+        self._masks: dict[int, dict] = {}
+
+    def masks(self, t: int) -> dict:
+        if t not in self._masks:
+            self._masks[t] = word_masks(self.codes[t])
+        return self._masks[t]
 
     def number_of(self, word: bytes) -> int:
         return self.number.setdefault(word, len(self.number) + 1)
@@ -194,6 +221,7 @@ def _runs(codes, own, ends, need, t, known, width, better) -> list[tuple]:
             continue
         pairs = align(codes[first : int(own[last[i] - 1]) + 1].tolist(), template)
         if len(pairs) < need:
+            free = first + _hopeless(own, at, i, need, t, known, width)
             continue
         if pairs[0][0]:
             # the run began before the place and may end inside it
@@ -214,6 +242,24 @@ def _runs(codes, own, ends, need, t, known, width, better) -> list[tuple]:
     return out
 
 
+def _hopeless(own, at, i, need, t, known, width) -> int:
+    """By how many words the next run may begin later than the ``i``-th, which failed.
+
+    No run inside a stretch of text can match more words than the stretch has in common with the template in order, so
+    all runs inside a stretch with too few are passed over at once; stretches grow while that holds.
+    """
+    step, ahead, size = 1, FIRST_STEP, len(known.codes[t])
+    while ahead <= MOST_WIDTHS * width:
+        stop = int(np.searchsorted(own, own[i] + width + ahead))
+        if longest_common(at[i:stop], known.masks(t), size) >= need:
+            break
+        step = ahead + 1
+        if stop == len(own):
+            return int(own[-1] - own[i]) + 1
+        ahead *= 2
+    return step
+
+
 def _best_apart(found: list[tuple], known: Templates) -> list[tuple]:
     """Found places that do not overlap: the best first, as the module's docstring orders them."""
     kept: list[tuple] = []

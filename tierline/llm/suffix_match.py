@@ -4,14 +4,17 @@ The documents are cut into shards, each a run of whole documents of one task wit
 shard's words become numbers (words that no test item has are all 0, which matches nothing) and its suffix array is
 sorted by prefix doubling. Every suffix of every test item is then searched in the array: the interval of training
 suffixes that begin with its first d words is narrowed by binary search, for all suffixes at once, until it is empty.
-The interval at the window's length holds all verbatim occurrences and their places. Documents stay where they were
+The interval at the window's length holds all verbatim occurrences and their places; where a place leaves its interval,
+its longest match ends. Documents stay where they were
 read; nothing is shuffled.
 
 Test items go to the workers in blocks of at most ``BLOCK_BYTES``; with more than one block the documents pass through
 once per block and carry their hits along.
 
 Defined results: a null text has no words; a null or empty item matches nothing; an item whose id is null contaminates
-but is not counted or named; repeated items count once by id; repeated documents are judged each for itself.
+but is not counted or named; repeated items count once by id; repeated documents are judged each for itself; texts of
+any length count whole, and one word repeated in both costs no more than other text; empty tables give no rows or no
+hits. Only doc_id, text and item_id are read; a column ``__hits`` of the documents is taken for the operator's own.
 """
 
 from __future__ import annotations
@@ -57,6 +60,11 @@ class TestItems:
         self.items = np.array(start_item, object)
         self.window = np.array(lengths, np.int64)  # 0: no window begins here
         self.left = np.array(left, np.int64)  # words up to the item's end
+        #: Whether one word, repeated, fills the item from here on.
+        self.level = self.left == 1
+        for i in range(len(codes) - 2, -1, -1):
+            if left[i] > 1:
+                self.level[i] = codes[i] == codes[i + 1] and self.level[i + 1]
 
 
 def suffix_array(codes: np.ndarray, depth: int) -> np.ndarray:
@@ -83,39 +91,85 @@ def suffix_array(codes: np.ndarray, depth: int) -> np.ndarray:
         known *= 2
 
 
-def narrow(codes: np.ndarray, array: np.ndarray, tests: TestItems) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """(d, suffixes, lo, hi) for d = 1, 2, ...: which test suffixes still occur with d words, and where in ``array``."""
-    padded = np.concatenate([codes, np.zeros(1, codes.dtype)])
-    last = len(codes)
-    alive = np.arange(len(tests.codes))
-    lo, hi = np.zeros(len(alive), np.int64), np.full(len(alive), len(array))
-    d = 0
-    while len(alive):
-        word = tests.codes[alive + d]
-
-        def bound(low: np.ndarray, high: np.ndarray, right: bool, word=word, d=d) -> np.ndarray:
-            low, high = low.copy(), high.copy()
-            while (open_ := np.flatnonzero(low < high)).size:
-                mid = (low[open_] + high[open_]) >> 1
-                at = padded[np.minimum(array[mid] + d, last)]
-                up = at <= word[open_] if right else at < word[open_]
-                low[open_[up]] = mid[up] + 1
-                high[open_[~up]] = mid[~up]
-            return low
-
-        first = bound(lo, hi, False)
-        end = bound(first, hi, True)
-        d += 1
-        hit = end > first
-        alive, lo, hi = alive[hit], first[hit], end[hit]
-        if len(alive):
-            yield d, alive, lo, hi
-            more = tests.left[alive] > d
-            alive, lo, hi = alive[more], lo[more], hi[more]
-
-
-def match_shard(texts: list[str | None], tests: TestItems) -> tuple[np.ndarray, list[list[tuple[int, int, int]]], list[set]]:
-    """For each text: its number of words, its matches (place, test suffix, words) of whole windows, its items."""
+def _flat(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """All numbers of the ranges [lo, hi), one range after the other."""
+    size = hi - lo
+    return np.repeat(lo - np.cumsum(size) + size, size) + np.arange(size.sum())
+
+
+class Search:
+    """Which suffixes of the test items occur in a shard, and where.
+
+    All suffixes go forward one word at a time. At one depth the intervals of different words are apart, so equal
+    questions (one interval, one next word) are asked once, each place is marked once for each depth at which a window
+    ends, and a place's longest match is set when its interval is left, once for each interval it was in.
+    """
+
+    def __init__(self, codes: np.ndarray, array: np.ndarray, tests: TestItems):
+        self.padded, self.array = np.concatenate([codes, np.zeros(1, codes.dtype)]), array
+        #: Windows that begin less those that end at each place; words of the longest match from each place on.
+        self.edges, self.reach = np.zeros(len(codes) + 1, np.int64), np.zeros(len(codes) + 1, np.int64)
+        #: (places, items) of each interval that a window reaches.
+        self.windows: list[tuple[np.ndarray, set]] = []
+        self.asked = 0
+        self._run(tests)
+
+    def _bound(self, low: np.ndarray, high: np.ndarray, word: np.ndarray, d: int, right: bool) -> np.ndarray:
+        low, high = low.copy(), high.copy()
+        while (open_ := np.flatnonzero(low < high)).size:
+            mid = (low[open_] + high[open_]) >> 1
+            at = self.padded[np.minimum(self.array[mid] + d, len(self.padded) - 1)]
+            up = at <= word[open_] if right else at < word[open_]
+            low[open_[up]] = mid[up] + 1
+            high[open_[~up]] = mid[~up]
+        return low
+
+    def _run(self, tests: TestItems) -> None:
+        alive = np.flatnonzero(tests.window)
+        lo, hi = np.zeros(len(alive), np.int64), np.full(len(alive), len(self.array))
+        words, d = int(tests.codes.max(initial=0)) + 1, 0
+        while len(alive):
+            _, one, group = np.unique(lo * words + tests.codes[alive + d], return_index=True, return_inverse=True)
+            self.asked += len(one)
+            word = tests.codes[alive[one] + d]
+            first = self._bound(lo[one], hi[one], word, d, False)
+            end = self._bound(first, hi[one], word, d, True)
+            # places whose match ends here, of suffixes past their window; d only grows, so the last value is the longest
+            done = np.unique(group[tests.window[alive] <= d])
+            behind = one[done]
+            self.reach[self.array[_flat(lo[behind], first[done])]] = d
+            self.reach[self.array[_flat(end[done], hi[behind])]] = d
+            d += 1
+            lo, hi = first[group], end[group]
+            alive, lo, hi = (x[hi > lo] for x in (alive, lo, hi))
+            self._mark(alive, lo, hi, d, tests)
+            ends = tests.left[alive] == d
+            own, at = np.unique(lo[ends], return_index=True)
+            self.reach[self.array[_flat(own, hi[ends][at])]] = d
+            alive, lo, hi = (x[~ends] for x in (alive, lo, hi))
+            # of suffixes that go on with one word up to their items' ends, in one interval, the longest tells of all
+            same = np.zeros(len(alive), bool)
+            same[1:] = (np.diff(alive) == 1) & (np.diff(lo) == 0) & tests.level[alive[:-1]] & (tests.window[alive[1:]] <= d)
+            alive, lo, hi = (x[~same] for x in (alive, lo, hi))
+
+    def _mark(self, alive: np.ndarray, lo: np.ndarray, hi: np.ndarray, d: int, tests: TestItems) -> None:
+        whole = np.flatnonzero(tests.window[alive] == d)
+        if not len(whole):
+            return
+        own, at, group = np.unique(lo[whole], return_index=True, return_inverse=True)
+        items: list[set] = [set() for _ in own]
+        for g, s in zip(group.tolist(), alive[whole].tolist(), strict=True):
+            items[g].add(tests.items[s])
+        for a, b, named in zip(own.tolist(), hi[whole][at].tolist(), items, strict=True):
+            places = self.array[a:b]
+            self.edges[places] += 1
+            self.edges[places + d] -= 1
+            self.windows.append((places, named))
+
+
+def match_shard(texts: list[str | None], tests: TestItems) -> tuple[np.ndarray, list[list[tuple[int, int]]], list[set], list[tuple[int, int]]]:
+    """For each text: its number of words, the [from, to) that windows cover, their items, and (words, place) of the
+    longest verbatim match."""
     split = [split_words(t) for t in texts]
     counts = np.array([len(w) for w in split], np.int64)
     starts = np.concatenate([[0], np.cumsum(counts + 1)])
@@ -123,28 +177,24 @@ def match_shard(texts: list[str | None], tests: TestItems) -> tuple[np.ndarray,
     get = tests.vocabulary.get
     for words, at in zip(split, starts, strict=False):
         codes[at : at + len(words)] = np.fromiter(map(get, words, repeat(0)), np.int64, len(words))
-    matches: list[list] = [[] for _ in texts]
+    spans: list[list[tuple[int, int]]] = [[] for _ in texts]
     items: list[set] = [set() for _ in texts]
+    longest = [(0, -1) for _ in texts]
     if not len(tests.codes):
-        return counts, matches, items
-    array = suffix_array(codes, int(tests.left.max()))
-    for d, suffixes, lo, hi in narrow(codes, array, tests):
-        whole = tests.window[suffixes] == d
-        for s, a, b in zip(suffixes[whole], lo[whole], hi[whole], strict=True):
-            for place in array[a:b]:
-                doc = int(np.searchsorted(starts, place, side="right")) - 1
-                matches[doc].append((int(place - starts[doc]), int(s), d))
-                items[doc].add(tests.items[s])
-    return counts, matches, items
-
-
-def longest_match(matches: list[tuple[int, int, int]]) -> tuple[int, int]:
-    """(words, place) of the longest verbatim match: windows on one diagonal that follow each other are one match."""
-    best, run = (0, -1), None
-    for diagonal, place, words in sorted((s - p, p, w) for p, s, w in matches):
-        run = (diagonal, run[1], place) if run and run[0] == diagonal and place == run[2] + 1 else (diagonal, place, place)
-        best = max(best, (run[2] - run[1] + words, -run[1]))
-    return best[0], max(-best[1], 0) if best[0] else -1
+        return counts, spans, items, longest
+    found = Search(codes, suffix_array(codes, int(tests.left.max())), tests)
+    for places, named in found.windows:
+        for doc in np.unique(np.searchsorted(starts, places, side="right") - 1).tolist():
+            items[doc] |= named
+    covered = np.concatenate([[0], np.cumsum(found.edges) > 0, [0]])
+    begins, ends = (np.flatnonzero(np.diff(covered) == x) for x in (1, -1))
+    docs = np.searchsorted(starts, begins, side="right") - 1
+    for doc, a, b in zip(docs.tolist(), begins.tolist(), ends.tolist(), strict=True):
+        spans[doc].append((a - int(starts[doc]), b - int(starts[doc])))
+    for doc in np.unique(docs).tolist():
+        own = found.reach[starts[doc] : starts[doc] + counts[doc]]
+        longest[doc] = int(own.max()), int(own.argmax())
+    return counts, spans, items, longest
 
 
 def _shards(batches, column: str, words: int):
@@ -205,17 +255,16 @@ def _one_block(docs: DataFrame, tests: TestItems, shard_words: int) -> DataFrame
     def find(batches):
         known = sent.value
         for shard in _shards(batches, "text", shard_words):
-            counts, matches, items = match_shard(shard.column("text").to_pylist(), known)
+            matched = match_shard(shard.column("text").to_pylist(), known)
             hits = []
-            for old, n, found, ids in zip(shard.column("__hits").to_pylist(), counts, matches, items, strict=True):
+            for old, n, found, ids, (longest, at) in zip(shard.column("__hits").to_pylist(), *matched, strict=True):
                 spans: list[int] = []
                 before = list(zip(old["spans"][::2], old["spans"][1::2], strict=True))
-                for a, b in sorted(before + [(p, p + w) for p, _, w in found]):
+                for a, b in sorted(before + found):
                     if spans and a <= spans[-1]:
                         spans[-1] = max(spans[-1], b)
                     else:
                         spans += [a, b]
-                longest, at = longest_match(found)
                 if old["longest"] >= longest:
                     longest, at = old["longest"], old["longest_at"]
                 hits.append(

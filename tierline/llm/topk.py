@@ -12,9 +12,9 @@ query's threshold is never paired with it. Queries and vectors meet in (query bl
 size, and only each pair's k best rows per query move on.
 
 Defined results: vectors that are null, hold null or non-finite components, or whose scaled components leave the 52-bit range
-take no part; empty vectors score 0; only vectors of equal dimension meet. Rows with the query's own id are never its
+take no part; a score that a long cannot hold is given as 2**63 - 1 or its negative, and such scores tie; empty vectors score 0; only vectors of equal dimension meet. Rows with the query's own id are never its
 candidates; equal query rows are asked once, and of different vectors with one id each is a query of its own. Ties go
-to the smaller id.
+to the smaller id. Empty tables give no rows. Only vec_id and embedding are read, whatever other columns there are.
 """
 
 from __future__ import annotations
@@ -27,6 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 K = 5
+#: The greatest score; its negative is the smallest.
+MOST = 2**63 - 1
 STEP = 1.02
 BLOCK_VECTORS = 4096
 BLOCK_QUERIES = 1024
@@ -57,13 +59,13 @@ def _matrix(column: pd.Series) -> np.ndarray:
 
 
 def products(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
-    """Exact integer products: as doubles while every sum stays below 2**53, else as integers."""
+    """Integer products, exact up to ``MOST`` in size and cut there: as doubles while every sum stays below 2**53, else
+    as integers of any size."""
     most = (np.abs(queries).max(initial=0)) * float(np.abs(vectors).max(initial=0)) * max(1, queries.shape[1])
     if most < 2.0**53:
         return (queries.astype(np.float64) @ vectors.astype(np.float64).T).astype(np.int64)
-    return np.array([[sum(int(a) * int(b) for a, b in zip(q, v, strict=True)) for v in vectors] for q in queries]).reshape(
-        len(queries), len(vectors)
-    )
+    exact = [[sum(int(a) * int(b) for a, b in zip(q, v, strict=True)) for v in vectors] for q in queries]
+    return np.array([[min(max(x, -MOST), MOST) for x in row] for row in exact], np.int64).reshape(len(queries), len(vectors))
 
 
 def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
