@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tierline.llm import hamming_join as h
 
@@ -82,6 +83,12 @@ def test_keep_one(spark, documents):
     assert ids == sorted([*empty, *heads, "None"])  # the group of null ids keeps one row
 
 
+def test_keep_one_leaves_columns_of_any_name_alone(spark, documents):
+    docs = documents([(1, "a b c d e f", "en"), (1, "a b c d e f", "en"), (2, "a b c d e f", "en")])
+    docs = docs.withColumn("row", F.lit("own")).withColumn("row_", F.lit(7)).withColumn("tkey", F.lit("k"))
+    assert [tuple(r) for r in h.keep_one(docs).collect()] == [(1, "a b c d e f", "en", "s", 11, "x", "own", 7, "k")]
+
+
 def test_empty_table(spark, documents):
     assert h.classify(documents([])).count() == 0
     assert h.keep_one(documents([])).count() == 0

@@ -353,14 +353,18 @@ def classify(docs: DataFrame, **options) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with one row of each component: that with the smallest doc_id, of repeated rows the first one read.
+    """``docs`` with one row of each component: that with the smallest doc_id, one of repeated rows.
 
-    Documents without words all stay. ``docs`` must be a stored table, so that both readings number its rows alike.
+    Documents without words all stay. The rows are stored with their numbers, so that every later reading, also after
+    the loss of executors, sees the same ones; no column of ``docs`` is touched, whatever its name.
     """
-    rows = docs.withColumn("__row", F.monotonically_increasing_id())
-    classes = near_duplicates(docs.select("doc_id", "text"), **options).select("tkey", "component")
-    placed = rows.select("doc_id", text_key(), "__row").join(classes, "tkey")
-    placed = placed.select("component", F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "__row").alias("place"))
+    number = "row"
+    while number in docs.columns:
+        number += "_"
+    rows = cut_lineage(docs.withColumn(number, F.monotonically_increasing_id()), "numbered")
+    classes = near_duplicates(rows.select("doc_id", "text"), **options).select("tkey", "component")
+    placed = rows.select("doc_id", text_key(), F.col(number).alias("at")).join(classes, "tkey")
+    placed = placed.select("component", F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "at").alias("place"))
     heads = placed.groupBy("component").agg(F.min("place").alias("head"))
-    gone = placed.join(heads, "component").where("place.__row != head.__row").select("place.__row")
-    return rows.join(gone, "__row", "left_anti").select(*docs.columns)
+    gone = placed.join(heads, "component").where("place.at != head.at").select(F.col("place.at").alias(number))
+    return rows.join(gone, number, "left_anti").select(*docs.columns)
