@@ -9,10 +9,11 @@ from tierline.operators import joins as jn
 from tierline.operators import ranking as rk
 from tierline.plans import Tables, briefs, dashboards, detail, lists, outreach, profiles, triggered
 from tierline.plans.triggered import name_search
+from tierline.session import scratch_dir
 
 from .q_columns import sql_label
 from .q_scoring import mart
-from .registry import SHARED, query
+from .registry import ORACLES, SHARED, query
 from .views import Views
 
 SINCE = "2001-01-01"
@@ -481,6 +482,13 @@ def _(v: Views) -> DataFrame:
     return lists.opportunity_list(tables(v), number=2).select("id", "name", "score", "tier", "overall_grade", "report_url", "top_phrase_id")
 
 
+@query("opportunity_list_stored", ORACLES["opportunity_list"])
+def _(v: Views) -> DataFrame:
+    """The same page from a stored ranking of the whole list."""
+    ranking = lists.opportunity_ranking(tables(v), scratch_dir(v.spark, "ranking"))
+    return lists.opportunity_list(tables(v), number=2, ranking=ranking).select("id", "name", "score", "tier", "overall_grade", "report_url", "top_phrase_id")
+
+
 @query(
     "opportunity_list_by_type",
     f"""WITH p AS (SELECT i.id, i.name, s.score, s.tier, coalesce(s.last_inspection_id, l.latest_inspection_id) AS ref, row_number() OVER (ORDER BY {_LIST_ORDER}) AS rn

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.grades import grade_label
 from ..operators.joins import with_evidence, with_latest, with_reference_inspection, with_top_finding
+from ..operators.pages import RankedTable
 from ..operators.ranking import list_position, page
 from ..schemas import TIERS
 from .tables import Tables
@@ -66,14 +67,22 @@ def opportunity_matches(t: Tables, show_all: bool = False, **params) -> DataFram
     return df
 
 
-def opportunity_list(t: Tables, number: int = 1, show_all: bool = False, **params) -> DataFrame:
+def opportunity_ranking(t: Tables, path: str, show_all: bool = False, **params) -> RankedTable:
+    """The whole ranked list, stored once; its pages are seeks."""
+    return RankedTable.build(opportunity_matches(t, show_all, **params), list_order(), path)
+
+
+def opportunity_list(t: Tables, number: int = 1, show_all: bool = False, ranking: RankedTable | None = None, **params) -> DataFrame:
     """One page of the ranked list with reference inspection and top finding.
 
-    The page is cut first; inspections and findings are then looked up for its
-    thirty rows only.
+    The page is cut first, from a stored ``ranking`` of the same parameters if
+    there is one; inspections and findings are then looked up for its thirty
+    rows only.
     """
-    matched = opportunity_matches(t, show_all, **params)
-    rows = page(matched, number, list_order(), PAGE_SIZE)
+    if ranking is None:
+        rows = page(opportunity_matches(t, show_all, **params), number, list_order(), PAGE_SIZE)
+    else:
+        rows = ranking.page(number, PAGE_SIZE)
     keep = [
         "id", "name", "type", "region", "postcode", "head_name", "head_email", "general_email", "score", "tier",
         "raw_score", "top_curriculum", "top_finding_id", "finding_count", "last_inspection_id", "inspection_count",
