@@ -14,7 +14,7 @@ from tierline.session import scratch_dir
 from tierline.sources import feeds, registers, sinks
 from tierline.sources.phrases import load_phrases
 from tierline.sources.seeds import COMMISSIONERS, seed_commissioners
-from tierline.streaming.news import compact, current_news, stream_merge_news
+from tierline.streaming.news import compact, current_news, store_mention_index, stream_feeds, stream_merge_news
 
 from .q_columns import sql_date, sql_grade, sql_name
 from .q_reports import EXPORT, tables
@@ -606,3 +606,31 @@ def _(v: Views) -> DataFrame:
     stream_merge_news(stream, table, check).awaitTermination()
     compact(v.spark, table)
     return current_news(v.spark, table).select("url", "institution_id", "title", "excerpt", "relevance")
+
+
+SHARED["feed_items"] = """SELECT id, 'https://feeds.example.org/' || CAST(id AS STRING) AS link, CASE WHEN id % 5 = 0 THEN 'Unnamed provider in the news' ELSE 'Visit to ' || name || ' Ltd' END AS title,
+  'Staff of ' || CASE WHEN id % 3 = 0 THEN name ELSE 'the site' END || ' met on day ' || CAST(id % 28 AS STRING) AS summary FROM {institutions}"""
+
+
+@query(
+    "stream_feeds",
+    f"""WITH d AS (SELECT id, {sql_name('name', 'news')} AS k FROM {{institutions}} WHERE in_scope),
+        u AS (SELECT * FROM d WHERE length(k) >= 8 AND len(list_filter(string_split(k, ' '), lambda w: length(w) >= 3)) >= 2),
+        a AS (SELECT link, title, summary, ' ' || {sql_name("title || chr(10) || summary", 'news')} || ' ' AS t FROM {{feed_items}})
+        SELECT a.link AS url, u.id AS institution_id, a.title, a.summary AS excerpt, CAST(50 + least(40, floor(length(u.k) / 2)) AS INT) AS relevance, '2024-03-06' AS published_at,
+        left(sha1(a.link || a.title), 16) AS content_hash FROM a JOIN u ON contains(a.t, ' ' || u.k || ' ') QUALIFY row_number() OVER (PARTITION BY a.link ORDER BY u.id) <= 3""",
+)
+def _(v: Views) -> DataFrame:
+    """An article for each institution, as feed files of two sources, streamed from XML to the table in several batches."""
+    land, index, table, check = (_landed(v, x) for x in ("feed-in", "feed-index", "feed-table", "feed-check"))
+    store_mention_index(v.institutions, index)
+    xml = lambda c: F.replace(F.replace(F.col(c), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    item = F.concat(
+        F.lit("<item><title>"), xml("title"), F.lit("</title><description>"), xml("summary"), F.lit("</description><link>"), F.col("link"),
+        F.lit("</link><pubDate>Tue, 05 Mar 2024 23:30:00 -0200</pubDate></item>"),
+    )
+    files = v.sql(SHARED["feed_items"]).groupBy((F.col("id") % 2).alias("source"), F.floor(F.col("id") / 5000).alias("file"))
+    feed = F.concat(F.lit("<rss><channel>"), F.array_join(F.collect_list(item), ""), F.lit("</channel></rss>"))
+    files.agg(feed.alias("value")).select("source", "value").write.option("maxRecordsPerFile", 1).partitionBy("source").text(land)
+    stream_feeds(v.spark, land, index, table, check, files_per_batch=2, compact_every=2).awaitTermination()
+    return current_news(v.spark, table).select("url", "institution_id", "title", "excerpt", "relevance", "published_at", "content_hash")

@@ -116,6 +116,12 @@ def mention_keys(dimension: DataFrame) -> DataFrame:
     )
 
 
+def mention_index(dimension: DataFrame) -> DataFrame:
+    """Keys by what a text is asked for first: id, k, n_tokens, head (its first eight tokens), lead (its first two)."""
+    head = F.when(F.col("n_tokens") > RUN_TOKENS, F.substring_index("k", " ", RUN_TOKENS)).otherwise(F.col("k"))
+    return mention_keys(dimension).withColumn("head", head).withColumn("lead", F.substring_index("k", " ", 2))
+
+
 def match_mentions(
     articles: DataFrame, dimension: DataFrame, article_id: str, text: str, per_article: int | None = None
 ) -> DataFrame:
@@ -129,9 +135,13 @@ def match_mentions(
     first eight and tested on the text. With ``per_article`` only the lowest
     ids of each article stay.
     """
-    keys = mention_keys(dimension)
-    head = F.when(F.col("n_tokens") > RUN_TOKENS, F.substring_index("k", " ", RUN_TOKENS)).otherwise(F.col("k"))
-    keys = keys.withColumn("head", head).withColumn("lead", F.substring_index("k", " ", 2))
+    return match_indexed(articles, mention_index(dimension), article_id, text, per_article)
+
+
+def match_indexed(
+    articles: DataFrame, keys: DataFrame, article_id: str, text: str, per_article: int | None = None
+) -> DataFrame:
+    """:func:`match_mentions` against an index that was made, or stored, before."""
     lengths = F.collect_set(F.least("n_tokens", F.lit(RUN_TOKENS)))
     leads = keys.groupBy("lead").agg(lengths.alias("lengths"))
     texts = articles.select(article_id, norm_name(F.col(text), "news").alias("t"))

@@ -66,3 +66,17 @@ def read_rss(spark: SparkSession, path) -> DataFrame:
 def read_atom(spark: SparkSession, path) -> DataFrame:
     raw = spark.read.format("xml").option("rowTag", "entry").schema(ATOM_SCHEMA).load(path)
     return shape_atom(raw)
+
+
+def read_feed_stream(spark: SparkSession, folder: str, kind: str = "rss", files_per_batch: int | None = None) -> DataFrame:
+    """Feed files as they land under ``folder/source=<name>/``: items with ``source`` and ``seen_at``.
+
+    ``kind`` is rss or atom. An item counts as seen when its file was written;
+    a file is read once, so a feed fetched again lands as a new file.
+    """
+    tag, schema, shape = {"rss": ("item", RSS_SCHEMA, shape_rss), "atom": ("entry", ATOM_SCHEMA, shape_atom)}[kind]
+    reader = spark.readStream.format("xml").option("rowTag", tag).schema(f"{schema}, source string")
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    raw = reader.load(folder).withColumn("seen_at", F.col("_metadata.file_modification_time"))
+    return shape(raw, "source", "seen_at")

@@ -11,21 +11,33 @@ batch and key bucket; ``base/upto=<n>/bucket=<b>`` holds the folded states of
 all batches up to n, written by ``compact`` and valid once ``bases`` names it.
 A batch reads only the buckets it touches, of the newest base and of the
 batches after it.
+
+``stream_feeds`` is the whole way from landed feed files to that table: each
+batch of items is matched to the institutions of a stored key index and
+merged, and every so many batches the log is folded first.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.ingest import merge_news
+from ..operators.matching import match_indexed, mention_index
 from ..operators.ranking import top_n_per
 from ..schemas import NEWS_ITEMS
+from ..session import cut_lineage
+from ..sources.feeds import read_feed_stream
 
 KEYS = ["url", "institution_id"]
 BUCKETS = 64
+PER_ARTICLE = 3
+#: Columns of :func:`mention_index` as they are stored.
+INDEX = "id bigint, k string, n_tokens int, head string, lead string"
 STATE = f"{NEWS_ITEMS}, seen_at timestamp"
 
 
@@ -87,19 +99,36 @@ def merge_batch(table: str, trade_feed: bool = True):
     return run
 
 
-def compact(spark: SparkSession, table: str) -> None:
-    """Fold all stored batches into one base. Run it between streams, not beside one.
+def compact(spark: SparkSession, table: str, before: int | None = None, clean: bool = False) -> None:
+    """Fold the stored batches (those below ``before``) into one base. Run it between batches, not beside one.
 
-    The log is left as it is and no longer read; its folders up to the base
-    may be removed.
+    A base that is named is never written again. With ``clean`` the log and
+    the bases that the last base but one had already replaced are deleted; who
+    still reads from that one finds its files.
     """
-    states = _states(spark, table)
+    states = _states(spark, table, before)
     upto = states.agg(F.max("batch")).first()[0]
     if upto is None:
         return
-    folded = _newest(states).drop("batch")
-    folded.write.mode("overwrite").partitionBy("bucket").parquet(f"{table}/base/upto={upto}")
-    spark.range(upto, upto + 1).toDF("upto").write.mode("append").parquet(f"{table}/bases")
+    named = sorted(r[0] for r in _read(spark, f"{table}/bases", "upto bigint").distinct().collect())  # one per base
+    if not named or upto > named[-1]:
+        folded = _newest(states).drop("batch")
+        folded.write.mode("overwrite").partitionBy("bucket").parquet(f"{table}/base/upto={upto}")
+        spark.range(upto, upto + 1).toDF("upto").write.mode("append").parquet(f"{table}/bases")
+        named.append(upto)
+    if clean and len(named) > 1:
+        _delete(spark, f"{table}/log", "batch", named[-2])
+        _delete(spark, f"{table}/base", "upto", named[-2] - 1)
+
+
+def _delete(spark: SparkSession, folder: str, key: str, upto: int) -> None:
+    """Delete the folders ``key=<n>`` of numbers up to ``upto``."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    for status in files.listStatus(path) if files.exists(path) else []:
+        number = re.fullmatch(rf"{key}=([0-9]+)", status.getPath().getName())
+        if number and int(number[1]) <= upto:
+            files.delete(status.getPath(), True)
 
 
 def stream_merge_news(found: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
@@ -115,3 +144,60 @@ def stream_merge_news(found: DataFrame, table: str, checkpoint: str) -> Streamin
         .trigger(availableNow=True)
         .start()
     )
+
+
+def store_mention_index(dimension: DataFrame, path: str) -> None:
+    """Write the key index that :func:`stream_feeds` matches against; run it anew when the dimension changes."""
+    mention_index(dimension).selectExpr(*(f"CAST({c.split()[0]} AS {c.split()[1]})" for c in INDEX.split(", "))).write.mode("overwrite").parquet(path)
+
+
+def match_items(items: DataFrame, index: DataFrame) -> DataFrame:
+    """Feed items -> found news rows: up to three institutions for each item, the lowest ids first.
+
+    Title and summary are read as one text. Equal items of one sight count once.
+    """
+    facts = ["source", "title", "summary", "link", "published_at", "content_hash", "seen_at"]
+    one = items.select(*facts).distinct()
+    keyed = one.withColumn("item", F.sha2(F.to_json(F.struct(*facts)), 256))
+    keyed = keyed.withColumn("words", F.concat_ws("\n", "title", "summary"))
+    hits = match_indexed(keyed, index, "item", "words", PER_ARTICLE)
+    return keyed.join(hits, "item").select(
+        F.col("link").alias("url"), "institution_id", "source", "title", F.col("summary").alias("excerpt"),
+        "published_at", "relevance", "content_hash", "seen_at",
+    )
+
+
+def stream_feeds(
+    spark: SparkSession,
+    folder: str,
+    index: str,
+    table: str,
+    checkpoint: str,
+    kind: str = "rss",
+    files_per_batch: int | None = None,
+    compact_every: int = 50,
+) -> StreamingQuery:
+    """Start the way from feed files (:func:`read_feed_stream`) to the table of news.
+
+    Each batch joins its items to the index stored at ``index`` and merges what
+    is found. Before every ``compact_every``-th batch the batches below it are
+    folded into a base and log files that no base needs are deleted; a batch
+    that is run again finds that base and folds nothing. A batch in which no
+    item names an institution writes no state.
+    """
+    merge = merge_batch(table)
+
+    def run(items: DataFrame, batch_id: int) -> None:
+        session = items.sparkSession
+        if batch_id and batch_id % compact_every == 0:
+            compact(session, table, before=batch_id, clean=True)
+        found = cut_lineage(match_items(items, session.read.schema(INDEX).parquet(index)), "found")
+        merge(found, batch_id)
+
+    return (
+        read_feed_stream(spark, folder, kind, files_per_batch)
+        .writeStream.foreachBatch(run)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
