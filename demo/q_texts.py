@@ -279,6 +279,39 @@ def _(v: Views) -> DataFrame:
     return pg.extract_contacts_dl(v.sql(_DIRECTORY))
 
 
+_LISTING = """SELECT CAST(floor(id / 200) AS BIGINT) AS page_id, concat('<table><tr class=head><th>Name<th>Place', array_join(transform(array_sort(collect_list(struct(id, name, region))), r ->
+  concat('<tr class="result odd"', CASE WHEN r.id % 7 = 0 THEN '' ELSE concat(' id=school_', CAST(r.id AS STRING)) END, '><td class="name"><img src=x><a href="',
+  CASE WHEN r.id % 5 = 0 THEN '/other/' ELSE '/institutions/school/' END, 's', CAST(r.id AS STRING), '?p=1"><b>', replace(r.name, '&', '&amp;'), '</b>\n School</a><!-- <a href="/institutions/school/no">no</a> -->',
+  '<td class="location">', CASE WHEN r.id % 4 = 0 THEN ' ' ELSE concat(coalesce(r.region, ''), ' &amp; area') END)), ''), '</table>') AS html FROM {institutions} GROUP BY 1"""
+
+
+@query(
+    "school_listing",
+    """SELECT CAST(floor(id / 200) AS BIGINT) AS page_id, CAST(id AS VARCHAR) AS isi_id, 's' || CAST(id AS VARCHAR) AS slug, trim(regexp_replace(name, '\\s+', ' ', 'g')) || ' School' AS name,
+       CASE WHEN id % 4 <> 0 THEN trim(coalesce(region, '') || ' & area') END AS address FROM {institutions} WHERE id % 7 <> 0 AND id % 5 <> 0""",
+)
+def _(v: Views) -> DataFrame:
+    """All institutions as rows of listing pages with unclosed cells, unquoted ids and commented-out links."""
+    return pg.school_listing(v.sql(_LISTING)).drop("position")
+
+
+_COLLECTION = """SELECT CAST(floor(id / 100) AS BIGINT) AS page_id, concat('<main>', array_join(transform(array_sort(collect_list(struct(id, title))), r ->
+  concat('<section>', CASE WHEN r.id % 3 = 0 THEN '' ELSE concat('<h2> Section ', CAST(r.id % 9 AS STRING), ' </h2>') END, '<ul class="gem-c-document-list big"><li class=gem-c-document-list__item>',
+  CASE WHEN r.id % 4 = 0 THEN '<h3>Open</h3>' ELSE '' END, '<a href=/government/publications/n', CAST(r.id AS STRING), '> ', r.title, ' <li><a href="/other">none</a></ul><a href="/government/publications/m',
+  CAST(r.id AS STRING), '">More of ', r.title, '</a></section><a href="/government/publications/outside">outside</a>')), ''), '</main>') AS html FROM {news} GROUP BY 1"""
+
+
+@query(
+    "collection_links",
+    """SELECT CAST(floor(id / 100) AS BIGINT) AS page_id, 'https://www.gov.uk/government/publications/' || k || CAST(id AS VARCHAR) AS href, CASE k WHEN 'n' THEN title ELSE 'More of ' || title END AS title,
+       CASE WHEN k = 'n' THEN CASE WHEN id % 4 = 0 THEN 'Open' ELSE 'Notices' END WHEN id % 3 <> 0 THEN 'Section ' || CAST(id % 9 AS VARCHAR) WHEN id % 4 = 0 THEN 'Open' ELSE 'Notices' END AS section
+       FROM {news}, unnest(['n', 'm']) u(k)""",
+)
+def _(v: Views) -> DataFrame:
+    """All news as lists in sections of collection pages; links outside of any list count for nothing."""
+    return pg.collection_links(v.sql(_COLLECTION), "https://www.gov.uk/government/collections/notices")
+
+
 # ---- names ------------------------------------------------------------------
 
 SHARED["name_index"] = f"SELECT id, {sql_name('name')} AS k FROM {{institutions}} WHERE in_scope"

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .markup import elements
 from .text import non_blank, squeeze, strip
 
 # ---- fixed values ---------------------------------------------------------
@@ -56,29 +57,39 @@ def base_domain(url: Column) -> Column:
 def contact_fields(html: Column) -> Column:
     """struct(email, phone, website, head_name, standards) of a directory page.
 
-    Values come from ``<dt>label</dt><dd>value</dd>`` pairs; the last pair of a
-    label wins. ``standards`` counts the "(level N)" marks.
+    Values come from a dt and the dd right after it; the last pair of a label
+    wins. ``standards`` counts the "(level N)" marks.
     """
-    pair = r"(?is)<dt\b[^>]*>(.*?)</dt>\s*<dd\b[^>]*>(.*?)</dd>"
-    labels = F.regexp_extract_all(html, F.lit(pair), F.lit(1))
-    values = F.regexp_extract_all(html, F.lit(pair), F.lit(2))
-
-    def plain(c: Column) -> Column:
-        return squeeze(F.regexp_replace(c, "<[^>]+>", ""))
-
-    pairs = F.zip_with(labels, values, lambda k, v: F.struct(F.lower(plain(k)).alias("k"), v.alias("v")))
+    marks = F.regexp_count(html, F.lit(r"\(level\s+[0-9]+\)")).alias("standards")
+    pages = F.array(elements(html, ["dt", "dd", "a"]))
+    # the elements become a lambda's variable, since a lambda cannot name an Arrow function
+    return F.get(F.transform(pages, lambda found: F.struct(*_pair_facts(found), marks)), F.lit(0))
+
+
+def _pair_facts(found: Column) -> list[Column]:
+    terms = F.filter(found, lambda e: e["name"] != "a")
+    after = F.slice(terms, F.lit(2), F.greatest(F.size(terms), F.lit(0)))
+    beside = F.zip_with(terms, after, lambda t, d: F.struct(F.lower(squeeze(t["text"])).alias("k"), t.alias("t"), d.alias("d")))
+    pairs = F.filter(
+        beside,
+        lambda p: (p["t"]["name"] == "dt")
+        & (p["d"]["name"] == "dd")
+        & (p["d"]["at"] == p["t"]["last"] + 1)
+        & p["d"]["parent"].eqNullSafe(p["t"]["parent"]),
+    )
 
     def last(*names: str) -> Column:
-        hits = F.filter(pairs, lambda p: p["k"].isin(*names))
-        return F.try_element_at(hits, F.lit(-1))["v"]
+        return F.try_element_at(F.filter(pairs, lambda p: p["k"].isin(*names)), F.lit(-1))["d"]
+
+    def link(dd: Column, cond) -> Column:
+        inside = F.filter(found, lambda e: (e["name"] == "a") & (e["at"] > dd["at"]) & (e["at"] <= dd["last"]) & cond(e))
+        return F.get(inside, F.lit(0))["href"]
 
     mail, site = last("email"), last("website")
-    mailto = strip(F.regexp_extract(mail, r"(?i)href\s*=\s*[\"']mailto:([^\"'?]*)", 1))
-    href = F.regexp_extract(site, r"(?i)<a\b[^>]*?href\s*=\s*[\"']([^\"']*)", 1)
-    return F.struct(
-        F.coalesce(non_blank(mailto), plain(mail)).alias("email"),
-        plain(last("telephone", "phone")).alias("phone"),
-        F.coalesce(non_blank(href), plain(site)).alias("website"),
-        plain(last(*HEAD_LABELS)).alias("head_name"),
-        F.regexp_count(html, F.lit(r"\(level\s+[0-9]+\)")).alias("standards"),
-    )
+    mailto = link(mail, lambda e: F.lower(e["href"]).startswith("mailto:"))
+    return [
+        F.coalesce(non_blank(strip(F.substring_index(mailto.substr(8, 1 << 30), "?", 1))), squeeze(mail["text"])).alias("email"),
+        squeeze(last("telephone", "phone")["text"]).alias("phone"),
+        F.coalesce(non_blank(link(site, lambda e: F.lit(True))), squeeze(site["text"])).alias("website"),
+        squeeze(last(*HEAD_LABELS)["text"]).alias("head_name"),
+    ]

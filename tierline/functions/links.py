@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .grades import normalise_grade, parse_inspection_date
+from .markup import elements
 from .text import lookup, non_blank, squeeze, strip
 
 # ---- fixed values ---------------------------------------------------------
@@ -41,28 +42,10 @@ LINK_GRADE = (
 FULL_INSPECTION = r"(?i)full inspection|school inspection|graded inspection|standard inspection"
 # ---------------------------------------------------------------------------
 
-ANCHOR = r"(?is)<a\b[^>]*?\bhref\s*=\s*[\"']([^\"']*)[\"'][^>]*>(.*?)</a>"
-ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&amp;": "&"}
-
-
-def decode_entities(col: Column) -> Column:
-    for name, char in ENTITIES.items():
-        col = F.replace(col, F.lit(name), F.lit(char))
-    return col
-
-
 def anchors(html: Column) -> Column:
-    """array<struct(href, text)> of a page, in page order."""
-    hrefs = F.regexp_extract_all(html, F.lit(ANCHOR), F.lit(1))
-    texts = F.regexp_extract_all(html, F.lit(ANCHOR), F.lit(2))
-    return F.zip_with(
-        hrefs,
-        texts,
-        lambda h, t: F.struct(
-            decode_entities(h).alias("href"),
-            squeeze(decode_entities(F.regexp_replace(t, "<[^>]+>", ""))).alias("text"),
-        ),
-    )
+    """array<struct(href, text)> of a page's links, in page order; see :mod:`markup` for loose markup."""
+    linked = F.filter(elements(html, ["a"]), lambda e: e["href"].isNotNull())
+    return F.transform(linked, lambda e: F.struct(e["href"].alias("href"), squeeze(e["text"]).alias("text")))
 
 
 def parse_report_url(href: Column) -> Column:

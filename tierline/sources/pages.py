@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.contacts import contact_fields
-from ..functions.links import ANY_REPORT_FILE, FULL_INSPECTION, REPORT_LINK_DATE, anchors, decode_entities
-from ..functions.text import non_blank, strip
+from ..functions.links import ANY_REPORT_FILE, FULL_INSPECTION, REPORT_LINK_DATE, anchors
+from ..functions.markup import PAGE, elements, has_class
+from ..functions.text import non_blank, squeeze, strip
 
+# ---- fixed values ---------------------------------------------------------
 MIN_MAIN_TEXT = 500
+SCHOOL_ROW = r"school_([0-9]+)"
+SCHOOL_SLUG = r"institutions/school/([^/?#]+)"
+COLLECTION = ("section", ".gem-c-document-list__item", ".gem-c-document-list")
+PUBLICATIONS = "/government/publications/"
+NO_SECTION = "Notices"
+# ---------------------------------------------------------------------------
 
 
 def extract_links(pages: DataFrame, html: str = "html", keep: tuple[str, ...] = ("page_id",)) -> DataFrame:
@@ -24,24 +32,23 @@ def extract_contacts_dl(pages: DataFrame, html: str = "html", keep: tuple[str, .
     return pages.select(*keep, contact_fields(F.col(html)).alias("c")).select(*keep, "c.*")
 
 
-def _element(html: Column, tag: str, attributes: str = "[^>]*") -> Column:
-    return non_blank(F.regexp_extract(html, rf"(?is)<{tag}\b{attributes}>(.*)</{tag}>", 1))
+def html_main_text(html: Column) -> Column:
+    """Text of main / article / wrapper / body, else of the page, blanks squeezed; null when short.
 
+    Several elements of a kind give their texts one after the other; one
+    inside another of its kind is not repeated.
+    """
+    found = elements(html, ["main", "article", ".govuk-main-wrapper", "body", PAGE])
 
-def html_main_text(html: Column) -> Column:
-    """Text of main / article / wrapper / body, blanks squeezed; null when short."""
-    clean = F.regexp_replace(html, r"(?is)<!--.*?-->|<(script|style)\b.*?</\1\s*>", "")
-    plain = lambda c: non_blank(decode_entities(F.regexp_replace(c, r"(?s)<[^>]*>", "")))
-    wrapper = _element(clean, "div", r"[^>]*govuk-main-wrapper[^>]*")
-    text = F.coalesce(
-        plain(_element(clean, "main")),
-        plain(_element(clean, "article")),
-        plain(wrapper),
-        plain(_element(clean, "body")),
-        plain(clean),
-    )
-    text = strip(F.regexp_replace(F.regexp_replace(text, r"[\s\x{A0}]+\n", "\n"), r"[ \t]{2,}", " "))
-    return F.when(F.length(text) >= MIN_MAIN_TEXT, text)
+    def text(cond) -> Column:
+        held = F.filter(found, lambda e: cond(e) & ~e["inner"])
+        return non_blank(F.array_join(F.transform(held, lambda e: e["text"]), ""))
+
+    named = lambda n: text(lambda e: e["name"] == n)
+    wrapper = text(lambda e: has_class(e, "govuk-main-wrapper"))
+    main = F.coalesce(named("main"), named("article"), wrapper, named("body"), named(PAGE))
+    main = strip(F.regexp_replace(F.regexp_replace(main, r"[\s\x{A0}]+\n", "\n"), r"[ \t]{2,}", " "))
+    return F.when(F.length(main) >= MIN_MAIN_TEXT, main)
 
 
 def best_report_link(html: Column) -> Column:
@@ -75,3 +82,68 @@ def best_report_link(html: Column) -> Column:
         best.isNotNull(),
         F.struct(best["href"].alias("href"), best["report_date"].alias("report_date"), best["is_full"].alias("is_full")),
     )
+
+
+def _exploded(pages: DataFrame, html: str, keep: tuple[str, ...], wanted: tuple[str, ...], groups: tuple[str, ...]) -> DataFrame:
+    found = pages.select(*keep, F.explode_outer(elements(F.col(html), wanted, groups)).alias("e"))
+    return found.where(F.col("e").isNotNull())
+
+
+def school_listing(pages: DataFrame, html: str = "html", keep: tuple[str, ...] = ("page_id",)) -> DataFrame:
+    """Result rows of listing pages: isi_id, slug, name, address (null when blank), in page order by ``position``.
+
+    ``keep`` identifies a page. A row counts with an id of its own and a link
+    to a school in its name cell; the first such link and the first location
+    cell are taken.
+    """
+    found = _exploded(pages, html, keep, ("tr", "td", "a"), (".result",))
+    e = F.col("e")
+    name_link = (e["name"] == "a") & F.array_contains(F.split("e.up_class", r"\s+"), "name") & e["href"].rlike(SCHOOL_SLUG)
+    place = (e["name"] == "td") & has_class(e, "location")
+    row = (e["name"] == "tr") & has_class(e, "result")
+    owner = F.when(row, e["at"]).otherwise(e["group"])
+    facts = found.where(row | (name_link | place) & e["group"].isNotNull()).select(
+        *keep,
+        owner.alias("position"),
+        e["at"].alias("at"),
+        F.when(row, non_blank(F.regexp_extract(e["id"], SCHOOL_ROW, 1))).alias("isi_id"),
+        F.when(name_link, F.struct(F.regexp_extract(e["href"], SCHOOL_SLUG, 1).alias("slug"), squeeze(e["text"]).alias("name"))).alias("link"),
+        F.when(place, F.struct(squeeze(e["text"]).alias("address"))).alias("place"),
+    )
+    first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("at"))).alias(c)
+    rows = facts.groupBy(*keep, "position").agg(F.max("isi_id").alias("isi_id"), first("link"), first("place"))
+    return rows.where(F.col("isi_id").isNotNull() & F.col("link").isNotNull()).select(
+        *keep, "position", "isi_id", "link.slug", "link.name", non_blank(F.col("place.address")).alias("address")
+    )
+
+
+def collection_links(pages: DataFrame, base: str, html: str = "html", keep: tuple[str, ...] = ("page_id",)) -> DataFrame:
+    """Publication links of collection pages: href (made absolute by ``base``), title, section; one row for each href.
+
+    ``keep`` identifies a page. The section is the first heading of the
+    innermost list around a link, or "Notices"; of several links to one href
+    the one in the list that opens last counts, the last one within it.
+    """
+    found = _exploded(pages, html, keep, (*COLLECTION, "h2", "h3", "a"), COLLECTION)
+    e = F.col("e")
+    listed = (e["name"] == "section") | has_class(e, COLLECTION[1][1:]) | has_class(e, COLLECTION[2][1:])
+    heading = e["name"].isin("h2", "h3")
+    link = (e["name"] == "a") & e["group"].isNotNull() & e["href"].contains(PUBLICATIONS) & (squeeze(e["text"]) != "")
+    # the first heading that opens after a list's start tag is its own if the list still lasts
+    ahead = Window.partitionBy(*keep).orderBy("e.at").rowsBetween(1, Window.unboundedFollowing)
+    head = F.first(F.when(heading, F.struct(e["at"].alias("at"), strip(e["text"]).alias("text"))), ignorenulls=True).over(ahead)
+    lists = found.where(listed | heading).withColumn("head", head).where(listed).select(
+        *keep, e["at"].alias("group"), F.when(F.col("head.at") <= e["last"], non_blank(F.col("head.text"))).alias("section")
+    )
+    origin = base[: base.index("/", base.index("://") + 3)]
+    href = (
+        F.when(e["href"].startswith("http"), e["href"])
+        .when(e["href"].startswith("/"), F.concat(F.lit(origin), e["href"]))
+        .otherwise(F.concat(F.lit(base[: base.rindex("/") + 1]), e["href"]))
+    )
+    links = found.where(link).select(
+        *keep, e["group"].alias("group"), e["at"].alias("at"), href.alias("href"), strip(e["text"]).alias("title")
+    )
+    named = links.join(lists, [*keep, "group"]).withColumn("section", F.coalesce("section", F.lit(NO_SECTION)))
+    last = F.max_by(F.struct("title", "section"), F.struct("group", "at"))
+    return named.groupBy(*keep, "href").agg(last.alias("l")).select(*keep, "href", "l.title", "l.section")
