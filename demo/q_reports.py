@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from tierline.operators import joins as jn
 from tierline.operators import ranking as rk
+from tierline.operators.grams import GramIndex
 from tierline.plans import Tables, briefs, dashboards, detail, lists, outreach, profiles, triggered
-from tierline.plans.triggered import name_search
+from tierline.plans.triggered import name_search, name_search_stored, store_name_index
 from tierline.session import scratch_dir
 
 from .q_columns import sql_label
@@ -734,6 +735,19 @@ def _(v: Views) -> DataFrame:
     return name_search(v.institutions, ["%Training%", "the %", "%COLLEGE%"]).select("id", "name", "type")
 
 
+@query(
+    "name_search_stored",
+    "SELECT id, name, type FROM {institutions} WHERE lower(name) LIKE '%training%' OR lower(name) LIKE 'the %' OR lower(name) LIKE '%college%' OR lower(name) LIKE '%_1%2_'",
+)
+def _(v: Views) -> DataFrame:
+    path = scratch_dir(v.spark, "name-index")
+    store_name_index(v.institutions, path)
+    index = GramIndex.open(v.spark, path)
+    few = name_search_stored(index, ["%Training%", "the %", "%COLLEGE%"])
+    # a pattern without a run of three characters is tested on all rows
+    return few.unionByName(name_search_stored(index, ["%_1%2_"])).select("id", "name", "type").distinct()
+
+
 @query(
     "outreach_rows",
     f"""SELECT i.id, coalesce(nullif(i.head_email, ''), nullif(i.general_email, '')) AS email, i.name AS company_name, s.top_curriculum, CAST(s.score AS VARCHAR) AS opportunity_score,

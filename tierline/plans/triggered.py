@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.grams import GramIndex
 from ..operators.joins import with_latest
 from .profiles import WEAK_GRADES
 from .tables import Tables
@@ -99,9 +100,23 @@ def finding_coverage(t: Tables, type_: str = "itp") -> DataFrame:
     )
 
 
+SEARCH_COLUMNS = ["id", "name", "type", "ukprn", "urn", "apprenticeship_standards", "in_scope", "source"]
+
+
+def _biggest_first(found: DataFrame) -> DataFrame:
+    return found.select(*SEARCH_COLUMNS).orderBy(F.col("apprenticeship_standards").desc_nulls_last(), F.col("id").asc())
+
+
 def name_search(institutions: DataFrame, patterns: list[str]) -> DataFrame:
     """Institutions whose name is like any of the patterns, biggest first."""
     any_of = reduce(lambda a, b: a | b, [F.col("name").ilike(p) for p in patterns])
-    return institutions.where(any_of).select(
-        "id", "name", "type", "ukprn", "urn", "apprenticeship_standards", "in_scope", "source"
-    ).orderBy(F.col("apprenticeship_standards").desc_nulls_last(), F.col("id").asc())
+    return _biggest_first(institutions.where(any_of))
+
+
+def store_name_index(institutions: DataFrame, path: str) -> GramIndex:
+    return GramIndex.build(institutions.select(*SEARCH_COLUMNS), "id", "name", path)
+
+
+def name_search_stored(index: GramIndex, patterns: list[str]) -> DataFrame:
+    """:func:`name_search` through a stored index of names."""
+    return _biggest_first(index.search(patterns))
