@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from tierline.operators import dedup, joins, matching, ranking, upsert
@@ -79,7 +80,9 @@ def _names(rng, n):
     return [" ".join(rng.choice(words) for _ in range(rng.randint(1, 4))) for _ in range(n)]
 
 
-def test_match_by_name_equals_brute_force(spark):
+@pytest.mark.parametrize("hot", [1, matching.HOT])
+def test_match_by_name_equals_brute_force(spark, monkeypatch, hot):
+    monkeypatch.setattr(matching, "HOT", hot)  # 1: nearly all names take the way of hot runs
     rng = random.Random(5)
     dim = _names(rng, 80) + ["south college of arts"] * 40  # a third share one name
     targets = _names(rng, 120) + [n + " x" for n in dim[:30]] + [n[2:] for n in dim[:30]]

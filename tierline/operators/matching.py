@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.names import norm_name, norm_school_name
 from ..functions.text import non_blank
+from ..session import cut_lineage
 from .ranking import top_n_per
 
 # ---- fixed values ---------------------------------------------------------
@@ -24,7 +25,8 @@ MIN_SCHOOL_KEY = 4
 # ---------------------------------------------------------------------------
 
 
-GRAM = 5  # no shorter than MIN_CONTAINED, so the shorter name always has one
+GRAM = 5  # no longer than MIN_CONTAINED, so the shorter name always has one
+HOT = 256  # holders of a run beyond which a rarer run is looked for
 
 
 def _grams(key: Column) -> Column:
@@ -34,26 +36,40 @@ def _grams(key: Column) -> Column:
     )
 
 
+def _rarest(asked: DataFrame, held: DataFrame) -> DataFrame:
+    """(short, g, holders): of the asked runs of each key (k, g) the one that the fewest longer keys hold.
+
+    A key with a run that no longer key has is dropped.
+    """
+    often = held.groupBy("g").agg(F.count(F.lit(1)).alias("holders"))
+    least = F.min(F.struct(F.coalesce("holders", F.lit(0)).alias("holders"), "g")).alias("r")
+    found = asked.join(often, "g", "left").groupBy("k").agg(least).where("r.holders > 0")
+    return found.select(F.col("k").alias("short"), F.col("r.g").alias("g"), F.col("r.holders").alias("holders"))
+
+
 def _contained(short: DataFrame, long: DataFrame) -> DataFrame:
     """(short, long) pairs of distinct keys where the one lies inside the other.
 
     Both sides are one column ``k`` of distinct keys of ``GRAM`` characters or
-    more. A short key is asked for under its rarest run only, which every
-    longer key that holds it must have; a short key with a run that no long
-    key has is dropped at once.
+    more. A longer key holds the first and the last run of each key inside it,
+    so a short key is asked for by the rarer of these two, and of the longer
+    keys only runs that begin or end a short key are counted and joined. Where
+    more than ``HOT`` longer keys hold even the rarer one, the short key is
+    asked for by its rarest run of all.
     """
     held = long.select(F.col("k").alias("long"), F.explode(_grams(F.col("k"))).alias("g"))
-    often = held.groupBy("g").agg(F.count(F.lit(1)).alias("holders"))
-    asked = short.select("k", F.explode(_grams(F.col("k"))).alias("g")).join(often, "g", "left")
-    rarest = (
-        asked.groupBy("k")
-        .agg(F.min(F.struct(F.coalesce("holders", F.lit(0)).alias("holders"), "g")).alias("r"))
-        .where("r.holders > 0")
-        .select(F.col("k").alias("short"), F.col("r.g").alias("g"))
-    )
+    ends = F.array_distinct(F.array(F.substring("k", 1, GRAM), F.substring("k", -GRAM, GRAM)))
+    ends = short.select("k", F.explode(ends).alias("g"))
+    near = held.join(ends.select("g").distinct(), "g", "left_semi")
+    asked = cut_lineage(_rarest(ends, near), "asked")
+    met = asked.where(F.col("holders") <= HOT).join(near, "g").select("short", "long")
+    hot = asked.where(F.col("holders") > HOT).select(F.col("short").alias("k"))
+    if not hot.isEmpty():
+        runs = hot.select("k", F.explode(_grams(F.col("k"))).alias("g"))
+        met = met.unionByName(_rarest(runs, held).join(held, "g").select("short", "long"))
     ratio = F.length("short") >= F.length("long") * MIN_RATIO
     longer = F.length("long") > F.length("short")
-    return rarest.join(held, "g").where(longer & ratio & F.col("long").contains(F.col("short"))).select("short", "long")
+    return met.where(longer & ratio & F.col("long").contains(F.col("short")))
 
 
 def match_by_name(left: DataFrame, dimension: DataFrame, name: str, out: str = "institution_id") -> DataFrame:
@@ -62,11 +78,15 @@ def match_by_name(left: DataFrame, dimension: DataFrame, name: str, out: str = "
     Names are compared once per distinct key, and the dimension is counted per
     key first: a key that millions of names share is one row with their number,
     and "exactly one partner" is a comparison of that number. Containment with
-    a length ratio of at least one half is asked for by the rarest run of five
+    a length ratio of at least one half is asked for by a rare run of five
     characters of the shorter key and then tested. Exact, no candidate cap.
+    The distinct keys of both sides are stored once and read by all steps.
     """
-    key = norm_name(F.col(name), "notice")
-    named = left.withColumn("__key", F.when(F.length(key) >= MIN_TARGET, key))
+    # Each name is normalised once, however many rows hold it.
+    key = norm_name(F.col("__raw"), "notice")
+    named = left.select(F.col(name).alias("__raw")).where(F.col("__raw").isNotNull()).distinct()
+    named = cut_lineage(named.withColumn("__key", key), "names")
+    named = named.where(F.length("__key") >= MIN_TARGET)
     index = (
         dimension.where(F.col("in_scope"))
         .select("id", norm_name(F.col("name"), "notice").alias("k"))
@@ -74,8 +94,9 @@ def match_by_name(left: DataFrame, dimension: DataFrame, name: str, out: str = "
         .groupBy("k")
         .agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("n"))
     )
-    targets = named.select("__key").where(F.col("__key").isNotNull()).distinct()
-    exact = targets.join(index, F.col("__key") == F.col("k"), "left").select("__key", "first_id")
+    index = cut_lineage(index, "name-keys")
+    targets = named.select("__key").distinct()
+    exact = cut_lineage(targets.join(index, F.col("__key") == F.col("k"), "left").select("__key", "first_id"), "asked-keys")
     # Containment is only asked where there is no exact key.
     open_keys = exact.where(F.col("first_id").isNull() & (F.length("__key") >= MIN_CONTAINED)).select("__key")
 
@@ -91,12 +112,9 @@ def match_by_name(left: DataFrame, dimension: DataFrame, name: str, out: str = "
         .where(F.col("n") == 1)
         .select("__key", "contained_id")
     )
-    resolved = (
-        exact.join(only, "__key", "left")
-        .select(F.col("__key").alias("__rkey"), F.coalesce("first_id", "contained_id").alias(out))
-        .where(F.col(out).isNotNull())
-    )
-    return named.join(resolved, F.col("__key") == F.col("__rkey"), "left").drop("__key", "__rkey")
+    resolved = exact.join(only, "__key", "left").select("__key", F.coalesce("first_id", "contained_id").alias(out))
+    found = named.join(resolved.where(F.col(out).isNotNull()), "__key").select("__raw", out)
+    return left.join(found, F.col(name) == F.col("__raw"), "left").drop("__raw")
 
 
 RUN_TOKENS = 8  # tokens of a run taken from a text; longer keys are tested on the text
