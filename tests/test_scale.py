@@ -10,6 +10,7 @@ from tierline.functions.text import all_indexes, portable
 from tierline.functions.walk import Walk
 from tierline.operators.findings import extract_findings, quote_spans
 from tierline.operators.sections import sectionise
+from tierline.session import _bytes, tune
 
 
 def plan(df):
@@ -140,6 +141,18 @@ def test_no_nested_loop_or_cartesian_in_matching(spark):
         assert "NestedLoop" not in text and "Cartesian" not in text
 
 
+def test_broadcast_limits_are_lowered_and_never_raised(spark):
+    asked, measured = "spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"
+    own = spark.newSession()
+    for before, after in (("10485760b", ("1m", "10m")), ("256k", ("256k", "10m")), ("-1", ("-1", "10m"))):
+        own.conf.set(asked, before)
+        own.conf.unset(measured)
+        tune(own)
+        assert own.conf.get(asked) == after[0] and _bytes(own.conf.get(measured)) <= _bytes(after[1])
+        tune(own)
+        assert own.conf.get(asked) == after[0]
+
+
 def test_survivorship_last_loser_wins(spark):
     rows = [(1, "100", None, None, "gias", 0), (2, None, None, "w2", "apar", 0), (3, None, "e3", "w3", "isi", 7)]
     inst = spark.createDataFrame(rows, "id long, urn string, general_email string, website string, source string, apprenticeship_standards int")
