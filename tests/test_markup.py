@@ -3,6 +3,7 @@
 import random
 import time
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -101,3 +102,12 @@ def test_any_soup_folds_into_nested_numbers():
         assert [e["at"] for e in found] == sorted(e["at"] for e in found)
         for e in found:
             assert e["last"] >= e["at"] and e["text"] in whole and (e["parent"] is None or e["parent"] < e["at"])
+
+
+def test_collection_links_reads_pages_once_and_joins_nothing(spark):
+    html = '<section><h2>Open</h2><ul class="gem-c-document-list"><li><a href=/government/publications/a>A</a></ul></section>'
+    pages = spark.createDataFrame([(1, html), (None, html)], "page_id int, html string")
+    out = pg.collection_links(pages, "https://www.gov.uk/x/y")
+    text = out._jdf.queryExecution().executedPlan().toString()
+    assert text.count("ArrowEvalPython") == 1 and "Join" not in text
+    assert [tuple(r) for r in out.collect()] == [(1, "https://www.gov.uk/government/publications/a", "A", "Notices")]

@@ -129,21 +129,37 @@ def collection_links(pages: DataFrame, base: str, html: str = "html", keep: tupl
     listed = (e["name"] == "section") | has_class(e, COLLECTION[1][1:]) | has_class(e, COLLECTION[2][1:])
     heading = e["name"].isin("h2", "h3")
     link = (e["name"] == "a") & e["group"].isNotNull() & e["href"].contains(PUBLICATIONS) & (squeeze(e["text"]) != "")
-    # the first heading that opens after a list's start tag is its own if the list still lasts
-    ahead = Window.partitionBy(*keep).orderBy("e.at").rowsBetween(1, Window.unboundedFollowing)
-    head = F.first(F.when(heading, F.struct(e["at"].alias("at"), strip(e["text"]).alias("text"))), ignorenulls=True).over(ahead)
-    lists = found.where(listed | heading).withColumn("head", head).where(listed).select(
-        *keep, e["at"].alias("group"), F.when(F.col("head.at") <= e["last"], non_blank(F.col("head.text"))).alias("section")
-    )
     origin = base[: base.index("/", base.index("://") + 3)]
     href = (
         F.when(e["href"].startswith("http"), e["href"])
         .when(e["href"].startswith("/"), F.concat(F.lit(origin), e["href"]))
         .otherwise(F.concat(F.lit(base[: base.rindex("/") + 1]), e["href"]))
     )
-    links = found.where(link).select(
-        *keep, e["group"].alias("group"), e["at"].alias("at"), href.alias("href"), strip(e["text"]).alias("title")
+    # Lists, headings and links of a page stay together from here on: the pages are read once, and no size of what
+    # they hold is guessed for a join.
+    facts = found.where(listed | heading | link).select(
+        *keep,
+        e["at"].alias("at"),
+        F.when(listed, F.struct(e["last"].alias("last"))).alias("list"),
+        F.when(heading, F.struct(e["at"].alias("at"), strip(e["text"]).alias("text"))).alias("head"),
+        F.when(link, F.struct(e["group"].alias("group"), href.alias("href"), strip(e["text"]).alias("title"))).alias("link"),
+    )
+    facts = facts.where(" AND ".join(f"`{c}` IS NOT NULL" for c in keep)) if keep else facts
+    # the first heading that opens after a list's start tag is its own if the list still lasts
+    ahead = Window.partitionBy(*keep).orderBy(F.col("at").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    headed = facts.withColumn("head", F.last("head", ignorenulls=True).over(ahead))
+    own = F.when(F.col("head.at") <= F.col("list.last"), non_blank(F.col("head.text")))
+    as_list = F.when(F.col("list").isNotNull(), F.struct(F.col("at").alias("group"), F.lit(True).alias("listed"), own.alias("section")))
+    as_link = F.when(
+        F.col("link").isNotNull(),
+        F.struct(F.col("link.group").alias("group"), F.lit(False).alias("listed"), F.lit(None).cast("string").alias("section")),
     )
-    named = links.join(lists, [*keep, "group"]).withColumn("section", F.coalesce("section", F.lit(NO_SECTION)))
+    roles = headed.select(*keep, "at", "link.href", "link.title", F.explode(F.array_compact(F.array(as_list, as_link))).alias("r"))
+    of_group = Window.partitionBy(*keep, "r.group")
+    named = roles.select(
+        *keep, "r.group", "r.listed", "at", "href", "title",
+        F.max("r.listed").over(of_group).alias("known"),
+        F.coalesce(F.max("r.section").over(of_group), F.lit(NO_SECTION)).alias("section"),
+    ).where(~F.col("listed") & F.col("known"))
     last = F.max_by(F.struct("title", "section"), F.struct("group", "at"))
     return named.groupBy(*keep, "href").agg(last.alias("l")).select(*keep, "href", "l.title", "l.section")
