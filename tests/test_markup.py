@@ -111,3 +111,12 @@ def test_collection_links_reads_pages_once_and_joins_nothing(spark):
     text = out._jdf.queryExecution().executedPlan().toString()
     assert text.count("ArrowEvalPython") == 1 and "Join" not in text
     assert [tuple(r) for r in out.collect()] == [(1, "https://www.gov.uk/government/publications/a", "A", "Notices")]
+
+
+def test_elements_are_handed_on_in_small_batches(monkeypatch):
+    monkeypatch.setattr(markup, "HELD_ELEMENTS", 100)
+    pages = pa.array(["<a href=/x>x</a>" * 30 if n % 5 else None for n in range(50)])
+    got = list(markup.folded([pages, pages[:0], pages], frozenset(["a"]), frozenset()))
+    assert sum(map(len, got)) == 100
+    assert max(sum(len(v or ()) for v in b.to_pylist()) for b in got) <= 120
+    assert [len(v) if v else 0 for b in got for v in b.to_pylist()] == [30 if n % 5 else 0 for n in range(50)] * 2
