@@ -10,7 +10,7 @@ from tierline.functions.text import all_indexes, portable
 from tierline.functions.walk import Walk
 from tierline.operators.findings import extract_findings, quote_spans
 from tierline.operators.sections import sectionise
-from tierline.session import _bytes, tune
+from tierline.session import _bytes, cut_lineage, tune
 
 
 def plan(df):
@@ -141,6 +141,16 @@ def test_no_nested_loop_or_cartesian_in_matching(spark):
         assert "NestedLoop" not in text and "Cartesian" not in text
 
 
+def test_name_runs_are_not_sent_through_the_driver(spark):
+    """A name has many runs, which a guess from the names' file does not see."""
+    short = cut_lineage(spark.createDataFrame([("north",)], "k string"), "short")
+    long = cut_lineage(spark.createDataFrame([("north college",), ("the north star",)], "k string"), "long")
+    met = matching._contained(short, long)
+    assert "BroadcastHashJoin" not in plan(met)
+    assert {tuple(r) for r in met.select("short", "long").collect()} == set()
+    assert {r.long for r in matching._contained(short, cut_lineage(long.selectExpr("substring(k, 1, 9) AS k"), "cut")).collect()} == {"north col", "the north"}
+
+
 def test_broadcast_limits_are_lowered_and_never_raised(spark):
     asked, measured = "spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"
     own = spark.newSession()
