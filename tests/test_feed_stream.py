@@ -54,3 +54,28 @@ def test_log_is_folded_and_cleaned_between_batches(spark, tmp_path):
     news.compact(spark, str(tmp_path / "table"), before=6, clean=True)
     assert sorted(os.listdir(tmp_path / "table" / "log")) == [f"batch={n}" for n in (4, 5, 6)]
     assert {(r.url, r.institution_id) for r in news.current_news(spark, str(tmp_path / "table")).collect()} == set(got)
+
+
+def test_a_base_folds_in_only_bases_that_cover_no_more_batches(spark, tmp_path):
+    news.store_mention_index(spark.createDataFrame(NAMES, "id int, name string, in_scope boolean"), str(tmp_path / "index"))
+    for i in range(9):
+        land(tmp_path / "feeds", "a", f"{i}.xml", [(f"Harbour Skills College {i}", "y", f"v{i}"), (f"Day {i} at Harbour Skills College", "y", "u")], 1000 + i)
+    got = start(spark, tmp_path, files_per_batch=1, compact_every=2)
+    assert got[("u", 2)][1] == "Day 8 at Harbour Skills College" and len(got) == 10
+    # bases before batches 2, 4, 6 and 8 cover the batches 0-1, 0-3, 4-5 and 0-7
+    table = str(tmp_path / "table")
+    named = {r.upto: r.since for r in spark.read.parquet(f"{table}/bases").collect()}
+    assert named == {1: -1, 3: -1, 5: 3, 7: -1}
+    base = spark.read.parquet(f"{table}/base")
+    assert {r.upto: r["count"] for r in base.groupBy("upto").count().collect()} == {3: 5, 5: 3, 7: 9}
+    # a table whose bases were named before they had a ``since`` reads alike
+    spark.range(7, 8).toDF("upto").write.mode("overwrite").parquet(f"{table}/bases")
+    assert {(r.url, r.institution_id) for r in news.current_news(spark, table).collect()} == set(got)
+
+
+def test_the_index_keeps_the_ids_that_an_item_can_be_given(spark, tmp_path):
+    names = [(i, "Harbour Skills College", True) for i in range(9, 0, -1)] + [(20, "Harbour Skills College East", True)]
+    news.store_mention_index(spark.createDataFrame(names, "id int, name string, in_scope boolean"), str(tmp_path / "index"))
+    assert sorted(r.id for r in spark.read.parquet(str(tmp_path / "index")).collect()) == [1, 2, 3, 20]
+    land(tmp_path / "feeds", "a", "1.xml", [("At Harbour Skills College East", "x", "u")], 1000)
+    assert sorted(start(spark, tmp_path)) == [("u", 1), ("u", 2), ("u", 3)]
