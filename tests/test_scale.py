@@ -126,6 +126,15 @@ def test_match_mentions_keeps_all_by_default_and_long_keys(spark):
     assert got == [(1, i) for i in [*range(9), 50]]
 
 
+def test_match_mentions_normalises_names_and_texts_once(spark):
+    d = spark.createDataFrame([(i, "skills academy", True) for i in range(9)], "id int, name string, in_scope boolean")
+    a = spark.createDataFrame([(1, "The skills academy.")], "a int, x string")
+    found = matching.match_mentions(a, d, "a", "x", per_article=3)
+    # the names come from a stored index, and no text is joined where all keys are runs
+    assert plan(found).count("Scan ExistingRDD") == 1
+    assert sorted(r.institution_id for r in found.collect()) == [0, 1, 2]
+
+
 def test_match_by_name_with_a_very_long_name(spark):
     words = " ".join(f"w{i}x" for i in range(5000))
     d = spark.createDataFrame([(1, words, True), (2, "alpha skills trust", True)], "id int, name string, in_scope boolean")
