@@ -172,6 +172,16 @@ def test_broadcast_limits_are_lowered_and_never_raised(spark):
         assert own.conf.get(asked) == after[0]
 
 
+def test_splits_are_made_smaller_and_never_larger(spark):
+    """What a map task reads of a stored table it may have to sort."""
+    own, key = spark.newSession(), "spark.sql.files.maxPartitionBytes"
+    for before, most in (("134217728", 24 << 20), ("128MB", 24 << 20), ("1m", 1 << 20), ("1000", 1000)):
+        own.conf.set(key, before)
+        for _ in range(2):
+            tune(own)
+            assert _bytes(own.conf.get(key)) == most
+
+
 def test_survivorship_last_loser_wins(spark):
     rows = [(1, "100", None, None, "gias", 0), (2, None, None, "w2", "apar", 0), (3, None, "e3", "w3", "isi", 7)]
     inst = spark.createDataFrame(rows, "id long, urn string, general_email string, website string, source string, apprenticeship_standards int")
