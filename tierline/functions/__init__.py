@@ -1,4 +1,4 @@
-"""Column expressions. Everything but ``walk`` and ``markup`` (Arrow passes) runs inside the JVM."""
+"""Column expressions. Everything but ``walk``, ``markup`` and ``runs`` (Arrow passes) runs inside the JVM."""
 
 from .bands import *  # noqa: F401,F403
 from .contacts import *  # noqa: F401,F403
